@@ -123,3 +123,50 @@ def threshold_sweep(val_maxima: DataFrame, group: Sequence[str], score: str,
                                F.col(f"q{i}").alias("theta"))
                       for i, p in enumerate(probs)])
     return wide.select(*group, F.inline(pairs))
+
+
+def sweep_alarms(scores: DataFrame, sweep: DataFrame, by: Sequence[str],
+                 keys: Sequence[str], t: str = "t") -> DataFrame:
+    """First alarm at every threshold of a sweep, in one pass over the scores.
+
+    The thresholds ride along as one small array per group and each becomes
+    one running minimum of the aggregate; steps are never multiplied.
+    """
+    ids = [r[0] for r in sweep.select("q_index").distinct().orderBy("q_index").collect()]
+    wide = sweep.groupBy(*by).agg(*[
+        F.max(F.when(F.col("q_index") == i, F.col("theta"))).alias(f"_th{i}") for i in ids])
+    j = scores.join(F.broadcast(wide), list(by))
+    hits = j.groupBy(*by, *keys).agg(*[
+        F.min(F.when(finite() & (F.col("score") > F.col(f"_th{i}")), F.col(t))).alias(f"_a{i}")
+        for i in ids])
+    return hits.select(*by, *keys, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("q_index"), F.col(f"_a{i}").alias("alarm_step")) for i in ids])))
+
+
+def precision_recall(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Precision and recall with early alarms counted as false positives."""
+    n = lambda *o: F.sum(F.col("outcome").isin(*o).cast("int"))
+    c = rows.groupBy(*by).agg(n("true_alarm").alias("tp"),
+                              n("false_alarm", "early_alarm").alias("fp"), n("miss").alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.withColumns({
+        "prec": F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0),
+        "rec": F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)})
+
+
+def class_auc(maxima: DataFrame, by: Sequence[str], score: str, cls: str) -> DataFrame:
+    """AUROC of each failure class against the shared healthy episodes.
+
+    The healthy histogram is built once; a class adds only its own counts.
+    """
+    by = list(by)
+    inj = ~F.col("is_healthy")
+    h = ranks.histogram(maxima, by, score, {"q": (~inj).cast("int")})
+    pos = maxima.filter(inj).groupBy(*by, F.col(cls).alias("cls"), score).agg(
+        F.count(F.lit(1)).alias("p"))
+    j = pos.join(h, [*by, score])
+    return j.groupBy(*by, "cls").agg(
+        F.sum("p").alias("n_pos"), F.max("total_q").alias("n_neg"),
+        F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2.0)).alias("_w")).select(
+        *by, "cls", "n_pos", "n_neg", F.when(
+            F.col("n_neg") > 0, F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))

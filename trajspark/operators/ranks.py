@@ -111,11 +111,16 @@ def with_ranks(df: DataFrame, group: Sequence[str], value: str, out: str,
     return df.join(r, on, "inner").drop("_rv", *[f"_r_{g}" for g in group])
 
 
-def auc(df: DataFrame, group: Sequence[str], score: str, positive: Column) -> DataFrame:
-    """Tie-averaged AUROC per group; null when a class is absent."""
+def auc(df: DataFrame, group: Sequence[str], score: str, positive: Column,
+        weight: Column | None = None) -> DataFrame:
+    """Tie-averaged AUROC per group; null when a class is absent.
+
+    ``weight`` is an integer copy count per row (bootstrap replicates).
+    """
+    one = F.lit(1) if weight is None else weight
     h = histogram(df, group, score, {
-        "p": F.when(positive, 1).otherwise(0),
-        "q": F.when(positive, 0).otherwise(1)})
+        "p": F.when(positive, one).otherwise(0),
+        "q": F.when(positive, 0).otherwise(one)})
     won = F.col("p") * (F.col("before_q") + F.col("q") / 2.0)
     return (h.groupBy(*group) if group else h.groupBy()).agg(
         F.max("total_p").alias("n_pos"), F.max("total_q").alias("n_neg"),
@@ -153,7 +158,3 @@ def normal_quantile(p: float) -> float:
     """Standard normal quantile (a constant of a plan, not a row function)."""
     from statistics import NormalDist
     return NormalDist().inv_cdf(p)
-
-
-def log_factorial_sum(n: int) -> float:
-    return math.lgamma(n + 1)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trajspark.plans import registry
-from trajspark.plans import numeric  # noqa: F401
+from trajspark.plans import numeric, evaluation, tests_of_difference  # noqa: F401
 
 
 def queries():

@@ -238,7 +238,7 @@ def _(spark, d):
 
 @query("surprisal_features", sql("""
 SELECT user_id, blk, round(avg(s), 6) AS mean, round(max(s), 6) AS peak,
-  round(coalesce(regr_slope(s, i), 0), 6) AS slope, round(avg((s > 2.5)::INTEGER), 6) AS high_share
+  round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(s, i) END, 6) AS slope, round(avg((s > 2.5)::INTEGER), 6) AS high_share
 FROM (SELECT user_id, (t // 16)::INTEGER AS blk, (t % 16) AS i, value / 37.0 AS s FROM steps)
 GROUP BY user_id, blk""", "steps"))
 def _(spark, d):
