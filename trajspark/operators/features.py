@@ -119,3 +119,59 @@ def stale_toolset(calls: DataFrame, corpus: Sequence[str], name: str,
     return seen.groupBy(*corpus).agg(
         F.bool_or(stale.isNotNull()).alias("refused"),
         F.when(F.max(stale).isNotNull(), names).alias("stale"))
+
+
+def transcripts(steps: DataFrame, keys: Sequence[str], t: str, action: Column, text: Column) -> DataFrame:
+    """Transcript up to each step.
+
+    The output itself is quadratic in the run length; ``transcripts_at`` gives
+    the chosen steps only.
+    """
+    line = F.concat(F.lit("step "), (F.col(t) + 1).cast("string"), F.lit(" ("), action, F.lit("): "), F.trim(text))
+    w = W.partitionBy(*keys).orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    return steps.withColumn("_line", line).withColumn(
+        "transcript", F.array_join(F.collect_list("_line").over(w), "\n")).drop("_line")
+
+
+def transcripts_at(steps: DataFrame, picks: DataFrame, keys: Sequence[str], t: str, upto: str,
+                   action: Column, text: Column) -> DataFrame:
+    """One transcript per picked (key, upto): lines up to that step."""
+    line = F.concat(F.lit("step "), (F.col(t) + 1).cast("string"), F.lit(" ("), action, F.lit("): "), F.trim(text))
+    j = steps.select(*keys, F.col(t).alias("_t"), line.alias("_line")).join(picks, list(keys)) \
+        .filter(F.col("_t") <= F.col(upto))
+    return j.groupBy(*keys, upto).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("_t", "_line"))), lambda x: x["_line"]), "\n").alias("transcript"))
+
+
+def healthy_null(runs: DataFrame, rules: Sequence[tuple[str, int]]) -> DataFrame:
+    """Keep runs that pass every rule so far, dropping a rule that leaves too few.
+
+    ``rules`` are (boolean column, least number of runs left), cumulative.
+    """
+    keep, counts = F.lit(True), []
+    for i, (c, _) in enumerate(rules):
+        keep = keep & F.col(c)
+        counts.append(F.sum(keep.cast("int")).alias(f"_n{i}"))
+    n = runs.agg(*counts)
+    out, keep, prior = runs.crossJoin(F.broadcast(n)), F.lit(True), F.lit(True)
+    for i, (c, least) in enumerate(rules):
+        last = i == len(rules) - 1
+        keep = keep & F.col(c)
+        prior = prior & ((F.col(f"_n{i}") < least) | (F.col(c) if last else keep))
+    return out.filter(prior).drop(*[f"_n{i}" for i in range(len(rules))])
+
+
+def past_vector_sum(steps: DataFrame, keys: Sequence[str], t: str, vec: str, n: int, out: str) -> DataFrame:
+    """Sum of the earlier vectors of the run (zeros at the head)."""
+    d = steps.withColumns({f"_v{i}": F.col(vec)[i] for i in range(n)})
+    runs = {f"_s{i}": ordered.Run("sum", f"_v{i}", False) for i in range(n)}
+    r = ordered.running(d, keys, t, runs)
+    return r.withColumn(out, F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(n)])).drop(
+        *[f"_v{i}" for i in range(n)], *[f"_s{i}" for i in range(n)])
+
+
+def warmup_centroid(steps: DataFrame, keys: Sequence[str], t: str, vec: str, n: int, warmup: int,
+                    out: str) -> DataFrame:
+    """Sum of the first ``warmup`` vectors per run (direction of their mean)."""
+    return steps.filter(F.col(t) < warmup).groupBy(*keys).agg(
+        F.array(*[F.sum(F.col(vec)[i]) for i in range(n)]).alias(out))

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Has ``df`` at most ``rows`` rows?  Reads at most ``rows + 1`` of them."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows.
 
-    The check reads at most ``rows + 1`` rows.  Beyond that the frame is
-    returned unmarked and the join shuffles (with AQE skew splitting).
+    Beyond that the frame is returned unmarked and the join shuffles (with
+    AQE skew splitting).
     """
-    n = df.limit(rows + 1).count()
-    return F.broadcast(df) if n <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def one_row(df: DataFrame) -> DataFrame:
