@@ -170,3 +170,42 @@ def class_auc(maxima: DataFrame, by: Sequence[str], score: str, cls: str) -> Dat
         F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2.0)).alias("_w")).select(
         *by, "cls", "n_pos", "n_neg", F.when(
             F.col("n_neg") > 0, F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
+
+
+def nested_alarms(maxima: DataFrame, by: Sequence[str], fold: str, k: int, score: str,
+                  budget: float) -> DataFrame:
+    """Alarm of each episode at a threshold from the other folds' healthy peaks.
+
+    A healthy peak serves the k - 1 folds it is not in; only peaks (one row
+    per episode) are repeated, never steps.
+    """
+    by = list(by)
+    other = maxima.filter("is_healthy").select(
+        *by, score, F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col(fold))).alias("_k"))
+    th = pick_threshold(other, [*by, "_k"], score, budget).select(
+        *by, F.col("_k").cast("int").alias(fold), "theta")
+    return maxima.join(F.broadcast(th), [*by, fold]).withColumn("alarm", F.col(score) > F.col("theta"))
+
+
+# ---- fixed values: healthy runs a deployment needs, and is advised to have
+MIN_HEALTHY, RECOMMENDED_HEALTHY = 30, 80
+
+
+def calibrate_deployments(maxima: DataFrame, by: Sequence[str], key: str, score: str,
+                          budget: float = 0.05) -> DataFrame:
+    """Threshold per deployment from a fifth of its healthy runs, or a refusal."""
+    from trajspark.functions.hashing import uniform
+    by = list(by)
+    m = maxima.withColumn("_u", uniform("deploy", F.col(key)))
+    r = ranks.hash_order(m, by, "_u", "_r")
+    lo = F.greatest(F.rint(F.col("_r_total") * 0.6), F.lit(1.0))
+    hi = lo + F.greatest(F.rint(F.col("_r_total") * 0.2), F.lit(1.0))
+    th = pick_threshold(r.filter((F.col("_r") >= lo) & (F.col("_r") < hi)), by, score, budget) \
+        .select(*by, F.col("n").alias("n_val"), "theta")
+    n = maxima.groupBy(*by).agg(F.count(F.lit(1)).alias("n_healthy"))
+    bad = F.when(F.col("n_healthy") < MIN_HEALTHY, "too few healthy runs") \
+        .when(F.col("theta").isNull() | (F.col("theta") <= 0), "degenerate threshold")
+    return n.join(th, by, "left").select(
+        *by, "n_healthy", "n_val", bad.alias("refused"),
+        (F.col("n_healthy") < RECOMMENDED_HEALTHY).alias("warn"),
+        F.when(bad.isNull(), F.col("theta")).alias("theta"))

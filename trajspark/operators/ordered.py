@@ -207,29 +207,29 @@ def cusum(df: DataFrame, keys: Sequence[str], t: str, value: Column | str,
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    base = segmented(df.withColumn("_v", value - F.lit(float(slack))), keys, t,
+    base = segmented(df.withColumn("_cu_v", value - F.lit(float(slack))), keys, t,
                      seg_rows)
     order = W.partitionBy(*keys, _SEG).orderBy(t).rowsBetween(
         W.unboundedPreceding, 0)
-    local = base.withColumn("_s", F.sum("_v").over(order))
-    local = local.withColumn("_lo", F.min("_s").over(order))
+    local = base.withColumn("_cu_s", F.sum("_cu_v").over(order))
+    local = local.withColumn("_cu_lo", F.min("_cu_s").over(order))
     parts = local.groupBy(*keys, _SEG).agg(
-        F.max_by("_s", t).alias("_sum"), F.min("_s").alias("_low"))
+        F.max_by("_cu_s", t).alias("_cu_sum"), F.min("_cu_s").alias("_cu_low"))
     before = W.partitionBy(*keys).orderBy(_SEG).rowsBetween(
         W.unboundedPreceding, -1)
     parts = parts.withColumn(
-        "_pre", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+        "_cu_pre", F.coalesce(F.sum("_cu_sum").over(before), F.lit(0.0)))
     carry = parts.select(
         *keys, _SEG,
-        (F.col("_pre") - F.least(
-            F.lit(0.0), F.min(F.col("_pre") + F.col("_low")).over(before))
-         ).alias("_in")).filter(F.col(_SEG) > 0)
+        (F.col("_cu_pre") - F.least(
+            F.lit(0.0), F.min(F.col("_cu_pre") + F.col("_cu_low")).over(before))
+         ).alias("_cu_in")).filter(F.col(_SEG) > 0)
     joined = _join_carry(local, carry, keys)
-    start = F.coalesce(F.col("_in"), F.lit(0.0))
+    start = F.coalesce(F.col("_cu_in"), F.lit(0.0))
     return joined.withColumn(
-        out, F.greatest(start + F.col("_s"),
-                        F.col("_s") - F.least(F.lit(0.0), F.col("_lo")))) \
-        .drop(_SEG, "_v", "_s", "_lo", "_in")
+        out, F.greatest(start + F.col("_cu_s"),
+                        F.col("_cu_s") - F.least(F.lit(0.0), F.col("_cu_lo")))) \
+        .drop(_SEG, "_cu_v", "_cu_s", "_cu_lo", "_cu_in")
 
 
 def ewma_history(alpha: float) -> int:
@@ -252,10 +252,10 @@ def ewma(df: DataFrame, keys: Sequence[str], t: str, value: Column | str,
     k = ewma_history(alpha)
     room = int(250 / -math.log10(decay)) - k
     rows = seg_rows or max(16, min(SEG_ROWS, room))
-    lb = look_back(df.withColumn("_x", value), keys, t, k, rows)
+    lb = look_back(df.withColumn("_ew_x", value), keys, t, k, rows)
     age = F.col(t) - F.col(_SEG) * F.lit(rows)
     head = F.lit(1.0) if start_at_first else F.lit(alpha)
     weight = F.when(F.col(t) == 0, head).otherwise(F.lit(alpha))
-    grown = F.sum(weight * F.col("_x") * F.pow(F.lit(decay), -age)).over(
+    grown = F.sum(weight * F.col("_ew_x") * F.pow(F.lit(decay), -age)).over(
         lb.window(W.unboundedPreceding))
-    return lb.with_columns({out: grown * F.pow(F.lit(decay), age)}).drop("_x")
+    return lb.with_columns({out: grown * F.pow(F.lit(decay), age)}).drop("_ew_x")

@@ -7,7 +7,7 @@ is a ``TaskSpec``; its few rules become literal expressions of the plan.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -230,59 +230,19 @@ def verify(calls: DataFrame, stated: DataFrame, keys: Sequence[str], t: str, spe
 
 # ------------------------------------------------------- numeric provenance
 REACHABLE_CAP = 20_000
-
-
-def _reach(keys: list[str], t: str, multiples: Sequence[int]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Sums reachable from one episode's values, with the step they appear at."""
-        pdf = pdf.sort_values([t, "pos"])
-        reach: dict[float, int] = {0.0: -1}
-        for step, value in zip(pdf[t], pdf["value"]):
-            for k in multiples:
-                if len(reach) >= REACHABLE_CAP:
-                    break
-                comp = round(k * value, 2)
-                for s in [round(r + comp, 2) for r in reach]:
-                    reach.setdefault(s, int(step))
-                if len(reach) > REACHABLE_CAP:
-                    break
-            if len(reach) >= REACHABLE_CAP:
-                break
-        rows = [(s, st) for s, st in reach.items() if s != 0.0]
-        out = pd.DataFrame(rows, columns=["grounded", "since"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "grounded", "since"]]
-    return run
+TAX_RATES = (0.08, 0.085, 0.10)
 
 
 def grounded_figures(results: DataFrame, keys: Sequence[str], t: str = "t", nights: int = 4,
-                     taxes: Sequence[float] = (0.08, 0.085, 0.10),
-                     multiples: Sequence[int] | None = (1, 2)) -> DataFrame:
-    """Figures derivable from results, with the first step that allows them.
-
-    Single values, multiples and taxed forms are expressions.  Subset sums
-    stop growing once the reachable set is full; every non-zero value adds at
-    least one sum until then, so an episode needs at most ``REACHABLE_CAP``
-    of its values, taken by a partial top-n before the shuffle.
-    """
+                     taxes: Sequence[float] = TAX_RATES) -> DataFrame:
+    """Values, their multiples and taxed forms, with the first step that allows them."""
     keys = list(keys)
     v = F.col("value")
     base = results.select(*keys, F.col(t).alias("since"), F.explode(F.array(
-        *[F.round(v * k, 2) for k in range(1, nights + 1)])).alias("grounded"))
-    if multiples:
-        first = W.partitionBy(*keys).orderBy(t, "pos")
-        lead = results.filter(v != 0).select(*keys, F.col(t).alias(t), "pos", "value").withColumn(
-            "_rn", F.row_number().over(first)).filter(F.col("_rn") <= REACHABLE_CAP).drop("_rn")
-        schema = T.StructType([*[results.schema[k] for k in keys],
-                               T.StructField("grounded", T.DoubleType()),
-                               T.StructField("since", T.IntegerType())])
-        sums = lead.groupBy(*keys).applyInPandas(_reach(keys, t, tuple(multiples)), schema)
-        base = base.unionByName(sums.select(*base.columns))
-    base = base.groupBy(*keys, "grounded").agg(F.min("since").alias("since"))
-    taxed = base.select(*keys, "since", F.explode(F.array(F.col("grounded"), *[
-        F.round(F.col("grounded") * F.lit(1.0 + r), 2) for r in taxes])).alias("grounded"))
-    return taxed.groupBy(*keys, "grounded").agg(F.min("since").alias("since"))
+        *[F.round(v * k, 2) for k in range(1, nights + 1)])).alias("one"))
+    return base.select(*keys, "since", F.explode(F.array(F.col("one"), *[
+        F.round(F.col("one") * F.lit(1.0 + r), 2) for r in taxes])).alias("grounded")) \
+        .groupBy(*keys, "grounded").agg(F.min("since").alias("since"))
 
 
 def ungrounded(assertions: DataFrame, grounded: DataFrame, keys: Sequence[str], t: str = "t",
@@ -304,6 +264,66 @@ def ungrounded(assertions: DataFrame, grounded: DataFrame, keys: Sequence[str],
     return assertions.join(hit, [*keys, t, "value"], "left_anti")
 
 
+def _sum_check(multiples: Sequence[int], taxes: Sequence[float], tol: float):
+    """Which asserted figures are subset sums (or taxed sums) of earlier values?"""
+    def reach(steps: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums, since = np.zeros(1), np.full(1, -1)
+        for step, value in zip(steps, values):
+            for k in multiples:
+                if len(sums) >= REACHABLE_CAP:
+                    return sums, since
+                new = np.setdiff1d(np.round(sums + round(k * value, 2), 2), sums)
+                sums = np.concatenate([sums, new])
+                since = np.concatenate([since, np.full(len(new), step)])
+                if len(sums) > REACHABLE_CAP:
+                    break
+        return sums, since
+
+    @F.pandas_udf(T.ArrayType(T.BooleanType()))
+    def run(steps: pd.Series, values: pd.Series, at: pd.Series, said: pd.Series) -> pd.Series:
+        out = []
+        for st, vs, ts, fs in zip(steps, values, at, said):
+            sums, since = reach(st, vs)
+            live = sums != 0.0
+            rates = np.array([1.0, *[1.0 + r for r in taxes]])
+            g = np.concatenate([sums[live], np.round(np.outer(rates[1:], sums[live]), 2).ravel()])
+            since = np.tile(since[live], len(rates))
+            order = np.argsort(g, kind="stable")
+            g, since = g[order], since[order]
+            lo, hi = np.searchsorted(g, np.subtract(fs, tol + 1e-9)), np.searchsorted(g, np.add(fs, tol + 1e-9), "right")
+            out.append([bool(b > a and ((since[a:b] < t) & (np.abs(g[a:b] - f) <= tol)).any())
+                        for a, b, t, f in zip(lo, hi, ts, fs)])
+        return pd.Series(out)
+    return run
+
+
+def ungrounded_by_sums(assertions: DataFrame, results: DataFrame, keys: Sequence[str], t: str = "t",
+                       multiples: Sequence[int] = (1, 2), taxes: Sequence[float] = TAX_RATES,
+                       tol: float = 0.5, chunk: int = 4096) -> DataFrame:
+    """Drop the figures that are subset sums of earlier results.
+
+    The set of reachable sums is full at ``REACHABLE_CAP``; every non-zero value
+    adds at least one sum until then, so only that many values of an episode
+    can matter.  They are taken by a partial top-n before the shuffle and form
+    one bounded array; the asserted figures of a long episode come in chunks.
+    """
+    keys = list(keys)
+    first = W.partitionBy(*keys).orderBy(t, "pos")
+    lead = results.filter(F.col("value") != 0).select(*keys, t, "pos", "value").withColumn(
+        "_rn", F.row_number().over(first)).filter(F.col("_rn") <= REACHABLE_CAP)
+    vals = lead.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(t, "pos", "value"))).alias("_v"))
+    a = assertions.select(*keys, t, "value").distinct()
+    n = a.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_n"))
+    a = a.join(n, keys).withColumn("_c", F.pmod(F.xxhash64(t, "value"), F.col("_n")))
+    said = a.groupBy(*keys, "_c").agg(F.collect_list(F.struct(F.col(t).alias("at"), "value")).alias("_a"))
+    j = said.join(vals, keys).withColumn("_ok", _sum_check(multiples, taxes, tol)(
+        F.transform("_v", lambda x: x[t]), F.transform("_v", lambda x: x["value"]),
+        F.col("_a.at"), F.col("_a.value")))
+    hit = j.select(*keys, F.inline(F.arrays_zip(F.col("_a.at").alias("at"), F.col("_a.value").alias("value"),
+                                                F.col("_ok").alias("ok")))).filter("ok")
+    return assertions.join(hit.select(*keys, F.col("at").alias(t), "value").distinct(), [*keys, t, "value"], "left_anti")
+
+
 # ------------------------------------------------------------ as-of, success
 def checkpoint(calls: DataFrame, limits: DataFrame, keys: Sequence[str], t: str,
                limit: str) -> DataFrame:

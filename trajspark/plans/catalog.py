@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trajspark.plans import registry
-from trajspark.plans import numeric, evaluation, tests_of_difference, textual, verification  # noqa: F401
+from trajspark.plans import numeric, evaluation, tests_of_difference, textual, verification, fusion_queries, model_queries  # noqa: F401
 
 
 def queries():
