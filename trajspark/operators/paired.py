@@ -222,3 +222,20 @@ def contrasts(df: DataFrame, group: Sequence[str], key: Column, a: str, b: str,
         F.stddev_samp(b).alias("b_sd"), F.sum((diff > 0).cast("int")).alias("wins"))
     p = sign_flip(df, group, key, diff, n_perm, seed)
     return adjust(p.join(base, list(group)), [], "p_value", list(group))
+
+
+def leave_one_out_corr(df: DataFrame, stratum: str, x: str, y: str) -> DataFrame:
+    """Within-stratum correlation without each stratum in turn.
+
+    The sums of a stratum are subtracted from the grand sums, so the rows are
+    read once however many strata there are.
+    """
+    s = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("c"),
+                                F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    live = F.when(F.col("n") >= 2, F.col("n")).otherwise(0)
+    s = s.select(stratum, (live * F.col("c")).alias("xy"), (live * F.col("vx")).alias("xx"), (live * F.col("vy")).alias("yy"))
+    tot = s.agg(F.sum("xy").alias("_xy"), F.sum("xx").alias("_xx"), F.sum("yy").alias("_yy"))
+    j = s.crossJoin(F.broadcast(tot))
+    xx, yy = F.col("_xx") - F.col("xx"), F.col("_yy") - F.col("yy")
+    return j.select(F.col(stratum).alias("dropped"), F.when(
+        (xx > 0) & (yy > 0), (F.col("_xy") - F.col("xy")) / F.sqrt(xx * yy)).alias("r_within"))

@@ -86,8 +86,8 @@ def band(x: Column, edges: Sequence[int]) -> Column:
 def banded(rows: DataFrame, by: str, band_col: str, hit: str) -> DataFrame:
     """Rates per band, per corpus and overall, with the band's share of its corpus."""
     g = rows.groupingSets([[by, band_col], [band_col]], by, band_col).agg(
-        F.coalesce(F.col(by), F.lit("ALL")).alias("arm"), F.col(band_col).alias("band"),
-        F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("rate"))
+        F.count(F.lit(1)).alias("n"), F.avg(F.col(hit).cast("double")).alias("rate")).select(
+        F.coalesce(F.col(by), F.lit("ALL")).alias("arm"), F.col(band_col).alias("band"), "n", "rate")
     w = W.partitionBy("arm")
     return g.select("arm", "band", "n", "rate", (F.col("n") / F.sum("n").over(w)).alias("share"))
 
