@@ -1,7 +1,6 @@
 """Causal per-step scoring of live trajectories, keyed by episode.
 
-A stream row is one step.  State per open episode is a handful of numbers; it
-is dropped when no step arrived for ``idle`` of event or processing time.
+A stream row is one step.  State per open episode is a handful of numbers.
 """
 
 from __future__ import annotations
@@ -25,9 +24,11 @@ def output_schema(df: DataFrame, keys: Sequence[str], t: str) -> T.StructType:
 
 
 def stateful_scores(steps: DataFrame, keys: Sequence[str], t: str, z: str, alpha: float = 0.3,
-                    slack: float = 0.5, idle_ms: int = 3_600_000) -> DataFrame:
+                    slack: float = 0.5, idle_ms: int | None = None) -> DataFrame:
     """delta, EWMA of |z| (first-value start), CUSUM of z and its running peak.
 
+    ``idle_ms`` drops the state of a silent episode.  Such a query never runs
+    dry, so it is for continuous triggers, not for "process what is there".
     Steps of one micro-batch are put in order before they are applied, so the
     values equal those of the batch operators on the same rows.
     """
@@ -48,7 +49,8 @@ def stateful_scores(steps: DataFrame, keys: Sequence[str], t: str, z: str, alpha
             n, prev = n + 1, v
             rows.append((delta, ew, cu, peak))
         state.update((n, float(prev), float(ew), float(cu), float(peak)))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         out = pd.DataFrame(rows, columns=["delta", "ewma", "cusum", "peak"])
         out.insert(0, t, pdf[t].to_numpy())
         for i, k in enumerate(keys):
@@ -57,7 +59,8 @@ def stateful_scores(steps: DataFrame, keys: Sequence[str], t: str, z: str, alpha
 
     slim = steps.select(*keys, t, z)
     return slim.groupBy(*keys).applyInPandasWithState(
-        run, output_schema(slim, keys, t), _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        run, output_schema(slim, keys, t), _STATE, "append",
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def alarms(scored: DataFrame, score: str, theta: float, unit: float | None = None) -> DataFrame:
