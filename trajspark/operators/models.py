@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark import schema
+from trajspark.functions.hashing import uniform
 from trajspark.operators import fit, ordered, ranks
 
 # ---- fixed values -----------------------------------------------------------
@@ -503,15 +504,20 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
 
 
 def fit_forest(df: DataFrame, draw: Column, vec: str, trees: int = 100, seed: int = 0) -> list[np.ndarray]:
-    """Trees on disjoint random samples of 256 rows.
+    """Trees on random samples of 256 rows.
 
-    ``draw`` is a uniform draw per row.  The rows with the smallest draws
-    (trees x 256 of them, one partial top-n) are dealt out to the trees.
+    ``draw`` is a uniform draw per row.  With enough rows the samples are
+    disjoint: the rows with the smallest draws (trees x 256 of them, one
+    partial top-n) are dealt out to the trees.  A smaller input, bounded by
+    that same number, is drawn anew for every tree.
     """
     top = df.select(draw.alias("_u"), vec).orderBy("_u").limit(trees * SAMPLE)
-    n = top.count()
-    use = max(1, min(trees, n // SAMPLE or 1))
-    ranked = ranks.hash_order(top, [], "_u", "_r").select((F.col("_r") % use).cast("int").alias("tree"), vec)
+    if top.count() >= trees * SAMPLE:
+        ranked = ranks.hash_order(top, [], "_u", "_r").select((F.col("_r") % trees).cast("int").alias("tree"), vec)
+    else:
+        each = top.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
+            "_d", uniform(seed, F.col("tree"), F.col("_u")))
+        ranked = ranks.hash_order(each, ["tree"], "_d", "_r").filter(F.col("_r") < SAMPLE).select("tree", vec)
     out = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
                         *[T.StructField(c, T.DoubleType()) for c in ("dim", "cut", "left", "right", "size")]])
 

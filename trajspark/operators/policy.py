@@ -105,9 +105,9 @@ def escalate_on_alarm(steps: DataFrame, keys: Sequence[str], t: str, trigger: Co
         return F.struct(F.when(done, acc["s"]).otherwise(o["s"]).alias("s"),
                         F.when(done, acc["c"]).otherwise(acc["c"] + o["c"]).cast("long").alias("c"),
                         F.when(done, acc["h"]).otherwise(o["h"]).alias("h"))
-    end = chained.select(*keys, F.aggregate("_segs", init, chain).alias("e"))
-    return end.select(*keys, F.when(F.col("e.h") >= 0, F.col("e.h")).alias("halted_at"),
-                      F.col("e.c").alias("calls"))
+    end = chained.select(*keys, F.aggregate("_segs", init, chain).alias("_end"))
+    return end.select(*keys, F.when(F.col("_end.h") >= 0, F.col("_end.h")).alias("halted_at"),
+                      F.col("_end.c").alias("calls"))
 
 
 def outcomes(halts: DataFrame, episodes: DataFrame, keys: Sequence[str],
