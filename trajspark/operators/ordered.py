@@ -198,38 +198,39 @@ def anchor(df: DataFrame, keys: Sequence[str], t: str,
     return df.join(first, keys, "inner")
 
 
-def cusum(df: DataFrame, keys: Sequence[str], t: str, value: Column | str,
-          out: str, slack: float = 0.0, seg_rows: int = SEG_ROWS) -> DataFrame:
-    """One-sided CUSUM ``c = max(0, c + value - slack)``.
+def cusums(df: DataFrame, keys: Sequence[str], t: str, values: dict[str, Column],
+           slack: float = 0.0, seg_rows: int = SEG_ROWS) -> DataFrame:
+    """One-sided CUSUMs ``c = max(0, c + value - slack)``, all in one shuffle.
 
     Inside a segment c = S - min(0, min S) with S the running sum; a segment
     hands on its sum and its lowest point, which is all the next one needs.
     """
     keys = list(keys)
-    value = F.col(value) if isinstance(value, str) else value
-    base = segmented(df.withColumn("_cu_v", value - F.lit(float(slack))), keys, t,
-                     seg_rows)
-    order = W.partitionBy(*keys, _SEG).orderBy(t).rowsBetween(
-        W.unboundedPreceding, 0)
-    local = base.withColumn("_cu_s", F.sum("_cu_v").over(order))
-    local = local.withColumn("_cu_lo", F.min("_cu_s").over(order))
-    parts = local.groupBy(*keys, _SEG).agg(
-        F.max_by("_cu_s", t).alias("_cu_sum"), F.min("_cu_s").alias("_cu_low"))
-    before = W.partitionBy(*keys).orderBy(_SEG).rowsBetween(
-        W.unboundedPreceding, -1)
-    parts = parts.withColumn(
-        "_cu_pre", F.coalesce(F.sum("_cu_sum").over(before), F.lit(0.0)))
-    carry = parts.select(
-        *keys, _SEG,
-        (F.col("_cu_pre") - F.least(
-            F.lit(0.0), F.min(F.col("_cu_pre") + F.col("_cu_low")).over(before))
-         ).alias("_cu_in")).filter(F.col(_SEG) > 0)
+    base = segmented(df.withColumns({f"_cu_v_{o}": v - F.lit(float(slack)) for o, v in values.items()}),
+                     keys, t, seg_rows)
+    order = W.partitionBy(*keys, _SEG).orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    local = base.withColumns({f"_cu_s_{o}": F.sum(f"_cu_v_{o}").over(order) for o in values})
+    local = local.withColumns({f"_cu_lo_{o}": F.min(f"_cu_s_{o}").over(order) for o in values})
+    parts = local.groupBy(*keys, _SEG).agg(*[x for o in values for x in (
+        F.max_by(f"_cu_s_{o}", t).alias(f"_cu_sum_{o}"), F.min(f"_cu_s_{o}").alias(f"_cu_low_{o}"))])
+    before = W.partitionBy(*keys).orderBy(_SEG).rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumns({
+        f"_cu_pre_{o}": F.coalesce(F.sum(f"_cu_sum_{o}").over(before), F.lit(0.0)) for o in values})
+    carry = parts.select(*keys, _SEG, *[
+        (F.col(f"_cu_pre_{o}") - F.least(F.lit(0.0), F.min(
+            F.col(f"_cu_pre_{o}") + F.col(f"_cu_low_{o}")).over(before))).alias(f"_cu_in_{o}")
+        for o in values]).filter(F.col(_SEG) > 0)
     joined = _join_carry(local, carry, keys)
-    start = F.coalesce(F.col("_cu_in"), F.lit(0.0))
-    return joined.withColumn(
-        out, F.greatest(start + F.col("_cu_s"),
-                        F.col("_cu_s") - F.least(F.lit(0.0), F.col("_cu_lo")))) \
-        .drop(_SEG, "_cu_v", "_cu_s", "_cu_lo", "_cu_in")
+    drop = [f"_cu_{n}_{o}" for o in values for n in ("v", "s", "lo", "in")]
+    return joined.withColumns({o: F.greatest(
+        F.coalesce(F.col(f"_cu_in_{o}"), F.lit(0.0)) + F.col(f"_cu_s_{o}"),
+        F.col(f"_cu_s_{o}") - F.least(F.lit(0.0), F.col(f"_cu_lo_{o}"))) for o in values}).drop(_SEG, *drop)
+
+
+def cusum(df: DataFrame, keys: Sequence[str], t: str, value: Column | str,
+          out: str, slack: float = 0.0, seg_rows: int = SEG_ROWS) -> DataFrame:
+    """One CUSUM, see ``cusums``."""
+    return cusums(df, keys, t, {out: F.col(value) if isinstance(value, str) else value}, slack, seg_rows)
 
 
 def ewma_history(alpha: float) -> int:
