@@ -209,3 +209,25 @@ def calibrate_deployments(maxima: DataFrame, by: Sequence[str], key: str, score:
         *by, "n_healthy", "n_val", bad.alias("refused"),
         (F.col("n_healthy") < RECOMMENDED_HEALTHY).alias("warn"),
         F.when(bad.isNull(), F.col("theta")).alias("theta"))
+
+
+def scaling_curve(calibration: DataFrame, test: DataFrame, by: Sequence[str], key: str, score: str,
+                  sizes: Sequence[int], repeats: int, budget: float, seed: str) -> DataFrame:
+    """Realised false-alarm rate by number of calibration runs, over repeats.
+
+    Only peaks (one row per run) are repeated.  The test side is a histogram
+    of the peaks per group, met by the few thresholds of that group.
+    """
+    from trajspark.functions.hashing import uniform
+    by = list(by)
+    reps = calibration.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn(
+        "_u", uniform(seed, F.col("rep"), F.col(key)))
+    r = ranks.hash_order(reps, [*by, "rep"], "_u", "_r")
+    pick = r.withColumn("n_runs", F.explode(F.filter(
+        F.array(*[F.lit(n) for n in sizes]), lambda n: F.col("_r") < n)))
+    th = pick_threshold(pick, [*by, "rep", "n_runs"], score, budget).select(*by, "rep", "n_runs", "theta")
+    h = test.groupBy(*by, F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    over = F.when(F.col("_s") > F.col("theta"), F.col("_n")).otherwise(0)
+    j = h.join(F.broadcast(th), by).groupBy(*by, "rep", "n_runs").agg(
+        (F.sum(over) / F.sum("_n")).alias("_fa"))
+    return j.groupBy(*by, "n_runs").agg(F.avg("_fa").alias("mean_fa"), F.stddev_samp("_fa").alias("sd_fa"))

@@ -58,3 +58,20 @@ def _(spark, d):
     s = s.select("value", "g", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.5, 2.0)])).alias("std"))
     v = F.col("value") + F.col("std") * F.col("g")
     return s.groupBy("std").agg(R(F.avg(F.abs(v - F.col("value")))).alias("mean_shift"), R(F.stddev_pop(v)).alias("spread"))
+
+
+@query("scaling_curve", sql("""
+, c AS (SELECT monitor, rep, max_score, row_number() OVER (PARTITION BY monitor, rep ORDER BY
+    ('0x' || substr(sha256('curve:' || rep || ':' || user_id), 1, 13))::BIGINT) - 1 AS r FROM maxima, range(5) t(rep) WHERE split = 'train'),
+p AS (SELECT monitor, rep, n_runs, max_score, row_number() OVER (PARTITION BY monitor, rep, n_runs ORDER BY max_score) - 1 AS i,
+   count(*) OVER (PARTITION BY monitor, rep, n_runs) AS n FROM c, (VALUES (5), (10), (20), (40)) s(n_runs) WHERE r < n_runs),
+th AS (SELECT monitor, rep, n_runs, max_score AS theta FROM p WHERE i = ceil((1 - 0.1) * (n - 1))),
+f AS (SELECT th.monitor, rep, n_runs, avg((max_score > theta)::INTEGER) AS fa FROM th JOIN maxima m ON m.monitor = th.monitor
+   WHERE split = 'test' AND is_healthy GROUP BY ALL)
+SELECT monitor, n_runs, round(avg(fa), 6) AS mean_fa, round(stddev_samp(fa), 6) AS sd_fa FROM f GROUP BY monitor, n_runs""", "maxima").replace("\n\n,", ",", 1))
+def _(spark, d):
+    from trajspark.operators import alarms
+    m = base.maxima(spark, d)
+    c = alarms.scaling_curve(m.filter("split = 'train'"), m.filter("split = 'test' AND is_healthy"), ["monitor"], "user_id",
+                             "max_score", (5, 10, 20, 40), 5, 0.1, "curve")
+    return c.select("monitor", "n_runs", R("mean_fa").alias("mean_fa"), R("sd_fa").alias("sd_fa"))
