@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,12 +15,17 @@ _DONE: dict[tuple[str, str, str], str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach (``spark.checkpoint.dir``).
 
-    Only an unset value, as in a plain local test session, gets a local one.
+    Unset, a plain ``local[...]`` session, as in tests, gets a folder of its own,
+    removed when the session's process ends; a cluster is refused, as its
+    executors would each write to their own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
