@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajspark.llm import content_sort
+from trajspark.llm import content_sort, decision_list
 from trajspark.llm.common import query, table
 
 
@@ -15,3 +15,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM n""")
 def op9(spark, d):
     return content_sort.exact_dedup(table(spark, d, "documents"), keep="max")
+
+
+@query("op3_quality_rules")
+def op3(spark, d):
+    docs = table(spark, d, "documents")
+    return decision_list.judged(docs, decision_list.learn(docs, table(spark, d, "labels")))
