@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajspark.llm import common, corpus_queries, token_queries  # noqa: F401
+from trajspark.llm import common, corpus_queries, page_queries, token_queries  # noqa: F401
 
 
 def queries():

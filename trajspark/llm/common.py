@@ -97,6 +97,6 @@ def commit_file(system: fs.FileSystem, path: str, attempt: int, fill: Callable)
     """Write under an attempt's own name, then move: readers never see half a file,
     and a repeated task puts the same bytes in the same place."""
     own = f"{path}.attempt-{attempt}-{uuid.uuid4().hex[:8]}"
-    with system.open_output_stream(own) as out:
+    with system.open_output_stream(own, compression=None) as out:
         fill(out)
     system.move(own, path)
