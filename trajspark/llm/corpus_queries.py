@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajspark.llm import content_sort, decision_list
+from trajspark.llm import chosen_path, content_sort, decision_list
 from trajspark.llm.common import query, table
 
 
@@ -21,3 +21,8 @@ def op9(spark, d):
 def op3(spark, d):
     docs = table(spark, d, "documents")
     return decision_list.judged(docs, decision_list.learn(docs, table(spark, d, "labels")))
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark, d):
+    return chosen_path.similar(table(spark, d, "documents"))
