@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trajspark.llm import warc
+from trajspark.llm import warc, wrapper_text
 from trajspark.llm.common import new_folder, query, table
 
 
@@ -19,3 +19,8 @@ def op1(spark, d):
     names = warc.write_archives(table(spark, d, "pages"), folder)
     return warc.read_archives(spark, folder, names).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+@query("op4_main_text")
+def op4(spark, d):
+    return wrapper_text.extract(table(spark, d, "pages"))
