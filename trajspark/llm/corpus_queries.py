@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from trajspark.llm import chosen_path, content_sort, decision_list
+from pyspark.sql import functions as F
+
+from trajspark.llm import chosen_path, content_sort, decision_list, line_align
 from trajspark.llm.common import query, table
 
 
@@ -26,3 +28,10 @@ def op3(spark, d):
 @query("op5_ngram_jaccard_join")
 def op5(spark, d):
     return chosen_path.similar(table(spark, d, "documents"))
+
+
+@query("op2_line_dedup")
+def op2(spark, d):
+    return line_align.drop_repeated_lines(table(spark, d, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", "copy_of", F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("text_sha256"))
