@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from trajspark.llm import common, corpus_queries, page_queries, token_queries  # noqa: F401
 
 
 def queries():
-    return dict(common.QUERIES)
+    return common.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def sql():
-    return dict(common.SQL)
+    return common.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
