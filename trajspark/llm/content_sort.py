@@ -40,8 +40,9 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: bool,
     cols = [F.col(f"`{id_col}`").cast("long").alias("i"), text.alias("t")]
     if carry:
         cols.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    key = (F.substring(norm, 1, HEAD), F.col("h"))
-    out = docs.select(*cols).withColumn("h", F.xxhash64(norm))
+    # splitters and their samples need no whole normalised text: equal texts have equal heads and equal hashes
+    key = (F.translate(F.substring("t", 1, HEAD), UPPER, LOWER), F.col("h"))
+    out = docs.select(*cols).withColumn("h", F.xxhash64(F.lower("t")))
     n = partitions or shuffle_partitions(docs.sparkSession)
     return out.repartitionByRange(n, *key, rank).sortWithinPartitions(*key, norm, rank)
 
