@@ -10,7 +10,8 @@ model a path may only join pieces that the merge order leaves apart: a left and
 right piece stay apart if, at no moment at which an end of the one and a
 beginning of the other stand side by side, a merge of these two comes before the
 merges that use them up.  Exactly one path has only such joints: the merges' own.
-Ids therefore equal the library's for both kinds of model (tests compare them).
+Ids equal the library's for BPE models and its best path for unigram models
+(tests compare them).
 """
 
 from __future__ import annotations
