@@ -111,9 +111,39 @@ def test_exact_tails():
     assert len(hits) == 16 and abs(stats.chi2_sf(3.841458820694124, 1) - 0.05) < 1e-9
 
 
-def test_selection_undecided(spark):
-    spec = TaskSpec(line_items=(LineItem("p", 1, 10),), max_selection_candidates=1000)
-    rows = [("e", "p", float(i)) for i in range(40)]
+def test_selection_of_many_prices(spark):
+    """Ten of forty prices: 847,660,528 selections, all within reach of one pass."""
+    spec = TaskSpec(line_items=(LineItem("p", 1, 10),), tolerance=1e-6, tolerance_floor=0.001)
+    rows = [(e, "p", float(i)) for e in "abc" for i in range(40)]
     priced = spark.createDataFrame(rows, "e string, name string, price double")
-    st = spark.createDataFrame([("e", 55.0)], "e string, stated double")
-    assert verify.selection(priced, st, ["e"], spec).first().selection == "undecided"
+    st = spark.createDataFrame([("a", 55.0), ("b", 44.0), ("c", 345.5)], "e string, stated double")
+    got = {r.e: r.selection for r in verify.selection(priced, st, ["e"], spec).collect()}
+    assert got == {"a": "matches", "b": "mismatch", "c": "mismatch"}  # the smallest sum is 45
+
+
+def test_selection_brute_force(spark):
+    spec = TaskSpec(line_items=(LineItem("a", 2, 2), LineItem("b", 1)), tolerance=0.0, tolerance_floor=0.004)
+    rng, rows, said, want = np.random.default_rng(4), [], [], {}
+    for e in range(40):
+        ps = [round(float(x), 2) for x in rng.uniform(1, 9, 5)] + [3.33, 3.33]
+        b = [1.25, 2.5]
+        rows += [(e, "a", p) for p in ps] + [(e, "b", p) for p in b]
+        sums = {round(2 * sum(c) + sum(b), 2) for c in itertools.combinations(ps, 2)}
+        v = float(rng.choice(sorted(sums))) if e % 2 else round(float(rng.uniform(5, 40)), 2)
+        said.append((e, v))
+        want[e] = "matches" if any(abs(v - x) < 0.004 for x in sums) else "mismatch"
+    got = verify.selection(spark.createDataFrame(rows, "e int, name string, price double"),
+                           spark.createDataFrame(said, "e int, stated double"), ["e"], spec).collect()
+    assert {r.e: r.selection for r in got} == want and set(want.values()) == {"matches", "mismatch"}
+
+
+def test_sums_of_a_long_episode(spark):
+    """More sums than the old limit of 20,000, with a figure that only the last values reach."""
+    rng = np.random.default_rng(8)
+    vals = [round(float(x), 2) for x in rng.uniform(100, 999, 40)]
+    r = spark.createDataFrame([(0, t, 0, v) for t, v in enumerate(vals)] + [(1, 0, 0, 500.0), (1, 1, 0, -120.25)],
+                              "e int, t int, pos int, value double")
+    a = spark.createDataFrame([(0, 40, round(sum(vals), 2)), (0, 39, round(4 * sum(vals), 2)), (0, 40, 0.9), (1, 2, 379.75), (1, 1, 379.75)],
+                              "e int, t int, value double")
+    left = {(x.e, x.t, x.value) for x in verify.ungrounded_by_sums(a, r, ["e"]).collect()}
+    assert left == {(0, 39, round(4 * sum(vals), 2)), (0, 40, 0.9), (1, 1, 379.75)}

@@ -6,14 +6,12 @@ is a ``TaskSpec``; its few rules become literal expressions of the plan.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +28,7 @@ class LineItem:
 
 @dataclass(frozen=True)
 class TaskSpec:
-    """What a complete and rightly totalled run of one task looks like."""
+    """What a complete and rightly totalled run of one task looks like (tolerances: fixed values)."""
 
     line_items: tuple[LineItem, ...] = ()
     required_tools: tuple[str, ...] = ()
@@ -40,7 +38,6 @@ class TaskSpec:
     tolerance: float = 0.01
     tolerance_floor: float = 0.5
     tolerance_pivot: float = 1.0
-    max_selection_candidates: int = 100_000
     currency: str = "$"
 
 
@@ -117,72 +114,103 @@ def priced_calls(calls: DataFrame, keys: Sequence[str], t: str, spec: TaskSpec)
         .filter("price IS NOT NULL")
 
 
-def _selection_sums(spec: TaskSpec):
-    """Per episode: can the stated total be built from the observed prices?"""
-    items = sorted(spec.line_items, key=lambda li: li.tool)
-    cap = spec.max_selection_candidates
+def _cents(v: Column) -> Column:
+    return F.round(v * 100).cast("long")
+
+
+class Sums:
+    """Sets of reachable whole-cent amounts from ``low`` to ``high``.
+
+    Few amounts are a Python set, many the bits of one integer; both are exact.
+    """
 
-    def decide(said: float, prices: dict[str, np.ndarray]) -> bool | None:
-        sums = {0.0}
-        for li in items:
-            ps = prices.get(li.tool)
-            if ps is None or not len(ps):
+    def __init__(self, low: int, high: int):
+        self.low, self.high, self.mask = low, high, None
+        self.turn = max(4096, (high - low) // 512)
+
+    def grown(self, old, more, by: int):
+        """``old`` with every amount of ``more`` raised by ``by``, as far as it stays in range."""
+        if isinstance(more, set):
+            lifted = {v + by for v in more if self.low <= v + by <= self.high}
+            if isinstance(old, set):
+                both = old | lifted
+                return both if len(both) <= self.turn else self.bits(both)
+            return old | self.bits(lifted)
+        if self.mask is None:
+            self.mask = (1 << self.high - self.low + 1) - 1
+        lifted = (more << by if by >= 0 else more >> -by) & self.mask
+        return lifted | (self.bits(old) if isinstance(old, set) else old)
+
+    def bits(self, amounts: set[int]) -> int:
+        raw = bytearray((self.high - self.low) // 8 + 1)
+        for v in amounts:
+            raw[v - self.low >> 3] |= 1 << (v - self.low & 7)
+        return int.from_bytes(raw, "little")
+
+    def between(self, sums, low: int, high: int) -> list[int]:
+        """Amounts of ``sums`` from ``low`` to ``high``."""
+        low, high = max(low, self.low), min(high, self.high)
+        if isinstance(sums, set):
+            return [v for v in sums if low <= v <= high] if len(sums) < high - low else [v for v in range(low, high + 1) if v in sums]
+        part = sums >> low - self.low & (1 << max(0, high - low + 1)) - 1 if high >= low else 0
+        return [low + k for k in range(part.bit_length()) if part >> k & 1]
+
+
+def _selection_check(spec: TaskSpec):
+    """Per episode: can the stated total be made from the observed prices?"""
+    tools = {li.tool: li for li in spec.line_items}
+
+    def tolerance(v: float) -> float:
+        return max(spec.tolerance * max(abs(v), spec.tolerance_pivot), spec.tolerance_floor)
+
+    def reachable(said: float, most: int, prices: dict[str, tuple[int, int, list]]) -> bool:
+        paid = sum(tools[t].multiplier * total for t, (_, total, _) in prices.items())
+        room = Sums(0, min(most, paid))
+        sums = {0}
+        for tool, (n, total, amounts) in prices.items():
+            li = tools[tool]
+            if li.required_calls is None or li.required_calls >= n:
+                sums = room.grown(set(), sums, li.multiplier * total)
                 continue
-            if li.required_calls is None or li.required_calls >= len(ps):
-                options = {li.multiplier * float(np.sum(ps))}
-            else:
-                options = {li.multiplier * float(sum(c))
-                           for c in combinations(sorted(map(float, ps)), li.required_calls)}
-            sums = {a + b for a in sums for b in options}
-            if len(sums) > cap:
-                return None
-        v = np.fromiter(sums, float)
-        tol = np.maximum(spec.tolerance * np.maximum(np.abs(v), spec.tolerance_pivot), spec.tolerance_floor)
-        return bool((np.abs(said - v) <= tol).any())
+            chosen = [sums, *(set() for _ in range(li.required_calls))]
+            for cents, times in amounts:
+                for _ in range(min(times, li.required_calls)):
+                    for k in range(li.required_calls, 0, -1):
+                        chosen[k] = room.grown(chosen[k], chosen[k - 1], li.multiplier * cents)
+            sums = chosen[-1]
+        reach = 100 * max(tolerance(said), tolerance(most / 100)) + 1
+        near = room.between(sums, int(100 * said - reach), int(100 * said + reach) + 1)
+        return any(abs(said - v / 100) <= tolerance(v / 100) for v in near)
 
     @F.pandas_udf(T.BooleanType())
-    def run(said: pd.Series, names: pd.Series, prices: pd.Series) -> pd.Series:
-        out = []
-        for s, ns, ps in zip(said, names, prices):
-            out.append(decide(s, dict(zip(ns, ps))))
-        return pd.Series(out, dtype="object")
+    def run(said: pd.Series, most: pd.Series, tools_: pd.Series) -> pd.Series:
+        return pd.Series([reachable(s, m, {r["name"]: (r["n"], r["s"], [(x["cents"], x["times"]) for x in r["amounts"]])
+                                           for r in rows}) for s, m, rows in zip(said, most, tools_)], dtype=bool)
     return run
 
 
 def selection(priced: DataFrame, stated: DataFrame, keys: Sequence[str], spec: TaskSpec) -> DataFrame:
-    """matches / mismatch / undecided per episode with a stated total.
+    """matches / mismatch per episode with a stated total, over every selection of n of m prices.
 
-    A tool needing n of m prices is enumerated only while C(m, n) stays under
-    the cap, so at most ``cap`` prices of one tool are ever brought together;
-    a tool using all its prices needs their sum only.
+    Amounts are whole cents; reachable totals are kept up to the largest that can
+    still reconcile with the stated one (prices are not negative, so nothing above
+    it comes back).  Equal prices of a tool travel as one amount and a count.
     """
+    if spec.tolerance >= 1:
+        raise ValueError("a tolerance of 100% reconciles every total")
     keys = list(keys)
-    need = {li.tool: li.required_calls for li in spec.line_items}
-    cap = spec.max_selection_candidates
-    n = F.col("_n")
-    fits = F.lit(True)
-    for tool, k in need.items():
-        if k is not None:
-            most = next((m for m in range(k + 1, cap + 2) if math.comb(m, k) > cap), cap + 2) - 1
-            fits = fits & ~((F.col("name") == tool) & (n > k) & (n > most))
-    take = F.lit(False)
-    for tool, k in need.items():
-        if k is not None:
-            take = take | ((F.col("name") == tool) & (n > k))
-    per = priced.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("_n"), F.sum("price").alias("_s"))
-    per = per.withColumns({"_fits": fits, "_take": take})
-    lists = priced.join(per.filter("_fits AND _take").select(*keys, "name"), [*keys, "name"], "left_semi") \
-        .groupBy(*keys, "name").agg(F.collect_list("price").alias("_ps"))
-    per = per.join(lists, [*keys, "name"], "left").withColumn(
-        "_ps", F.coalesce("_ps", F.array(F.col("_s"))))
-    ep = per.groupBy(*keys).agg(
-        F.bool_and("_fits").alias("_fits"), F.collect_list("name").alias("_names"),
-        F.collect_list("_ps").alias("_prices"))
-    j = ep.join(stated, keys)
-    ok = _selection_sums(spec)("stated", "_names", "_prices")
-    return j.withColumn("_ok", F.when(F.col("_fits"), ok)).select(
-        *keys, "stated", F.when(F.col("_ok").isNull(), "undecided")
-        .when(F.col("_ok"), "matches").otherwise("mismatch").alias("selection"))
+    s = F.col("stated")
+    most = _cents(F.greatest(s / (1 - spec.tolerance), s + spec.tolerance_floor, s + spec.tolerance * spec.tolerance_pivot)) + 1
+    st = stated.select(*keys, "stated", F.greatest(most, F.lit(0)).alias("_most"))
+    amounts = priced.withColumn("cents", _cents(F.col("price"))).groupBy(*keys, "name", "cents").agg(
+        F.count(F.lit(1)).alias("times"))
+    usable = F.when(F.col("cents") <= F.col("_most"), F.struct("cents", "times"))
+    per = amounts.join(st, keys).groupBy(*keys, "stated", "_most", "name").agg(
+        F.sum("times").alias("n"), F.sum(F.col("cents") * F.col("times")).alias("s"),
+        F.collect_list(usable).alias("amounts"))
+    ep = per.groupBy(*keys, "stated", "_most").agg(F.collect_list(F.struct("name", "n", "s", "amounts")).alias("_tools"))
+    ok = _selection_check(spec)("stated", "_most", "_tools")
+    return ep.select(*keys, "stated", F.when(ok, "matches").otherwise("mismatch").alias("selection"))
 
 
 def total_consistency(calls: DataFrame, stated: DataFrame, keys: Sequence[str], t: str,
@@ -203,8 +231,7 @@ def total_consistency(calls: DataFrame, stated: DataFrame, keys: Sequence[str],
     if select and any(li.required_calls is not None for li in spec.line_items):
         sel = selection(priced, stated.filter("stated IS NOT NULL"), keys, spec).drop("stated")
         j = j.join(sel, keys, "left")
-        decided = F.when(F.col("selection") == "matches", "ok") \
-            .when(F.col("selection") == "undecided", "unverifiable").otherwise("mismatch")
+        decided = F.when(F.col("selection") == "matches", "ok").otherwise("mismatch")
     else:
         decided = F.when(near, "ok").otherwise("mismatch")
     return j.select(*keys, "recomputed", "stated", F.when(F.col("recomputed").isNull(), "unverifiable")
@@ -229,7 +256,6 @@ def verify(calls: DataFrame, stated: DataFrame, keys: Sequence[str], t: str, spe
 
 
 # ------------------------------------------------------- numeric provenance
-REACHABLE_CAP = 20_000
 TAX_RATES = (0.08, 0.085, 0.10)
 
 
@@ -266,34 +292,33 @@ def ungrounded(assertions: DataFrame, grounded: DataFrame, keys: Sequence[str],
 
 def _sum_check(multiples: Sequence[int], taxes: Sequence[float], tol: float):
     """Which asserted figures are subset sums (or taxed sums) of earlier values?"""
-    def reach(steps: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sums, since = np.zeros(1), np.full(1, -1)
-        for step, value in zip(steps, values):
-            for k in multiples:
-                if len(sums) >= REACHABLE_CAP:
-                    return sums, since
-                new = np.setdiff1d(np.round(sums + round(k * value, 2), 2), sums)
-                sums = np.concatenate([sums, new])
-                since = np.concatenate([since, np.full(len(new), step)])
-                if len(sums) > REACHABLE_CAP:
+    rates = (0.0, *taxes)
+
+    def taxed(v: int, rate: float) -> float:
+        return float(np.round(v / 100 * (1.0 + rate), 2)) if rate else v / 100
+
+    def grounded(steps, values, at, said) -> list[bool]:
+        amounts = np.round(np.asarray(values, float) * 100).astype(np.int64).tolist()
+        lift = sum(multiples)
+        below, above = (lift * sum(abs(v) for v in amounts if (v < 0) == neg) for neg in (True, False))
+        most = max((abs(f) for f in said), default=0.0) + tol
+        room = Sums(-below, min(above, int(100 * most) + 2 + below))
+        out, sums, used = [False] * len(said), {0}, 0
+        for k in np.argsort(at, kind="stable").tolist():
+            while used < len(steps) and steps[used] < at[k]:
+                for m in multiples:
+                    sums = room.grown(sums, sums, m * amounts[used])
+                used += 1
+            for rate in rates:
+                near = room.between(sums, int(100 * (said[k] - tol) / (1.0 + rate)) - 3, int(100 * (said[k] + tol) / (1.0 + rate)) + 3)
+                if any(v and abs(taxed(v, rate) - said[k]) <= tol for v in near):
+                    out[k] = True
                     break
-        return sums, since
+        return out
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def run(steps: pd.Series, values: pd.Series, at: pd.Series, said: pd.Series) -> pd.Series:
-        out = []
-        for st, vs, ts, fs in zip(steps, values, at, said):
-            sums, since = reach(st, vs)
-            live = sums != 0.0
-            rates = np.array([1.0, *[1.0 + r for r in taxes]])
-            g = np.concatenate([sums[live], np.round(np.outer(rates[1:], sums[live]), 2).ravel()])
-            since = np.tile(since[live], len(rates))
-            order = np.argsort(g, kind="stable")
-            g, since = g[order], since[order]
-            lo, hi = np.searchsorted(g, np.subtract(fs, tol + 1e-9)), np.searchsorted(g, np.add(fs, tol + 1e-9), "right")
-            out.append([bool(b > a and ((since[a:b] < t) & (np.abs(g[a:b] - f) <= tol)).any())
-                        for a, b, t, f in zip(lo, hi, ts, fs)])
-        return pd.Series(out)
+        return pd.Series([grounded(*row) for row in zip(steps, values, at, said)])
     return run
 
 
@@ -302,16 +327,14 @@ def ungrounded_by_sums(assertions: DataFrame, results: DataFrame, keys: Sequence
                        tol: float = 0.5, chunk: int = 4096) -> DataFrame:
     """Drop the figures that are subset sums of earlier results.
 
-    The set of reachable sums is full at ``REACHABLE_CAP``; every non-zero value
-    adds at least one sum until then, so only that many values of an episode
-    can matter.  They are taken by a partial top-n before the shuffle and form
-    one bounded array; the asserted figures of a long episode come in chunks.
+    Sums are whole cents and exact: amounts that no later value can bring back
+    to the largest asserted figure of the chunk are left out, nothing else.  An
+    episode's values meet in one task (eight bytes each); its asserted figures
+    come in chunks.
     """
     keys = list(keys)
-    first = W.partitionBy(*keys).orderBy(t, "pos")
-    lead = results.filter(F.col("value") != 0).select(*keys, t, "pos", "value").withColumn(
-        "_rn", F.row_number().over(first)).filter(F.col("_rn") <= REACHABLE_CAP)
-    vals = lead.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(t, "pos", "value"))).alias("_v"))
+    vals = results.filter(F.col("value") != 0).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(t, "pos", "value"))).alias("_v"))
     a = assertions.select(*keys, t, "value").distinct()
     n = a.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_n"))
     a = a.join(n, keys).withColumn("_c", F.pmod(F.xxhash64(t, "value"), F.col("_n")))

@@ -117,22 +117,28 @@ def _(spark, d):
 @query("verify_all", sql("""
 , pr AS (SELECT user_id, name, args_key, arg_min(value, t) AS price, arg_min(result, t) AS res FROM vcalls WHERE name IN ('purchase', 'view') GROUP BY ALL),
 pp AS (SELECT * FROM pr WHERE res LIKE '$%'),
-n AS (SELECT user_id, count(*) FILTER (name = 'purchase') AS np, sum(CASE WHEN name = 'view' THEN 2 * price ELSE price END) AS rec FROM pp GROUP BY user_id),
-st AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN NULL ELSE 50000 END AS stated, rec, np FROM (SELECT DISTINCT user_id FROM vcalls) LEFT JOIN n USING (user_id)),
-v AS (SELECT user_id, CASE WHEN rec IS NULL THEN 'unverifiable' WHEN stated IS NULL THEN 'no_total' WHEN np > 18 THEN 'unverifiable' ELSE 'mismatch' END AS verdict FROM st),
+q AS (SELECT *, row_number() OVER (PARTITION BY user_id, name ORDER BY price) AS i FROM pp),
+n AS (SELECT user_id, sum(CASE WHEN name = 'view' THEN 2 * price WHEN i <= 12 THEN price ELSE 0 END) AS rec FROM q GROUP BY user_id),
+st AS (SELECT user_id, rec, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 50000 ELSE rec END AS stated FROM (SELECT DISTINCT user_id FROM vcalls) LEFT JOIN n USING (user_id)),
+v AS (SELECT user_id, CASE WHEN rec IS NULL THEN 'unverifiable' WHEN stated IS NULL THEN 'no_total' WHEN user_id % 3 = 2 THEN 'ok' ELSE 'mismatch' END AS verdict FROM st),
 f AS (SELECT user_id, 'required_coverage' AS c FROM coverage UNION ALL SELECT user_id, 'tool_contract' FROM contract
   UNION ALL SELECT user_id, 'total_consistency' FROM v WHERE verdict IN ('mismatch', 'no_total')),
 g AS (SELECT user_id, count(*) AS n_findings, string_agg(DISTINCT c, ',' ORDER BY c) AS failed_checks FROM f GROUP BY user_id)
 SELECT user_id, coalesce(n_findings, 0) > 0 AS failed, verdict <> 'unverifiable' AS checked, coalesce(n_findings, 0) AS n_findings,
   coalesce(failed_checks, '') AS failed_checks FROM v LEFT JOIN g USING (user_id)""", "coverage", "contract").replace("\n\n,", ",", 1))
 def _(spark, d):
-    """A stated 50,000 is far above every selection, so it never reconciles."""
+    """Stated: nothing, 50,000 (above every selection), or the twelve cheapest purchases and all views."""
     c = vcalls(spark, d)
     spec = TaskSpec(line_items=(LineItem("purchase", 1, 12), LineItem("view", 2)), required_tools=SPEC.required_tools,
                     required_counts=SPEC.required_counts, combining_tools=SPEC.combining_tools,
-                    result_contracts=SPEC.result_contracts, max_selection_candidates=20_000)
-    st = c.select("user_id").distinct().withColumn(
-        "stated", F.when(F.col("user_id") % 3 != 0, F.lit(50000.0)))
+                    result_contracts=SPEC.result_contracts)
+    from pyspark.sql import Window as W
+    i = F.row_number().over(W.partitionBy("user_id", "name").orderBy("price"))
+    low = verify.priced_calls(c, U, "t", spec).withColumn("i", i).groupBy("user_id").agg(F.sum(
+        F.when(F.col("name") == "view", 2 * F.col("price")).when(F.col("i") <= 12, F.col("price"))).alias("low"))
+    k = F.col("user_id") % 3
+    st = c.select("user_id").distinct().join(low, "user_id", "left").select(
+        "user_id", F.when(k == 1, F.lit(50000.0)).when(k == 2, F.col("low")).alias("stated"))
     return verify.verify(c, st, U, "t", spec)
 
 

@@ -48,7 +48,7 @@ def positional_steps(turns: DataFrame, keys: Sequence[str], turn: str, agent_rol
     res = F.when(has, F.col("_nt")).otherwise("")
     return nxt.withColumns({
         "t": F.col("owner"), "has_result": has, "result": res, "result_chars": F.length(res),
-        "is_error": has & txt.import_error(res, 60),
+        "is_error": has & txt.import_error(res),
         "action": F.when(has, "tool_call").otherwise("synthesis"),
         "output_tokens": _words(F.col(text))}).drop("_nr", "_nt", "owner")
 
