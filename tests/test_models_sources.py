@@ -42,7 +42,8 @@ def test_echo_state_against_a_plain_loop(spark):
         else:
             e = (pred - u) / m.sigma
             assert abs(raw[(0, t)] - (e * e).mean()) < 1e-9
-        h = 0.7 * h + 0.3 * np.tanh(np.einsum("krs,ks->kr", m.res.w, h) + m.res.w_in @ u)
+        units, inputs = m.res.drive[:, :8], m.res.drive[:, 8:10]
+        h = 0.7 * h + 0.3 * np.tanh(np.einsum("ksr,ks->kr", units, h) + np.einsum("i,kir->kr", u, inputs))
         z = np.concatenate([h, np.broadcast_to(u, (2, 2)), np.ones((2, 1))], axis=1)
         pred = np.einsum("kf,kfd->kd", z, m.readout)
 

@@ -82,11 +82,17 @@ def with_outcome(df: DataFrame) -> DataFrame:
 
 def evaluate(scores: DataFrame, episodes: DataFrame, thetas: DataFrame,
              by: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """One row per (by, episode) with its alarm outcome; unscored rows left out."""
+    """One row per (by, episode) with its alarm outcome; ``rejects`` gives those with a non-finite score."""
     hits = first_alarm(scores, thetas, by, keys).filter(~F.col("unscored"))
     return with_outcome(hits.drop("unscored").join(episodes, list(keys)))
 
 
+def rejects(scores: DataFrame, thetas: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(by, episode) pairs that ``evaluate`` can't judge, with the reason."""
+    return first_alarm(scores, thetas, by, keys).filter("unscored").select(
+        *dict.fromkeys([*by, *keys]), F.lit("a score is not finite").alias("reason"))
+
+
 def summarize(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     """Headline metrics per group; empty subsets give null."""
     by = list(by)

@@ -15,7 +15,7 @@ def conformal(reference: DataFrame, test: DataFrame, group: Sequence[str],
     """Confidence 1 - (1 + #{reference >= x}) / (n + 1) for every test row.
 
     Both sides meet in one cumulated histogram; no pair of rows is formed.
-    Groups without reference rows are left out.
+    Without reference rows in its group a test row has a null confidence.
     """
     group = list(group)
     both = reference.select(*group, score, F.lit(1).alias("_ref")).unionByName(
@@ -24,7 +24,7 @@ def conformal(reference: DataFrame, test: DataFrame, group: Sequence[str],
     level = h.filter(F.col("total_r") > 0).select(
         *group, score, (F.lit(1.0) - (F.lit(1.0) + F.col("before_r") + F.col("r"))
                         / (F.col("total_r") + F.lit(1.0))).alias("confidence"))
-    return test.join(level, [*group, score])
+    return test.join(level, [*group, score], "left")
 
 
 def _bin(conf: Column, n_bins: int) -> Column:

@@ -26,9 +26,10 @@ from trajspark.sources import sinks
 WASHOUT = schema.WASHOUT_STEPS
 RESERVOIR = {"K": 8, "size": 128, "radius": 0.9, "leak": 0.3, "input": 0.5, "density": 0.1,
              "ridge": 1e-2, "beta": 0.5, "alpha": 0.35, "slack": 0.5}
+#: most columns of a quadratic block that one task's matrix of sums takes
 MAX_QUADRATIC_COLUMNS = 4096
-#: steps after which a leaky reservoir has forgotten its start
-WARMUP = 1024
+#: share of a reservoir's start that may be left when a segment begins, and rows of a segment
+FORGOTTEN = 1e-12
 SEG_ROWS = 8192
 
 _GRAM = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("i", T.IntegerType()),
@@ -121,10 +122,9 @@ def standardize(df: DataFrame, healthy: DataFrame, vec: str, n_dims: int, out: s
 
 
 # ----------------------------------------------------- ordered runs inside tasks
-def clustered(df: DataFrame, keys: Sequence[str], t: str, seg_rows: int = SEG_ROWS,
-              warmup: int = WARMUP) -> DataFrame:
-    """Rows sorted by (episode, segment, t) inside tasks, with warm-up copies."""
-    lb = ordered.look_back(df, keys, t, warmup, seg_rows)
+def clustered(df: DataFrame, keys: Sequence[str], t: str, warmup: int, seg_rows: int = SEG_ROWS) -> DataFrame:
+    """Rows sorted by (episode, segment, t) inside tasks, with warm-up copies (segments are never shorter than those)."""
+    lb = ordered.look_back(df, keys, t, warmup, max(seg_rows, warmup))
     return lb.df.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", t)
 
 
@@ -150,34 +150,56 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iter
         yield [g for _, g in rest.groupby(by, sort=False)]
 
 
+def spectral_radius(w: np.ndarray, doublings: int = 14) -> float:
+    """Growth per step of the powers of ``w``, by squaring."""
+    log, m = 0.0, w
+    for i in range(doublings):
+        n = np.linalg.norm(m)
+        if n == 0.0:
+            return 0.0
+        log += np.log(n) / 2.0 ** i
+        m = (m / n) @ (m / n)
+    return float(np.exp(log))
+
+
 class Reservoirs:
-    """K leaky-tanh reservoirs with fixed random weights."""
+    """K leaky-tanh reservoirs.  A state holds the units, the input and a constant 1 side by
+    side, so one matrix drives the units and the state itself is what readouts see."""
 
     def __init__(self, n_in: int, k: int, size: int, seed: int, radius: float, leak: float,
                  scale: float, density: float) -> None:
-        rng = np.random.default_rng([seed, n_in, k, size])
-        w = rng.standard_normal((k, size, size)) * (rng.random((k, size, size)) < density)
-        top = np.abs(np.linalg.eigvals(w)).max(axis=1)
-        self.w = w * (radius / np.where(top > 0, top, 1.0))[:, None, None]
-        self.w_in = np.where(rng.random((k, size, n_in)) < 0.5, -scale, scale)
-        self.leak, self.k, self.size = leak, k, size
+        self.k, self.size, self.n_in, self.leak = k, size, n_in, leak
+        self.width = size + n_in + 1
+        self.drive = np.zeros((k, self.width, size))
+        for j, own in enumerate(self.drive):
+            rng = np.random.default_rng([seed, n_in, size, j])
+            links = rng.choice(size * size, rng.binomial(size * size, density), replace=False)
+            units = np.zeros(size * size)
+            units[links] = rng.standard_normal(len(links))
+            own[:size] = units.reshape(size, size)
+            own[:size] *= radius / (spectral_radius(own[:size]) or 1.0)
+            own[size:-1] = scale * rng.choice((-1.0, 1.0), (n_in, size))
+        keeps = 1.0 - leak * (1.0 - radius)
+        if not 0.0 <= keeps < 1.0:
+            raise ValueError("leak and radius give a reservoir that does not forget its start")
+        #: steps after which what is left of a start is below FORGOTTEN
+        self.warmup = int(np.ceil(np.log(FORGOTTEN) / np.log(max(keeps, 1e-9))))
 
     def states(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """States after each input, all runs in lockstep: [(T, K, size), ...]."""
-        n = len(runs)
-        longest = max(len(r) for r in runs)
-        h = np.zeros((self.k, n, self.size))
-        out = [np.empty((len(r), self.k, self.size)) for r in runs]
-        order = np.argsort([-len(r) for r in runs], kind="stable")
-        lens = np.array([len(runs[i]) for i in order])
-        wt, wi = self.w.transpose(0, 2, 1), self.w_in.transpose(0, 2, 1)
-        for s in range(longest):
-            m = int((lens > s).sum())
-            u = np.stack([runs[i][s] for i in order[:m]])
-            drive = h[:, :m] @ wt + u[None] @ wi
-            h[:, :m] = (1.0 - self.leak) * h[:, :m] + self.leak * np.tanh(drive)
-            for pos, i in enumerate(order[:m]):
-                out[i][s] = h[:, pos]
+        """States after each input, all runs in lockstep: [(T, K, size + inputs + 1), ...]."""
+        by_length = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
+        out = [np.empty((len(r), self.k, self.width)) for r in runs]
+        now = np.zeros((self.k, len(runs), self.width))
+        now[..., -1] = 1.0
+        live = len(runs)
+        for s in range(len(runs[by_length[0]])):
+            while len(runs[by_length[live - 1]]) <= s:
+                live -= 1
+            at = now[:, :live]
+            at[..., self.size:-1] = [runs[i][s] for i in by_length[:live]]
+            at[..., :self.size] += self.leak * (np.tanh(at @ self.drive) - at[..., :self.size])
+            for pos, i in enumerate(by_length[:live]):
+                out[i][s] = at[:, pos]
         return out
 
 
@@ -192,16 +214,10 @@ class EchoState:
     dis: tuple[float, float]
 
 
-def _features(states: np.ndarray, u: np.ndarray) -> np.ndarray:
-    t, k, _ = states.shape
-    return np.concatenate([states, np.broadcast_to(u[:, None], (t, k, u.shape[1])), np.ones((t, k, 1))], axis=2)
-
-
 def _predictions(groups: list[pd.DataFrame], vec: str, res: Reservoirs, readout: np.ndarray | None):
-    """Per run: its frame, inputs, features and (with a readout) predictions."""
+    """Per run: its frame, inputs, states and (with a readout) predictions."""
     runs = [_matrix(g[vec]) for g in groups]
-    for g, u, h in zip(groups, runs, res.states(runs)):
-        z = _features(h, u)
+    for g, u, z in zip(groups, runs, res.states(runs)):
         yield g, u, z, None if readout is None else np.einsum("tkf,kfd->tkd", z, readout)
 
 
@@ -215,7 +231,7 @@ def fit_echo_state(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: s
     keys = list(keys)
     res = Reservoirs(n_in, cfg["K"], cfg["size"], seed, cfg["radius"], cfg["leak"], cfg["input"], cfg["density"])
     f = cfg["size"] + n_in + 1
-    own = clustered(steps.join(parts.filter("part = 'fit'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t)
+    own = clustered(steps.join(parts.filter("part = 'fit'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t, res.warmup)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -235,7 +251,7 @@ def fit_echo_state(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: s
         mats[r["part"], r["i"]] = r["row"]
     readout = np.stack([np.linalg.solve(m[:, :f] + cfg["ridge"] * np.eye(f), m[:, f:]) for m in mats])
 
-    held = clustered(steps.join(parts.filter("part = 'held'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t)
+    held = clustered(steps.join(parts.filter("part = 'held'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t, res.warmup)
     mom = T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
                         T.StructField("q", T.ArrayType(T.DoubleType()))])
 
@@ -261,7 +277,7 @@ def fit_echo_state(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: s
 def echo_state_raw(steps: DataFrame, keys: Sequence[str], t: str, vec: str, model: EchoState) -> DataFrame:
     """Raw surprise and disagreement per step; null inside the washout."""
     keys = list(keys)
-    d = clustered(steps.select(*keys, t, vec), keys, t)
+    d = clustered(steps.select(*keys, t, vec), keys, t, model.res.warmup)
     out = T.StructType([*[d.schema[k] for k in keys], d.schema[t], T.StructField("sup", T.DoubleType()),
                         T.StructField("dis", T.DoubleType())])
 
@@ -347,9 +363,10 @@ def fit_next_step(df: DataFrame, parts: DataFrame, keys: Sequence[str], t: str,
                   train_from: int | None = None) -> NextStep:
     """Ridge predictor by normal equations; residual scale and null on 'held'.
 
-    A quadratic block over 4,096 columns falls back to linear.
+    A quadratic block over 4,096 columns is refused.
     """
-    quadratic = quadratic and n_quadratic(n_in * lags) <= MAX_QUADRATIC_COLUMNS
+    if quadratic and n_quadratic(n_in * lags) > MAX_QUADRATIC_COLUMNS:
+        raise ValueError(f"{n_quadratic(n_in * lags)} quadratic columns; at most {MAX_QUADRATIC_COLUMNS}: use fewer lags or inputs")
     pairs = next_step_pairs(df, keys, t, vec, n_in, lags, pad).join(parts.select(*keys, "part"), list(keys))
     f = 1 + n_in * lags + (n_quadratic(n_in * lags) if quadratic else 0)
     start = lags if train_from is None else train_from
@@ -402,18 +419,28 @@ class Conceptor:
     scale: float
 
 
-def pick_aperture(corr: np.ndarray, points: int = 64) -> float | None:
-    """Aperture where the conceptor is most sensitive to it (healthy spectrum only)."""
-    lam = np.linalg.eigvalsh(corr)
-    live = np.sort(lam[lam > schema.DEGENERATE_EPS])[::-1]
-    if not live.size:
+def pick_aperture(corr: np.ndarray) -> float | None:
+    """Aperture to which the conceptor's squared norm responds most (healthy spectrum only).
+
+    With singular values s = l / (l + 1 / a^2) the slope of the sum of s^2 in log a
+    is 4 times the sum of s^2 (1 - s); its top is bracketed on a grid over the whole
+    spectrum and then narrowed.
+    """
+    spectrum = np.linalg.eigvalsh(corr)
+    spectrum = spectrum[spectrum > schema.DEGENERATE_EPS]
+    if not len(spectrum):
         return None
-    k = int(np.clip(round(live.sum() ** 2 / (live ** 2).sum()), 1, live.size))
-    low, high = live[0] ** -0.5, live[k - 1] ** -0.5
-    high = high if np.isfinite(high) and high > low else low * np.e
-    grid = np.geomspace(low / 10.0, high * 10.0, points)
-    size = ((lam / (lam + grid[:, None] ** -2.0)) ** 2).sum(axis=1)
-    return float(grid[np.argmax(np.gradient(size, np.log(grid)))])
+
+    def slope(log_a: np.ndarray) -> np.ndarray:
+        s = 1.0 / (1.0 + np.exp(-2.0 * np.atleast_1d(log_a))[:, None] / spectrum)
+        return (s * s * (1.0 - s)).sum(axis=1)
+
+    low, high = -0.5 * np.log(spectrum.max()) - 2.0, -0.5 * np.log(spectrum.min()) + 2.0
+    for _ in range(4):
+        grid = np.linspace(low, high, 201)
+        top = int(np.argmax(slope(grid)))
+        low, high = grid[max(top - 1, 0)], grid[min(top + 1, 200)]
+    return float(np.exp((low + high) / 2.0))
 
 
 def fit_conceptor(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: str, vec: str, n_in: int,
@@ -421,13 +448,13 @@ def fit_conceptor(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: st
     cfg = {**RESERVOIR, **over}
     keys, size = list(keys), cfg["size"]
     res = Reservoirs(n_in, 1, size, seed, cfg["radius"], cfg["leak"], cfg["input"], cfg["density"])
-    own = clustered(steps.join(parts.filter("part = 'fit'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t)
+    own = clustered(steps.join(parts.filter("part = 'fit'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t, res.warmup)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros((size, size)), 0
         for groups in _groups(batches, keys, 4096):
             for g, h in zip(groups, res.states([_matrix(x[vec]) for x in groups])):
-                h = h[(g[t].to_numpy() >= WASHOUT) & g["_own"].to_numpy(), 0]
+                h = h[(g[t].to_numpy() >= WASHOUT) & g["_own"].to_numpy(), 0, :size]
                 total, n = total + h.T @ h, n + len(h)
         yield pd.DataFrame({"part": np.int32(0), "i": np.arange(size, dtype=np.int32), "row": list(total)})
         yield pd.DataFrame({"part": np.int32(1), "i": [np.int32(0)], "row": [np.full(size, float(n))]})
@@ -448,13 +475,13 @@ def fit_conceptor(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: st
 def conceptor_raw(steps: DataFrame, keys: Sequence[str], t: str, vec: str, model: Conceptor) -> DataFrame:
     """Share of the state outside the healthy subspace; null in the washout."""
     keys = list(keys)
-    d = clustered(steps.select(*keys, t, vec), keys, t)
+    d = clustered(steps.select(*keys, t, vec), keys, t, model.res.warmup)
     out = T.StructType([*[d.schema[k] for k in keys], d.schema[t], T.StructField("raw", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for groups in _groups(batches, keys, 4096):
             for g, h in zip(groups, model.res.states([_matrix(x[vec]) for x in groups])):
-                h = h[:, 0]
+                h = h[:, 0, :model.res.size]
                 inside = h @ model.matrix.T
                 v = 1.0 - (inside * inside).sum(axis=1) / np.maximum((h * h).sum(axis=1), schema.DEGENERATE_EPS)
                 v[g[t].to_numpy() < WASHOUT] = np.nan
@@ -507,21 +534,20 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_forest(df: DataFrame, draw: Column, vec: str, trees: int = 100, seed: int = 0) -> list[np.ndarray]:
-    """Trees on random samples of 256 rows.
+def fit_forest(df: DataFrame, draw: Column, vec: str, trees: int = 100, seed: int = 0,
+               sample: int = SAMPLE) -> list[np.ndarray]:
+    """Trees on random samples of ``sample`` rows each (all rows, if there are fewer).
 
-    ``draw`` is a uniform draw per row.  With enough rows the samples are
-    disjoint: the rows with the smallest draws (trees x 256 of them, one
-    partial top-n) are dealt out to the trees.  A smaller input, bounded by
-    that same number, is drawn anew for every tree.
+    ``draw`` identifies a row.  A tree takes the rows with the smallest hashes of
+    (seed, tree, draw), at any size of the input; hashes that cannot be among
+    them by a wide margin are dropped where they are made.
     """
-    top = df.select(draw.alias("_u"), vec).orderBy("_u").limit(trees * SAMPLE)
-    if top.count() >= trees * SAMPLE:
-        ranked = ranks.hash_order(top, [], "_u", "_r").select((F.col("_r") % trees).cast("int").alias("tree"), vec)
-    else:
-        each = top.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-            "_d", uniform(seed, F.col("tree"), F.col("_u")))
-        ranked = ranks.hash_order(each, ["tree"], "_d", "_r").filter(F.col("_r") < SAMPLE).select("tree", vec)
+    few = min(1.0, (4.0 * sample + 100.0) / max(df.count(), 1))
+    mark = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), k, F.col("_u")), 11) / F.lit(2.0 ** 53)
+    drawn = df.select(draw.alias("_u"), vec).select(vec, F.explode(F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.struct(k.alias("tree"), mark(k).alias("d"))),
+        lambda x: x["d"] <= few)).alias("x")).select(vec, "x.tree", "x.d")
+    ranked = ranks.hash_order(drawn, ["tree"], "d", "_r").filter(F.col("_r") < sample).select("tree", vec)
     out = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
                         *[T.StructField(c, T.DoubleType()) for c in ("dim", "cut", "left", "right", "size")]])
 

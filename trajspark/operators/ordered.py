@@ -243,20 +243,29 @@ def ewma(df: DataFrame, keys: Sequence[str], t: str, value: Column | str,
          seg_rows: int | None = None) -> DataFrame:
     """EWMA ``y = alpha*x + (1-alpha)*y``.
 
-    The start is 0, or the first value when ``start_at_first``.  Older rows
-    lose all weight within ``ewma_history(alpha)`` steps, so halo rows carry
-    the state over segment borders.  The segment is short enough for the
-    weights (1-alpha)^-i to stay far inside the double range.
+    The start is 0, or the first value when ``start_at_first``.  A segment is
+    summed from 0 and hands on one number; the next ones add what is left of it.
+    Older segments lose all weight within ``ewma_history(alpha)`` steps.  The
+    segment is short enough for the weights (1-alpha)^-i to stay far inside the
+    double range.  With alpha = 1 the value itself comes out.
     """
     value = F.col(value) if isinstance(value, str) else value
+    keys = list(keys)
+    if alpha >= 1.0:
+        return df.withColumn(out, F.coalesce(value, F.lit(0.0)))
     decay = 1.0 - alpha
-    k = ewma_history(alpha)
-    room = int(250 / -math.log10(decay)) - k
-    rows = seg_rows or max(16, min(SEG_ROWS, room))
-    lb = look_back(df.withColumn("_ew_x", value), keys, t, k, rows)
+    rows = seg_rows or max(16, min(SEG_ROWS, int(250 / -math.log10(decay))))
+    base = segmented(df.withColumn("_ew_x", value), keys, t, rows)
     age = F.col(t) - F.col(_SEG) * F.lit(rows)
     head = F.lit(1.0) if start_at_first else F.lit(alpha)
     weight = F.when(F.col(t) == 0, head).otherwise(F.lit(alpha))
-    grown = F.sum(weight * F.col("_ew_x") * F.pow(F.lit(decay), -age)).over(
-        lb.window(W.unboundedPreceding))
-    return lb.with_columns({out: grown * F.pow(F.lit(decay), age)}).drop("_ew_x")
+    order = W.partitionBy(*keys, _SEG).orderBy(t).rowsBetween(W.unboundedPreceding, 0)
+    local = base.withColumn("_ew_s", F.coalesce(F.sum(weight * F.col("_ew_x") * F.pow(F.lit(decay), -age)).over(order), F.lit(0.0)))
+    ends = local.groupBy(*keys, _SEG).agg((F.max_by("_ew_s", t) * F.lit(decay ** (rows - 1))).alias("_ew_end"))
+    near = W.partitionBy(*keys).orderBy(_SEG).rangeBetween(-math.ceil(ewma_history(alpha) / rows) - 1, -1)
+    carry = ends.select(*keys, _SEG, F.aggregate(
+        F.collect_list(F.struct(F.col(_SEG).alias("s"), "_ew_end")).over(near), F.lit(0.0),
+        lambda a, x: a + x["_ew_end"] * F.pow(F.lit(decay), F.lit(rows) * (F.col(_SEG) - 1 - x["s"]))).alias("_ew_in")).filter(F.col(_SEG) > 0)
+    joined = _join_carry(local, carry, keys)
+    return joined.withColumn(out, F.pow(F.lit(decay), age) * (
+        F.col("_ew_s") + F.lit(decay) * F.coalesce("_ew_in", F.lit(0.0)))).drop("_ew_x", "_ew_s", "_ew_in", _SEG)

@@ -6,6 +6,8 @@ from a hash of seed, replicate and id) and are summed before any shuffle.
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -133,10 +135,8 @@ def adjust(pvalues: DataFrame, family: Sequence[str], p: str, key: Sequence[str]
                           "reject_bh": F.col("p_bh") <= F.lit(alpha)}).drop("_i", "_m")
 
 
-#: cumulated Poisson(1) probabilities: weight k when the draw is below entry k
-_POISSON = [sum(2.718281828459045 ** -1 / f for f in fs) for fs in (
-    [1], [1, 1], [1, 1, 2], [1, 1, 2, 6], [1, 1, 2, 6, 24], [1, 1, 2, 6, 24, 120],
-    [1, 1, 2, 6, 24, 120, 720])]
+#: cumulated Poisson(1) probabilities: weight k when the draw is below entry k; up to where no 53-bit draw lies above
+_POISSON = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
 
 
 def copies(u: Column) -> Column:

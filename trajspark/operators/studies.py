@@ -195,8 +195,9 @@ def snapshot_diff(stored: DataFrame, current: DataFrame, path: str, value: str,
 
 
 def claim_tolerance(expected: Column) -> Column:
-    """Tolerance that follows the printed scale: half of the third decimal, or 0.5%."""
-    return F.greatest(F.lit(0.0005), F.abs(expected) * F.lit(0.005))
+    """Tolerance that follows the printed scale: half of the third decimal, or 0.5%; whole numbers are exact."""
+    whole = expected == F.round(expected)
+    return F.when(whole, 0.0).otherwise(F.greatest(F.lit(0.0005), F.abs(expected) * F.lit(0.005)))
 
 
 def step_drop(steps: DataFrame, episodes: DataFrame, keys: Sequence[str], t: str, rate: float, seed: str
@@ -225,8 +226,9 @@ def replay_channel(steps: DataFrame, donors: DataFrame, keys: Sequence[str], t:
 
     donors: keys, donor columns ``d_t``, ``d_len``, ``d_value`` (one healthy run).
     """
-    return steps.join(donors, (F.col(t) % F.col("d_len")) == F.col("d_t")).withColumn(out, F.col("d_value")) \
-        .drop("d_t", "d_len", "d_value")
+    length = donors.agg(F.max("d_len").alias("_d_len"))
+    at = steps.crossJoin(F.broadcast(length)).withColumn("_at", F.pmod(F.col(t), F.col("_d_len")))  # one row beside each
+    return at.join(donors.select(F.col("d_t").alias("_at"), F.col("d_value").alias(out)), "_at").drop("_at", "_d_len")
 
 
 def tamper_bounds(healthy: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import hashing, vector
-from trajspark.operators import alarms, fit, fusion, models, ordered, ranks
+from trajspark.operators import alarms, fit, models, ordered, protocol, ranks
 from trajspark.plans import base
 from trajspark.plans.base import U, table
 from trajspark.plans.numeric import R
@@ -57,7 +57,8 @@ def _(spark, d):
 
 @query("mahalanobis_embeddings")
 def _(spark, d):
-    m = models.fit_gaussian(vecs(spark, d), "e", 64)
+    """Fitted on one half of the vectors, scores all."""
+    m = models.fit_gaussian(vecs(spark, d).filter(hashing.fold_of(F.col("vec_id"), 2, "emb") == 0), "e", 64)
     return vecs(spark, d).select("vec_id", "label", R(models.mahalanobis(F.col("e"), m), 5).alias("score"))
 
 
@@ -129,21 +130,12 @@ def _(spark, d):
 
 @query("cross_fit")
 def _(spark, d):
-    """Every episode scored by the model of its fold, healthy and injected alike."""
+    """Every episode scored by a model that saw only healthy runs of the other folds."""
     def make(rows):
         m = models.fit_gaussian(rows, "z", D)
         return lambda df: df.withColumn("score", R(models.mahalanobis(F.col("z"), m), 5))
-    return cross_fit(step_vectors(spark, d), "user_id", 2, "xfit", make).select("user_id", "t", "fold", "score")
-
-
-def cross_fit(steps, key, k, salt, make):
-    """``make(train rows) -> score function`` per fold; folds depend on ids only."""
-    s = steps.withColumn("fold", hashing.fold_of(F.col(key), k, salt))
-    out = None
-    for i in range(k):
-        part = make(s.filter(F.col("fold") != i))(s.filter(F.col("fold") == i))
-        out = part if out is None else out.unionByName(part)
-    return out
+    v = step_vectors(spark, d).join(base.episodes(spark, d).select("user_id", "is_healthy"), "user_id")
+    return protocol.cross_fit(v, "user_id", 2, "xfit", make, F.col("is_healthy")).select("user_id", "t", "fold", "score")
 
 
 @query("transfer_matrix")
@@ -151,7 +143,7 @@ def _(spark, d):
     """Fit on each corpus, score every corpus: AUROC of the episode peaks."""
     e = base.episodes(spark, d)
     v = step_vectors(spark, d).join(e.select("user_id", "dataset", "is_healthy"), "user_id")
-    names = [f"ds{i}" for i in range(4)]
+    names = [r[0] for r in e.select("dataset").distinct().orderBy("dataset").collect()]  # corpora, one model each
     scored = v
     for n in names:
         m = models.fit_gaussian(v.filter((F.col("dataset") == n) & F.col("is_healthy")), "z", D)

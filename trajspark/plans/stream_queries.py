@@ -61,13 +61,23 @@ def _(spark, d):
 
 
 @query("audit_roundtrip", sql("""
-SELECT user_id::VARCHAR AS run_id, t::BIGINT AS seq, 'score' AS event, CASE WHEN score > 3 THEN 'alarm' ELSE 'watch' END AS decision,
+SELECT user_id::VARCHAR AS run_id, t::BIGINT AS seq, 'score' AS event, CASE WHEN score > 3 THEN 'halt' ELSE 'watch' END AS decision,
   round(score, 6) AS value, score <= 3 AS unknown_kind FROM scores WHERE monitor = 'cusum'""", "scores"))
 def _(spark, d):
     """Score records appended by a stream and read back."""
     s = base.scores(spark, d).filter("monitor = 'cusum'").select("user_id", "t", "score")
     rec = audit.records(as_stream(s), F.col("user_id"), F.col("t"), F.timestamp_seconds(F.col("t")), F.lit("score"),
-                        F.when(F.col("score") > 3, "alarm").otherwise("watch"), F.col("score"))
+                        F.when(F.col("score") > 3, "halt").otherwise("watch"), F.col("score"))
     root = f"{sinks.shared_dir(spark).rstrip('/')}/traj-audit-{uuid.uuid4().hex}"
     audit.stream(rec, f"{root}/log", f"{root}/progress").awaitTermination()
     return audit.read(spark, f"{root}/log").select("run_id", "seq", "event", "decision", R("value").alias("value"), "unknown_kind")
+
+
+@query("audit_refused", """
+SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'unknown event ' || event_type ELSE 'no event' END AS reason
+FROM events WHERE event_type IN ('view', 'click', 'error')""")
+def _(spark, d):
+    """Events as audit events: two kinds outside the vocabulary, one missing, the others known."""
+    e = base.table(spark, d, "events").select("event_id", F.when(F.col("event_type").isin("view", "click"), F.col("event_type"))
+                                              .when(F.col("event_type") != "error", "step").alias("event"))
+    return audit.refused(e, F.col("event")).select("event_id", "reason")

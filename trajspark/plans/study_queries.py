@@ -349,12 +349,18 @@ def _(spark, d):
 
 
 @query("published_values", """
-WITH c AS (SELECT o_custkey AS k, avg(o_totalprice) AS v FROM orders GROUP BY 1)
-SELECT k, abs(v - round(v, -2)) <= greatest(0.0005, abs(round(v, -2)) * 0.005) AS holds FROM c""")
+SELECT k, abs(a - v) <= CASE WHEN a = round(a) THEN 0.0 ELSE greatest(0.0005, abs(a) * 0.005) END AS holds,
+  n = p AS count_holds FROM (SELECT o_custkey AS k, avg(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY 1) JOIN
+  (SELECT c_custkey AS k, round(c_acctbal, 1)::DOUBLE AS a, c_nationkey AS p FROM customer) USING (k)""")
 def _(spark, d):
-    c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.avg("o_totalprice").alias("v"))
-    e = F.round("v", -2)
-    return c.select("k", (F.abs(F.col("v") - e) <= studies.claim_tolerance(e)).alias("holds"))
+    """Two columns of another table as the published numbers: a decimal against a mean, a whole number against a count."""
+    c = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
+        F.avg("o_totalprice").alias("v"), F.count(F.lit(1)).alias("n"))
+    p = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 1).cast("double").alias("a"),
+                                           F.col("c_nationkey").cast("double").alias("p"))
+    j = c.join(p, "k")
+    ok = lambda got, e: F.abs(F.col(e) - F.col(got)) <= studies.claim_tolerance(F.col(e))
+    return j.select("k", ok("v", "a").alias("holds"), ok("n", "p").alias("count_holds"))
 
 
 @query("top_per_class", sql("""
@@ -391,7 +397,7 @@ def _(spark, d):
 @query("regime_comparison", """
 WITH c AS (SELECT source, count(*) FILTER (quality = 0) AS an, count(*) FILTER (quality = 0 AND toxic = 1) AS a, count(*) FILTER (quality = 1) AS bn,
   count(*) FILTER (quality = 1 AND toxic = 1) AS b FROM documents JOIN labels USING (doc_id) GROUP BY source)
-SELECT source, an, bn, round(CASE WHEN an >= 3 AND bn >= 3 THEN least(1.0, (SELECT sum(CASE WHEN a + b - x <= bn THEN exp(
+SELECT source, an, bn, round(CASE WHEN an >= 10 AND bn >= 10 THEN least(1.0, (SELECT sum(CASE WHEN a + b - x <= bn THEN exp(
    lgamma(a + b + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) + lgamma(an + bn - a - b + 1) - lgamma(an - x + 1)
    - lgamma(bn - a - b + x + 1) - (lgamma(an + bn + 1) - lgamma(an + 1) - lgamma(bn + 1))) ELSE 0 END)
    FROM range(a, least(an, a + b) + 1) t(x))) END, 6) AS p_value FROM c""")
@@ -401,7 +407,7 @@ def _(spark, d):
     n = lambda c: F.sum(c.cast("int"))
     lo, bad = F.col("quality") == 0, F.col("toxic") == 1
     c = j.groupBy("source").agg(n(lo).alias("an"), n(lo & bad).alias("a"), n(~lo).alias("bn"), n(~lo & bad).alias("b"))
-    ok = (F.col("an") >= 3) & (F.col("bn") >= 3)
+    ok = (F.col("an") >= 10) & (F.col("bn") >= 10)
     return c.select("source", "an", "bn", R(F.when(ok, stats.fisher_p("a", "an", "b", "bn"))).alias("p_value"))
 
 

@@ -411,12 +411,13 @@ def _(spark, d):
 , u AS (SELECT w, count(*)::DOUBLE AS c FROM words GROUP BY w),
 b AS (SELECT w, w2, count(*)::DOUBLE AS c FROM words WHERE w2 IS NOT NULL GROUP BY ALL),
 tot AS (SELECT (SELECT sum(c) FROM u) AS tu, (SELECT sum(c) FROM b) AS tb, (SELECT count(*) FROM u)::DOUBLE AS v)
-SELECT doc_id, round(avg(-ln(greatest(((b.c + 1) / (tb + v * v)) / (((u1.c + 1) / (tu + v)) * ((u2.c + 1) / (tu + v))), 1e-10))), 6) AS neg_pmi
-FROM words x JOIN u u1 ON u1.w = x.w JOIN u u2 ON u2.w = x.w2 JOIN b ON b.w = x.w AND b.w2 = x.w2, tot GROUP BY doc_id""", "words").replace("\n\n,", ",", 1))
+, s AS (SELECT doc_id, avg(-ln(greatest(((b.c + 1) / (tb + v * v)) / (((u1.c + 1) / (tu + v)) * ((u2.c + 1) / (tu + v))), 1e-10))) AS p
+FROM words x JOIN u u1 ON u1.w = x.w JOIN u u2 ON u2.w = x.w2 JOIN b ON b.w = x.w AND b.w2 = x.w2, tot GROUP BY doc_id)
+SELECT doc_id, round(coalesce(p, 0.0), 6) AS neg_pmi FROM documents LEFT JOIN s USING (doc_id)""", "words").replace("\n\n,", ",", 1))
 def _(spark, d):
     from trajspark.operators import pmi
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return pmi.score(docs, docs, "doc_id", "text").filter("n_pairs > 0").select("doc_id", R("neg_pmi").alias("neg_pmi"))
+    return pmi.score(docs, docs, "doc_id", "text").select("doc_id", R("neg_pmi").alias("neg_pmi"))
 
 
 # ------------------------------------------------- conversations as agent runs

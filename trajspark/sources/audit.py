@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 # ---- fixed values -----------------------------------------------------------
 EVENTS = ("run_start", "step", "tool", "score", "check", "decision", "outcome", "run_end")
-DECISIONS = ("continue", "alarm", "escalate", "halt", "rollback")
+DECISIONS = ("checkpoint", "rollback", "repair", "escalate", "halt", "resume")
 SCHEMA_VERSION = 1
 
 RECORD = T.StructType([
@@ -25,7 +25,10 @@ def finite(v: Column) -> Column:
 
 def records(df: DataFrame, run_id: Column, seq: Column, ts: Column, event: Column, decision: Column,
             value: Column) -> DataFrame:
-    """Typed records; events outside the vocabulary are refused, decisions tagged."""
+    """Typed records; decisions outside the vocabulary are tagged.
+
+    Events outside it are not records: ``refused`` gives those rows.
+    """
     r = df.select(run_id.cast("string").alias("run_id"), seq.cast("long").alias("seq"),
                   F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"), event.alias("event"),
                   decision.alias("decision"), finite(value.cast("double")).alias("value"),
@@ -34,6 +37,12 @@ def records(df: DataFrame, run_id: Column, seq: Column, ts: Column, event: Colum
         "unknown_kind", F.coalesce(~F.col("decision").isin(*DECISIONS), F.lit(False)))
 
 
+def refused(df: DataFrame, event: Column) -> DataFrame:
+    """Rows whose event is missing or outside the vocabulary, with the reason."""
+    return df.withColumn("reason", F.when(event.isNull(), "no event").when(~event.isin(*EVENTS), F.concat(
+        F.lit("unknown event "), event))).filter("reason IS NOT NULL")
+
+
 def append(recs: DataFrame, path: str) -> None:
     """Batch append, JSON lines."""
     recs.write.mode("append").json(path)
@@ -47,6 +56,6 @@ def stream(recs: DataFrame, path: str, checkpoint: str):
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records back; a line cut off by a crash is skipped."""
-    full = RECORD.add("_corrupt_record", "string") if "_corrupt_record" not in RECORD.names else RECORD
+    full = T.StructType([*RECORD.fields, T.StructField("_corrupt_record", T.StringType())])
     d = spark.read.schema(full).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
     return d.filter("_corrupt_record IS NULL AND run_id IS NOT NULL").drop("_corrupt_record")

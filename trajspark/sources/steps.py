@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajspark import schema
 
@@ -13,26 +14,33 @@ from trajspark import schema
 def read_steps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Step JSONL files (one file per run, ``<dataset>/<episode_id>.jsonl``).
 
-    Returns (steps, bad lines).  The line number is taken while the file is
-    whole, because a line reader may split a file and lose the order; a run is
-    one file, so a file is the unit of work.
+    Returns (steps, bad lines).  Files are read in blocks; a line's number is its
+    place in its block plus the lines of the file's earlier blocks, so neither a
+    file nor a run has to fit a task.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl").select(
-        F.col("value"), F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path, pathGlobFilter="*.jsonl").select(
+        F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_order"),
+        (F.trim("value") != "").cast("long").alias("_full"))
+    own, before = W.partitionBy("file", "_block"), W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("n"), F.sum("_full").alias("f")).select(
+        "file", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n"),
+        F.coalesce(F.sum("f").over(before), F.lit(0)).alias("_f"))
+    upto = own.orderBy("_order").rowsBetween(W.unboundedPreceding, 0)
+    numbered = lines.withColumns({"_i": F.count(F.lit(1)).over(upto), "_k": F.sum("_full").over(upto)}).join(
+        blocks, ["file", "_block"]).filter("_full = 1")
     parts = F.split("file", "/")
-    lines = files.select(
+    rows = numbered.select(
         F.element_at(parts, -2).alias("dataset"),
         F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("episode_id"), "file",
-        F.filter(F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))),
-                 lambda s: F.trim(s["text"]) != "").alias("_lines"))
-    rows = lines.select("dataset", "episode_id", "file", F.posexplode("_lines").alias("t", "_l"))
-    full = schema.STEP.add("_corrupt_record", "string")
+        (F.col("_f") + F.col("_k") - 1).cast("int").alias("t"),
+        F.struct((F.col("_n") + F.col("_i")).cast("int").alias("line"), "text").alias("_l"))
+    full = T.StructType([*schema.STEP.fields, T.StructField("_corrupt_record", T.StringType())])
     parsed = rows.withColumn("_s", F.from_json("_l.text", full, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     ok = parsed.filter("_s._corrupt_record IS NULL AND _s IS NOT NULL")
     bad = parsed.filter("_s._corrupt_record IS NOT NULL OR _s IS NULL").select(
         "dataset", "episode_id", "file", F.col("_l.line").alias("line"), F.col("_l.text").alias("content"))
-    return ok.select("dataset", "episode_id", "t", *[F.col(f"_s.{f.name}") for f in schema.STEP.fields
-                                                     if f.name != "_corrupt_record"]), bad
+    return ok.select("dataset", "episode_id", "t", *[F.col(f"_s.{f.name}") for f in schema.STEP.fields]), bad
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
