@@ -8,13 +8,28 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from trajspark import schema
-from trajspark.functions import vector
+from trajspark.functions import text, vector
 from trajspark.functions.hashing import uniform
-from trajspark.operators import features, models, ordered, validate
+from trajspark.operators import features, grounding, models, ordered, validate
 
 
-def signals(steps: DataFrame, keys: Sequence[str], t: str, extended: bool = True) -> DataFrame:
-    """Steps with channels ``e``, ``u``, ``m`` and, when extended, ``x``.
+def from_log(steps: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
+    """Columns that ``signals`` needs, from steps in the log's own schema: calls, reasoning, tool columns, retries."""
+    keys = list(keys)
+    d = text.step_calls(steps, "text", "tool_events")
+    calls = d.select(*keys, t, F.explode("calls").alias("c")).select(
+        *keys, t, "c.name", F.col("c.args").alias("args_key"), "c.is_error", F.lit(None).cast("double").alias("latency_s"))
+    lat = d.select(*keys, t, validate.latency_of(F.col("latency_s"))[0].alias("_dur"))
+    per = features.tool_step(calls.join(lat, [*keys, t]), [*keys, t, "_dur"], F.col("_dur")).drop("_dur")
+    d = features.with_tool_step(d, per, [*keys, t])
+    retries = features.retry_count(calls, keys, t)
+    name = next(c for c in retries.columns if c not in (*keys, t))
+    return d.join(retries.withColumnRenamed(name, "retries"), [*keys, t], "left").withColumn(
+        "retries", F.coalesce("retries", F.lit(0)))
+
+
+def signals(steps: DataFrame, keys: Sequence[str], t: str, extended: bool = True, grounded: bool = False) -> DataFrame:
+    """Steps with channels ``e``, ``u``, ``m``, when extended ``x``, and when grounded ``g``: 43, 51 or 60 wide.
 
     Needs text, task, action, latency_s, output_tokens, error, token_logprobs
     and the per-step tool columns of ``features.with_tool_step`` plus retries.
@@ -31,6 +46,8 @@ def signals(steps: DataFrame, keys: Sequence[str], t: str, extended: bool = True
         "u": F.array(u["mean"], u["peak"], u["slope"], u["high_share"]),
         "m": F.array(*[(act == a).cast("double") for a in schema.ACTION_TYPES], F.log(lat), F.log(tokens),
                      F.coalesce(F.col("error"), F.lit(False)).cast("double"))})
+    if grounded:
+        d = grounding.grounding_channel(d, keys, t)
     if not extended:
         return d
     first = d.groupBy(*keys).agg(F.min_by(F.struct("task", "text"), F.col(t)).alias("_f"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import hashing, text
-from trajspark.operators import alarms, features, fit, fusion, ordered, ranks
+from trajspark.operators import alarms, features, fit, fusion, grounding, ordered, ranks
 from trajspark.plans import base
 from trajspark.plans.base import U, cte, sql, table
 from trajspark.plans.numeric import R
@@ -158,26 +158,30 @@ def _(spark, d):
         R(F.avg(F.when(F.col("is_healthy"), hit))).alias("fa"), R(F.avg(F.when(~F.col("is_healthy"), hit))).alias("hit"))
 
 
+def content_channel(spark, d):
+    """The content dims of logged conversation steps as columns."""
+    from trajspark.plans import signal_queries
+    g = grounding.grounding_channel(signal_queries.logged_calls(spark, d), ["conv_id"], "t")
+    return g.select("conv_id", "t", *[F.col("g")[i].alias(n) for i, n in enumerate(grounding.DIMS)])
+
+
 @query("grounding_score")
 def _(spark, d):
-    """Content dims of conversation results against the pooled reference."""
-    g = content_dims(spark, d)
-    dims = ["char_anomaly", "lex_miss", "result_gap"]
-    return fusion.grounding_score(dims, fusion.dim_stats(g, dims), g).select("conv_id", "turn", R("score", 5).alias("score"))
+    """All content dims against the pooled reference of one half of the runs."""
+    g = sinks.materialize(content_channel(spark, d), "content", d)
+    ref = g.filter(hashing.fold_of(F.col("conv_id"), 2, "ground") == 0)
+    return fusion.grounding_score(grounding.DIMS, fusion.dim_stats(ref, grounding.DIMS), g).select(
+        "conv_id", "t", R("score", 5).alias("score"))
 
 
 def content_dims(spark, d):
-    """char_anomaly, lex_miss and a size gap to the previous result."""
+    """Character statistics of every turn against the earlier ones."""
     c = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "text")
     al, junk = text.char_stats(F.col("text"))
     c = c.withColumns({"al": al, "junk": junk, "one": F.lit(1)})
     r = ordered.running(c, ["conv_id"], "turn", {"sal": ordered.Run("sum", "al", False), "n": ordered.Run("sum", "one", False)})
-    r = ordered.lag(r, ["conv_id"], "turn", {"prev": "text"})
-    r = ordered.anchor(r, ["conv_id"], "turn", {"task": "text"})
-    miss, _ = text.lexical_miss(F.col("text"), F.coalesce("prev", F.lit("")), F.col("task"))
     shift = F.when(F.col("n") > 0, F.abs(F.col("al") - F.col("sal") / F.col("n"))).otherwise(0.0)
-    return r.select("conv_id", "turn", (shift + F.col("junk")).alias("char_anomaly"), miss.alias("lex_miss"),
-                    F.coalesce(F.abs(F.length("text") - F.length("prev")).cast("double"), F.lit(0.0)).alias("result_gap"))
+    return r.select("conv_id", "turn", (shift + F.col("junk")).alias("char_anomaly"))
 
 
 @query("char_anomaly", r"""
@@ -211,5 +215,8 @@ def _(spark, d):
     """Choice by telemetry width and label count, one row."""
     e = base.episodes(spark, d)
     n = e.filter(~F.col("is_healthy")).count()
-    name = fusion.recommend(e.filter("is_healthy").select(F.lit(51).alias("width")), n)
+    from trajspark.operators import signal
+    from trajspark.plans import signal_queries
+    v = signal.signals(signal_queries.logged_calls(spark, d), ["conv_id"], "t", grounded=True)
+    name = fusion.recommend(v.select(sum((F.size(c) for c in "umxg"), F.size("e")).alias("width")), n)
     return e.groupBy().agg(F.lit(name).alias("fusion"), F.sum((~F.col("is_healthy")).cast("int")).alias("n_labeled"))

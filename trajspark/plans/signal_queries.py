@@ -5,26 +5,61 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import vector
-from trajspark.operators import signal
+from trajspark.operators import grounding, signal
 from trajspark.plans import base
 from trajspark.plans.base import U, sql, table
 from trajspark.plans.numeric import R
 from trajspark.plans.registry import query
+from trajspark.sources import imports, sinks
+
+
+def logged_steps(spark, d):
+    """Assistant turns as logged steps: the next user turn is the result of a call that asks for the turn's words.
+
+    Every third conversation has its calls written in the text, every fifth step's result is a JSON text.
+    """
+    c = table(spark, d, "conversations")
+    s = imports.positional_steps(c, ["conv_id"], "turn", agent_role="assistant", environment_role="user")
+    k = F.col("conv_id") % 3
+    result = F.when(F.col("t") % 5 == 4, F.concat(F.lit('{"note": "'), F.regexp_replace("result", r'[\\"\x00-\x1f]', " "),
+                                                  F.when(k == 1, '"}').otherwise('"'))).otherwise(F.col("result"))
+    event = F.struct(
+        F.lit("e").alias("id"), F.lit("lookup").alias("name"), F.create_map(F.lit("q"), F.substring("text", 1, 40)).alias("args"),
+        result.alias("result"), F.length("result").alias("result_chars"), F.lit(False).alias("result_truncated"),
+        F.col("is_error"), F.lit(0.5).alias("latency_s"), F.lit("mock").alias("source"))
+    written = F.concat("text", F.lit(' [lookup({"q": 1}) -> '), F.regexp_replace("result", r"[\[\]]", " "), F.lit("]"))
+    return s.select(
+        "conv_id", "t", F.when((k == 0) & F.col("has_result"), written).otherwise(F.col("text")).alias("text"),
+        F.lit(None).cast("array<double>").alias("token_logprobs"), F.lit(False).alias("logprobs_available"), "action",
+        (F.col("t") * 0.25 + 0.5).alias("latency_s"), "output_tokens", F.col("is_error").alias("error"),
+        F.lit(None).cast("string").alias("task"), F.lit(5).alias("schema"),
+        F.when(k != 0, F.filter(F.array(event), lambda e: F.col("has_result"))).alias("tool_events"))
+
+
+def logged_calls(spark, d):
+    """Logged steps with their calls, reasoning and tool columns, written once."""
+    done = sinks.known(spark, "logged_calls", d)
+    if done is None:
+        done = sinks.materialize(signal.from_log(sinks.materialize(logged_steps(spark, d), "logged_steps"), ["conv_id"], "t"), "logged_calls", d)
+    return done
 
 
 @query("step_signals")
 def _(spark, d):
-    """51-wide vectors of conversation turns (no logprobs, no tools)."""
-    c = table(spark, d, "conversations").select(
-        "conv_id", F.col("turn").cast("int").alias("t"), "text", F.lit(None).cast("string").alias("task"),
-        F.when(F.col("role") == "assistant", "answer").otherwise("observation").alias("action"),
-        F.lit(1.0).alias("latency_s"), F.size(F.split("text", " ")).alias("output_tokens"), F.lit(False).alias("error"),
-        F.lit(None).cast("array<double>").alias("token_logprobs"), F.lit(1.0).alias("tool_success"),
-        F.lit(0).alias("retries"), F.lit(0.0).alias("tool_latency"), F.lit(0).alias("n_calls"))
-    s = signal.signals(c, ["conv_id"], "t")
-    width = F.size("e") + F.size("u") + F.size("m") + F.size("x")
+    """60-wide vectors from logged steps: calls, reasoning, tool columns and the content channel."""
+    s = signal.signals(logged_calls(spark, d), ["conv_id"], "t", grounded=True)
+    width = sum((F.size(c) for c in "umxg"), F.size("e"))
     return s.select("conv_id", "t", width.alias("width"), R(vector.norm(F.col("e"))).alias("e_norm"),
-                    F.col("m")[5].alias("log_tokens"), R(F.col("x")[0]).alias("drift"), R(F.col("x")[7]).alias("consistency"))
+                    F.col("m")[5].alias("log_tokens"), R(F.col("x")[0]).alias("drift"), R(F.col("x")[7]).alias("consistency"),
+                    R(F.col("x")[4]).alias("tool_latency"), F.col("x")[6].alias("n_calls"),
+                    *[R(F.col("g")[i]).alias(f"g_{n}") for i, n in enumerate(grounding.DIMS)])
+
+
+@query("grounding_channel")
+def _(spark, d):
+    """The nine content dims of every logged step."""
+    g = grounding.grounding_channel(logged_calls(spark, d), ["conv_id"], "t")
+    return g.select("conv_id", "t", *[R(F.col("g")[i]).alias(n) for i, n in enumerate(grounding.DIMS)])
 
 
 @query("attribution", sql("""
