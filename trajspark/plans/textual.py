@@ -15,9 +15,12 @@ ERR = (r"""(lower(substr(ltrim({c}), 1, 5)) = 'error' OR regexp_matches({c}, '^\
        r"""|[A-Za-z_][A-Za-z0-9_]*(?:Error|Exception)\s*:|HTTP\s+[45]\d\d\b|[45]\d\d\s+[A-Z][a-z]|<html\b|<!DOCTYPE html)'))""")
 
 
-@query("error_shaped", f"SELECT page_id, {ERR.format(c='html')} AS failed FROM pages")
+@query("error_shaped", f"""SELECT page_id, {ERR.format(c='r')} AS failed FROM (
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN html ELSE substr(html, strpos(html, '<body')) END AS r FROM pages)""")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", text.error_shaped(F.col("html")).alias("failed"))
+    """Whole pages read as failures, their bodies alone do not."""
+    r = F.when(F.col("page_id") % 2 == 0, F.col("html")).otherwise(F.expr("substr(html, instr(html, '<body'))"))
+    return table(spark, d, "pages").select("page_id", text.error_shaped(r).alias("failed"))
 
 
 @query("error_shaped_mixed", f"""SELECT event_id, {ERR.format(c='r')} AS failed FROM (
@@ -45,11 +48,20 @@ def _(spark, d):
     return r.select("doc_id", F.sha2("r", 256).alias("redacted_sha"), (F.col("r") != F.col("text")).alias("changed"))
 
 
+PLANTED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || ' AKIA' || upper(substr(sha256(text), 1, 16)) WHEN 1 THEN text || ' ghp_' || sha256(text)
+  WHEN 2 THEN text || ' password: "' || substr(sha256(text), 1, 20) || '"' ELSE text END AS text FROM documents"""
+
+
 @query("secret_scan", " UNION ALL ".join(
     f"SELECT doc_id, '{label}' AS label, substr(regexp_extract(text, '{p.replace(chr(39), chr(39) * 2)}'), 1, 12) AS snippet "
-    f"FROM documents WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p, label in text.SECRET_SHAPES))
+    f"FROM ({PLANTED}) p WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p, label in text.SECRET_SHAPES))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.inline(text.secret_findings(F.col("text"))))
+    """Documents, three of four with a credential made of their own digest."""
+    h, k = F.sha2("text", 256), F.col("doc_id") % 4
+    planted = F.when(k == 0, F.concat("text", F.lit(" AKIA"), F.upper(F.substring(h, 1, 16)))).when(
+        k == 1, F.concat("text", F.lit(" ghp_"), h)).when(
+        k == 2, F.concat("text", F.lit(' password: "'), F.substring(h, 1, 20), F.lit('"'))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.inline(text.secret_findings(planted)))
 
 
 cte("turns", (), """
@@ -87,10 +99,14 @@ def _(spark, d):
 
 @query("clean_runs", r"""
 SELECT conv_id, bool_and(trim(text) <> '' AND NOT (length(regexp_replace(text, '[\x00-\x7F]', '', 'g')) > greatest(8, length(text) * 0.2))) AS clean,
-  count(*) AS n_steps FROM conversations GROUP BY conv_id""")
+  count(*) AS n_steps FROM (SELECT conv_id, CASE conv_id % 4 * 10 + turn WHEN 1 THEN text || repeat('é', (length(text) + 9)::INTEGER) WHEN 11 THEN '  '
+  ELSE text END AS text FROM conversations) GROUP BY conv_id""")
 def _(spark, d):
+    """Turn 1 of a quarter of the runs ends in a burst, that of another quarter is blank."""
+    k = F.col("conv_id") % 4 * 10 + F.col("turn")
+    said = F.when(k == 1, F.concat("text", F.repeat(F.lit("é"), F.length("text") + 9))).when(k == 11, "  ").otherwise(F.col("text"))
     return table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.bool_and(text.clean_step(F.col("text"))).alias("clean"), F.count(F.lit(1)).alias("n_steps"))
+        F.bool_and(text.clean_step(said)).alias("clean"), F.count(F.lit(1)).alias("n_steps"))
 
 
 @query("healthy_null_cleaning", r"""
@@ -267,9 +283,9 @@ def _(spark, d):
 @query("parse_verdict", """
 SELECT event_id, CASE event_type WHEN 'view' THEN true WHEN 'click' THEN false WHEN 'error' THEN true ELSE NULL END AS verdict FROM events""")
 def _(spark, d):
-    t = F.when(F.col("event_type") == "view", F.lit('```json\n{"derailed": true, "why": "x"}\n```')) \
-        .when(F.col("event_type") == "click", F.lit('{"derailed": false}')) \
-        .when(F.col("event_type") == "error", F.lit('I say "derailed": true because')) \
+    t = F.when(F.col("event_type") == "view", F.lit('```json\n{"flagged": true, "why": "x"}\n```')) \
+        .when(F.col("event_type") == "click", F.lit('{"flagged": false}')) \
+        .when(F.col("event_type") == "error", F.lit('I say "flagged": true because')) \
         .when(F.col("event_type") == "purchase", F.lit('{"other": 1}')).otherwise(F.concat(F.lit("no idea "), "props"))
     return table(spark, d, "events").select("event_id", text.verdict(t).alias("verdict"))
 
