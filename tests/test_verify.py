@@ -147,3 +147,32 @@ def test_sums_of_a_long_episode(spark):
                               "e int, t int, value double")
     left = {(x.e, x.t, x.value) for x in verify.ungrounded_by_sums(a, r, ["e"]).collect()}
     assert left == {(0, 39, round(4 * sum(vals), 2)), (0, 40, 0.9), (1, 1, 379.75)}
+
+
+def test_tails_against_exact_sums():
+    import math
+    from fractions import Fraction
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        an, bn = (int(x) for x in rng.integers(0, 30, 2))
+        a, b = int(rng.integers(0, an + 1)), int(rng.integers(0, bn + 1))
+        h, n = a + b, an + bn
+        want = float(sum(Fraction(math.comb(h, x) * math.comb(n - h, an - x), math.comb(n, an))
+                         for x in range(a, min(an, h) + 1) if an - x <= n - h)) if n else 1.0
+        assert abs(stats.fisher_greater(a, an, b, bn) - want) < 1e-11
+    lo, hi = stats.clopper_pearson(10_000, 20_000)
+    assert 0.493 < lo < 0.5 < hi < 0.507
+    assert stats.fisher_greater(500_000, 10**6, 499_000, 10**6) < 0.1
+    assert abs(stats.chi2_sf(200.0, 3) / 4.2185411e-43 - 1) < 1e-6  # far out nothing cancels
+
+
+def test_late_steps_change_nothing(spark, tmp_path):
+    from trajspark.streaming import scoring
+    schema = "k string, t int, z double"
+    spark.createDataFrame([("a", 0, 1.0), ("a", 2, 2.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = scoring.stateful_scores(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], "t", "z")
+    scoring.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    spark.createDataFrame([("a", 1, 9.0), ("a", 3, 0.5)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    scoring.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {r.t: (r.late, r.cusum) for r in spark.read.schema(s.schema).parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: (False, 0.5), 2: (False, 2.0), 1: (True, None), 3: (False, 2.0)}

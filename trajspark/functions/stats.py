@@ -6,7 +6,6 @@ These run on result rows (a handful per study), never on data rows.
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,15 +45,48 @@ def fisher_greater(a: int, a_n: int, b: int, b_n: int) -> float:
     hits, total = a + b, a_n + b_n
     if total == 0:
         return 1.0
-    top = min(a_n, hits)
-    base = _log_choose(total, a_n)
-    return min(1.0, sum(math.exp(_log_choose(hits, x) + _log_choose(total - hits, a_n - x) - base)
-                        for x in range(a, top + 1)))
+    top, low = min(a_n, hits), max(0, a_n - (total - hits))
+    if a <= low:
+        return 1.0
+    if a > top:
+        return 0.0
+    # sum the shorter way from a: up if a lies above the mode, else one minus the way down; both fall from the start
+    up = a * (total + 2) > (a_n + 1) * (hits + 1)
+    x = a if up else a - 1
+    at = math.exp(_log_choose(hits, x) + _log_choose(total - hits, a_n - x) - _log_choose(total, a_n))
+    tail, term = 0.0, at
+    while low <= x <= top and term > tail * 1e-18:
+        tail += term
+        term *= (hits - x) * (a_n - x) / ((x + 1.0) * (total - hits - a_n + x + 1.0)) if up else \
+            x * (total - hits - a_n + x) / ((hits - x + 1.0) * (a_n - x + 1.0))
+        x += 1 if up else -1
+    return min(1.0, tail if up else 1.0 - tail)
+
+
+def _beta_inc(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta by its continued fraction, evaluated from the front."""
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):
+        return 1.0 - _beta_inc(b, a, 1.0 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    value, c, d = 1.0, 1.0, 0.0
+    for step in range(1, 10_000):
+        m = step // 2
+        part = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if step % 2 == 0 else \
+            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1.0 / ((1.0 + part * d) or tiny)
+        c = (1.0 + part / c) or tiny
+        value *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    return front / value
 
 
 def _binom_tail_ge(k: int, n: int, p: float) -> float:
-    return sum(math.exp(_log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p))
-               for i in range(k, n + 1)) if 0.0 < p < 1.0 else float(p >= 1.0 or k <= 0)
+    """Chance of k hits or more: an incomplete beta, whatever n is."""
+    return 1.0 if k <= 0 else 0.0 if k > n else _beta_inc(k, n - k + 1, p)
 
 
 def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
@@ -76,10 +108,15 @@ def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
 
 
 def chi2_sf(x: float, df: int) -> float:
-    """Upper tail of chi-square: series of the lower incomplete gamma."""
+    """Upper tail of chi-square: series of the lower incomplete gamma, or far out the upper one's fraction."""
     if x <= 0 or df <= 0:
         return 1.0
     s, h = df / 2.0, x / 2.0
+    if h > s + 1.0:
+        value = h + 400.0
+        for k in range(200, 0, -1):
+            value = h + (k - s) / (1.0 + k / value)
+        return math.exp(s * math.log(h) - h - math.lgamma(s)) / value
     term = total = 1.0 / s
     i = s
     while term > total * 1e-17:
@@ -101,8 +138,7 @@ def fisher_p(a: pd.Series, a_n: pd.Series, b: pd.Series, b_n: pd.Series) -> pd.S
 
 @F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
-    nd = NormalDist()
-    return z.map(lambda v: 2.0 * (1.0 - nd.cdf(abs(v))) if v == v else float("nan"))
+    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v else float("nan"))
 
 
 @F.pandas_udf(T.DoubleType())

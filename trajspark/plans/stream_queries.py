@@ -46,7 +46,18 @@ FROM scores c JOIN scores e ON c.user_id = e.user_id AND c.t = e.t AND c.monitor
 def _(spark, d):
     """The keyed stream gives what the batch operators give."""
     out = drained(scoring.stateful_scores(as_stream(z_steps(spark, d)), U, "t", "z"))
-    return out.select("user_id", "t", *[R(c).alias(c) for c in ("cusum", "ewma", "peak")])
+    return out.filter("NOT late").select("user_id", "t", *[R(c).alias(c) for c in ("cusum", "ewma", "peak")])
+
+
+@query("stream_gate", sql("""
+, s AS (SELECT c.user_id, c.t, c.score AS b, abs(z.z) AS g FROM scores c JOIN z USING (user_id, t) WHERE c.monitor = 'cusum')
+SELECT user_id, t, round((b + 10 * greatest(g - 2.5, 0)) / 3.0, 6) AS display, b + 10 * greatest(g - 2.5, 0) > 3.0 AS alarm FROM s""", "scores", "z").replace("\n\n,", ",", 1))
+def _(spark, d):
+    """Online content gate in display units: the stream equals the batch."""
+    z = z_steps(spark, d)
+    out = drained(scoring.stateful_scores(as_stream(z), U, "t", "z")).filter("NOT late").join(z, ["user_id", "t"])
+    g = out.withColumn("score", scoring.gate(F.col("cusum"), F.abs("z"), F.lit(2.5), F.lit(0.0)))
+    return scoring.alarms(g, "score", 3.0).select("user_id", "t", R("display").alias("display"), "alarm")
 
 
 @query("rolling_baseline")

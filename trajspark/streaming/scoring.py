@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("prev", T.DoubleType()),
+_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("last", T.LongType()), T.StructField("prev", T.DoubleType()),
                        T.StructField("ewma", T.DoubleType()), T.StructField("cusum", T.DoubleType()),
                        T.StructField("peak", T.DoubleType())])
 
 
 def output_schema(df: DataFrame, keys: Sequence[str], t: str) -> T.StructType:
     return T.StructType([*[df.schema[k] for k in keys], df.schema[t],
-                         *[T.StructField(c, T.DoubleType()) for c in ("delta", "ewma", "cusum", "peak")]])
+                         *[T.StructField(c, T.DoubleType()) for c in ("delta", "ewma", "cusum", "peak")],
+                         T.StructField("late", T.BooleanType())])
 
 
 def stateful_scores(steps: DataFrame, keys: Sequence[str], t: str, z: str, alpha: float = 0.3,
@@ -30,7 +31,9 @@ def stateful_scores(steps: DataFrame, keys: Sequence[str], t: str, z: str, alpha
     ``idle_ms`` drops the state of a silent episode.  Such a query never runs
     dry, so it is for continuous triggers, not for "process what is there".
     Steps of one micro-batch are put in order before they are applied, so the
-    values equal those of the batch operators on the same rows.
+    values equal those of the batch operators on the same rows.  A step from a
+    position that was passed already (or a repeated one) changes nothing: it comes
+    out with ``late`` set and null scores, for the caller to count or reject.
     """
     keys = list(keys)
 
@@ -38,20 +41,23 @@ def stateful_scores(steps: DataFrame, keys: Sequence[str], t: str, z: str, alpha
         if state.hasTimedOut:
             state.remove()
             return
-        n, prev, ew, cu, peak = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0)
+        n, last, prev, ew, cu, peak = state.get if state.exists else (0, -1, 0.0, 0.0, 0.0, 0.0)
         pdf = pd.concat(list(frames)).sort_values(t)
         rows = []
-        for v in pdf[z].to_numpy(float):
+        for at, v in zip(pdf[t].tolist(), pdf[z].to_numpy(float)):
+            if at <= last:
+                rows.append((None, None, None, None, True))
+                continue
             delta = v - prev if n else 0.0
             ew = alpha * abs(v) + (1 - alpha) * ew if n else abs(v)
             cu = max(0.0, cu + v - slack)
             peak = max(peak, cu)
-            n, prev = n + 1, v
-            rows.append((delta, ew, cu, peak))
-        state.update((n, float(prev), float(ew), float(cu), float(peak)))
+            n, last, prev = n + 1, at, v
+            rows.append((delta, ew, cu, peak, False))
+        state.update((n, int(last), float(prev), float(ew), float(cu), float(peak)))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        out = pd.DataFrame(rows, columns=["delta", "ewma", "cusum", "peak"])
+        out = pd.DataFrame(rows, columns=["delta", "ewma", "cusum", "peak", "late"])
         out.insert(0, t, pdf[t].to_numpy())
         for i, k in enumerate(keys):
             out.insert(i, k, key[i])
@@ -83,7 +89,15 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def sessions(steps: DataFrame, keys: Sequence[str], ts: str, gap: str, late: str) -> DataFrame:
-    """Episodes closed by silence; rows later than the watermark are dropped."""
+    """Episodes closed by silence; rows later than the watermark are dropped.
+
+    Spark counts those rows: see ``late_rows`` of the query's progress.
+    """
     return steps.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(
         F.count(F.lit(1)).alias("n_steps")).select(*keys, F.col("w.start").alias("started"),
                                                    F.col("w.end").alias("closed"), "n_steps")
+
+
+def late_rows(query) -> int:
+    """Rows a finished or running query dropped behind its watermark, over all its micro-batches."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
