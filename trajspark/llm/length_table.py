@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trajspark.llm.bpe_tokens import encoder
-from trajspark.llm.common import slices
+from trajspark.llm.common import slices, written
 
 #: Lengths per block of the two-level running sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def lengths(docs: DataFrame, tokenizer: str, *, text_col: str = "text", end_ids: int = 1) -> DataFrame:
@@ -36,12 +36,12 @@ def length_histogram(tokens: DataFrame, *, tokens_col: str = "n_tokens") -> Data
     (all documents truncated at the limit), ``tokens_cut``, ``quantile`` (share of
     documents not longer).  Null lengths are left out; an empty table gives no rows.
 
-    Running sums are taken inside blocks of 1,024 lengths and over the blocks, so
+    Running sums are taken inside blocks of 64 lengths and over the blocks, so
     no task holds all lengths.
     """
-    h = (tokens.where(F.col(tokens_col).isNotNull())
-         .groupBy(F.col(tokens_col).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
-         .withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")))
+    h = written(tokens.where(F.col(tokens_col).isNotNull())
+                .groupBy(F.col(tokens_col).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
+    h = (h.withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs")))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     before, every = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     blocks = blocks.select(
