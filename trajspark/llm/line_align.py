@@ -137,7 +137,8 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     found = written(repeated_lines(docs, id_col=id_col, text_col=text_col, **rules), "repeated-lines").withColumnRenamed("doc_id", "of")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    joined = rows.join(found, F.col("doc_id") == F.col("of"), "left")
+    # one plan at every size: what is deleted grows with the corpus, so the texts are always dealt by id
+    joined = rows.join(found.hint("merge"), F.col("doc_id") == F.col("of"), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
 
     @F.pandas_udf("string")
