@@ -204,14 +204,19 @@ def _(spark, d):
 
 
 @query("feature_fingerprint", """
-SELECT label, sha256(string_agg(v, ';' ORDER BY vec_id)) AS fingerprint FROM (
- SELECT label, vec_id, sha256(array_to_string(list_transform(embedding, lambda x: printf('%.4f', round(x::DOUBLE, 4) + 0.0)), ',')) AS v FROM embeddings)
+SELECT label, sha256(string_agg(g, ';' ORDER BY seg)) AS fingerprint FROM (
+ SELECT label, vec_id // 1024 AS seg, sha256(string_agg(v, ';' ORDER BY vec_id)) AS g FROM (
+  SELECT label, vec_id, sha256(array_to_string(list_transform(embedding, lambda x: printf('%.4f', round(x::DOUBLE, 4) + 0.0)), ',')) AS v FROM embeddings)
+ GROUP BY label, seg)
 GROUP BY label""")
 def _(spark, d):
+    """Digest of the digests of ranges of 1,024 ids: no row holds all of a label."""
     e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("k"), F.sha2(F.array_join(F.transform(
         vector.doubles(F.col("embedding")), lambda x: hashing.rounded_text(x, 4)), ","), 256).alias("v"))
-    return e.groupBy("label").agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]), ";"), 256).alias("fingerprint"))
+    joined = lambda k, v: F.sha2(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), F.col(v).alias("v")))), lambda s: s["v"]), ";"), 256)
+    g = e.groupBy("label", F.expr("k div 1024").alias("seg")).agg(joined("k", "v").alias("g"))
+    return g.groupBy("label").agg(joined("seg", "g").alias("fingerprint"))
 
 
 @query("currency_guard", """
@@ -280,6 +285,18 @@ def _(spark, d):
         "conv_id", "turn", F.sha2("transcript", 256).alias("transcript_sha"))
 
 
+@query("render_transcript_at", """
+WITH l AS (SELECT conv_id, turn, 'step ' || (turn + 1) || ' (' || role || '): ' || trim(text, ' ') AS line FROM conversations),
+p AS (SELECT conv_id, unnest([max(turn), max(turn) // 2]) AS upto FROM conversations GROUP BY conv_id)
+SELECT conv_id, upto, sha256(string_agg(line, chr(10) ORDER BY turn)) AS transcript_sha FROM p JOIN l USING (conv_id) WHERE turn <= upto GROUP BY conv_id, upto""")
+def _(spark, d):
+    """Transcripts up to the middle and the last turn of each run only."""
+    c = table(spark, d, "conversations")
+    p = c.groupBy("conv_id").agg(F.max("turn").alias("m")).select("conv_id", F.explode(F.array("m", F.expr("CAST(m div 2 AS BIGINT)"))).alias("upto"))
+    return features.transcripts_at(c, p.distinct(), ["conv_id"], "turn", "upto", F.col("role"), F.col("text")).select(
+        "conv_id", "upto", F.sha2("transcript", 256).alias("transcript_sha"))
+
+
 @query("parse_verdict", """
 SELECT event_id, CASE event_type WHEN 'view' THEN true WHEN 'click' THEN false WHEN 'error' THEN true ELSE NULL END AS verdict FROM events""")
 def _(spark, d):
