@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trajspark.functions import hashing, vector
 from trajspark.operators import alarms, fit, models, ordered, protocol, ranks
 from trajspark.plans import base
-from trajspark.plans.base import U, table
+from trajspark.plans.base import U, sql, table
 from trajspark.plans.numeric import R
 from trajspark.plans.registry import query
 from trajspark.plans.textual import vecs
@@ -155,7 +155,17 @@ def _(spark, d):
     return a.groupBy("fitted_on").pivot("dataset", names).agg(R(F.max("auroc"), 5))
 
 
-@query("deployment_calibration")
+@query("deployment_calibration", sql("""
+, m AS (SELECT dataset, user_id, max_score, ('0x' || substr(sha256('deploy:' || user_id), 1, 13))::BIGINT AS u FROM maxima WHERE monitor = 'cusum' AND is_healthy),
+r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY u) - 1 AS r, count(*) OVER (PARTITION BY dataset) AS n FROM m),
+b AS (SELECT *, greatest(round_even(n * 0.6::DOUBLE, 0), 1) AS lo, greatest(round_even(n * 0.2::DOUBLE, 0), 1) AS w FROM r),
+v AS (SELECT dataset, max_score, row_number() OVER (PARTITION BY dataset ORDER BY max_score) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS nv
+  FROM b WHERE r >= lo AND r < lo + w),
+th AS (SELECT dataset, nv, max_score AS theta FROM v WHERE i = ceil((1 - 0.05) * (nv - 1))),
+g AS (SELECT dataset, count(*) AS n_healthy FROM m GROUP BY dataset),
+o AS (SELECT g.*, nv, theta, CASE WHEN n_healthy < 30 THEN 'too few healthy runs' WHEN theta IS NULL OR theta <= 0 THEN 'degenerate threshold' END AS refused
+  FROM g LEFT JOIN th USING (dataset))
+SELECT dataset, n_healthy, nv AS n_val, refused, n_healthy < 80 AS warn, CASE WHEN refused IS NULL THEN round(theta, 6) END AS theta FROM o""", "maxima").replace("\n\n,", ",", 1))
 def _(spark, d):
     """Per corpus: refusal under 30 healthy runs, warning under 80, threshold."""
     m = base.maxima(spark, d).filter("monitor = 'cusum' AND is_healthy")
