@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.sources import sinks
+
 
 def _words(text: str):
     return F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
@@ -41,13 +43,20 @@ def score(fit_docs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFram
     Pairs are counted per text first, so a repeated pair is joined once; the
     unigram counts are joined to the distinct pairs, not to the texts.
     """
-    uni, bi, tot = fit(fit_docs, text)
     d = docs.select(key, _words(text).alias("ws"))
     mine = d.select(key, F.explode(_pairs("ws")).alias("p")).groupBy(key, "p.w1", "p.w2").agg(
         F.count(F.lit(1)).alias("k"))
-    kinds = mine.select("w1", "w2").distinct()
-    p = kinds.join(bi, ["w1", "w2"], "left") \
-        .join(uni.select(F.col("w").alias("w1"), F.col("c").alias("c1")), "w1", "left") \
+    if fit_docs is docs:
+        # the texts are their own corpus: one table of pairs per text gives the corpus counts and the scores
+        mine = sinks.materialize(mine, "pair_counts")
+        uni = d.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+        uni = sinks.materialize(uni, "word_counts")
+        kinds = mine.groupBy("w1", "w2").agg(F.sum("k").alias("cb"))
+        tot = uni.agg(F.sum("c").alias("tu"), F.count(F.lit(1)).alias("v")).crossJoin(mine.agg(F.sum("k").alias("tb")))
+    else:
+        uni, bi, tot = fit(fit_docs, text)
+        kinds = mine.select("w1", "w2").distinct().join(bi, ["w1", "w2"], "left")
+    p = kinds.join(uni.select(F.col("w").alias("w1"), F.col("c").alias("c1")), "w1", "left") \
         .join(uni.select(F.col("w").alias("w2"), F.col("c").alias("c2")), "w2", "left") \
         .crossJoin(F.broadcast(tot))
     n = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.lit(1.0)
