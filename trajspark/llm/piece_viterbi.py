@@ -90,13 +90,17 @@ class PieceModel:
         ends = any("\n" in self.text[i] for i in plain)
         self.cut = re.compile(r"[\s\S]+" if inside else rf"{SPACE}*[^{SPACE}]+|{SPACE}+" if ends else
                               rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+").findall
+        self.kept: dict[str, bytes] = {}
+
+    @functools.cached_property
+    def lookup(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted hashes of the pieces and their ids; made when something is encoded, decoding needs none."""
         if self.kind == BPE:
             self._merge_order()
         keys = np.concatenate([self._hashes(np.array([[ord(c) for c in self.text[i]]], np.uint64), 0, len(self.text[i]))
                                for i in self.plain])
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(self.plain)[order]
-        self.kept: dict[str, bytes] = {}
+        return keys[order], np.array(self.plain)[order]
 
     # --- BPE: which neighbours stay apart
 
@@ -185,6 +189,7 @@ class PieceModel:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).astype(np.uint64)
         n = len(words)
         none = len(self.text)
+        keys, ids_of = self.lookup
         found = np.full((length, min(length, self.longest), n), -1, np.int32)  # by start and length
         for i in range(length):
             h = np.zeros(n, np.uint64)
@@ -192,8 +197,8 @@ class PieceModel:
                 h = (h ^ codes[:, i + size - 1]) * _BASE
                 h ^= h >> np.uint64(29)
                 key = h ^ np.uint64(size)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                found[i, size - 1] = np.where(self.keys[at] == key, self.ids[at], -1)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                found[i, size - 1] = np.where(keys[at] == key, ids_of[at], -1)
         best = np.full((length + 1, n), -np.inf, np.float32)
         best[0] = 0
         start = np.zeros((length + 1, n), np.int32)
