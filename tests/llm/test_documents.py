@@ -165,6 +165,53 @@ def test_line_dedup(spark):
     assert line_align.drop_repeated_lines(frame(spark, []).limit(0)).count() == 0
 
 
+def common_blocks(a, b, least=40):
+    """Positions of b in any run of lines common with a, of enough characters."""
+    out = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(map(len, b[j:j + n])) >= least:
+                out.update(range(j, j + n))
+    return out
+
+
+def all_pairs(texts):
+    """Deleted lines by document, from every pair of an earlier and a later one."""
+    cut = {d: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for d, t in texts.items()}
+    return {d: sorted(set().union(*(common_blocks(cut[e], cut[d]) for e in cut if e < d))) for d in cut}
+
+
+def check_against_all_pairs(spark, texts):
+    rows = [(d, t, "r", 1) for d, t in texts.items()]
+    got = {r.doc_id: r for r in line_align.repeated_lines(frame(spark, rows)).collect()}
+    for d, lines in all_pairs(texts).items():
+        if d in got and got[d].copy_of is not None:
+            assert texts[got[d].copy_of] == texts[d] and got[d].copy_of < d
+        else:
+            assert (list(got[d].lines) if d in got else []) == lines, d
+    return got
+
+
+def test_line_dedup_owner_with_the_line_twice_crossing_and_split_owners(spark):
+    p, q = "P is a passage of more than forty characters, say.", "Q is another passage of more than forty characters."
+    twice = {1: f"head\n{p}\nmiddle\n{p}\nfoot"} | {k: f"own {k}\n{p}\nend {k}" for k in range(2, 30)}
+    assert all(check_against_all_pairs(spark, twice)[k].lines == [1] for k in range(2, 30))
+    check_against_all_pairs(spark, {1: f"a\n{q}\nb\n{p}\nc", 2: f"d\n{p}\ne", 3: f"f\n{p}\ng\n{q}\nh"})
+    split = {1: f"x\n{p}\ny", 2: f"z\n{q}\nw", 3: f"one\nverse\n{p}\nverse\n{q}\nthree", 4: f"u\nverse\n{p}\nverse\n{q}\nv"}
+    assert check_against_all_pairs(spark, split)[4].lines == [1, 2, 3, 4]
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rng = random.Random(11)
+    lines = ["", "  ", *("s%d" % k for k in range(4)), *(f"a line of twenty and {k}" for k in range(4)),
+             *(f"a line that alone is long enough to be a block {k}" for k in range(4))]
+    texts = {k: "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14))) for k in range(90)}
+    check_against_all_pairs(spark, texts)
+
+
 def test_line_dedup_of_many_sharers(spark):
     shared = "A passage line that very many documents carry in the same form, over forty characters."
     rows = [(k, f"own {k} words of this document\n{shared}\nlast {k}", "r", 1) for k in range(300)]

@@ -1,21 +1,26 @@
 """Line deduplication by pairwise alignment (operator 2).
 
-Documents that share a rare line are aligned by patience diff: lines that occur
+Documents that share a passage are aligned by patience diff: lines that occur
 once in each of the two, in their longest common order, are anchors, the stretches
 between anchors are aligned the same way, and equal lines next to anchors join
-them.  Common blocks of some size are deleted from the later document.
-
-A line is rare if it is long enough to tell documents apart, or occurs in few
-documents.  For each rare line a document is paired with the first document that
-has it, so the pairs grow with the lines, not with the square of a line's copies,
-and every repeat of a line still meets its first occurrence.  Equal documents
-are one class: only the first goes through alignment, the copies lose all lines.
+them.  Common blocks of some size are deleted from the later document.  Passages
+that one common order cannot hold (moved, or repeated in either document) are
+looked up by their windows afterwards.
+
+A window is the shortest run of lines, from a line on or up to a line, that has
+the characters a block needs; a line of that length is its own window.  Every line
+of a common block lies in a window of both documents.  For each window a document
+is paired with the first document that has it, so the pairs grow with the lines,
+not with the square of a passage's copies, and what is deleted is what all pairs
+together would delete.  Equal documents are one class: only the first goes through
+alignment, the copies lose all lines.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -76,15 +81,55 @@ def patience(a: list, b: list) -> list[tuple[int, int, int]]:
     return out
 
 
-def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", long_chars: int = 40,
-                   rare_docs: int = 8, min_chars: int = 40) -> DataFrame:
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def windows(marks: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, min_chars: int):
+    """``(start, end, key, chars)`` of all windows; ``first``, ``last``: bounds of each line's document.
+
+    The key is a hash of the lines' hashes in order, the same at every place.
+    """
+    n = len(marks)
+    chars = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at = np.arange(n)
+    ends = np.searchsorted(chars, chars[:-1] + min_chars)
+    fits = ends <= last
+    ahead = np.where(fits, ends, 0)
+    starts = np.searchsorted(chars, chars[1:] - min_chars, "right") - 1
+    back = starts >= first
+    back[back] = ahead[starts[back]] != at[back] + 1   # else met already
+    start, end = np.concatenate([at[fits], starts[back]]), np.concatenate([ends[fits], at[back] + 1])
+    power = lambda base: np.cumprod(np.where(np.arange(n + 1), np.uint64(base), np.uint64(1)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(marks.view(np.uint64) * power(_BASE)[:n])])
+    key = ((sums[end] - sums[start]) * power(_BACK)[start]).view(np.int64)
+    return start, end, key, chars[end] - chars[start]
+
+
+def moved(a: list, b: list, sizes: list, gone: set, min_chars: int) -> set:
+    """Lines of ``b`` in blocks common with ``a`` that an alignment in one order left out."""
+    known = set(a)
+    if not any(n and k not in gone and b[k] in known for k, n in enumerate(sizes)):
+        return set()
+    of = dict(zip(b, sizes))
+
+    def cut(lines, chars):
+        n = len(lines)
+        return windows(np.array(lines, np.int64), np.array(chars, np.int64), np.zeros(n, int), np.full(n, n), min_chars)
+
+    _, _, key, chars = cut(a, [of.get(x, min_chars) for x in a])
+    have = set(zip(key.tolist(), chars.tolist()))
+    return {k for i, j, *w in zip(*(x.tolist() for x in cut(b, sizes))) if tuple(w) in have for k in range(i, j)} - gone
+
+
+def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
     """``doc_id, copy_of, lines``: what each document repeats of earlier ones.
 
     ``copy_of``: the smallest id with an equal text (then all lines go), else null.
-    ``lines``: positions (from 0) of lines in aligned common blocks of at least
-    ``min_chars`` characters.  Lines are compared without white space at their ends;
-    blank lines are rare to nobody, but go with a block they stand in.  Lines that
-    are shorter than ``long_chars`` count as rare in up to ``rare_docs`` documents.
+    ``lines``: positions (from 0) of lines in blocks of at least ``min_chars``
+    characters that an earlier document has, at any number of sharers.  Lines are
+    compared without white space at their ends; blank lines go with a block they
+    stand in.
 
     Null texts and rows without an id take no part; rows that share an id are one
     document, of which the first text in hash order counts.  Documents that repeat
@@ -105,11 +150,22 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                                                        F.any_value("sizes").alias("sizes"))
                       .groupBy("doc").agg(F.min(F.struct("mark", "whole", "marks", "sizes")).alias("s"))
                       .select("doc", "s.marks", "s.sizes"), "line-classes")
-    line = classes.select("doc", F.explode(F.array_distinct(F.arrays_zip("marks", "sizes"))).alias("z")).select(
-        "doc", F.col("z.marks").alias("line"), F.col("z.sizes").alias("size")).where("size > 0")
-    owner = line.groupBy("line", "size").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("docs")).where(
-        f"docs > 1 AND (size >= {int(long_chars)} OR docs <= {int(rare_docs)})")
-    pairs = line.join(owner, ["line", "size"]).where("owner < doc").select("owner", "doc").distinct()
+
+    def cut(batches):
+        for part in slices(batches, 1024):
+            marks, sizes = part.column("marks"), part.column("sizes")
+            lines = np.diff(marks.offsets.to_numpy())
+            end = np.cumsum(lines)
+            start, _, key, chars = windows(marks.flatten().to_numpy(zero_copy_only=False), sizes.flatten().to_numpy(zero_copy_only=False),
+                                           np.repeat(end - lines, lines), np.repeat(end, lines), min_chars)
+            doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), lines)[start]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(chars, pa.int64())],
+                                             names=["doc", "passage", "chars"])
+
+    window = classes.mapInArrow(cut, "doc long, passage long, chars long")
+    owner = window.groupBy("passage", "chars").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where(
+        "owner < last").drop("last")
+    pairs = window.join(owner, ["passage", "chars"]).where("owner < doc").select("owner", "doc").distinct()
     a = classes.select(F.col("doc").alias("owner"), F.col("marks").alias("a"))
     pairs = pairs.join(a, "owner").join(classes, "doc").select("doc", "a", F.col("marks").alias("b"), "sizes")
 
@@ -117,10 +173,11 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for part in slices(batches):
             doc, out = [], []
             for d, x, y, sizes in zip(*(part.column(c).to_pylist() for c in ("doc", "a", "b", "sizes"))):
-                gone = [k for _, j, n in patience(x, y) if sum(sizes[j:j + n]) >= min_chars for k in range(j, j + n)]
+                gone = {k for _, j, n in patience(x, y) if sum(sizes[j:j + n]) >= min_chars for k in range(j, j + n)}
+                gone |= moved(x, y, sizes, gone, min_chars)
                 if gone:
                     doc.append(d)
-                    out.append(gone)
+                    out.append(sorted(gone))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(out, pa.list_(pa.int32()))],
                                              names=["doc", "lines"])
 
