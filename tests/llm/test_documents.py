@@ -219,6 +219,14 @@ def test_line_dedup_of_many_sharers(spark):
     assert sum(shared in r.text for r in got) == 1 and all(r.n_deleted == (r.doc_id > 0) for r in got)
 
 
+def test_line_dedup_of_short_lines_that_many_share(spark):
+    verse = "\n".join(f"short verse {k} of ten" for k in range(10))
+    for sharers in (8, 9, 40):
+        rows = [(k, f"own {k}\n{verse}\nlast {k}", "r", 1) for k in range(sharers)]
+        got = line_align.drop_repeated_lines(frame(spark, rows)).collect()
+        assert all(r.n_deleted == (10 if r.doc_id else 0) for r in got)
+
+
 def test_hash_of_windows_is_stable():
     a, b = chosen_path.shingle_sets(["A b c d e f", "x\n" * 3 + "a B  c d\te f"], 5)
     assert len(np.intersect1d(a, b)) == 2 and len(a) == 2
