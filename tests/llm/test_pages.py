@@ -74,6 +74,24 @@ def test_main_text_without_article_elements():
     assert X.main_text(page(8, body(8)), known) == "Story 8 with some words.\nMore of 8."
 
 
+def test_main_text_where_the_wrapper_saw_nothing():
+    body = lambda k, lead="", mid="": (f"<div class='content'>{lead}<h1>T{k}</h1>" + f"<p>para {k} of the story</p>" * (k % 3 + 2)
+                                       + mid + f"<p>last {k}</p></div>")
+    known = X.learn_host([page(k, body(k)) for k in range(12)])
+    html = page(20, body(20, "<p>Lead before the title.</p>", "<div>a quote</div><p>after the quote</p>"))
+    assert X.main_text(html, known) == X.main_text(html, None)
+    assert {"Lead before the title.", "a quote", "after the quote", "last 20"} <= set(X.main_text(html, known).split("\n"))
+
+
+def test_main_text_counts_all_pages_of_a_host(spark):
+    more = lambda k, plain: f"<a href='/'>x</a> more text of {k}" if k in plain else f"<a href='/'>elsewhere {k}</a> tail"
+    body = lambda k, plain: f"<div class='content'><p>Story {k}.</p></div><div class='box'><p>{more(k, plain)}</p></div>"
+    for plain, kept in (((17,), ()), ((17, 41), (17, 41))):
+        rows = [(k, "http://h/x", page(k, body(k, plain))) for k in range(60)]
+        got = X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {k: f"Story {k}." + (f"\nx more text of {k}" if k in kept else "") for k in range(60)}
+
+
 def test_extract_handles_odd_rows(spark):
     rows = [(i, f"http://h{i % 2}/x", page(i, f"<article><p>a{i}</p></article>"), "t") for i in range(8)]
     rows += [(None, None, "plain text", "t"), (20, "no url", None, "t"), (21, "http://h0/", "", "t"), (1, *rows[1][1:])]

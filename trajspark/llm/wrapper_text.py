@@ -5,15 +5,19 @@ wrapper is inferred, a regular expression without unions over tags and text: the
 first page is the first wrapper, neighbouring equal groups fold into repeats, and
 each further page is aligned with the wrapper; text that differs becomes a slot,
 what only one side has becomes optional, what recurs becomes a repeat.  The tags
-that every page must have, in order, are the wrapper's landmarks.  The stretches
-between landmarks are judged once per host, main text or not, and every page of
-the host is cut at the landmarks.  Pages that do not fit their wrapper are judged
-by the same rules on their own.
+that every page must have, in order, are the wrapper's landmarks.  All pages of
+the host are cut at the landmarks, and what stands in each stretch is counted over
+all of them: a kind of container that is boilerplate in a stretch on several pages
+and main text on no other is none of the article, and neither is a constant of the
+wrapper that stands apart from the varying text.  Where nothing was seen, a page's
+own judgement holds; pages that do not fit their wrapper are judged by the same
+rules on their own.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
@@ -42,6 +46,8 @@ ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement banner breadcru
                         "popup promo promoted related reply replies sidebar share sharing social sponsor sponsored subscribe "
                         "toolbar widget widgets contentinfo complementary search".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that hold parts of a page; lists, tables and paragraphs belong to the one around them.
+BOXES = frozenset("div section body article main aside nav header footer form".split())
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
@@ -63,11 +69,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
 
 class Piece:
-    """A stretch of text between tags: its block, whether an aside or article holds it, links, landmark index."""
-    __slots__ = ("text", "block", "aside", "article", "link", "at")
+    """A stretch of text between tags: its block, whether an aside or article holds it, links, landmark index, container."""
+    __slots__ = ("text", "block", "aside", "article", "link", "at", "box", "kind")
 
-    def __init__(self, text, block, aside, article, link, at):
+    def __init__(self, text, block, aside, article, link, at, box, kind):
         self.text, self.block, self.aside, self.article, self.link, self.at = text, block, aside, article, link, at
+        self.box, self.kind = box, kind
 
 
 def pieces(page: str) -> tuple[list[Piece], list[str]]:
@@ -76,17 +83,25 @@ def pieces(page: str) -> tuple[list[Piece], list[str]]:
     block = link = 0
     asides: list[tuple[str, int]] = []   # open asides: element, elements of that name open inside
     articles = headers = 0
+    boxes: list[tuple[str, int, str]] = [("", 0, "")]   # open containers: element, place in the stream, tag
     for name, mark, aside in tokens(page):
         if not name:
             text = html.unescape(mark)
             if text.strip():
-                out.append(Piece(text, block, bool(asides) or bool(headers and not articles), articles > 0, link > 0, len(stream)))
+                out.append(Piece(text, block, bool(asides) or bool(headers and not articles), articles > 0, link > 0, len(stream),
+                                 *boxes[-1][1:]))
                 stream.append("#" + " ".join(text.split()))
             elif out and out[-1].block == block:
                 out[-1].text += " "
             continue
         stream.append(mark)
         base = name.lstrip("/")
+        if base in BOXES:
+            if name[0] != "/":
+                boxes.append((name, len(stream), mark))
+            elif any(b[0] == base for b in boxes):
+                while boxes.pop()[0] != base:
+                    pass
         if base not in INLINE:
             block += 1
         elif name == "br" and out and out[-1].block == block:
@@ -223,22 +238,71 @@ def _main(ps: list[Piece]) -> list[bool]:
     return [not p.aside and size[p.block][1] * 2 <= size[p.block][0] for p in ps]
 
 
+def learn_wrapper(pages: list[str]) -> dict:
+    """Wrapper, landmarks and constants with the stretch between landmarks they stand in."""
+    wrapper = infer([pieces(p)[1] for p in pages])
+    constants, k = [], 0
+    for n in wrapper:
+        if isinstance(n, str):
+            k += 1
+        elif n is not None and n[0] == "#":
+            constants.append([k, n[1][1:]])
+    return {"wrapper": expression(wrapper), "marks": landmarks(wrapper), "constants": constants}
+
+
+def _placed(ps: list[Piece], cuts: list[int]) -> list[tuple[int, str]]:
+    return [(_where(p.at, cuts), " ".join(p.text.split())) for p in ps]
+
+
+def tally(page: str, known: dict) -> dict[tuple[str, int, str], tuple[int, int]]:
+    """What one page tells of its host; nothing if it does not fit.
+
+    ``("page", 0, "")``: 1; ``("stream", 0, hash)``: 1; ``("box", stretch, tag of the
+    container)``: holds other text, main text; ``("constant", stretch, text)``: is
+    there, with main text that is no constant in its container.
+    """
+    ps, stream = pieces(page)
+    cuts = cut(stream, known["marks"])
+    if cuts is None:
+        return {}
+    constants, main, placed = set(map(tuple, known["constants"])), _main(ps), _placed(ps, cuts)
+    varied = {p.box for p, m, at in zip(ps, main, placed) if m and at not in constants}
+    out = {("page", 0, ""): (1, 0), ("stream", 0, hashlib.md5("\0".join(stream).encode("utf-8", "replace")).hexdigest()): (1, 0)}
+    for p, m, at in zip(ps, main, placed):
+        k = ("box", at[0], p.kind)
+        other, inside = out.get(k, (0, 0))
+        out[k] = (max(other, int(not m)), max(inside, int(m)))
+        if at in constants:
+            k = ("constant", *at)
+            out[k] = (1, max(out.get(k, (0, 0))[1], int(m and p.box in varied)))
+    return out
+
+
+#: Pages that show a container as boilerplate, and different pages that show a constant, before either counts.
+SEVERAL, DIFFERENT = 3, 4
+
+
+def judge(known: dict, pages: int, streams: int, counts: Iterable[tuple[str, int, str, int, int]]) -> dict:
+    """The wrapper with what the sums of all pages' tallies say of it."""
+    veto, constant = [], []
+    for kind, at, name, x, y in counts:
+        # a page that asks has main text there itself, so 1 is no other page
+        if kind == "box" and x >= SEVERAL and y <= 1:
+            veto.append([at, name])
+        elif kind == "constant" and streams >= DIFFERENT and x * 10 >= pages * 9:
+            constant.append((at, name, y * 10 <= x))
+    return {"wrapper": known["wrapper"], "marks": known["marks"], "veto": sorted(veto), "fixed": sorted({c[1] for c in constant}),
+            "apart": sorted([at, name] for at, name, apart in constant if apart)}
+
+
 def learn_host(pages: list[str]) -> dict:
-    """Wrapper, landmarks and, per stretch between them, whether it is main text; and the template's fixed strings."""
-    parsed = [pieces(p) for p in pages]
-    wrapper = infer([s for _, s in parsed])
-    marks = landmarks(wrapper)
-    votes = [[0, 0] for _ in range(len(marks) + 1)]
-    for ps, stream in parsed:
-        cuts = cut(stream, marks)
-        if cuts is None:
-            continue
-        for p, main in zip(ps, _main(ps)):
-            votes[_where(p.at, cuts)][main] += len(p.text)
-    fixed = []
-    if len({tuple(s) for _, s in parsed}) >= 4:
-        fixed = sorted({n[1][1:] for n in wrapper if isinstance(n, tuple) and n[0] == "#"})
-    return {"wrapper": expression(wrapper), "marks": marks, "main": [v[1] > 0 for v in votes], "fixed": fixed}
+    """Wrapper, landmarks, containers that are boilerplate, and the template's fixed strings, from all pages of a host."""
+    known, sums = learn_wrapper(pages), {}
+    for p in pages:
+        for k, (x, y) in tally(p, known).items():
+            a, b = sums.get(k, (0, 0))
+            sums[k] = (a + x, b + y)
+    return judge(known, sums.get(("page", 0, ""), (0, 0))[0], sum(k[0] == "stream" for k in sums), [(*k, *v) for k, v in sums.items()])
 
 
 def main_text(page: str | None, known: dict | None) -> str:
@@ -249,10 +313,12 @@ def main_text(page: str | None, known: dict | None) -> str:
     keep = _main(ps)
     cuts = cut(stream, known["marks"]) if known and known["marks"] else None
     if cuts is not None:
-        fixed = known["fixed"]
-        # outside article elements, a stretch that never held main text holds none here, and a fixed string is the template's
-        keep = [k and (p.article or known["main"][_where(p.at, cuts)] and " ".join(p.text.split()) not in fixed)
-                for p, k in zip(ps, keep)]
+        placed, veto, apart = _placed(ps, cuts), set(map(tuple, known["veto"])), set(map(tuple, known["apart"]))
+        # outside article elements, a container that is boilerplate on all other pages is so here
+        keep = [k and (p.article or (at[0], p.kind) not in veto) for p, k, at in zip(ps, keep, placed)]
+        # and a fixed string in its place is the template's, unless text that varies stands beside it
+        varied = {p.box for p, k, at in zip(ps, keep, placed) if k and at not in apart}
+        keep = [k and (p.article or at not in apart or p.box in varied) for p, k, at in zip(ps, keep, placed)]
     blocks: dict[int, list[str]] = {}
     for p, k in zip(ps, keep):
         if k:
@@ -272,7 +338,7 @@ def _host(url):
 
 def host_wrappers(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   sample: int = 12) -> DataFrame:
-    """``host, n_pages, learned`` (JSON) from at most ``sample`` pages a host, those with the smallest hash of their id.
+    """``host, n_pages, learned`` (JSON): wrappers of at most ``sample`` pages a host, those with the smallest hash of their id.
 
     Pages without html are left out; pages without a host share one wrapper.
     """
@@ -285,11 +351,74 @@ def host_wrappers(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     def run(key, table):
         own = table.sort_by([("k", "ascending")]).column("html").to_pylist()
         return pa.table({"host": [key[0].as_py()], "n_pages": pa.array([len(own)], pa.int64()),
-                         "learned": [json.dumps(learn_host(own), ensure_ascii=False)]})
+                         "learned": [json.dumps(learn_wrapper(own), ensure_ascii=False)]})
 
     return picked.select("host", "k", "html").groupBy("host").applyInArrow(run, "host string, n_pages long, learned string")
 
 
+_TALLIES = pa.schema([("host", pa.string()), ("kind", pa.string()), ("at", pa.int32()), ("name", pa.string()),
+                      ("x", pa.int64()), ("y", pa.int64())])
+
+
+def _with_learned(pages: DataFrame, known: DataFrame, *, id_col: str, url_col: str, html_col: str, how: str) -> DataFrame:
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
+                        F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", _host(F.col("url")))
+    return rows.join(known.select(F.col("host").alias("of"), "learned"), F.col("host") == F.col("of"), how)
+
+
+def host_judgements(pages: DataFrame, wrappers: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
+                    html_col: str = "html") -> DataFrame:
+    """``host, learned`` (JSON): the wrappers judged by all pages of each host."""
+    joined = _with_learned(pages, wrappers, id_col=id_col, url_col=url_col, html_col=html_col, how="inner").where(
+        F.length("html") > 0).select("host", "html", "learned")
+
+    def count(batches):
+        sums: dict = {}
+        streams: dict = {}
+
+        def rest():
+            rows = Rows(_TALLIES)
+            for (host, *k), (x, y) in sums.items():
+                rows.add(host, *k, x, y)
+                if rows.ready():
+                    yield rows.take()
+            yield from rows.rest()
+            sums.clear()
+            streams.clear()
+
+        for part in slices(batches):
+            for host, raw, learned in zip(*(c.to_pylist() for c in part.columns)):
+                for k, (x, y) in tally(raw, _known(learned)).items():
+                    if k[0] == "stream":   # whether there are so many is all that is asked
+                        met = streams.setdefault(host, set())
+                        if len(met) >= DIFFERENT:
+                            continue
+                        met.add(k)
+                    a, b = sums.get((host, *k), (0, 0))
+                    sums[(host, *k)] = (a + x, b + y)
+            if len(sums) > 50_000:
+                yield from rest()
+        yield from rest()
+
+    counts = joined.mapInArrow(count, "host string, kind string, at int, name string, x long, y long").groupBy(
+        "host", "kind", "at", "name").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    useful = F.when((F.col("kind") == "constant") | (F.col("kind") == "box") & (F.col("x") >= SEVERAL) & (F.col("y") <= 1),
+                    F.struct("kind", "at", "name", "x", "y"))
+    sums = counts.groupBy("host").agg(F.sum(F.when(F.col("kind") == "page", F.col("x"))).alias("pages"),
+                                      F.count(F.when(F.col("kind") == "stream", 1)).alias("streams"),
+                                      F.to_json(F.collect_list(useful)).alias("counts"))
+
+    def run(batches):
+        for part in slices(batches):
+            out = []
+            for raw, n, streams, counts in zip(*(part.column(c).to_pylist() for c in ("learned", "pages", "streams", "counts"))):
+                rows = [(c["kind"], c["at"], c["name"], c["x"], c["y"]) for c in json.loads(counts or "[]")]
+                out.append(json.dumps(judge(json.loads(raw), n or 0, streams or 0, rows), ensure_ascii=False))
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(out, pa.string())], names=["host", "learned"])
+
+    return wrappers.select("host", "learned").join(sums, "host", "left").mapInArrow(run, "host string, learned string")
+
+
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
@@ -303,11 +432,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     an empty table gives no rows; other columns are not read; pages of any length
     are read whole.
     """
-    known = written(host_wrappers(pages, id_col=id_col, url_col=url_col, html_col=html_col, sample=sample),
-                    "wrappers").select(F.col("host").alias("of"), "learned")
-    rows_in = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
-                           F.col(f"`{html_col}`").cast("string").alias("html")).withColumn("host", _host(F.col("url")))
-    joined = rows_in.join(known, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "learned")
+    columns = {"id_col": id_col, "url_col": url_col, "html_col": html_col}
+    wrappers = written(host_wrappers(pages, sample=sample, **columns), "wrappers")
+    known = written(host_judgements(pages, wrappers, **columns), "judged-wrappers")
+    joined = _with_learned(pages, known, how="left", **columns).select("page_id", "url", "html", "learned")
 
     def run(batches):
         rows = Rows(_TEXTS)
