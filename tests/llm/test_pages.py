@@ -92,6 +92,19 @@ def test_main_text_counts_all_pages_of_a_host(spark):
         assert {r.page_id: r.text for r in got} == {k: f"Story {k}." + (f"\nx more text of {k}" if k in kept else "") for k in range(60)}
 
 
+def test_main_text_keeps_constants_of_the_article(spark):
+    body = lambda k: (f"<div class='content'><h2>Ingredients</h2><ul><li>{k} eggs</li></ul><p>By <b>Ann {k}</b> and <i>Bo {k}</i></p>"
+                      f"<h2>Summary</h2><p>Dish {k}.</p></div><div><p>All rights reserved</p></div>")
+    text = lambda k: f"Ingredients\n{k} eggs\nBy Ann {k} and Bo {k}\nSummary\nDish {k}."
+    for n in (5, 40):
+        rows = [(k, "http://h/x", page(k, body(k))) for k in range(n)]
+        got = X.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {k: text(k) for k in range(n)}
+    known = X.learn_host([page(k, body(k)) for k in range(6)])
+    odd = page(7, body(7).replace("eggs</li>", "eggs</li><li>All rights reserved</li>"))
+    assert X.main_text(odd, known) == text(7).replace("eggs", "eggs\nAll rights reserved")
+
+
 def test_extract_handles_odd_rows(spark):
     rows = [(i, f"http://h{i % 2}/x", page(i, f"<article><p>a{i}</p></article>"), "t") for i in range(8)]
     rows += [(None, None, "plain text", "t"), (20, "no url", None, "t"), (21, "http://h0/", "", "t"), (1, *rows[1][1:])]
