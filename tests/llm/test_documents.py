@@ -83,6 +83,22 @@ def test_quality_counts_and_rules(spark):
     assert decision_list.learn(docs, none) == [] and decision_list.judged(docs.limit(0), []).count() == 0
 
 
+def test_rules_find_rare_junk_beside_a_weak_signal(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6)))
+    rows, labels = [], []
+    for k in range(1500):
+        bad, junk = k % 2 == 0, k % 72 == 0   # junk: 21 of 750 bad rows
+        long = rng.random() < (0.6 if bad else 0.3)
+        rows.append((k, " ".join(word() + ("##" if junk else "") for _ in range(rng.randint(60, 66) + 10 * long)), "r", 1))
+        labels.append((k, int(not bad)))
+    docs = frame(spark, rows)
+    rules = decision_list.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert all(r.bad >= 0.9 * (r.bad + r.good) for r in rules)
+    kept = {r.doc_id for r in decision_list.judged(docs, rules).where("kept").collect()}
+    assert not any(k % 72 == 0 for k in kept) and sum(k % 2 for k in kept) > 700
+
+
 def shingles(text, n=5):
     w = [x for x in re.split(r"[ \t-\r]+", (text or "").lower()) if x]
     k = min(n, len(w))

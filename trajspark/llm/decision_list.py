@@ -81,6 +81,10 @@ def base_failed(stats: Column) -> Column:
     return (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
 
 
+#: Places in each class beside the even quantiles: rare kinds of junk lie beyond those.
+TAILS = (0.0, 0.001, 0.005, 0.01, 0.99, 0.995, 0.999, 1.0)
+
+
 @dataclass(frozen=True)
 class Rule:
     """All of (statistic, above?, threshold) hold: reject.  ``bad`` and ``good``: pruning rows it covered."""
@@ -110,7 +114,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Fits on at most ``fit_rows`` labelled documents, those with the smallest hash
     of their id; labels that are null or have no id or no document are left out.
-    Without labelled documents of both kinds there are no rules.
+    Without labelled documents of both kinds there are no rules.  Where the rule
+    that gains most is not precise, the best of all rules of one term takes its place.
     """
     picked = (labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__y"))
               .where(F.col("__id").isNotNull() & F.col("__y").isNotNull())
@@ -121,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = written(measured(labelled, "__text").select(
         (F.col("__y") == 0).alias("bad"), (F.pmod(F.xxhash64("__id", F.lit("part")), F.lit(3)) == 0).alias("held"),
         base_failed(s).alias("short"), *(s[k].alias(k) for k in STATISTICS)).repartition(4), "labelled").where(~F.col("short"))
-    marks = rows.groupBy("bad").agg(*(F.percentile_approx(k, [(i + 0.5) / cuts for i in range(cuts)], 1000).alias(k)
+    marks = rows.groupBy("bad").agg(*(F.percentile_approx(k, sorted({*((i + 0.5) / cuts for i in range(cuts)), *TAILS}), fit_rows).alias(k)
                                       for k in STATISTICS)).collect()
     if len(marks) < 2:
         return []
@@ -148,19 +153,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             terms.append(best[0])
             if not best[1]:
                 break
-        if not terms:
-            break
-        # prune: the shortest beginning that is worth most on the rows held back
-        counts = rows.where(F.col("held") & left).agg(*(
-            F.count(F.when(holds(terms[:k]) & (F.col("bad") == b), 1)).alias(f"{'bad' if b else 'good'}{k}")
-            for k in range(1, len(terms) + 1) for b in (True, False))).first()
-        worth = [((p - n) / (p + n) if p + n else -1.0, -k) for k in range(1, len(terms) + 1)
-                 for p, n in [(counts[f"bad{k}"], counts[f"good{k}"])]]
-        k = -max(worth)[1]
-        bad, good = counts[f"bad{k}"], counts[f"good{k}"]
+        bad = good = 0
+        if terms:
+            # prune: the shortest beginning that is worth most on the rows held back
+            counts = rows.where(F.col("held") & left).agg(*(
+                F.count(F.when(holds(terms[:k]) & (F.col("bad") == b), 1)).alias(f"{'bad' if b else 'good'}{k}")
+                for k in range(1, len(terms) + 1) for b in (True, False))).first()
+            worth = [((p - n) / (p + n) if p + n else -1.0, -k) for k in range(1, len(terms) + 1)
+                     for p, n in [(counts[f"bad{k}"], counts[f"good{k}"])]]
+            k = -max(worth)[1]
+            bad, good, terms = counts[f"bad{k}"], counts[f"good{k}"], terms[:k]
         if bad < min_covered or bad < min_precision * (bad + good):
-            break
-        terms = terms[:k]
+            single = _precise_term(rows.where(left), min_precision, min_covered)
+            if single is None:
+                break
+            terms, bad, good = [single[0]], *single[1:]
         rules.append(Rule(tuple((STATISTICS[f], above, float(at[STATISTICS[f]][i])) for f, above, i in terms), bad, good))
         left = left & ~holds(terms)
     return rules
@@ -189,6 +196,24 @@ def _best_term(rows: DataFrame) -> tuple[tuple[int, bool, int], int] | None:
     return None if best[1] is None else best[1:]
 
 
+def _precise_term(rows: DataFrame, min_precision: float, min_covered: int) -> tuple[tuple[int, bool, int], int, int] | None:
+    """Of all thresholds that are precise on the rows held back and on the others, the one that covers most
+    bad rows; and the bad and good rows held back that it covers."""
+    table: dict[int, dict[int, list[int]]] = {}
+    for k, b, j, n in (rows.select((F.col("held").cast("int") * 2 + F.col("bad").cast("int")).alias("j"), F.posexplode("bins").alias("k", "b"))
+                       .groupBy("k", "b", "j").agg(F.count(F.lit(1)).alias("n")).select("k", "b", "j", "n").collect()):
+        table.setdefault(k, {}).setdefault(b, [0] * 4)[j] += n
+    best = (0, 0, None)
+    for k in sorted(table):
+        every, upto = [sum(v[j] for v in table[k].values()) for j in range(4)], [0] * 4
+        for b in sorted(table[k])[:-1]:
+            upto = [upto[j] + table[k][b][j] for j in range(4)]
+            for above, n in ((True, [every[j] - upto[j] for j in range(4)]), (False, upto)):
+                if n[3] >= min_covered and all(n[j + 1] >= min_precision * (n[j] + n[j + 1]) for j in (0, 2)):
+                    best = max(best, (n[1] + n[3], -n[0] - n[2], ((k, above, b), n[3], n[2])), key=lambda x: x[:2])
+    return best[2]
+
+
 def judged(docs: DataFrame, rules: list[Rule], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``rule`` (first rule that rejects) and ``kept``, one row per row
     of ``docs``.  A null text counts as none; a null id stays null; an empty table gives no rows."""
