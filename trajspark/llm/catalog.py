@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from trajspark.llm import common, corpus_queries, manifest_queries, page_queries, token_queries  # noqa: F401
+from trajspark.llm import common, corpus_queries, manifest_queries, page_queries, token_queries, vector_queries  # noqa: F401
 
 
 def queries():
