@@ -4,19 +4,21 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from trajspark.llm import id_store, length_table, packing
 from trajspark.llm.bpe_tokens import encoder, vocabulary
 from trajspark.llm.common import new_folder
 
 PATH = vocabulary("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)  # as it is in the file: nothing set
 TEXTS = ["the cat sat on the mat", "a  b", " x", "x ", "a\tb c", "a\n\nb c", "\n", "x\n", "日本語 テスト", "don't I'll 12abc 3.14",
-         "<|endoftext|> hi", "a 　b", "𝒳 ok ​ z", "a\r\nb c", "a\x1c b", "soft­hyphen", "Ñandú ölçü ½ x²", "", None,
+         "<|endoftext|> hi", "a <|endoftext|> b", "a<|endoftext|>", "<|endoftext", "a 　b", "𝒳 ok ​ z", "a\r\nb c", "a\x1c b", "soft­hyphen", "Ñandú ölçü ½ x²", "", None,
          "word " * 3000, "x" * 5000]
 
 
 def want(text):
-    return np.array(encoder(PATH).whole.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+    return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,7 @@ def test_words_are_encoded_as_by_the_library():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="ab Z9.,'é\n\t ñ\U0001F600 ", max_size=30), max_size=4))
+@given(st.lists(st.text(alphabet="ab Z9.,'é\n\t ñ\U0001F600\0 ", max_size=30), max_size=4))
 def test_any_text(texts):
     assert encoder(PATH).encode_many(texts) == [want(t)[:-1].tobytes() for t in texts]
 
@@ -92,7 +94,12 @@ def test_packing_of_nothing(spark, docs):
 def test_elias_fano(values):
     values = sorted(values)
     e, end = id_store.EliasFano.load(id_store.EliasFano.of(np.array(values, np.int64)).dump())
-    assert e.all().tolist() == values
+    assert e.values(0, len(values)).tolist() == values
+    for first, last in ((0, 1), (3, 300), (255, 257), (256, 512), (500, 700), (40, 40)):
+        last = min(last, len(values))
+        assert e.values(first, last).tolist() == values[first:last]
+    for v in (-2**41, 0, *values[::50]):
+        assert e.rank(v) == sum(x < v for x in values)
     for i in range(0, len(values), 37):
         assert e.select(i) == values[i]
 
@@ -113,10 +120,40 @@ def test_store_round_trip(spark, docs):
         assert (r.start, r.n_tokens, r.ids) == (at, len(own), own.tobytes())
         at += len(own)
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [None, *sorted([*range(len(TEXTS)), 3])]
-    first = store.shards[0]
-    assert id_store.find(store, 0, first[2] - 1)[1] == first[3]
+    asked = spark.createDataFrame([(i, "x") for i in [*range(-2, len(TEXTS) + 3), None, 3, 3]], "doc_id long, shard string")
+    found = id_store.look_up(store, asked).collect()
+    every = sorted(((r.doc_id, r.start, r.n_tokens, r.ids) for r in rows if r.doc_id is not None))
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids) for r in found) == every
+    assert id_store.look_up(store, asked.limit(0)).count() == 0
     empty = id_store.write_store(docs.limit(0), PATH, new_folder(spark, "t"))
-    assert id_store.read_store(spark, empty).count() == 0
+    assert id_store.read_store(spark, empty).count() == 0 and id_store.look_up(empty, asked).count() == 0
+
+
+def test_large_shard_by_select(spark):
+    """Boundaries over more than one select sample, wide ids."""
+    rows = [(3 * i, "word " * (i % 5)) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store = id_store.write_store(docs, PATH, new_folder(spark, "t"), partitions=2, width=4)
+    got = {r.doc_id: r for r in id_store.read_store(spark, store).collect()}
+    at = 0
+    for i, t in rows:
+        assert (got[i].start, got[i].ids) == (at, want(t).tobytes())
+        at += len(want(t))
+    some = id_store.look_up(store, docs.where("doc_id % 7 = 0")).collect()
+    assert {r.doc_id: r for r in some} == {i: r for i, r in got.items() if i % 7 == 0}
+
+
+def test_full_tables_start_anew(monkeypatch):
+    from trajspark.llm import bpe_tokens
+    monkeypatch.setattr(bpe_tokens, "KEPT_WORDS", 50)
+    monkeypatch.setattr(bpe_tokens, "KEPT_PARTS", 20)
+    enc = bpe_tokens.WordEncoder(PATH)
+    for at in range(0, 2000, 100):
+        texts = [f"v{k} x{k % 70}, {k}\ny{k * k}" for k in range(at, at + 100)]
+        assert enc.encode_many(texts) == [want(t)[:-1].tobytes() for t in texts]
+    assert enc.words.n <= 450
+    plain = bpe_tokens.WordEncoder(PATH, special_as_text=True)
+    assert plain.encode("a <|endoftext|> b") != enc.encode("a <|endoftext|> b") == want("a <|endoftext|> b")[:-1].tobytes()
 
 
 def test_length_histogram(docs):

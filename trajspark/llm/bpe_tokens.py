@@ -1,11 +1,14 @@
 """Token ids of whole texts, word by word, with the tokenizers library.
 
 A byte-level BPE never joins letters over the start of a run of white space, so
-the ids of a text are the ids of its space-led words one after the other.  Words
-repeat: a bounded table keeps the ids of the words met first (the frequent ones),
-and the library's BPE model encodes the others.  Texts with unusual white space
-and words outside Latin script go to the library whole.  Ids equal
-``Tokenizer.encode(text, add_special_tokens=False).ids`` (tests compare them).
+the ids of a text are the ids of its words one after the other, each with the space
+or line feed before it.  A batch of texts becomes one array of bytes: words are
+found, hashed and looked up as arrays, and the ids of the batch are one gather
+from the table of words met so far.  Only words that the table lacks become Python
+strings; the library's BPE model encodes them.  Texts with unusual white space or
+with an added token of the vocabulary inside go to the library whole.  Ids equal
+``Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids`` (tests
+compare them).
 """
 
 from __future__ import annotations
@@ -16,12 +19,17 @@ import re
 
 import numpy as np
 
-#: Words, and parts of words, whose ids a worker keeps.
-KEPT_WORDS, KEPT_PARTS = 400_000, 300_000
+#: Words, and parts of words, whose ids a worker keeps; a full table starts anew.
+KEPT_WORDS, KEPT_PARTS = 1_000_000, 200_000
 #: The pre-tokenisation pattern of the byte-level vocabulary, for
 #: printable characters up to U+024F (letters, numbers, others) without white space.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 _LATIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+").findall
+#: Words that go to the library on their own, and white space inside a word.
+_ODD = re.compile(r"[^!-~¡-ɏ]")
+_BLANK = re.compile(r"[\s﻿᠎​]")
+#: What stands before a word: a space, a line feed, or the start of its text.
+_SPACE, _LINE, _START = 32, 10, 0
 
 
 @functools.cache
@@ -32,14 +40,109 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Hash:
+    """Polynomial hash, modulo 2 ** 64, of stretches of a byte array; mixed at the end."""
+
+    def __init__(self, seed: int):
+        draw = np.random.Generator(np.random.PCG64(seed))
+        self.byte = draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(draw.integers(0, 1 << 62)) * 4 + 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        size = max(n, 2 * len(self.up), 1 << 16)
+        self.up, self.down = (np.multiply.accumulate(np.concatenate(
+            [np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (self.base, pow(self.base, -1, 1 << 64)))
+
+    def of(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if len(self.up) < len(raw):
+            self._grow(len(raw))
+        total = np.empty(len(raw) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(self.byte[raw] * self.up[:len(raw)], out=total[1:])
+        x = (total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return x ^ (x >> np.uint64(29))
+
+
+class _Words:
+    """Words by two 64-bit hashes (open addressing) with the place and number of their ids."""
+
+    def __init__(self, room: int):
+        self.bits = max(10, (2 * room - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        self.n, self.used = 0, 0
+        self.keys = np.empty((1 << 12, 2), np.uint64)
+        self.place = np.empty((1 << 12, 2), np.int64)   # first id, and how many (-1: needs its whole text)
+        self.ids = np.empty(1 << 13, "<u4")
+
+    def _steps(self, h: np.ndarray):
+        """Rounds of probing: (who still looks, its slot); send back who goes on."""
+        at, who = (h & np.uint64((1 << self.bits) - 1)).astype(np.int64), np.arange(len(h))
+        while len(who):
+            more = yield who, at
+            who, at = who[more], (at[more] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 if it isn't known."""
+        out = np.full(len(h), -1, np.int64)
+        steps = self._steps(h)
+        who, at = next(steps, (None, None))
+        while who is not None:
+            held = self.slot[at]
+            same = (held >= 0) & (self.keys[held, 0] == h[who]) & (self.keys[held, 1] == g[who])
+            out[who[same]] = held[same]
+            try:
+                who, at = steps.send((held >= 0) & ~same)
+            except StopIteration:
+                break
+        return out
+
+    def add(self, h: np.ndarray, g: np.ndarray, ids: list[bytes | None]) -> None:
+        """New words (each once, none known)."""
+        first = self.n
+        self.n += len(h)
+        while len(self.keys) < self.n:
+            self.keys, self.place = np.concatenate([self.keys] * 2), np.concatenate([self.place] * 2)
+        sizes = np.array([-4 if x is None else len(x) for x in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(filter(None, ids)), "<u4")
+        total, known = len(flat), np.maximum(sizes, 0)
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), total), "<u4")])
+        self.ids[self.used:self.used + total] = flat
+        self.keys[first:self.n] = np.column_stack([h, g])
+        self.place[first:self.n, 0] = self.used + np.cumsum(known) - known
+        self.place[first:self.n, 1] = sizes
+        self.used += total
+        steps = self._steps(h)
+        who, at = next(steps, (None, None))
+        while who is not None:
+            free = np.flatnonzero(self.slot[at] < 0)
+            taken, one = np.unique(at[free], return_index=True)
+            self.slot[taken] = first + who[free[one]]
+            more = np.ones(len(who), bool)
+            more[free[one]] = False
+            try:
+                who, at = steps.send(more)
+            except StopIteration:
+                break
+
+
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers in bytes."""
+    """Ids of texts as little-endian unsigned 32-bit integers in bytes.
 
-    def __init__(self, path: str):
+    ``special_as_text``: an added token's string inside a text is ordinary text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.model = self.whole.model
         self.letters = dict(_letters())
         # a letter that no merge knows keeps parts apart when many go to the model in one call
@@ -47,8 +150,7 @@ class WordEncoder:
         self.apart = next(c for c in self.letters.values() if c not in merged)
         self.letters[10] = self.apart
         self.apart_id = self.whole.token_to_id(self.apart)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.words, self.hashes = _Words(KEPT_WORDS), (_Hash(1), _Hash(2))
         self.parts: dict[str, bytes] = {}
         self.line_end = self._whole("\n")
 
@@ -65,66 +167,74 @@ class WordEncoder:
             raw, starts = ids.tobytes(), [0, *(e + 4 for e in ends)]
             self.parts.update(zip(some, [raw[i:j] for i, j in zip(starts, [*ends, len(raw)], strict=True)], strict=True))
 
-    def _learn(self, words: list[str], lead: str, into: dict[str, bytes]) -> None:
-        """Ids of clean words (no white space inside); line feeds hold them apart."""
-        split = [[lead + w] if w.isalpha() else _LATIN_PARTS(lead + w) for w in words]
+    def _learned(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words with what stands before them as first character; None: only the whole text can tell."""
+        bare = [w if w[0] == " " else w[1:] for w in words]
+        clean = [not _ODD.search(w, 1) for w in words]
+        split = [_LATIN_PARTS(b) if fine else () for b, fine in zip(bare, clean)]
         self._merge(list(set().union(*split).difference(self.parts)))
         known = self.parts
-        into.update(zip(words, [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]))
+        ids = [known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for own in split]
+        for k, w in enumerate(words):
+            if not clean[k]:
+                ids[k] = None if _BLANK.search(w, 1) else self._whole(bare[k])
+            if w[0] == "\n" and ids[k] is not None:
+                ids[k] = self.line_end + ids[k]
         if len(known) > KEPT_PARTS:
             self.parts = {}
-
-    def _missing(self, words: set[str], lead: str, into: dict[str, bytes]) -> None:
-        clean = [w for w in words if not _ODD.search(w)]
-        for at in range(0, len(clean), 20_000):
-            self._learn(clean[at:at + 20_000], lead, into)
-        for w in words.difference(clean):
-            if w and not _BLANK.search(w):  # the others stay unknown: their texts are unusual
-                into[w] = self._whole(lead + w)
+        return ids
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null and empty texts have none."""
-        split, first, later, lines = [], set(), set(), set()
-        for t in texts:
-            if not t or "  " in t or "\n " in t or " \n" in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n":
-                split.append(None)
-                continue
-            s = t.replace("\n", " \n").split(" ")
-            split.append(s)
-            first.add(s[0])
-            later.update(s[1:])
-        first.difference_update(self.first)
-        later.difference_update(self.later)
-        lines = {w[1:] for w in later if w[0] == "\n"}
-        self._missing(first | lines.difference(self.first), "", self.first)
-        self._missing({w for w in later if w[0] != "\n"}, " ", self.later)
-        for w in lines:
-            if w in self.first:
-                self.later["\n" + w] = self.line_end + self.first[w]
-        out = []
-        for text, words in zip(texts, split):
-            try:
-                if words:
-                    out.append(self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:])))
-                else:
-                    out.append(self._whole(text) if text else b"")
-            except KeyError:
-                out.append(self._whole(text))
-        for new, kept in ((first | lines, self.first), (later, self.later)):
-            if len(kept) > KEPT_WORDS:
-                for w in new:
-                    kept.pop(w, None)
+        out: list[bytes] = [b""] * len(texts)
+        plain, raws = [], []
+        for k, t in enumerate(texts):
+            if t and any(a in t for a in self.added):
+                out[k] = self._whole(t)
+            elif t:
+                plain.append(k)
+                raws.append(t.encode())
+        if not plain:
+            return out
+        raw = np.frombuffer(b"\0" + b"\0".join(raws) + b"\0", np.uint8)
+        edge = np.cumsum([0, *(len(r) + 1 for r in raws)])   # where a text starts, with the byte before it
+        cut = (raw == _SPACE) | (raw == _LINE)
+        cut[edge] = True
+        start = np.flatnonzero(cut)
+        start, end = start[:-1], start[1:]
+        h, g = (x.of(raw, start, end) for x in self.hashes)
+        number = self.words.find(h, g)
+        new = np.flatnonzero((number < 0) & (end > start + 1))
+        if len(new):
+            _, one = np.unique(h[new], return_index=True)
+            one = new[one]
+            whole = raw.tobytes()
+            for at in range(0, len(one), 20_000):
+                some = one[at:at + 20_000]
+                self.words.add(h[some], g[some], self._learned([whole[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist())]))
+            number[new] = self.words.find(h[new], g[new])
+        place, size = self.words.place[number].T
+        # double, leading or trailing white space leaves an empty word; its text is unusual
+        unusual = (end == start + 1) | (number < 0) | (size < 0)
+        text_of = np.searchsorted(edge, start, "right") - 1
+        odd = np.zeros(len(raws), bool)
+        odd[text_of[unusual]] = True
+        size = np.where(odd[text_of], 0, size)
+        last = np.cumsum(size)
+        ids = self.words.ids[np.repeat(place - (last - size), size) + np.arange(int(last[-1]))]
+        stop = 4 * np.concatenate([[0], last])[np.searchsorted(start, edge[1:])]
+        flat, at = ids.tobytes(), 0
+        for k, to, strange in zip(plain, stop.tolist(), odd.tolist()):
+            out[k] = self._whole(texts[k]) if strange else flat[at:to]
+            at = to
+        if self.words.n > KEPT_WORDS:
+            self.words.clear()
         return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
 
-#: Words that go to the library on their own, and white space inside a word.
-_ODD = re.compile(r"[^!-~¡-ɏ]")
-_BLANK = re.compile(r"[\s﻿᠎​]")
-
-
 @functools.cache
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and vocabulary."""

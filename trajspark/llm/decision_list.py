@@ -132,6 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return []
     seen = {k: sorted({x for m in marks for x in m[k]}) for k in STATISTICS}
     at = {k: [(a + b) / 2 for a, b in zip(v, v[1:])] for k, v in seen.items()}  # between neighbours: room on both sides
+    room = [[b - a for a, b in zip(seen[k], seen[k][1:])] for k in STATISTICS]
     bins = F.array(*(sum((F.when(F.col(k) > x, 1).otherwise(0) for x in at[k]), F.lit(0)) for k in STATISTICS))
     rows = written(rows.select("bad", "held", bins.alias("bins")), "labelled-bins")
 
@@ -147,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     while len(rules) < max_rules:
         terms: list[tuple[int, bool, int]] = []
         while len(terms) < max_terms:
-            best = _best_term(rows.where(~F.col("held") & left & holds(terms)))
+            best = _best_term(rows.where(~F.col("held") & left & holds(terms)), room)
             if best is None:
                 break
             terms.append(best[0])
@@ -164,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             k = -max(worth)[1]
             bad, good, terms = counts[f"bad{k}"], counts[f"good{k}"], terms[:k]
         if bad < min_covered or bad < min_precision * (bad + good):
-            single = _precise_term(rows.where(left), min_precision, min_covered)
+            single = _precise_term(rows.where(left), room, min_precision, min_covered)
             if single is None:
                 break
             terms, bad, good = [single[0]], *single[1:]
@@ -173,8 +174,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return rules
 
 
-def _best_term(rows: DataFrame) -> tuple[tuple[int, bool, int], int] | None:
-    """Threshold with the most information gain, and how many good rows it leaves."""
+def _best_term(rows: DataFrame, room: list[list[float]]) -> tuple[tuple[int, bool, int], int] | None:
+    """Threshold with the most information gain, and how many good rows it leaves.
+
+    Cuts between the same two rows gain the same: the one with most room around it is taken."""
     table: dict[int, dict[int, list[int]]] = {}
     for k, b, bad, n in (rows.select("bad", F.posexplode("bins").alias("k", "b")).groupBy("k", "b", "bad")
                          .agg(F.count(F.lit(1)).alias("n")).select("k", "b", "bad", "n").collect()):
@@ -186,17 +189,18 @@ def _best_term(rows: DataFrame) -> tuple[tuple[int, bool, int], int] | None:
         return None
     before, best = math.log2(bad / (bad + good)), (1e-9, None, 0)
     for k in sorted(table):
-        upto = [0, 0]
-        for b in sorted(table[k])[:-1]:
+        upto, order = [0, 0], sorted(table[k])
+        for b, after in zip(order, order[1:]):
+            cut = max(range(b, after), key=room[k].__getitem__)
             upto = [upto[j] + table[k][b][j] for j in (0, 1)]
             for above, (n, p) in ((True, (good - upto[0], bad - upto[1])), (False, tuple(upto))):
                 gain = p * (math.log2(p / (p + n)) - before) if p else 0.0
                 if gain > best[0]:
-                    best = (gain, (k, above, b), n)
+                    best = (gain, (k, above, cut), n)
     return None if best[1] is None else best[1:]
 
 
-def _precise_term(rows: DataFrame, min_precision: float, min_covered: int) -> tuple[tuple[int, bool, int], int, int] | None:
+def _precise_term(rows: DataFrame, room: list[list[float]], min_precision: float, min_covered: int) -> tuple[tuple[int, bool, int], int, int] | None:
     """Of all thresholds that are precise on the rows held back and on the others, the one that covers most
     bad rows; and the bad and good rows held back that it covers."""
     table: dict[int, dict[int, list[int]]] = {}
@@ -205,12 +209,13 @@ def _precise_term(rows: DataFrame, min_precision: float, min_covered: int) -> tu
         table.setdefault(k, {}).setdefault(b, [0] * 4)[j] += n
     best = (0, 0, None)
     for k in sorted(table):
-        every, upto = [sum(v[j] for v in table[k].values()) for j in range(4)], [0] * 4
-        for b in sorted(table[k])[:-1]:
+        every, upto, order = [sum(v[j] for v in table[k].values()) for j in range(4)], [0] * 4, sorted(table[k])
+        for b, after in zip(order, order[1:]):
+            cut = max(range(b, after), key=room[k].__getitem__)
             upto = [upto[j] + table[k][b][j] for j in range(4)]
             for above, n in ((True, [every[j] - upto[j] for j in range(4)]), (False, upto)):
                 if n[3] >= min_covered and all(n[j + 1] >= min_precision * (n[j] + n[j + 1]) for j in (0, 2)):
-                    best = max(best, (n[1] + n[3], -n[0] - n[2], ((k, above, b), n[3], n[2])), key=lambda x: x[:2])
+                    best = max(best, (n[1] + n[3], -n[0] - n[2], ((k, above, cut), n[3], n[2])), key=lambda x: x[:2])
     return best[2]
 
 
