@@ -11,9 +11,11 @@ stated chance, so:
   from passages which many documents carry are frequent, hence rarely in a prefix.
 
 Collisions are counted in stages that skip what hangs together already.  First
-each set against the smallest set of its posting lists, then, in the lists whose
-sets still carry different component labels, the sets outside the list's largest
-label against all others, in blocks.  Pairs that collide T times or more are confirmed
+each set against the smallest sets of its posting lists; of those that collide
+often enough the smallest is confirmed, and sets confirmed with one set, or with one
+that leads to it, share a label.  Then, in the lists whose sets still carry different
+labels, the sets outside the label of the list's smallest one against all others,
+in blocks.  Pairs that collide T times or more are confirmed
 on whole sets; two sets of one label need no comparison, as a further link between
 them changes no component.  So a list of N copies costs N comparisons, not N * N.
 """
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from trajspark.llm.chosen_path import components
 from trajspark.llm.common import Rows, shuffle_partitions, slices, written
+from trajspark.operators.joins import is_small
 
 COORDINATES = 64
 #: Bytes hashed in one go; rows of a posting list compared in one go.
@@ -183,13 +186,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, nu
     gets one copy of the text of ``a``, which comes first in the sort.
     """
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = classes.select("rep", "doc", "digest").join(wanted, "rep").join(
-        docs.withColumnRenamed("doc_id", "doc"), "doc").select("rep", "digest", "text")
-    first = size.join(texts.withColumnRenamed("rep", "a"), "a").select(
-        "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "digest", "text")
-    others = pairs.join(size, "a").join(texts.withColumnRenamed("rep", "b"), "b").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", "digest", "text")
+    first = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"),
+                        F.col("a").alias("rep"))
+    others = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", F.col("b").alias("rep"))
+    asked = written(first.unionByName(others).join(classes.select("rep", "doc", "digest"), "rep").drop("rep"), "asked")
+    texts, wanted = docs.withColumnRenamed("doc_id", "doc"), asked.select("doc").distinct()
+    if is_small(wanted):  # then texts that nobody asks for stay out of the shuffle
+        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
 
     def run(batches):
         at, own = None, None
@@ -214,12 +217,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, nu
             if out_a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    placed = first.unionByName(others).repartition(shuffle_partitions(docs.sparkSession), "a", "chunk")
+    placed = asked.join(texts, "doc").select("a", "chunk", "b", "digest", "text").repartition(shuffle_partitions(docs.sparkSession), "a", "chunk")
     return written(placed.sortWithinPartitions("a", "chunk", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long"), "links")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFrame:
-    """``rows`` with the component label of column ``of`` (itself, if it has no links yet)."""
+    """``rows`` with the label of column ``of`` (itself, if it has no links yet)."""
     own = labels.select(F.col("v").alias(of), F.col("label").alias(name))
     return rows.join(own, of, "left").withColumn(name, F.coalesce(name, of))
 
@@ -309,12 +312,13 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = postings.groupBy("key").agg(F.min("rep").alias("a"))
     stars = postings.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     stars = written(_collide(stars, classes, least, low), "stars")
-    links = _same_id(sets, classes).unionByName(_confirmed(
-        stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, docs, n, num, den))
-    for pairs in (lambda now: _labelled(_labelled(stars, now, "a", "of_a"), now, "b", "of_b").where("of_a <> of_b").select("a", "b"),
-                  lambda now: _apart(postings, now, classes, least, low)):
-        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        links = links.unionByName(_confirmed(written(pairs(labels), "pairs"), classes, docs, n, num, den))
+    links = _confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, docs, n, num, den)
+    up = links.select(F.col("b").alias("v"), F.col("a").alias("label"))  # one link each, to a smaller set: a forest
+    for _ in range(2):
+        up = up.join(up.select(F.col("v").alias("label"), F.col("label").alias("higher")), "label", "left").select(
+            "v", F.coalesce("higher", "label").alias("label"))
+    apart = written(_apart(postings, written(up, "labels"), classes, least, low), "apart")
+    links = _same_id(sets, classes).unionByName(links).unionByName(_confirmed(apart, classes, docs, n, num, den))
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = _labelled(classes.select("digest", "doc", "rep"), labels, "rep", "label")
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
