@@ -1,7 +1,6 @@
 import json
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ WORDS = "alpha beta gamma delta epsilon zeta eta theta kappa lambda weather flig
 
 
 def embed(s):
-    return models.embed_text.func(pd.Series([s])).iloc[0]
+    return models.embedded([s])[0]
 
 
 def cos(a, b):

@@ -50,6 +50,14 @@ def with_tool_step(steps: DataFrame, per_step: DataFrame, step_key: Sequence[str
         "tool_latency": F.coalesce("tool_latency", F.lit(0.0))})
 
 
+def call_columns(calls: Column, step_latency: Column) -> dict[str, Column]:
+    """Success rate, call count and log tool latency from a step's array of calls (latency not measured by call)."""
+    n = F.coalesce(F.size(calls), F.lit(0))
+    failed = F.size(F.filter(calls, lambda c: c["is_error"]))
+    return {"tool_success": F.when(n > 0, 1.0 - failed / n).otherwise(1.0), "n_calls": n,
+            "tool_latency": F.when(n > 0, F.log(step_latency / n)).otherwise(0.0)}
+
+
 def retry_count(calls: DataFrame, keys: Sequence[str], step: str) -> DataFrame:
     """Calls per step whose (name, args_key) already ran in an earlier step.
 
@@ -101,13 +109,21 @@ def surprisal(logprobs: Column) -> dict[str, Column]:
             "high_share": F.when(missing, F.lit(0.0)).otherwise(high)}
 
 
+def context_use(tokens: Column, text: Column) -> Column:
+    """What a step adds to the context: its tokens and a quarter of its characters."""
+    return tokens.cast("double") + F.length(text) / 4.0
+
+
+def context_share(used: Column, budget: float = schema.CONTEXT_BUDGET_TOKENS) -> Column:
+    return F.least(used / F.lit(budget), F.lit(schema.CONTEXT_RATIO_CAP))
+
+
 def context_ratio(steps: DataFrame, keys: Sequence[str], t: str, tokens: Column,
                   text: Column, budget: float = schema.CONTEXT_BUDGET_TOKENS) -> DataFrame:
     """Running (tokens + chars / 4) over the context budget, capped."""
-    s = steps.withColumn("_use", tokens.cast("double") + F.length(text) / 4.0)
+    s = steps.withColumn("_use", context_use(tokens, text))
     return ordered.running(s, keys, t, {"_cum": ordered.Run("sum", "_use")}).withColumn(
-        "ctx_ratio", F.least(F.col("_cum") / F.lit(budget), F.lit(schema.CONTEXT_RATIO_CAP))) \
-        .drop("_use", "_cum")
+        "ctx_ratio", context_share(F.col("_cum"), budget)).drop("_use", "_cum")
 
 
 def stale_toolset(calls: DataFrame, corpus: Sequence[str], name: str,
@@ -161,11 +177,12 @@ def healthy_null(runs: DataFrame, rules: Sequence[tuple[str, int]]) -> DataFrame
     return out.filter(prior).drop(*[f"_n{i}" for i in range(len(rules))])
 
 
-def past_vector_sum(steps: DataFrame, keys: Sequence[str], t: str, vec: str, n: int, out: str) -> DataFrame:
-    """Sum of the earlier vectors of the run (zeros at the head)."""
+def past_vector_sum(steps: DataFrame, keys: Sequence[str], t: str, vec: str, n: int, out: str,
+                    more: dict[str, ordered.Run] | None = None) -> DataFrame:
+    """Sum of the earlier vectors of the run (zeros at the head); ``more`` running aggregates share the pass."""
     d = steps.withColumns({f"_v{i}": F.col(vec)[i] for i in range(n)})
     runs = {f"_s{i}": ordered.Run("sum", f"_v{i}", False) for i in range(n)}
-    r = ordered.running(d, keys, t, runs)
+    r = ordered.running(d, keys, t, runs | (more or {}))
     return r.withColumn(out, F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) for i in range(n)])).drop(
         *[f"_v{i}" for i in range(n)], *[f"_s{i}" for i in range(n)])
 

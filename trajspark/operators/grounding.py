@@ -10,8 +10,9 @@ drift (EWMA of self), memory (reasoning vs the last three result steps), lexical
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,50 +31,64 @@ def _far(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), 1.0 - vector.cosine(a, b))
 
 
-def grounding_channel(steps: DataFrame, keys: Sequence[str], t: str, out: str = "g", embed=models.embed_text) -> DataFrame:
+def observed(steps: DataFrame, embed: Callable[[list[str]], np.ndarray] = models.embedded) -> DataFrame:
+    """Steps with what their results say by themselves, so for a log and for a stream alike.
+
+    ``has`` (any result), ``anchor`` (task, or without one the reasoning: a run is held against that of its first
+    step), ``query``, ``json``, ``alnum``, ``junk``, ``said`` and ``why`` (vectors of results and reasoning),
+    ``reasoned``, and ``strange``: the content words of each document that shares none with its own query.
+    Needs ``task``, ``reasoning`` and ``calls`` (see ``text.step_calls``).
+    """
+    vector_of, why = models.embedding(embed), F.coalesce("reasoning", F.lit(""))
+    d = steps.withColumn("_c", F.filter("calls", lambda c: c["has_result"] & (c["result"] != "")))
+    d = d.withColumn("_said", F.array_join(F.transform("_c", lambda c: c["result"]), " "))
+    alnum, junk = text.char_stats(F.col("_said"))
+    strange = F.filter("_c", lambda c: text.lexical_miss(c["result"], c["args"], F.lit(""))[0] > 0)
+    return d.withColumns({
+        "has": F.size("_c") > 0, "anchor": F.when(F.trim("task") != "", F.col("task")).otherwise(why),
+        "query": models.mean_gap(embed)(F.transform("_c", lambda c: c["result"]),
+                                        F.transform("_c", lambda c: F.concat_ws(" ", c["name"], c["args"]))),
+        "json": text.json_broken_share(F.col("_c")), "alnum": alnum, "junk": junk, "said": vector_of(F.col("_said")),
+        "why": vector_of(why), "reasoned": why != "",
+        "strange": F.transform(strange, lambda c: text.content_words(c["result"]))}).drop("_c", "_said")
+
+
+OBSERVED = ("has", "anchor", "query", "json", "alnum", "junk", "said", "why", "reasoned", "strange")
+
+
+def grounding_channel(steps: DataFrame, keys: Sequence[str], t: str, out: str = "g",
+                      embed: Callable[[list[str]], np.ndarray] = models.embedded) -> DataFrame:
     """Steps with array column ``out`` of the nine dims.
 
-    Needs ``task``, ``reasoning`` and ``calls`` (see ``text.step_calls``).  Results are
-    compared in the order of the steps that have any; sums over earlier steps are
-    running aggregates over segments, so a long run is no single task.
+    Results are compared in the order of the steps that have any; sums over earlier
+    steps are running aggregates over segments, so a long run is no single task.
     """
     keys = list(keys)
     anchor = steps.groupBy(*keys).agg(F.min_by(F.struct("task", "reasoning"), F.col(t)).alias("_f")).select(
-        *keys, F.when(F.trim("_f.task") != "", F.col("_f.task")).otherwise(F.coalesce("_f.reasoning", F.lit(""))).alias("_task"))
-    live = F.filter("calls", lambda c: c["has_result"] & (c["result"] != ""))
-    r = steps.select(*keys, t, F.coalesce("reasoning", F.lit("")).alias("_why"), live.alias("_c")).filter(F.size("_c") > 0) \
-        .join(anchor, keys)
-    miss = F.array_max(F.transform("_c", lambda c: text.lexical_miss(c["result"], c["args"], F.col("_task"))[0]))
-    results = F.array_join(F.transform("_c", lambda c: c["result"]), " ")
-    r = r.withColumns({"lexical": miss, "_said": results})
-    alnum, junk = text.char_stats(F.col("_said"))
-    r = r.withColumns({"_alnum": alnum, "_junk": junk, "_e": embed(F.col("_said")), "_w": embed(F.col("_why"))})
-
-    each = r.select(*keys, t, F.explode("_c").alias("c"))
-    query = 1.0 - vector.cosine(embed(F.col("c.result")), embed(F.concat_ws(" ", "c.name", "c.args")))
-    per = each.groupBy(*keys, t).agg(
-        F.avg(query).alias("query"),
-        F.avg(text.json_broken(F.col("c.result"), F.col("c.truncated")).cast("double")).alias("json"))
+        *keys, text.content_words(F.when(F.trim("_f.task") != "", F.col("_f.task")).otherwise(
+            F.coalesce("_f.reasoning", F.lit("")))).alias("_task"))
+    r = observed(steps, embed).filter("has").select(*keys, t, *OBSERVED[2:]).join(anchor, keys)
+    miss = F.exists("strange", lambda w: ~F.arrays_overlap(w, F.col("_task"))).cast("double")
 
     # written once, without the texts: the nine dims read it several times
-    r = sinks.materialize(r.select(*keys, t, "lexical", "_alnum", "_junk", "_e", "_w", (F.col("_why") != "").alias("_reasoned")), "result_steps")
+    r = sinks.materialize(r.select(*keys, t, miss.alias("lexical"), "query", "json", "alnum", "junk", "said", "why", "reasoned"), "result_steps")
     r = ordered.running(r.withColumn("_one", F.lit(1)), keys, t, {"_n": ordered.Run("sum", "_one")})
     r = r.withColumn("_r", (F.col("_n") - 1).cast("int")).drop("_n")
-    r = ordered.running(r, keys, "_r", {"_sum": ordered.Run("sum", "_alnum", False)})
-    r = features.past_vector_sum(r, keys, "_r", "_e", schema.WIDTHS["e"], "_past")
+    width = schema.WIDTHS["e"]
+    r = features.past_vector_sum(r, keys, "_r", "said", width, "_past", {"_sum": ordered.Run("sum", "alnum", False)})
     lb = ordered.look_back(r, keys, "_r", MEMORY_STEPS)
-    r = lb.with_columns({f"_p{k}": F.lag("_e", k).over(lb.order) for k in range(1, MEMORY_STEPS + 1)})
-    none = F.array(*[F.lit(0.0)] * schema.WIDTHS["e"])
+    r = lb.with_columns({f"_p{k}": F.lag("said", k).over(lb.order) for k in range(1, MEMORY_STEPS + 1)})
+    none = F.array(*[F.lit(0.0)] * width)
     memory = F.col("_p1")
     for k in range(2, MEMORY_STEPS + 1):
         memory = F.zip_with(memory, F.coalesce(f"_p{k}", none), lambda a, b: a + b)
-    first, why = F.col("_r") == 0, F.col("_reasoned")
+    first = F.col("_r") == 0
     r = r.withColumns({
-        "self": F.when(~first, _far(F.col("_e"), F.col("_past"))).otherwise(0.0),
-        "reason": F.when(why, _far(F.col("_e"), F.col("_w"))).otherwise(0.0),
-        "chars": F.when(~first, F.abs(F.col("_alnum") - F.col("_sum") / F.col("_r"))).otherwise(0.0) + F.col("_junk"),
-        "consec": F.coalesce(_far(F.col("_e"), F.col("_p1")), F.lit(0.0)),
-        "memory": F.when(why & ~first, _far(F.col("_w"), memory)).otherwise(0.0)})
-    r = ordered.ewma(r.select(*keys, t, "_r", "self", "reason", "chars", "consec", "memory", "lexical"), keys, "_r", "self", "drift", DRIFT_ALPHA)
-    g = r.join(per, [*keys, t]).select(*keys, t, F.array(*[F.coalesce(d, F.lit(0.0)) for d in DIMS]).alias(out))
+        "self": F.when(~first, _far(F.col("said"), F.col("_past"))).otherwise(0.0),
+        "reason": F.when(F.col("reasoned"), _far(F.col("said"), F.col("why"))).otherwise(0.0),
+        "chars": F.when(~first, F.abs(F.col("alnum") - F.col("_sum") / F.col("_r"))).otherwise(0.0) + F.col("junk"),
+        "consec": F.coalesce(_far(F.col("said"), F.col("_p1")), F.lit(0.0)),
+        "memory": F.when(F.col("reasoned") & ~first, _far(F.col("why"), memory)).otherwise(0.0)})
+    r = ordered.ewma(r.select(*keys, t, "_r", *(d for d in DIMS if d != "drift")), keys, "_r", "self", "drift", DRIFT_ALPHA)
+    g = r.select(*keys, t, F.array(*[F.coalesce(d, F.lit(0.0)) for d in DIMS]).alias(out))
     return steps.join(g, [*keys, t], "left").withColumn(out, F.coalesce(out, F.array(*[F.lit(0.0)] * len(DIMS))))

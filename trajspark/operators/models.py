@@ -8,6 +8,7 @@ earlier steps, so a long episode is spread over tasks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -587,28 +588,68 @@ def forest_score(vec: Column, forest: list[np.ndarray]) -> Column:
 
 
 # ------------------------------------------------------------------ embedding
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def embed_text(text: pd.Series) -> pd.Series:
-    """Signed character-3-gram hashing into 512 buckets, projected to 32 dims, unit norm."""
-    proj = np.random.default_rng(8112026).standard_normal((512, 32)) / np.sqrt(512)
-    out = []
-    for s in text:
-        codes = np.fromiter(map(ord, f"  {(s or '').lower()}  "), np.int64)
-        h = np.zeros(max(len(codes) - 2, 0), np.int64)
-        for k in range(3):
-            h = (h * 1000003 + codes[k:len(codes) - 2 + k]) % 2 ** 31
-        v = np.bincount(h % 512, weights=np.where((h >> 16) & 1, -1.0, 1.0), minlength=512) @ proj
-        n = np.linalg.norm(v)
-        out.append(v / n if n > 0 else v)
-    return pd.Series(out)
+BUCKETS = 512
 
 
-def embed_distinct(df: DataFrame, text: str, out: str, embed=embed_text) -> DataFrame:
-    """Embed each distinct text once and join the vectors back.
+@functools.cache
+def _projection(dims: int) -> np.ndarray:
+    return np.random.default_rng(2026).standard_normal((BUCKETS, dims)) / np.sqrt(BUCKETS)
+
 
-    Distinct texts are found by their 128-bit-plus digest, so only one copy of
-    a text repeated all over the corpus is embedded.
+def embedded(texts: Sequence[str | None], dims: int = schema.WIDTHS["e"]) -> np.ndarray:
+    """One unit row per text (zeros for a text without any letters' window: none is that short, as ends are padded).
+
+    The lower-cased text with two blanks at either end is cut into windows of three characters; each
+    window adds or takes one in one of 512 buckets, and the counts are projected to ``dims`` numbers.
     """
-    d = df.withColumn("_h", F.sha2(F.coalesce(text, F.lit("")), 256))
-    one = d.groupBy("_h").agg(F.first(text).alias("_t")).select("_h", embed(F.coalesce("_t", F.lit(""))).alias(out))
-    return d.join(one, "_h").drop("_h")
+    out = np.empty((len(texts), dims))
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at + len(some) < len(texts) and (not some or (len(some) < 1024 and size < 1 << 20)):
+            some.append(f"  {(texts[at + len(some)] or '').lower()}  ")
+            size += len(some[-1])
+        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
+        row = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        h = codes[:-2] * np.uint32(0x9E3779B1) ^ codes[1:-1] * np.uint32(0x85EBCA6B) ^ codes[2:] * np.uint32(0xC2B2AE35)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        whole = row[:-2] == row[2:]
+        place = row[:-2].astype(np.int64) * BUCKETS + ((h >> np.uint32(8)) % np.uint32(BUCKETS))
+        counts = np.bincount(place[whole], np.where(h[whole] >> np.uint32(31), -1.0, 1.0), len(some) * BUCKETS)
+        v = counts.reshape(len(some), BUCKETS) @ _projection(dims)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        out[at:at + len(some)] = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+        at += len(some)
+    return out
+
+
+def embedding(embed: Callable[[list[str]], np.ndarray] = embedded):
+    """Arrow function text -> vector; each distinct text of a batch goes to ``embed`` once."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(text: pd.Series) -> pd.Series:
+        codes, texts = pd.factorize(text.fillna(""))
+        return pd.Series(list(embed(texts.tolist())[codes])) if len(codes) else pd.Series([], dtype=object)
+    return run
+
+
+embed_text = embedding()
+
+
+def mean_gap(embed: Callable[[list[str]], np.ndarray] = embedded):
+    """Arrow function (texts, texts) -> mean of 1 - cosine over the pairs of two arrays; null without pairs."""
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        n = a.map(len).to_numpy()
+        if not n.sum():
+            return pd.Series([None] * len(a), dtype=float)
+        x, y = (embed([t for one in side for t in one]) for side in (a, b))
+        size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+        gap = np.where(size > 0, 1.0 - np.divide((x * y).sum(1), size, out=np.ones(len(x)), where=size > 0), 0.0)
+        total = np.bincount(np.repeat(np.arange(len(n)), n), gap, len(n))
+        return pd.Series(np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0))
+    return run
+
+
+def embed_distinct(df: DataFrame, text: str, out: str, embed=embed_text) -> DataFrame:
+    """Embed in the scan: nothing is shuffled, and a text that a batch repeats is embedded once."""
+    return df.withColumn(out, embed(F.coalesce(text, F.lit(""))))

@@ -13,56 +13,63 @@ from trajspark.functions.hashing import uniform
 from trajspark.operators import features, grounding, models, ordered, validate
 
 
+def observed(steps: DataFrame) -> DataFrame:
+    """Columns that a logged step has by itself: calls, reasoning and tool columns.  No shuffle; streams too."""
+    d = text.step_calls(steps, "text", "tool_events")
+    return d.withColumns(features.call_columns(F.col("calls"), validate.latency_of(F.col("latency_s"))[0]))
+
+
 def from_log(steps: DataFrame, keys: Sequence[str], t: str) -> DataFrame:
-    """Columns that ``signals`` needs, from steps in the log's own schema: calls, reasoning, tool columns, retries."""
+    """Columns that ``signals`` needs, from steps in the log's own schema: ``observed`` and retries."""
     keys = list(keys)
-    d = text.step_calls(steps, "text", "tool_events")
-    calls = d.select(*keys, t, F.explode("calls").alias("c")).select(
-        *keys, t, "c.name", F.col("c.args").alias("args_key"), "c.is_error", F.lit(None).cast("double").alias("latency_s"))
-    lat = d.select(*keys, t, validate.latency_of(F.col("latency_s"))[0].alias("_dur"))
-    per = features.tool_step(calls.join(lat, [*keys, t]), [*keys, t, "_dur"], F.col("_dur")).drop("_dur")
-    d = features.with_tool_step(d, per, [*keys, t])
+    d = observed(steps)
+    calls = d.select(*keys, t, F.explode("calls").alias("c")).select(*keys, t, "c.name", F.col("c.args").alias("args_key"))
     retries = features.retry_count(calls, keys, t)
-    name = next(c for c in retries.columns if c not in (*keys, t))
-    return d.join(retries.withColumnRenamed(name, "retries"), [*keys, t], "left").withColumn(
-        "retries", F.coalesce("retries", F.lit(0)))
+    return d.join(retries, [*keys, t], "left").withColumn("retries", F.coalesce("retries", F.lit(0)))
 
 
-def signals(steps: DataFrame, keys: Sequence[str], t: str, extended: bool = True, grounded: bool = False) -> DataFrame:
-    """Steps with channels ``e``, ``u``, ``m``, when extended ``x``, and when grounded ``g``: 43, 51 or 60 wide.
+def token_count() -> Column:
+    return F.greatest(F.coalesce("output_tokens", F.lit(1)), F.lit(1)).cast("double")
 
-    Needs text, task, action, latency_s, output_tokens, error, token_logprobs
-    and the per-step tool columns of ``features.with_tool_step`` plus retries.
-    Each distinct text is embedded once; the anchor is the task or, without
-    one, the first text.
-    """
-    keys = list(keys)
-    d = models.embed_distinct(steps, "text", "e")
+
+def base_channels(steps: DataFrame) -> DataFrame:
+    """Steps with ``e``, ``u`` and ``m``, which depend on the step alone.  No shuffle; streams too."""
     u = features.surprisal(F.col("token_logprobs"))
     act, _ = validate.action_of(F.col("action"))
     lat, _ = validate.latency_of(F.col("latency_s"))
-    tokens = F.greatest(F.coalesce("output_tokens", F.lit(1)), F.lit(1)).cast("double")
-    d = d.withColumns({
+    return models.embed_distinct(steps, "text", "e").withColumns({
         "u": F.array(u["mean"], u["peak"], u["slope"], u["high_share"]),
-        "m": F.array(*[(act == a).cast("double") for a in schema.ACTION_TYPES], F.log(lat), F.log(tokens),
+        "m": F.array(*[(act == a).cast("double") for a in schema.ACTION_TYPES], F.log(lat), F.log(token_count()),
                      F.coalesce(F.col("error"), F.lit(False)).cast("double"))})
+
+
+def signals(steps: DataFrame, keys: Sequence[str], t: str, extended: bool = True, grounded: bool = False) -> DataFrame:
+    """Steps with channels ``e``, ``u``, ``m``, when extended ``x``, and when grounded ``g``: 43, 51 or 60 wide.
+
+    Needs text, task, action, latency_s, output_tokens, error, token_logprobs
+    and the columns of ``from_log``.  The anchor is the first step's task or, without
+    one, its reasoning (never its results, which would be held against themselves).
+    """
+    keys = list(keys)
+    d = base_channels(steps)
     if grounded:
         d = grounding.grounding_channel(d, keys, t)
     if not extended:
         return d
-    first = d.groupBy(*keys).agg(F.min_by(F.struct("task", "text"), F.col(t)).alias("_f"))
-    first = first.withColumn("_anchor", F.when(F.trim("_f.task") != "", F.col("_f.task")).otherwise(F.col("_f.text")))
-    anchors = models.embed_distinct(first.select(*keys, "_anchor"), "_anchor", "_a").select(*keys, "_a")
-    d = features.context_ratio(d, keys, t, tokens, F.col("text"))
-    d = features.past_vector_sum(d, keys, t, "e", schema.WIDTHS["e"], "_past")
+    said = "reasoning" if "reasoning" in d.columns else "text"
+    first = d.groupBy(*keys).agg(F.min_by(F.struct("task", said), F.col(t)).alias("_f"))
+    anchors = first.select(*keys, models.embed_text(F.when(F.trim("_f.task") != "", F.col("_f.task")).otherwise(
+        F.coalesce(f"_f.{said}", F.lit("")))).alias("_a"))
+    d = d.withColumn("_use", features.context_use(token_count(), F.col("text")))
+    d = features.past_vector_sum(d, keys, t, "e", schema.WIDTHS["e"], "_past", {"_cum": ordered.Run("sum", "_use")})
     d = ordered.lag(d, keys, t, {"_prev": "e"}).join(anchors, keys)
     drift = F.when(F.col("_prev").isNull(), 0.0).otherwise(1 - vector.dot(F.col("e"), F.col("_prev")))
     far = vector.norm(F.col("_past"))
     own = F.when((F.col(t) == 0) | (far == 0), 1.0).otherwise(vector.dot(F.col("e"), F.col("_past")) / far)
     return d.withColumn("x", F.array(
         drift, vector.dot(F.col("e"), F.col("_a")), F.col("tool_success"), F.col("retries").cast("double"),
-        F.col("tool_latency"), F.col("ctx_ratio"), F.col("n_calls").cast("double"), own)) \
-        .drop("_past", "_prev", "_a", "ctx_ratio")
+        F.col("tool_latency"), features.context_share(F.col("_cum")), F.col("n_calls").cast("double"), own)) \
+        .drop("_past", "_prev", "_a", "_use", "_cum")
 
 
 def attribution(errors: DataFrame, keys: Sequence[str], t: str, dims: Sequence[str], floor: float = 0.005) -> DataFrame:

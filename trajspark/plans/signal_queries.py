@@ -24,7 +24,7 @@ def logged_steps(spark, d):
     result = F.when(F.col("t") % 5 == 4, F.concat(F.lit('{"note": "'), F.regexp_replace("result", r'[\\"\x00-\x1f]', " "),
                                                   F.when(k == 1, '"}').otherwise('"'))).otherwise(F.col("result"))
     event = F.struct(
-        F.lit("e").alias("id"), F.lit("lookup").alias("name"), F.create_map(F.lit("q"), F.substring("text", 1, 40)).alias("args"),
+        F.lit("e").alias("id"), F.lit("lookup").alias("name"), F.create_map(F.lit("q"), F.col("text")).alias("args"),
         result.alias("result"), F.length("result").alias("result_chars"), F.lit(False).alias("result_truncated"),
         F.col("is_error"), F.lit(0.5).alias("latency_s"), F.lit("mock").alias("source"))
     written = F.concat("text", F.lit(' [lookup({"q": 1}) -> '), F.regexp_replace("result", r"[\[\]]", " "), F.lit("]"))
@@ -36,11 +36,26 @@ def logged_steps(spark, d):
         F.when(k != 0, F.filter(F.array(event), lambda e: F.col("has_result"))).alias("tool_events"))
 
 
+def logged_once(spark, d):
+    """Logged steps, written once."""
+    done = sinks.known(spark, "logged_steps", d)
+    return sinks.materialize(logged_steps(spark, d), "logged_steps", d) if done is None else done
+
+
 def logged_calls(spark, d):
     """Logged steps with their calls, reasoning and tool columns, written once."""
     done = sinks.known(spark, "logged_calls", d)
     if done is None:
-        done = sinks.materialize(signal.from_log(sinks.materialize(logged_steps(spark, d), "logged_steps"), ["conv_id"], "t"), "logged_calls", d)
+        done = sinks.materialize(signal.from_log(logged_once(spark, d), ["conv_id"], "t"), "logged_calls", d)
+    return done
+
+
+def step_signals_whole(spark, d):
+    """60-wide vectors of all logged steps, written once."""
+    done = sinks.known(spark, "step_signals", d)
+    if done is None:
+        s = signal.signals(logged_calls(spark, d), ["conv_id"], "t", grounded=True)
+        done = sinks.materialize(s.select("conv_id", "t", "e", "u", "m", "x", "g"), "step_signals", d)
     return done
 
 

@@ -86,18 +86,3 @@ def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
     q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start(path)
     q.awaitTermination()
-
-
-def sessions(steps: DataFrame, keys: Sequence[str], ts: str, gap: str, late: str) -> DataFrame:
-    """Episodes closed by silence; rows later than the watermark are dropped.
-
-    Spark counts those rows: see ``late_rows`` of the query's progress.
-    """
-    return steps.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(
-        F.count(F.lit(1)).alias("n_steps")).select(*keys, F.col("w.start").alias("started"),
-                                                   F.col("w.end").alias("closed"), "n_steps")
-
-
-def late_rows(query) -> int:
-    """Rows a finished or running query dropped behind its watermark, over all its micro-batches."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
