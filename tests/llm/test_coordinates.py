@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from trajspark.llm import coordinate_join
-from trajspark.llm.chosen_path import components
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^ \t-\r]+")
@@ -110,23 +109,25 @@ def test_hashes_of_words_do_not_depend_on_pieces(monkeypatch):
 def test_measured_chance_of_few_collisions():
     """Sets at the threshold agree on fewer than the required coordinates about as rarely as the binomial says."""
     rng = np.random.default_rng(5)
-    seen = []
+    seen, fine = [], []
     for _ in range(3000):
         common, own = rng.integers(0, 1 << 63, 170, dtype=np.uint64), rng.integers(0, 1 << 63, (2, 15), dtype=np.uint64)
         a, b = (coordinate_join.signature(np.sort(np.concatenate([common, x]))) for x in own)
-        seen.append(int((a == b).sum()))
-    seen = np.array(seen)
-    assert abs(seen.mean() / 64 - 0.85) < 0.005 and abs(seen.std() - (64 * 0.85 * 0.15) ** 0.5) < 0.25
-    assert seen.min() >= coordinate_join.least_matches(0.85, 1e-6) and coordinate_join.least_matches(0.85, 1e-6) == 39
-
-
-def test_list_of_one_label_is_skipped(spark):
-    """What hangs together already gives no pair, the rest meets all others once."""
-    sig = [list(range(64))] * 5
-    classes = spark.createDataFrame([(k, 10, s) for k, s in enumerate(sig)], "rep long, n long, sig array<int>")
-    postings = spark.createDataFrame([(7, k) for k in range(5)] + [(8, k) for k in range(3)], "key long, rep long")
-    label = lambda d: spark.createDataFrame(list(d.items()), "v long, label long")
-    apart = lambda d: sorted(tuple(r) for r in coordinate_join._apart(postings, label(d), classes, 40, 0.85).collect())
-    assert apart({k: 0 for k in range(5)}) == []
-    assert apart({0: 0, 1: 0, 2: 0, 3: 3, 4: 3}) == [(a, b) for a in range(3) for b in (3, 4)]
-    assert components(spark.createDataFrame([(0, 3)], "u long, v long")).count() == 2
+        seen.append(int((a == b)[:64].sum()))
+        fine.append(int((a == b).sum()))
+        rough = (a & 0xFF) == (b & 0xFF)
+        assert rough.sum() - (a == b).sum() <= 8  # one byte tells different minima apart
+    for got, n in ((np.array(seen), 64), (np.array(fine), 256)):
+        assert abs(got.mean() / n - 0.85) < 0.005 and abs(got.std() / (n * 0.85 * 0.15) ** 0.5 - 1) < 0.1
+        assert got.min() >= coordinate_join.least_matches(0.85, 5e-7, n)
+    assert coordinate_join.least_matches(0.85, 1e-6) == 39
+
+
+def test_lists_of_one_label_are_skipped(spark):
+    classes = spark.createDataFrame([(k, 10, bytearray(256)) for k in range(1300)], "rep long, n long, fine binary")
+    postings = spark.createDataFrame([(7, k, 5 if k else 9) for k in range(1300)] + [(8, k, 5) for k in range(3)], "key long, rep long, hub long")
+    visits = lambda d: coordinate_join._visits(postings, spark.createDataFrame(list(d.items()), "v long, label long"), classes).collect()
+    assert visits({k: 0 for k in range(1300)}) == []
+    got = visits({k: 0 for k in range(1298)})  # two sets are apart, and meet each of the three blocks
+    assert {r.key for r in got} == {7} and sorted((r.rep, r.b) for r in got if r.probe) == [(k, b) for k in (1298, 1299) for b in range(3)]
+    assert sum(not r.probe for r in got) == 1300

@@ -1,23 +1,23 @@
 """Near copies by an inverted join of signature coordinates (operator 12).
 
-Texts become sets of hashed word windows, and each distinct set a signature of 64
-minimum hashes.  A set is posted under every (coordinate, value) pair of its
-signature.  Two sets at the threshold agree on at least ``T`` coordinates but for a
-stated chance, so:
+Texts become sets of hashed word windows, and each distinct set a signature of
+minimum hashes.  A set is posted under every (coordinate, value) pair of the first
+64.  Two sets at the threshold agree on at least ``T`` of them but for a stated chance, so:
 
 * a set of which fewer than T pairs occur anywhere else has no partner;
 * of the others only the rarest pairs are kept, the prefix: two signatures that
-  agree T times share a pair within their K - T + 1 rarest ones.  Pairs that come
+  agree T times share a pair within their 64 - T + 1 rarest ones.  Pairs that come
   from passages which many documents carry are frequent, hence rarely in a prefix.
 
-Collisions are counted in stages that skip what hangs together already.  First
-each set against the smallest sets of its posting lists; of those that collide
-often enough the smallest is confirmed, and sets confirmed with one set, or with one
-that leads to it, share a label.  Then, in the lists whose sets still carry different
-labels, the sets outside the label of the list's smallest one against all others,
-in blocks.  Pairs that collide T times or more are confirmed
-on whole sets; two sets of one label need no comparison, as a further link between
-them changes no component.  So a list of N copies costs N comparisons, not N * N.
+Collisions are counted over 256 coordinates of one byte, in two stages; the second
+skips what hangs together after the first.  First each set against the hubs of its
+posting lists (the sets whose values occur most: originals rather than copies); the
+greatest one that collides often enough is confirmed on whole sets.  Then, in the
+lists whose sets still carry different labels, the sets outside the hub's label
+against all others, block by block; two sets of one label need no comparison, as a
+further link between them changes no component.  So a list of N copies of one
+original costs N comparisons.  N sets that resemble each other but are linked with
+nothing are compared pair by pair, as each pair has to be ruled out.
 """
 
 from __future__ import annotations
@@ -34,14 +34,15 @@ from trajspark.llm.chosen_path import components
 from trajspark.llm.common import Rows, shuffle_partitions, slices, written
 from trajspark.operators.joins import is_small
 
-COORDINATES = 64
-#: Bytes hashed in one go; rows of a posting list compared in one go.
-CHUNK, BLOCK = 1 << 20, 256
+#: Minimum hashes that are posted, and those of one byte each on which collisions are counted.
+COORDINATES, FINE = 64, 256
+#: Bytes hashed in one go; partners checked by one task at a time; sets of a posting list compared in one go.
+CHUNK, PARTNERS, BLOCK = 1 << 20, 256, 512
 _RANDOM = np.random.Generator(np.random.PCG64(85))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _RANDOM.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_XOR = _RANDOM.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
-_MUL = _RANDOM.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _RANDOM.integers(0, 1 << 32, FINE, dtype=np.uint32)
+_MUL = _RANDOM.integers(0, 1 << 31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
@@ -116,9 +117,9 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def signature(s: np.ndarray) -> np.ndarray:
     x = (s ^ (s >> np.uint64(32))).astype(np.uint32)
-    out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(out, ((x[at:at + 2048, None] ^ _XOR) * _MUL).min(0), out=out)
+    out = np.full(FINE, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 512):
+        np.minimum(out, ((x[at:at + 512, None] ^ _XOR) * _MUL).min(0), out=out)
     return out
 
 
@@ -132,8 +133,13 @@ def least_matches(threshold: float, miss: float, coordinates: int = COORDINATES)
     return coordinates
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sig", pa.list_(pa.int32())),
+                        ("fine", pa.binary())])
 
     def run(batches):
         rows = Rows(schema)
@@ -141,58 +147,74 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 s = shingles(text, n)
                 if len(s):
-                    rows.add(doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), signature(s).view(np.int32))
+                    sig = signature(s)
+                    rows.add(doc, _digest(s), len(s), sig[:COORDINATES].view(np.int32), (sig & np.uint32(0xFF)).astype(np.uint8).tobytes())
                 else:
-                    rows.add(doc, None, 0, None)
+                    rows.add(doc, None, 0, None, None)
             if rows.ready():
                 yield rows.take()
         yield from rows.rest()
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n long, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n long, sig array<int>, fine binary")
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
-    """``key, rep`` (``rep``: number of a distinct set): the prefix of each set that can have a partner, rarest coordinate values first."""
+    """``key, rep, hub`` (``rep``: number of a distinct set; ``hub``: how often its values occur in all): the prefix of each set that can have a partner, rarest coordinate values first."""
     pairs = classes.select("rep", F.posexplode("sig").alias("c", "value")).select(
         "rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("key"))
     often = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     own = W.partitionBy("rep")
     met = pairs.join(often, "key").select(
-        "key", "rep", F.row_number().over(own.orderBy("often", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("met"))
-    return met.where(f"met >= {least} AND at <= met - {least} + 1").select("key", "rep")
+        "key", "rep", F.row_number().over(own.orderBy("often", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("met"),
+        F.sum("often").over(own).alias("hub"))
+    return met.where(f"met >= {least} AND at <= met - {least} + 1").select("key", "rep", "hub")
+
 
+def _fine(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), FINE)
 
-def _matrix(column) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), COORDINATES)
 
+def _stars(postings: DataFrame, classes: DataFrame, least: int, low: float) -> DataFrame:
+    """``a, b``: each set ``b`` with the greatest hub of its lists that it collides with ``least`` times.
+
+    The original of a group of copies shares more values than any copy, so it is their hub.
+    """
+    top = postings.groupBy("key").agg(F.max(F.struct("hub", F.negative("rep").alias("m"))).alias("top"))
+    pairs = postings.join(top, "key").where("rep <> -top.m").select("top", F.col("rep").alias("b")).distinct()
 
-def _collide(pairs: DataFrame, classes: DataFrame, least: int, low: float) -> DataFrame:
-    """Of ``pairs`` (``a, b``) those that agree on ``least`` coordinates and whose sizes allow the threshold."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column("sig_a")) == _matrix(batch.column("sig_b"))).sum(1)
-                yield batch.select(["a", "b"]).filter(pa.array(same >= least))
+                same = (_fine(batch.column("fine_a")) == _fine(batch.column("fine_b"))).sum(1)
+                yield batch.select(["hub", "a", "b"]).filter(pa.array(same >= least))
 
-    sides = [classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").where(f"least(n_a, n_b) >= {low} * greatest(n_a, n_b) - 1e-9")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    sides = [classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}")) for x in "ab"]
+    both = pairs.select("top.hub", F.negative("top.m").alias("a"), "b").join(sides[0], "a").join(sides[1], "b")
+    both = both.where(f"least(n_a, n_b) >= {low} * greatest(n_a, n_b) - 1e-9").select("hub", "a", "b", "fine_a", "fine_b")
+    near = both.mapInArrow(run, "hub long, a long, b long")
+    return near.groupBy("b").agg(F.max(F.struct("hub", F.negative("a").alias("m"))).alias("top")).select(F.negative("top.m").alias("a"), "b")
+
+
+def _with_text(rows: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (with ``rep``) with ``digest`` and ``text``; every row of a document that has the id of the set."""
+    asked = written(rows.join(classes.select("rep", "doc", "digest"), "rep"), "asked")
+    texts, wanted = docs.withColumnRenamed("doc_id", "doc"), asked.select("doc").distinct()
+    if is_small(wanted):  # then texts that nobody asks for stay out of the shuffle
+        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
+    return asked.join(texts, "doc").drop("doc")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of ``pairs`` (``a, b``) those whose whole sets reach the threshold.
 
-    Everything for one ``a`` would be a hot group: its pairs are dealt out in chunks of BLOCK, and each chunk
+    Everything for one ``a`` would be a hot group: its pairs are dealt out in chunks of PARTNERS, and each chunk
     gets one copy of the text of ``a``, which comes first in the sort.
     """
-    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("chunks"))
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("chunks"))
     first = size.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"),
                         F.col("a").alias("rep"))
     others = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b", F.col("b").alias("rep"))
-    asked = written(first.unionByName(others).join(classes.select("rep", "doc", "digest"), "rep").drop("rep"), "asked")
-    texts, wanted = docs.withColumnRenamed("doc_id", "doc"), asked.select("doc").distinct()
-    if is_small(wanted):  # then texts that nobody asks for stay out of the shuffle
-        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
+    rows = _with_text(first.unionByName(others), classes, docs)
 
     def run(batches):
         at, own = None, None
@@ -205,7 +227,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, nu
                 if b is None and own is not None:
                     continue
                 s = shingles(text, n)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != digest:
+                if _digest(s) != digest:
                     continue  # another row with the same id
                 if b is None:
                     own = s
@@ -217,7 +239,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, nu
             if out_a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    placed = asked.join(texts, "doc").select("a", "chunk", "b", "digest", "text").repartition(shuffle_partitions(docs.sparkSession), "a", "chunk")
+    placed = rows.select("a", "chunk", "b", "digest", "text").repartition(shuffle_partitions(docs.sparkSession), "a", "chunk")
     return written(placed.sortWithinPartitions("a", "chunk", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long"), "links")
 
 
@@ -227,57 +249,103 @@ def _labelled(rows: DataFrame, labels: DataFrame, of: str, name: str) -> DataFra
     return rows.join(own, of, "left").withColumn(name, F.coalesce(name, of))
 
 
-def _apart(postings: DataFrame, labels: DataFrame, classes: DataFrame, least: int, low: float) -> DataFrame:
-    """Pairs of one posting list that carry different labels and collide ``least`` times.
+_GROUP = ("key", "r", "b")
+
+
+def _visits(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Sets of the lists with several labels, once for each pair of blocks (``r`` of the rest, ``b`` of all) that they are in.
 
-    Lists of one label are skipped.  In the others, sets under the label of the list's smallest set stay in one
-    block; the rest visits every block.
+    Lists of one label are skipped.  In the others the sets outside the label of the list's hub are the rest; a block
+    of the rest meets a block of all, so a group holds two blocks at most.
     """
     lists = _labelled(postings, labels, "rep", "label")
-    kept = lists.groupBy("key").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"),
-        F.min(F.struct("rep", "label")).alias("first")).where("lo <> hi").select(
-        "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("first.label").alias("main"))
-    rows = lists.join(kept, "key").withColumn("home", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("block", F.explode(F.when(F.col("label") == F.col("main"), F.array("home")).otherwise(
-        F.sequence(F.lit(0), F.col("blocks") - 1)))).withColumn("rest", F.col("label") != F.col("main"))
-    rows = rows.select("key", "block", "rep", "label", "rest", (F.col("home") == F.col("block")).alias("here"))
-    rows = rows.join(classes.select("rep", "n", "sig"), "rep")
-
-    def pairs_of(t):
-        rep, label, size = (t.column(c).to_numpy() for c in ("rep", "label", "n"))
-        rest, here = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "here"))
-        sig, out = _matrix(t.column("sig")), []
-        for i in np.flatnonzero(rest):
-            # a pair of two from the rest counts in the block of the larger one
-            fit = here & (label != label[i]) & (~rest | (rep > rep[i]))
-            j = np.flatnonzero(fit & (np.minimum(size, size[i]) >= low * np.maximum(size, size[i]) - 1e-9))
-            j = j[(sig[j] == sig[i]).sum(1) >= least]
-            out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j]
-        return sorted(set(out))
+    per = lists.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("hub", F.negative("rep").alias("m"))).alias("hub"))
+    kept = per.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("hub", "label", "size")).alias("top"))
+    kept = kept.where("labels > 1").select("key", F.col("top.label").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("bs"),
+                                           F.ceil((F.col("size") - F.col("top.size")) / BLOCK).cast("int").alias("rs"))
+    rows = lists.join(kept, "key").withColumn("rest", F.col("label") != F.col("main"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = ["key", "rep", "label", "rest"]
+    probes = rows.where("rest").select(*base, F.lit(True).alias("probe"), place("rs").alias("r"), every("bs").alias("b"))
+    targets = rows.select(*base, F.lit(False).alias("probe"), every("rs").alias("r"), place("bs").alias("b"))
+    own = postings.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # a prefix
+    return probes.unionByName(targets).join(classes.select("rep", "n", "fine").join(own, "rep"), "rep")
+
+
+def _likely(t: pa.RecordBatch, least: int, low: float) -> list[tuple[int, int, int]]:
+    """(collisions, row, row) of the pairs of probe and target in a group that may be linked and meet in no smaller list."""
+    rep, label, size = (t.column(c).to_numpy() for c in ("rep", "label", "n"))
+    rest, probe = (t.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "probe"))
+    key, keys, fine, out = t.column("key")[0].as_py(), t.column("keys").to_pylist(), _fine(t.column("fine")), []
+    target = np.flatnonzero(~probe)
+    for i in np.flatnonzero(probe):
+        # two of the rest meet twice: the smaller one counts as the probe
+        j = target[(label[target] != label[i]) & (~rest[target] | (rep[target] > rep[i]))
+                   & (np.minimum(size[target], size[i]) >= low * np.maximum(size[target], size[i]) - 1e-9)]
+        same = (fine[j] == fine[i]).sum(1)
+        mine = set(keys[i])
+        out += [(int(c), int(i), int(k)) for c, k in zip(same[same >= least], j[same >= least]) if min(mine.intersection(keys[k])) == key]
+    return out
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            key, block = t.column("key").to_numpy(), t.column("block").to_numpy()
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1).tolist()]
-            for lo, hi in zip(cut, cut[1:]):
-                yield from given(t.slice(lo, hi - lo))
-            held = t.slice(cut[-1])
-        if held is not None and held.num_rows:
-            yield from given(held)
-
-    def given(t):
-        out = pairs_of(t.combine_chunks().to_batches()[0])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-    placed = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "block").sortWithinPartitions("key", "block", "rep")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+
+def _groups(batches) -> Iterator[pa.RecordBatch]:
+    """Rows of one group each, from rows sorted by it."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        at = np.stack([t.column(c).to_numpy() for c in _GROUP])
+        cut = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist()]
+        for lo, hi in zip(cut, cut[1:]):
+            yield t.slice(lo, hi - lo).combine_chunks().to_batches()[0]
+        held = t.slice(cut[-1])
+    if held is not None:
+        yield held.combine_chunks().to_batches()[0]
+
+
+def _apart(postings: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, least: int, n: int, num: int, den: int) -> DataFrame:
+    """Links (``a, b``) between sets of one posting list that carry different labels.
+
+    A first pass keeps the rows of each group that have a likely partner there; only they get their texts.  Pairs
+    never become rows: a task gives out the links that join what it hadn't joined before, the likeliest pairs first.
+    """
+    low = num / den
+
+    def keep(batches):
+        for group in _groups(batches):
+            rows = sorted({x for _, i, k in _likely(group, least, low) for x in (i, k)})
+            if rows:
+                yield group.take(pa.array(rows))
+
+    def confirm(batches):
+        for group in _groups(batches):
+            sets = [shingles(x, n) for x in group.column("text").to_pylist()]
+            fine = [_digest(s) == d for s, d in zip(sets, group.column("digest").to_pylist())]
+            reps, root, out = group.column("rep").to_pylist(), {}, []
+
+            def top(x):
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for _, i, k in sorted(_likely(group, least, low), reverse=True):
+                a, b = top(reps[i]), top(reps[k])
+                if a != b and fine[i] and fine[k]:
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if den * both >= num * (len(sets[i]) + len(sets[k]) - both):
+                        root[max(a, b)] = min(a, b)
+                        out.append((reps[i], reps[k]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    parts = shuffle_partitions(postings.sparkSession)
+    placed = lambda df: df.repartition(parts, *_GROUP).sortWithinPartitions(*_GROUP, "rep")
+    visits = _visits(postings, labels, classes)
+    near = written(placed(visits).mapInArrow(keep, visits.schema), "near")
+    return written(placed(_with_text(near, classes, docs)).mapInArrow(confirm, "a long, b long"), "links")
 
 
 def _same_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
@@ -302,23 +370,20 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     null, ``kept`` true).  Rows that share an id are one document with the links of all its texts.  An empty table gives no
     rows; other columns are not read.  Texts of any length are compared whole.
     """
-    low, least = num / den, least_matches(num / den, miss)
+    low, least = num / den, least_matches(num / den, miss / 2, FINE)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sets = written(_sets(docs, n), "coordinate-sets")
     classes = written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")).withColumn(
+        F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("fine").alias("fine")).withColumn(
         "rep", F.monotonically_increasing_id()), "coordinate-classes")
-    postings = written(_postings(classes, least), "postings")
-    first = postings.groupBy("key").agg(F.min("rep").alias("a"))
-    stars = postings.join(first, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = written(_collide(stars, classes, least, low), "stars")
-    links = _confirmed(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), classes, docs, n, num, den)
-    up = links.select(F.col("b").alias("v"), F.col("a").alias("label"))  # one link each, to a smaller set: a forest
+    postings = written(_postings(classes, least_matches(num / den, miss / 2)), "postings")
+    links = _confirmed(_stars(postings, classes, least, low), classes, docs, n, num, den)
+    up = links.select(F.col("b").alias("v"), F.col("a").alias("label"))  # one link each, to a greater hub: a forest
     for _ in range(2):
         up = up.join(up.select(F.col("v").alias("label"), F.col("label").alias("higher")), "label", "left").select(
             "v", F.coalesce("higher", "label").alias("label"))
-    apart = written(_apart(postings, written(up, "labels"), classes, least, low), "apart")
-    links = _same_id(sets, classes).unionByName(links).unionByName(_confirmed(apart, classes, docs, n, num, den))
+    apart = _apart(postings, written(up, "labels"), classes, docs, least, n, num, den)
+    links = _same_id(sets, classes).unionByName(links).unionByName(apart)
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = _labelled(classes.select("digest", "doc", "rep"), labels, "rep", "label")
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
