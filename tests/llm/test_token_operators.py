@@ -143,6 +143,19 @@ def test_large_shard_by_select(spark):
     assert {r.doc_id: r for r in some} == {i: r for i, r in got.items() if i % 7 == 0}
 
 
+def test_one_id_in_many_shards(spark):
+    """Half the rows without an id, a third with one id: they fill several shards, still in order."""
+    rows = [(None, f"blank {k}") for k in range(300)] + [(5, f"five {k}") for k in range(200)] + [(k, f"own {k}") for k in range(100)]
+    store = id_store.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH, new_folder(spark, "t"), partitions=8)
+    assert len(store.shards) >= 6 and max(s[2] for s in store.shards) < 200
+    got = sorted(id_store.read_store(spark, store).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == [None] * 300 + sorted([5] * 200 + list(range(100)))
+    assert sorted(r.ids for r in got) == sorted(want(t).tobytes() for _, t in rows)
+    found = id_store.look_up(store, spark.createDataFrame([(5,), (6,)], "doc_id long")).collect()
+    assert len(found) == 202 and {r.start for r in found} == {r.start for r in got if r.doc_id in (5, 6)}
+
+
 def test_full_tables_start_anew(monkeypatch):
     from trajspark.llm import bpe_tokens
     monkeypatch.setattr(bpe_tokens, "KEPT_WORDS", 50)

@@ -11,7 +11,9 @@ id order; the ids before each shard are a running sum of the shards' totals.
 
 from __future__ import annotations
 
+import itertools
 import struct
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trajspark.llm.bpe_tokens import encoder
-from trajspark.llm.common import Rows, commit_file, shuffle_partitions, slices, storage, written
+from trajspark.llm.common import Rows, commit_file, shuffle_partitions, slices, storage
 
 SAMPLE = 256
 _HEAD = struct.Struct("<4sQqB")  # magic, values, smallest value, low bits
@@ -143,47 +145,59 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str = "
     system.create_dir(root, recursive=True)
     end = int(end_id).to_bytes(4, "little")
 
+    n = partitions or shuffle_partitions(docs.sparkSession)
+    picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # shards are ranges of ids: quantiles from the ids alone, so no text is read or coded twice
+    seen = picked.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"),
+                      F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10 * n).alias("at")).first()
+    blank = -(-n * (seen["n"] - seen["known"]) // max(1, seen["n"]))  # shards for documents without an id
+    at = np.array((seen["at"] or []) if n > 1 else [], np.int64)
+
+    def shard_of(ids: pa.Array, marks: np.ndarray) -> np.ndarray:
+        """Shard of each document; one id that fills several shards is spread over them by the hash of the text."""
+        known, values = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        lo = np.where(known, blank + np.searchsorted(at, values, "left"), 0)
+        hi = np.where(known, blank + np.searchsorted(at, values, "right"), max(blank - 1, 0))
+        return lo + (marks / 2.0 ** 32 * np.where(hi > lo + known, hi - lo + 1, 1)).astype(np.int64)
+
     def code(batches):
         for part in slices(batches):
-            raws = [raw + end for raw in encoder(tokenizer).encode_many(part.column(1).to_pylist())]
+            texts = part.column(1).to_pylist()
+            raws = [raw + end for raw in encoder(tokenizer).encode_many(texts)]
             if width == 2:
                 ids = np.frombuffer(b"".join(raws), "<u4")
                 if len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("an id needs more than 16 bits: use width=4")
                 ends, flat = np.cumsum([0, *(len(r) // 2 for r in raws)]).tolist(), ids.astype("<u2").tobytes()
                 raws = [flat[i:j] for i, j in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raws, pa.binary())], names=["doc_id", "ids"])
+            marks = np.array([zlib.crc32(r) for r in raws], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(part.column(0), marks)), part.column(0), pa.array(marks), pa.array(raws, pa.binary())],
+                                             names=["shard", "doc_id", "mark", "ids"])
 
     def run(batches):
-        context = TaskContext.get()
-        number, attempt = context.partitionId(), context.taskAttemptId()
-        ends, names, nulls = [0], [], 0
-
-        def fill(out):
-            nonlocal nulls
-            for part in slices(batches):
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+        attempt = TaskContext.get().taskAttemptId()
+        rows = (row for part in slices(batches) for row in zip(*(part.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))))
+        files, path = storage(folder)
+        for number, own in itertools.groupby(rows, key=lambda row: row[0]):
+            ends, names = [0], []
+
+            def fill(out):
+                for _, doc, raw in own:
                     ends.append(ends[-1] + len(raw) // width)
-                    nulls += doc is None
                     if doc is not None:
                         names.append(doc)
                     out.write(raw)
 
-        files, path = storage(folder)
-        name = f"{path}/shard-{number:05d}"
-        commit_file(files, f"{name}.ids", attempt, fill)
-        lists = EliasFano.of(np.array(ends)).dump() + EliasFano.of(np.array(names, np.int64)).dump()
-        commit_file(files, f"{name}.ef", attempt, lambda out: out.write(lists))
-        yield pa.RecordBatch.from_pydict({
-            "shard": [number], "nulls": [nulls], "docs": [len(ends) - 1], "ids": [ends[-1]],
-            "least": pa.array(names[:1] or [None], pa.int64()), "most": pa.array(names[-1:] or [None], pa.int64())})
+            name = f"{path}/shard-{number:05d}"
+            commit_file(files, f"{name}.ids", attempt, fill)
+            lists = EliasFano.of(np.array(ends)).dump() + EliasFano.of(np.array(names, np.int64)).dump()
+            commit_file(files, f"{name}.ef", attempt, lambda out: out.write(lists))
+            yield pa.RecordBatch.from_pydict({
+                "shard": [number], "nulls": [len(ends) - 1 - len(names)], "docs": [len(ends) - 1], "ids": [ends[-1]],
+                "least": pa.array(names[:1] or [None], pa.int64()), "most": pa.array(names[-1:] or [None], pa.int64())})
 
-    n = partitions or shuffle_partitions(docs.sparkSession)
-    # coded once, then sorted: ids are half the size of the texts, and sampling for the ranges reads no text
-    coded = written(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-                    .mapInArrow(code, "doc_id long, ids binary"), "coded")
-    order = (F.asc_nulls_first("doc_id"), F.xxhash64("ids"))
-    ordered = coded.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    coded = picked.mapInArrow(code, "shard long, doc_id long, mark long, ids binary")
+    ordered = coded.repartition(n, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "mark")
     made = sorted(ordered.mapInArrow(run, "shard long, nulls long, docs long, ids long, least long, most long").collect(), key=lambda r: r.shard)
     shards, spans, before = [], [], [0, 0]
     for number, nulls, n_docs, n_ids, least, most in made:
