@@ -156,6 +156,17 @@ def test_one_id_in_many_shards(spark):
     assert len(found) == 202 and {r.start for r in found} == {r.start for r in got if r.doc_id in (5, 6)}
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    from trajspark.llm import bpe_tokens
+    monkeypatch.setattr(bpe_tokens, "AT_ONCE", 40)
+    rng = np.random.default_rng(4)
+    bits = ["a", "word", "é", "12", "x,", "\n", " ", "  ", "\xa0", "long" * 20]
+    enc = bpe_tokens.WordEncoder(PATH)
+    for odd in (False, True):
+        texts = [" ".join(rng.choice(bits if odd else bits[:5] + bits[9:], int(rng.integers(0, 80)))) for _ in range(150)]
+        assert enc.encode_many(texts) == [want(t)[:-1].tobytes() for t in texts]
+
+
 def test_full_tables_start_anew(monkeypatch):
     from trajspark.llm import bpe_tokens
     monkeypatch.setattr(bpe_tokens, "KEPT_WORDS", 50)

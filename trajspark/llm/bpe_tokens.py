@@ -16,11 +16,14 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Words, and parts of words, whose ids a worker keeps; a full table starts anew.
 KEPT_WORDS, KEPT_PARTS = 1_000_000, 200_000
+#: Bytes that become arrays in one go.
+AT_ONCE = 1 << 18
 #: The pre-tokenisation pattern of the byte-level vocabulary, for
 #: printable characters up to U+024F (letters, numbers, others) without white space.
 _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
@@ -40,6 +43,18 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(byte before it, piece) of a text in pieces of about AT_ONCE bytes; all but the first follow a space."""
+    at, lead = 0, b"\0"
+    while len(raw) - at > AT_ONCE:
+        end = raw.find(b" ", at + AT_ONCE)
+        if end < 0:
+            break
+        yield lead, raw[at:end]
+        at, lead = end + 1, b" "
+    yield lead, raw[at:]
+
+
 class _Hash:
     """Polynomial hash, modulo 2 ** 64, of stretches of a byte array; mixed at the end."""
 
@@ -186,18 +201,28 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; null and empty texts have none."""
-        out: list[bytes] = [b""] * len(texts)
-        plain, raws = [], []
+        out: list[list[bytes] | bytes] = [b""] * len(texts)
+        group, size = [], 0
         for k, t in enumerate(texts):
             if t and any(a in t for a in self.added):
                 out[k] = self._whole(t)
-            elif t:
-                plain.append(k)
-                raws.append(t.encode())
-        if not plain:
-            return out
-        raw = np.frombuffer(b"\0" + b"\0".join(raws) + b"\0", np.uint8)
-        edge = np.cumsum([0, *(len(r) + 1 for r in raws)])   # where a text starts, with the byte before it
+                continue
+            for lead, piece in _pieces(t.encode()) if t else ():
+                if group and size + len(piece) > AT_ONCE:
+                    self._encode(group, texts, out)
+                    group, size = [], 0
+                group.append((k, lead, piece))
+                size += len(piece)
+        if group:
+            self._encode(group, texts, out)
+        if self.words.n > KEPT_WORDS:
+            self.words.clear()
+        return [x if isinstance(x, bytes) else b"".join(x) for x in out]
+
+    def _encode(self, group: list[tuple[int, bytes, bytes]], texts: list[str | None], out: list) -> None:
+        """Ids of pieces (number of their text, byte before them, bytes), added to ``out`` by text."""
+        raw = np.frombuffer(b"".join(x for _, lead, piece in group for x in (lead, piece)) + b"\0", np.uint8)
+        edge = np.cumsum([0, *(len(piece) + 1 for *_, piece in group)])   # where a piece starts, with the byte before it
         cut = (raw == _SPACE) | (raw == _LINE)
         cut[edge] = True
         start = np.flatnonzero(cut)
@@ -207,29 +232,26 @@ class WordEncoder:
         new = np.flatnonzero((number < 0) & (end > start + 1))
         if len(new):
             _, one = np.unique(h[new], return_index=True)
-            one = new[one]
-            whole = raw.tobytes()
-            for at in range(0, len(one), 20_000):
-                some = one[at:at + 20_000]
-                self.words.add(h[some], g[some], self._learned([whole[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist())]))
+            some, whole = new[one], raw.tobytes()
+            self.words.add(h[some], g[some], self._learned([whole[a:b].decode() for a, b in zip(start[some].tolist(), end[some].tolist())]))
             number[new] = self.words.find(h[new], g[new])
         place, size = self.words.place[number].T
         # double, leading or trailing white space leaves an empty word; its text is unusual
         unusual = (end == start + 1) | (number < 0) | (size < 0)
-        text_of = np.searchsorted(edge, start, "right") - 1
-        odd = np.zeros(len(raws), bool)
-        odd[text_of[unusual]] = True
-        size = np.where(odd[text_of], 0, size)
+        piece_of = np.searchsorted(edge, start, "right") - 1
+        odd = np.zeros(len(group), bool)
+        odd[piece_of[unusual]] = True
+        size = np.where(odd[piece_of], 0, size)
         last = np.cumsum(size)
         ids = self.words.ids[np.repeat(place - (last - size), size) + np.arange(int(last[-1]))]
         stop = 4 * np.concatenate([[0], last])[np.searchsorted(start, edge[1:])]
         flat, at = ids.tobytes(), 0
-        for k, to, strange in zip(plain, stop.tolist(), odd.tolist()):
-            out[k] = self._whole(texts[k]) if strange else flat[at:to]
+        for (k, lead, _), to, strange in zip(group, stop.tolist(), odd.tolist()):
+            if strange and not (lead == b" " and isinstance(out[k], bytes)):
+                out[k] = self._whole(texts[k])  # once: a text that went whole takes no further piece
+            elif not strange and (lead == b"\0" or isinstance(out[k], list)):
+                out[k] = [flat[at:to]] if lead == b"\0" else [*out[k], flat[at:to]]
             at = to
-        if self.words.n > KEPT_WORDS:
-            self.words.clear()
-        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
