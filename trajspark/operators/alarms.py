@@ -183,14 +183,16 @@ def nested_alarms(maxima: DataFrame, by: Sequence[str], fold: str, k: int, score
     """Alarm of each episode at a threshold from the other folds' healthy peaks.
 
     A healthy peak serves the k - 1 folds it is not in; only peaks (one row
-    per episode) are repeated, never steps.
+    per episode) are repeated, never steps.  An episode of a fold for which the
+    others have no healthy peak stays, with a null alarm and the ``reason``.
     """
     by = list(by)
     other = maxima.filter("is_healthy").select(
         *by, score, F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: x != F.col(fold))).alias("_k"))
     th = pick_threshold(other, [*by, "_k"], score, budget).select(
         *by, F.col("_k").cast("int").alias(fold), "theta")
-    return maxima.join(F.broadcast(th), [*by, fold]).withColumn("alarm", F.col(score) > F.col("theta"))
+    return maxima.join(th, [*by, fold], "left").withColumns({
+        "alarm": F.col(score) > F.col("theta"), "reason": F.when(F.col("theta").isNull(), "no threshold")})
 
 
 # ---- fixed values: healthy runs a deployment needs, and is advised to have

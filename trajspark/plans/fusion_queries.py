@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import hashing, text
-from trajspark.operators import alarms, features, fit, fusion, grounding, ordered, ranks
+from trajspark.operators import alarms, features, fit, fusion, grounding, grouped, ordered, ranks
 from trajspark.plans import base
 from trajspark.plans.base import U, cte, sql, table
 from trajspark.plans.numeric import R
@@ -123,16 +123,81 @@ def _(spark, d):
     return m.crossJoin(F.broadcast(th)).select("user_id", R("peak").alias("peak"), (F.col("peak") > F.col("theta")).alias("alarm"))
 
 
+def _gauss(rows: str, *by: str) -> str:
+    """CTEs ``gm`` .. ``gp``: a two-dim Gaussian (x, y) per group of the CTE ``rows``, shrunk as by Ledoit and Wolf."""
+    g = ", ".join(by)
+    return f"""
+gm AS (SELECT {g}, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM {rows} GROUP BY {g}),
+gc AS (SELECT {g}, n, mx, my, avg((x - mx) ** 2) AS a, avg((x - mx) * (y - my)) AS b, avg((y - my) ** 2) AS c,
+    avg(((x - mx) ** 2 + (y - my) ** 2) ** 2) AS q FROM {rows} JOIN gm USING ({g}) GROUP BY {g}, n, mx, my),
+gs AS (SELECT *, (a + c) / 2 AS mu, a * a + 2 * b * b + c * c AS sq FROM gc),
+gz AS (SELECT *, CASE WHEN sq - 2 * mu * mu <= 0 THEN 0 ELSE least(greatest((q - sq) / n, 0), sq - 2 * mu * mu) / (sq - 2 * mu * mu) END AS z FROM gs),
+gp AS (SELECT *, (1 - z) * a + z * mu AS pa, (1 - z) * b AS pb, (1 - z) * c + z * mu AS pc FROM gz)"""
+
+
+_DISTANCE = "sqrt((pc * (x - mx) ** 2 - 2 * pb * (x - mx) * (y - my) + pa * (y - my) ** 2) / (pa * pc - pb * pb))"
+_PLANE = """
+, xy AS (SELECT user_id, CASE dataset WHEN 'ds3' THEN 'small' ELSE 'large' END AS site, is_healthy, value AS x, (event_type = 'purchase')::DOUBLE AS y
+  FROM steps JOIN episodes USING (user_id))"""
+
+
+def plane(spark, d):
+    """Two numbers per step, and the site of its run: one corpus is a small site, the others a large one."""
+    e = base.episodes(spark, d).select("user_id", "is_healthy", F.when(F.col("dataset") == "ds3", "small").otherwise("large").alias("site"))
+    s = base.steps(spark, d).select("user_id", F.array("value", (F.col("event_type") == "purchase").cast("double")).alias("v"))
+    return s.join(e, "user_id"), e
+
+
+@query("deployment_models", sql(_PLANE + """,
+r AS (SELECT site, user_id, row_number() OVER (PARTITION BY site ORDER BY ('0x' || substr(sha256('deploy:' || user_id), 1, 13))::BIGINT) - 1 AS r,
+   count(*) OVER (PARTITION BY site) AS n FROM (SELECT DISTINCT site, user_id FROM xy WHERE is_healthy)),
+sp AS (SELECT site, user_id, CASE WHEN r < lo THEN 'train' WHEN r < lo + w THEN 'val' END AS part FROM (SELECT *,
+   greatest(round_even(n * 0.6::DOUBLE, 0), 1) AS lo, greatest(round_even(n * 0.2::DOUBLE, 0), 1) AS w FROM r)),
+tr AS (SELECT xy.site, x, y FROM xy JOIN sp USING (user_id) WHERE part = 'train'),""" + _gauss("tr", "site") + f""",
+pk AS (SELECT site, user_id, max({_DISTANCE}) AS peak FROM xy JOIN sp USING (site, user_id) JOIN gp USING (site) WHERE part = 'val' GROUP BY ALL),
+th AS (SELECT site, n_val, peak AS theta FROM (SELECT site, peak, row_number() OVER (PARTITION BY site ORDER BY peak) - 1 AS i,
+   count(*) OVER (PARTITION BY site) AS n_val FROM pk) WHERE i = ceil((1 - 0.05) * (n_val - 1))),
+hn AS (SELECT site, count(DISTINCT user_id) AS n_healthy FROM xy WHERE is_healthy GROUP BY site)
+SELECT site, n_healthy, n_val, gp.n AS n_rows, CASE WHEN n_healthy < 30 THEN 'too few healthy runs' WHEN theta IS NULL OR theta <= 0 THEN 'degenerate threshold' END AS refused,
+  n_healthy < 80 AS warn, CASE WHEN n_healthy >= 30 THEN round(mx, 6) END AS mean_value, CASE WHEN n_healthy >= 30 THEN round(b, 6) END AS cov,
+  CASE WHEN n_healthy >= 30 THEN round(theta, 5) END AS theta
+FROM hn LEFT JOIN gp USING (site) LEFT JOIN th USING (site)""", "steps", "episodes").replace("\n\n,", ",", 1))
+def _(spark, d):
+    """Each site's own model and threshold from one pass, or the reason why it has none."""
+    s, e = plane(spark, d)
+    c = grouped.calibrated(s, e.filter("is_healthy"), ["site"], "user_id", "v", 2)
+    return c.select("site", "n_healthy", "n_val", "n_rows", "refused", "warn", R(F.get("mean", F.lit(0))).alias("mean_value"),
+                    R(F.get("cov", F.lit(1))).alias("cov"), R("theta", 5).alias("theta"))
+
+
+@query("nested_out_of_fold", sql(_PLANE + """,
+fd AS (SELECT *, (('0x' || substr(sha256('nest:' || user_id), 1, 16))::UBIGINT % 3)::INTEGER AS fold FROM xy),
+st AS (SELECT i, j FROM range(3) a(i), range(3) b(j) WHERE i <= j),
+tr AS (SELECT i, j, x, y FROM fd JOIN st ON fold <> i AND fold <> j WHERE is_healthy),""" + _gauss("tr", "i", "j") + f""",
+pk AS (SELECT user_id, is_healthy, fold, k.held, max({_DISTANCE}) AS peak FROM fd JOIN range(3) k(held) ON is_healthy OR k.held = fold
+  JOIN gp ON gp.i = least(fold, k.held) AND gp.j = greatest(fold, k.held) GROUP BY ALL),
+th AS (SELECT held, peak AS theta FROM (SELECT held, peak, row_number() OVER (PARTITION BY held ORDER BY peak) - 1 AS i, count(*) OVER (PARTITION BY held) AS n
+  FROM pk WHERE fold <> held) WHERE i = ceil((1 - 0.1) * (n - 1)))
+SELECT user_id, pk.fold, round(peak, 5) AS peak, round(theta, 5) AS theta, peak > theta AS alarm,
+  CASE WHEN peak IS NULL THEN 'no model' WHEN theta IS NULL THEN 'no threshold' END AS reason
+FROM pk LEFT JOIN th ON th.held = pk.fold WHERE pk.fold = pk.held""", "steps", "episodes").replace("\n\n,", ",", 1))
+def _(spark, d):
+    """Thresholds on out-of-fold scores: no model or threshold has seen the run it judges."""
+    s, e = plane(spark, d)
+    n = grouped.nested(s.select("user_id", "v"), e.select("user_id", "is_healthy"), "user_id", "v", 2, 3, "nest", 0.1)
+    return n.select("user_id", F.col("fold").cast("int").alias("fold"), R("peak", 5).alias("peak"), R("theta", 5).alias("theta"), "alarm", "reason")
+
+
 @query("nested_thresholds", sql("""
 , f AS (SELECT m.*, (('0x' || substr(sha256('nest:' || user_id), 1, 16))::UBIGINT % 3)::INTEGER AS fold FROM maxima m),
 h AS (SELECT k.fold AS fold, monitor, max_score, row_number() OVER (PARTITION BY k.fold, monitor ORDER BY max_score) - 1 AS i,
    count(*) OVER (PARTITION BY k.fold, monitor) AS n FROM f, (VALUES (0), (1), (2)) k(fold) WHERE is_healthy AND f.fold <> k.fold),
 th AS (SELECT fold, monitor, max_score AS theta FROM h WHERE i = ceil((1 - 0.1) * (n - 1)))
-SELECT monitor, user_id, fold, max_score > theta AS alarm FROM f JOIN th USING (fold, monitor)""", "maxima").replace("\n\n,", ",", 1))
+SELECT monitor, user_id, fold, max_score > theta AS alarm, CASE WHEN theta IS NULL THEN 'no threshold' END AS reason FROM f LEFT JOIN th USING (fold, monitor)""", "maxima").replace("\n\n,", ",", 1))
 def _(spark, d):
     """Each fold's threshold comes from the healthy episodes of the other folds."""
     m = base.maxima(spark, d).withColumn("fold", hashing.fold_of(F.col("user_id"), 3, "nest"))
-    return alarms.nested_alarms(m, ["monitor"], "fold", 3, "max_score", 0.1).select("monitor", "user_id", "fold", "alarm")
+    return alarms.nested_alarms(m, ["monitor"], "fold", 3, "max_score", 0.1).select("monitor", "user_id", "fold", "alarm", "reason")
 
 
 @query("dimension_ablation", sql("""

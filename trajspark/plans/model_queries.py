@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import hashing, vector
-from trajspark.operators import alarms, fit, models, ordered, protocol, ranks
+from trajspark.operators import alarms, fit, grouped, models, ordered, ranks
 from trajspark.plans import base
 from trajspark.plans.base import U, sql, table
 from trajspark.plans.numeric import R
@@ -15,6 +15,7 @@ from trajspark.sources import sinks
 
 TYPES = ("view", "click", "purchase", "signup", "error")
 D = 7
+CORPORA = ["ds0", "ds1", "ds2", "ds3"]  # of ``base.episodes``
 
 
 def step_vectors(spark, d):
@@ -130,29 +131,25 @@ def _(spark, d):
 
 @query("cross_fit")
 def _(spark, d):
-    """Every episode scored by a model that saw only healthy runs of the other folds."""
-    def make(rows):
-        m = models.fit_gaussian(rows, "z", D)
-        return lambda df: df.withColumn("score", R(models.mahalanobis(F.col("z"), m), 5))
+    """Every episode scored by a model that saw only healthy runs of the other folds; all models from one pass."""
     v = step_vectors(spark, d).join(base.episodes(spark, d).select("user_id", "is_healthy"), "user_id")
-    return protocol.cross_fit(v, "user_id", 2, "xfit", make, F.col("is_healthy")).select("user_id", "t", "fold", "score")
+    v = v.withColumn("fold", hashing.fold_of(F.col("user_id"), 2, "xfit"))
+    sums = grouped.moments(v.filter("is_healthy"), ["fold"], "z", D)
+    m = grouped.solved(grouped.without_folds(sums, [], "fold", 2).filter("i = j"), ["i"], D)
+    return grouped.scored(v.withColumn("i", F.col("fold").cast("int")), m, ["i"], "z").select("user_id", "t", "fold", R("score", 5).alias("score"))
 
 
 @query("transfer_matrix")
 def _(spark, d):
-    """Fit on each corpus, score every corpus: AUROC of the episode peaks."""
+    """Fit on each corpus, score every corpus: AUROC of the episode peaks.  All models come from one pass."""
     e = base.episodes(spark, d)
     v = step_vectors(spark, d).join(e.select("user_id", "dataset", "is_healthy"), "user_id")
-    names = [r[0] for r in e.select("dataset").distinct().orderBy("dataset").collect()]  # corpora, one model each
-    scored = v
-    for n in names:
-        m = models.fit_gaussian(v.filter((F.col("dataset") == n) & F.col("is_healthy")), "z", D)
-        scored = scored.withColumn(n, models.mahalanobis(F.col("z"), m))
-    peaks = scored.groupBy("user_id", "dataset", "is_healthy").agg(*[F.max(n).alias(n) for n in names])
-    long = peaks.select("dataset", "is_healthy", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("fitted_on"), F.col(n).alias("s")) for n in names])))
-    a = ranks.auc(long, ["fitted_on", "dataset"], "s", ~F.col("is_healthy"))
-    return a.groupBy("fitted_on").pivot("dataset", names).agg(R(F.max("auroc"), 5))
+    m = grouped.solved(grouped.moments(v.filter("is_healthy"), ["dataset"], "z", D), ["dataset"], D).withColumnRenamed("dataset", "fitted_on")
+    # every corpus meets every model: that is the matrix
+    peaks = grouped.scored(v.withColumn("fitted_on", F.explode(F.array(*map(F.lit, CORPORA)))), m, ["fitted_on"], "z").groupBy("user_id", "dataset", "is_healthy", "fitted_on").agg(
+        F.max("score").alias("s"))
+    a = ranks.auc(peaks, ["fitted_on", "dataset"], "s", ~F.col("is_healthy"))
+    return a.groupBy("fitted_on").pivot("dataset", CORPORA).agg(R(F.max("auroc"), 5))
 
 
 @query("deployment_calibration", sql("""
