@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import math
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trajspark.functions import stats
 from trajspark.functions.hashing import uniform
@@ -147,23 +151,101 @@ def copies(u: Column) -> Column:
     return out
 
 
+#: A statistic of resampled rows: takes the column with a row's copies, gives an aggregate over them.
+Statistic = Callable[[Column], Column]
+
+
+def mean_of(value: str | Column) -> Statistic:
+    v = F.col(value) if isinstance(value, str) else value
+    return lambda w: F.sum(w * v) / F.sum(w)
+
+
+def ratio_of(top: str, bottom: str) -> Statistic:
+    """Ratio of two sums; null where the lower one is 0."""
+    return lambda w: F.try_divide(F.sum(w * F.col(top)), F.sum(w * F.col(bottom)))
+
+
+def quantile_of(value: str, share: float) -> Statistic:
+    """Interpolated quantile.  A task holds the distinct values of a group: round a continuous value first if there are many."""
+    return lambda w: F.percentile(F.col(value), F.lit(share), w)
+
+
+def draws(n_boot: int, seed: str, key: Column) -> Column:
+    """Array of a row's copies in each replicate, from a hash of seed, replicate and key."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda r: copies(uniform(seed, r, key)))
+
+
+def resampled(df: DataFrame, group: Sequence[str], key: Column, statistic: Statistic, n_boot: int, seed: str) -> DataFrame:
+    """``group, rep, value``: the caller's aggregate in each replicate.
+
+    Copies are drawn and added up inside the tasks; what is shuffled is one partial
+    aggregate per task, group and replicate, never a row's replicate.
+    """
+    r = replicates(df, n_boot).withColumn("_w", copies(uniform(seed, F.col("rep"), key))).filter("_w > 0")
+    return r.groupBy(*group, "rep").agg(statistic(F.col("_w")).alias("value"))
+
+
 def bootstrap(df: DataFrame, group: Sequence[str], key: Column, value: Column,
-              n_boot: int, seed: str, stat: str = "mean", level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean or median under Poisson resampling."""
-    d = df.select(*group, key.alias("_k"), value.alias("_v")).filter("_v IS NOT NULL")
-    r = replicates(d, n_boot).withColumn("_w", copies(uniform(seed, F.col("rep"), F.col("_k")))) \
-        .filter("_w > 0")
-    if stat == "mean":
-        reps = r.groupBy(*group, "rep").agg(
-            (F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_s"))
-    else:
-        h = ranks.histogram(r, [*group, "rep"], "_v", {"n": F.col("_w")})
-        at = lambda idx: F.max(F.when(
-            (F.col("before_n") <= idx) & (idx < F.col("before_n") + F.col("n")), F.col("_v")))
-        mid = (F.col("total_n") - 1) / 2.0
-        reps = h.groupBy(*group, "rep").agg(
-            ((at(F.floor(mid)) + at(F.ceil(mid))) / 2.0).alias("_s"))
-    return interval(reps, group, level)
+              n_boot: int, seed: str, stat: str | Statistic = "mean", level: float = 0.95) -> DataFrame:
+    """Percentile interval under Poisson resampling: of the mean or median of ``value``, or of any ``Statistic``.
+
+    Rows whose ``value`` is null are left out; a replicate whose statistic is null doesn't count.
+    """
+    d = df.withColumn("_v", value).filter("_v IS NOT NULL").withColumn("_k", key)
+    if isinstance(stat, str):
+        stat = {"mean": mean_of("_v"), "median": quantile_of("_v", 0.5)}[stat]
+    reps = resampled(d, group, F.col("_k"), stat, n_boot, seed)
+    return interval(reps.filter("value IS NOT NULL").withColumnRenamed("value", "_s"), group, level)
+
+
+def auc_replicates(df: DataFrame, group: Sequence[str], key: Column, score: str, positive: Column, n_boot: int, seed: str) -> DataFrame:
+    """``group, rep, value``: the AUROC of ``score`` in each replicate (null without both kinds of rows).
+
+    Rows are range-partitioned by score once, equal scores together.  A task adds up, for all replicates
+    at a time, the copies of both kinds and the pairs among its own rows; partitions then join in score order, a
+    later one's positives beating all negatives before it.  Shuffled are the rows, and one number per task,
+    group and replicate.
+    """
+    group = list(group)
+    d = df.filter(F.col(score).isNotNull()).select(*group, F.col(score).cast("double").alias("_s"), key.alias("_k"), positive.alias("_p"))
+    d = d.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group, "_s").sortWithinPartitions(*group, "_s")
+    out = T.StructType([*(d.schema[g] for g in group), T.StructField("part", T.LongType()),
+                        *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("p", "q", "u"))])
+
+    def run(batches):
+        part, at, last, sums = TaskContext.get().partitionId(), None, None, None
+        for b in batches:
+            if not len(b):
+                continue
+            code = b.groupby(group, dropna=False, sort=False).ngroup().to_numpy() if group else np.zeros(len(b), int)
+            score_, pos, w = b["_s"].to_numpy(), b["_p"].to_numpy(bool), np.vstack(b["_w"].to_numpy()).astype(float)
+            cut = np.flatnonzero((code[1:] != code[:-1]) | (score_[1:] != score_[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(b)]):
+                here = tuple(b.iloc[lo][group]) if group else ()
+                if str(here) != str(at):
+                    if sums is not None:
+                        yield given(at, part, sums)
+                    at, last, sums = here, None, np.zeros((5, w.shape[1]))
+                # rows: positives and negatives below this score, pairs won, positives and negatives at this score
+                if score_[lo] != last:
+                    sums[2] += sums[3] * (sums[1] + sums[4] / 2)
+                    sums[0] += sums[3]
+                    sums[1] += sums[4]
+                    sums[3:], last = 0, score_[lo]
+                sums[3] += w[lo:hi][pos[lo:hi]].sum(0)
+                sums[4] += w[lo:hi][~pos[lo:hi]].sum(0)
+        if sums is not None:
+            yield given(at, part, sums)
+
+    def given(at, part, sums):
+        p, q, u = sums[0] + sums[3], sums[1] + sums[4], sums[2] + sums[3] * (sums[1] + sums[4] / 2)
+        return pd.DataFrame([(*at, part, p, q, u)], columns=out.fieldNames())
+
+    parts = d.withColumn("_w", draws(n_boot, seed, F.col("_k"))).drop("_k").mapInPandas(run, out)
+    long = parts.select(*group, "part", F.posexplode(F.arrays_zip("p", "q", "u")).alias("rep", "x")).select(*group, "part", "rep", "x.*")
+    before = W.partitionBy(*group, "rep").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    won = long.withColumn("_u", F.col("u") + F.col("p") * F.coalesce(F.sum("q").over(before), F.lit(0.0)))
+    return won.groupBy(*group, "rep").agg(F.try_divide(F.sum("_u"), F.sum("p") * F.sum("q")).alias("value"))
 
 
 def interval(reps: DataFrame, group: Sequence[str], level: float) -> DataFrame:
@@ -175,16 +257,12 @@ def interval(reps: DataFrame, group: Sequence[str], level: float) -> DataFrame:
 def bootstrap_auc_gap(df: DataFrame, key: Column, score_a: str, score_b: str,
                       positive: Column, n_boot: int, seed: str, level: float = 0.95) -> DataFrame:
     """Interval of AUC(a) - AUC(b) over episode resamples."""
-    r = replicates(df.withColumn("_pos", positive), n_boot).withColumn(
-        "_w", copies(uniform(seed, F.col("rep"), key))).filter("_w > 0")
-    long = r.select("rep", "_pos", "_w", F.explode(F.array(
-        F.struct(F.lit("a").alias("m"), F.col(score_a).alias("s")),
-        F.struct(F.lit("b").alias("m"), F.col(score_b).alias("s")))).alias("x")).select(
-        "rep", "_pos", "_w", "x.m", "x.s")
-    a = ranks.auc(long, ["rep", "m"], "s", F.col("_pos"), F.col("_w"))
-    reps = a.filter("auroc IS NOT NULL").groupBy("rep").agg(
-        (F.max(F.when(F.col("m") == "a", F.col("auroc")))
-         - F.max(F.when(F.col("m") == "b", F.col("auroc")))).alias("_s"))
+    d = df.select(key.alias("_key"), positive.alias("_pos"), F.inline(F.array(
+        F.struct(F.lit("a").alias("m"), F.col(score_a).alias("s")), F.struct(F.lit("b").alias("m"), F.col(score_b).alias("s")))))
+    a = auc_replicates(d, ["m"], F.col("_key"), "s", F.col("_pos"), n_boot, seed)
+    reps = a.filter("value IS NOT NULL").groupBy("rep").agg(
+        (F.max(F.when(F.col("m") == "a", F.col("value")))
+         - F.max(F.when(F.col("m") == "b", F.col("value")))).alias("_s"))
     return interval(reps, [], level)
 
 
@@ -214,14 +292,15 @@ def chi_square(df: DataFrame, arm: str, cls: str) -> DataFrame:
 
 
 def contrasts(df: DataFrame, group: Sequence[str], key: Column, a: str, b: str,
-              n_perm: int, seed: str) -> DataFrame:
-    """Paired mean difference per metric with permutation p and Holm over the metrics."""
+              n_perm: int, seed: str, n_boot: int = 200, level: float = 0.95) -> DataFrame:
+    """Paired mean difference per metric with bootstrap interval, permutation p and Holm over the metrics."""
     diff = F.col(a) - F.col(b)
     base = df.groupBy(*group).agg(
         F.avg(a).alias("a_mean"), F.avg(b).alias("b_mean"), F.stddev_samp(a).alias("a_sd"),
         F.stddev_samp(b).alias("b_sd"), F.sum((diff > 0).cast("int")).alias("wins"))
     p = sign_flip(df, group, key, diff, n_perm, seed)
-    return adjust(p.join(base, list(group)), [], "p_value", list(group))
+    ci = bootstrap(df, group, key, diff, n_boot, f"{seed}-ci", "mean", level).select(*group, "ci_low", "ci_high")
+    return adjust(p.join(base, list(group)).join(ci, list(group), "left"), [], "p_value", list(group))
 
 
 def leave_one_out_corr(df: DataFrame, stratum: str, x: str, y: str) -> DataFrame:

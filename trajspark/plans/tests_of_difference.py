@@ -227,6 +227,19 @@ def _(spark, d):
     return b.select("n_rep", R("ci_low").alias("ci_low"), R("ci_high").alias("ci_high"))
 
 
+@query("bootstrap_ratio", sql(f"""
+, w AS (SELECT monitor, rep, n_steps, lead_steps, {CP} AS w FROM (SELECT monitor, rep, n_steps, lead_steps,
+   ('0x' || substr(sha256('brat:' || rep || ':' || user_id), 1, 13))::BIGINT / 4503599627370496.0 AS u
+   FROM alarms, range(100) r(rep) WHERE lead_steps IS NOT NULL)),
+s AS (SELECT monitor, rep, sum(w * lead_steps) / sum(w * n_steps) AS s FROM w WHERE w > 0 GROUP BY monitor, rep)
+SELECT monitor, count(*) AS n_rep, round(quantile_cont(s, 0.05), 6) AS ci_low, round(quantile_cont(s, 0.95), 6) AS ci_high FROM s GROUP BY monitor""",
+    "alarms").replace("\n\n,", ",", 1))
+def _(spark, d):
+    """Interval of a statistic that the caller writes as a Column aggregate: lead steps per step."""
+    b = paired.bootstrap(base.alarm_rows(spark, d), ["monitor"], F.col("user_id"), F.col("lead_steps"), 100, "brat", paired.ratio_of("lead_steps", "n_steps"), 0.9)
+    return b.select("monitor", "n_rep", R("ci_low").alias("ci_low"), R("ci_high").alias("ci_high"))
+
+
 @query("clustered_perm_test", sql("""
 , c AS (SELECT user_id, max(CASE WHEN arm = 'purchase' THEN m END) - max(CASE WHEN arm = 'click' THEN m END) AS d FROM (
    SELECT user_id, event_type AS arm, avg((value > 40)::INTEGER) AS m FROM steps
@@ -271,15 +284,19 @@ o AS (SELECT metric, avg(a) AS am, avg(b) AS bm, avg(d) AS md, sum((d > 0)::INTE
 nl AS (SELECT metric, rep, avg(CASE WHEN ('0x' || substr(sha256('ctr:' || rep || ':' || user_id), 1, 13))::BIGINT
    / 4503599627370496.0 < 0.5 THEN -d ELSE d END) AS m FROM p, range(200) r(rep) GROUP BY ALL),
 pv AS (SELECT metric, (sum((abs(m) >= abs(md) - 1e-12)::INTEGER) + 1) / 201.0 AS pp FROM nl JOIN o USING (metric) GROUP BY metric),
-h AS (SELECT *, row_number() OVER (ORDER BY pp, metric) AS i, count(*) OVER () AS mm FROM pv)
-SELECT metric, round(am, 6) AS a_mean, round(bm, 6) AS b_mean, round(md, 6) AS mean_diff, wins, o.n,
+h AS (SELECT *, row_number() OVER (ORDER BY pp, metric) AS i, count(*) OVER () AS mm FROM pv),
+bw AS (SELECT metric, rep, d, """ + CP + """ AS w FROM (SELECT metric, rep, d, ('0x' || substr(sha256('ctr-ci:' || rep || ':' || user_id), 1, 13))::BIGINT
+   / 4503599627370496.0 AS u FROM p, range(200) r(rep) WHERE d IS NOT NULL)),
+bs AS (SELECT metric, rep, sum(w * d) / sum(w) AS s FROM bw WHERE w > 0 GROUP BY metric, rep),
+ci AS (SELECT metric, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high FROM bs GROUP BY metric)
+SELECT metric, round(am, 6) AS a_mean, round(bm, 6) AS b_mean, round(md, 6) AS mean_diff, wins, o.n, ci_low, ci_high,
   round(pp, 6) AS p_value, round(max(least(1.0, (mm - i + 1) * pp)) OVER (ORDER BY i), 6) AS p_holm
-FROM h JOIN o USING (metric)""", "pairs").replace("\n\n,", ",", 1))
+FROM h JOIN o USING (metric) JOIN ci USING (metric)""", "pairs").replace("\n\n,", ",", 1))
 def _(spark, d):
     p = pairs(spark, d)
     long = p.select("user_id", F.inline(F.array(
         F.struct(F.lit("lead").alias("metric"), F.col("a").alias("a"), F.col("b").alias("b")),
         F.struct(F.lit("detected").alias("metric"), F.col("da").cast("double").alias("a"), F.col("db").cast("double").alias("b")))))
     r = paired.contrasts(long, ["metric"], F.col("user_id"), "a", "b", 200, "ctr")
-    return r.select("metric", *[R(c).alias(c) for c in ("a_mean", "b_mean", "mean_diff")], "wins", "n",
+    return r.select("metric", *[R(c).alias(c) for c in ("a_mean", "b_mean", "mean_diff", "ci_low", "ci_high")], "wins", "n",
                     R("p_value").alias("p_value"), R("p_holm").alias("p_holm"))
