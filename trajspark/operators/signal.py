@@ -82,6 +82,36 @@ def attribution(errors: DataFrame, keys: Sequence[str], t: str, dims: Sequence[s
     return r.select(*keys, t, F.sort_array(shares, asc=False).alias("shares"))
 
 
+def quadratic_parts(vec: Column, mean: Sequence[float], precision: Sequence[Sequence[float]], channels: dict[str, Sequence[int]]) -> dict[str, Column]:
+    """What each channel (its positions in ``vec``) adds to a squared Mahalanobis distance: d_i (P d)_i over its positions.
+
+    The parts add up to the whole distance.  Correlated channels can have a negative part.
+    """
+    d = F.transform(vec, lambda v, i: v - F.element_at(F.array(*map(F.lit, mean)), i + 1))
+    row = lambda i: F.aggregate(F.zip_with(d, F.array(*map(F.lit, precision[i])), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    part = lambda i: F.get(d, F.lit(i)) * row(i)
+    return {name: sum((part(i) for i in at[1:]), part(at[0])) for name, at in channels.items()}
+
+
+def ensemble_parts(errors: dict[str, Column], scale: dict[str, float]) -> dict[str, Column]:
+    """Surprise of each channel's ensemble: its mean squared error in units of its healthy level."""
+    square = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x) / F.size(e)
+    return {name: square(e) / F.lit(scale[name]) for name, e in errors.items()}
+
+
+def channel_shares(steps: DataFrame, keys: Sequence[str], t: str, parts: dict[str, Column]) -> DataFrame:
+    """``keys, t`` and, per channel, its share of what has accumulated up to the step.
+
+    Parts are added along the run; a channel whose sum is negative (it speaks against the alarm) has share 0, and the
+    shares of a step add up to 1 (0 each, where nothing has accumulated yet).
+    """
+    d = steps.select(*keys, t, *(c.alias(f"_p_{n}") for n, c in parts.items()))
+    r = ordered.running(d, keys, t, {f"_r_{n}": ordered.Run("sum", f"_p_{n}") for n in parts})
+    pos = {n: F.greatest(F.col(f"_r_{n}"), F.lit(0.0)) for n in parts}
+    total = sum(list(pos.values())[1:], next(iter(pos.values())))
+    return r.select(*keys, t, *(F.when(total > 0, c / total).otherwise(0.0).alias(n) for n, c in pos.items()))
+
+
 def noise(seed: str, std: float, *key: Column) -> Column:
     """Gaussian noise from two keyed uniform draws."""
     a, b = uniform(f"{seed}a", *key), uniform(f"{seed}b", *key)

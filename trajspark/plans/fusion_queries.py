@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajspark.functions import hashing, text
-from trajspark.operators import alarms, features, fit, fusion, grounding, grouped, ordered, ranks
+from trajspark.operators import alarms, features, fit, fusion, grounding, grouped, ordered, ranks, signal, supervised
 from trajspark.plans import base
 from trajspark.plans.base import U, cte, sql, table
 from trajspark.plans.numeric import R
@@ -170,6 +170,37 @@ def _(spark, d):
                     R(F.get("cov", F.lit(1))).alias("cov"), R("theta", 5).alias("theta"))
 
 
+@query("channel_shares", sql(_PLANE.replace("SELECT user_id, CASE", "SELECT user_id, t, CASE") + """,
+tr AS (SELECT 1 AS one, x, y FROM xy WHERE is_healthy),""" + _gauss("tr", "one") + """,
+pt AS (SELECT user_id, t, (x - mx) * (pc * (x - mx) - pb * (y - my)) / (pa * pc - pb * pb) AS a,
+   (y - my) * (pa * (y - my) - pb * (x - mx)) / (pa * pc - pb * pb) AS b FROM xy, gp),
+rn AS (SELECT user_id, t, greatest(sum(a) OVER w, 0) AS a, greatest(sum(b) OVER w, 0) AS b FROM pt WINDOW w AS (PARTITION BY user_id ORDER BY t))
+SELECT user_id, t, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 5) AS amount, round(CASE WHEN a + b > 0 THEN b / (a + b) ELSE 0 END, 5) AS kind FROM rn""",
+    "steps", "episodes").replace("\n\n,", ",", 1))
+def _(spark, d):
+    """Shares of two channels in the distance accumulated so far, under the model of the healthy steps."""
+    s, e = plane(spark, d)
+    s = base.steps(spark, d).select("user_id", "t", F.array("value", (F.col("event_type") == "purchase").cast("double")).alias("v")).join(
+        e.select("user_id", "is_healthy"), "user_id")
+    m = grouped.solved(grouped.moments(s.filter("is_healthy").withColumn("one", F.lit(1)), ["one"], "v", 2), ["one"], 2).first()
+    parts = signal.quadratic_parts(F.col("v"), m["mean"], [m["precision"][:2], m["precision"][2:]], {"amount": [0], "kind": [1]})
+    c = signal.channel_shares(s, U, "t", parts)
+    return c.select("user_id", "t", R("amount", 5).alias("amount"), R("kind", 5).alias("kind"))
+
+
+@query("supervised_fusion")
+def _(spark, d):
+    """Four equalised streams in a supervised fusion; each fold's level is held against runs that it hasn't seen."""
+    z, tr = zs(spark, d)
+    cols = {"z_cusum": F.col("z_cusum"), "z_absz": F.col("z_absz"), "z_ewma": F.col("z_ewma")}
+    lv = fusion.rare_levels(z, tr, U, cols, "z_ewma").first()
+    odd = base.steps(spark, d).select("user_id", "t", (F.col("event_type") == "error").alias("lexical"))
+    s = z.join(odd, ["user_id", "t"])
+    s = s.withColumn("x", F.array(*supervised.equalised(s, {c: lv[f"q_{c}"] for c in cols}, "lexical")))
+    runs, _ = supervised.judged(s, base.episodes(spark, d), "user_id", "t", "x", 4, 3, "sup", 0.1)
+    return runs.select("user_id", F.col("fold").cast("int").alias("fold"), R("peak", 4).alias("peak"), R("theta", 4).alias("theta"), "alarm", "reason")
+
+
 @query("nested_out_of_fold", sql(_PLANE + """,
 fd AS (SELECT *, (('0x' || substr(sha256('nest:' || user_id), 1, 16))::UBIGINT % 3)::INTEGER AS fold FROM xy),
 st AS (SELECT i, j FROM range(3) a(i), range(3) b(j) WHERE i <= j),
