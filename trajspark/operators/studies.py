@@ -40,13 +40,13 @@ def first_wins(records: DataFrame, key: Sequence[str], priority: str, payload: S
                ) -> tuple[DataFrame, DataFrame]:
     """(one record per key from the best source, keys whose sources disagree).
 
-    Both come from aggregates that combine before the shuffle; no key is
-    brought together row by row.
+    Both come from aggregates that combine before the shuffle; payloads are compared
+    themselves, not by hash.
     """
     p = F.struct(*payload)
     g = records.groupBy(*key).agg(
         F.min_by(F.struct(*[c for c in records.columns if c not in key]), F.col(priority)).alias("_r"),
-        F.count_distinct(F.xxhash64(p)).alias("_kinds"))
+        F.count_distinct(p).alias("_kinds"))
     best = g.select(*key, "_r.*")
     return best, g.filter("_kinds > 1").select(*key, F.col("_kinds").alias("n_versions"))
 

@@ -54,14 +54,15 @@ def _(spark, d):
 
 
 @query("key_residue", """
-WITH m AS (SELECT c_mktsegment AS seg, c_custkey AS k, true AS a, c_custkey IN (SELECT o_custkey FROM orders) AS b,
-   c_acctbal > 0 AS c FROM customer)
+WITH m AS (SELECT c_mktsegment AS seg, c_custkey AS k, c_acctbal > 2000 AS a, c_custkey IN (SELECT o_custkey FROM orders) AS b,
+   c_nationkey % 3 = 0 AS c FROM customer)
 SELECT seg, count(*) AS n_union, count(*) FILTER (a AND b AND c) AS n_common, count(*) FILTER (a AND NOT b AND NOT c) AS only_a,
-  count(*) FILTER (false) AS only_b, count(*) FILTER (false) AS only_c FROM m GROUP BY seg""")
+  count(*) FILTER (b AND NOT a AND NOT c) AS only_b, count(*) FILTER (c AND NOT a AND NOT b) AS only_c FROM m WHERE a OR b OR c GROUP BY seg""")
 def _(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("k"), "c_acctbal")
+    """Three sets that overlap: large balances, customers with orders, every third nation."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("seg"), F.col("c_custkey").alias("k"), "c_acctbal", "c_nationkey")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
-    return studies.key_residue({"a": c, "b": c.join(o, "k", "left_semi"), "c": c.filter("c_acctbal > 0")}, ["k"], "seg")
+    return studies.key_residue({"a": c.filter("c_acctbal > 2000"), "b": c.join(o, "k", "left_semi"), "c": c.filter("c_nationkey % 3 = 0")}, ["k"], "seg")
 
 
 @query("semi_anti", """

@@ -79,11 +79,11 @@ def _words(c: str) -> str:
 SELECT conv_id, turn, (doc AND len(rw) >= 4 AND NOT list_has_any(rw, aw) AND NOT list_has_any(rw, tw))::INTEGER::DOUBLE AS miss,
   (doc AND len(rw) < 4 AND len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) < 4 AND length(trim(text)) >= 16) AS unreadable
 FROM (SELECT *, trim(text) <> '' AND NOT {ERR.format(c='text')} AND NOT regexp_matches(trim(text), '^[(\\[{{]') AS doc,
-  {_words('text')} AS rw, {_words("coalesce(prev, '')")} AS aw, {_words('task')} AS tw FROM turns WHERE turn > 0)""", "turns"))
+  {_words('text')} AS rw, {_words("coalesce(prev, '')")} AS aw, {_words('task')} AS tw FROM turns)""", "turns"))
 def _(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", "text")
     c = ordered.lag(c, ["conv_id"], "turn", {"prev": "text"})
-    c = ordered.anchor(c, ["conv_id"], "turn", {"task": "text"}).filter("turn > 0")
+    c = ordered.anchor(c, ["conv_id"], "turn", {"task": "text"})
     miss, unread = text.lexical_miss(F.col("text"), F.coalesce("prev", F.lit("")), F.col("task"))
     return c.select("conv_id", "turn", miss.alias("miss"), unread.alias("unreadable"))
 
