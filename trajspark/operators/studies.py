@@ -159,14 +159,6 @@ def audit(entries: DataFrame, steps: DataFrame, keys: Sequence[str], markers: Se
     return j.select(*keys, mutation.alias("mutation"), F.array_join(codes, ",").alias("defects"))
 
 
-def retire(entries: DataFrame, audited: DataFrame, keys: Sequence[str], blocking: Sequence[str]
-           ) -> tuple[DataFrame, DataFrame]:
-    """(kept, moved to the rejects with their reason)."""
-    hit = F.arrays_overlap(F.split("defects", ","), F.array(*[F.lit(b) for b in blocking]))
-    bad = audited.filter(hit)
-    return entries.join(bad.select(*keys), list(keys), "left_anti"), bad.select(*keys, F.col("defects").alias("reason"))
-
-
 def reusable(stored: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Why a stored recording may not be reused; null when it may."""
     c = current.select(*keys, F.col("digest").alias("_d"), F.col("fingerprint").alias("_f"))
