@@ -252,3 +252,40 @@ def test_hash_of_windows_is_stable():
 def test_settings_are_checked(spark):
     with pytest.raises(ValueError):
         content_sort.exact_dedup(frame(spark, [(1, "a", "r", 1)]), keep="first")
+
+
+def _plain_common(a, b, sizes, least):
+    """All lines of ``b`` in any run of equal lines long enough, by trying every pair of places."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(sizes[j:j + n]) >= least:
+                gone.update(range(j, j + n))
+    return gone
+
+
+def test_alignment_finds_every_common_block(monkeypatch):
+    rng = random.Random(5)
+    cases = []
+    for _ in range(1500):
+        kinds = rng.choice([2, 4, 12, 60])
+        a = [rng.randrange(kinds) for _ in range(rng.randrange(30))]
+        b = [rng.randrange(kinds) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(4)):                      # passages moved, repeated and crossing
+            at, n = rng.randrange(len(a) + 1), rng.randrange(1, 9)
+            to = rng.randrange(len(b) + 1)
+            b[to:to] = a[at:at + n]
+        mark = [rng.randrange(1, 1 << 62) for _ in range(kinds)]   # as hashes of lines are
+        cases.append(([mark[x] for x in a], [mark[x] for x in b], [0 if x == 0 else 3 + x % 20 for x in b], rng.choice([1, 12, 40])))
+    cases.append(([x for p in range(60) for x in (p, p + 100)], [x for p in reversed(range(60)) for x in (p, p + 100)], [25] * 120, 40))
+    found = 0
+    for case in cases:
+        want = _plain_common(*case)
+        assert line_align.common_lines(*case) == want, case
+        found += len(want)
+    assert found > 10000
+    monkeypatch.setattr(line_align, "patience", lambda a, b: [])
+    assert not any(line_align.common_lines(*case) for case in cases)

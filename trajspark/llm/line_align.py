@@ -106,20 +106,48 @@ def windows(marks: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.nd
     return start, end, key, chars[end] - chars[start]
 
 
-def moved(a: list, b: list, sizes: list, gone: set, min_chars: int) -> set:
-    """Lines of ``b`` in blocks common with ``a`` that an alignment in one order left out."""
+def common_lines(a: list, b: list, sizes: list, min_chars: int) -> set:
+    """Positions of ``b`` in aligned blocks of ``min_chars`` characters or more, in any order.
+
+    What an alignment leaves is aligned again with all of ``a``, as long as that finds
+    at least an eighth of it (passages in crossing order come one per alignment).  The
+    windows of what is left then tell where in ``a`` their like begins, and the two
+    stretches are aligned; so passages repeated in either document are found as well.
+    """
+    gone: set = set()
+    rest = list(range(len(b)))
+    while rest:
+        met = set()
+        for _, j, n in patience(a, [b[k] for k in rest]):
+            run: list = []
+            for k in [*rest[j:j + n], -1]:
+                if run and k != run[-1] + 1:       # lines that stood between them have gone before
+                    if sum(sizes[run[0]:run[-1] + 1]) >= min_chars:
+                        met.update(run)
+                    run = []
+                run.append(k)
+        gone |= met
+        rest = [k for k in rest if k not in met]
+        if 8 * len(met) < len(rest) or not met:
+            break
     known = set(a)
-    if not any(n and k not in gone and b[k] in known for k, n in enumerate(sizes)):
-        return set()
+    if not any(b[k] in known for k in rest):
+        return gone
     of = dict(zip(b, sizes))
 
     def cut(lines, chars):
         n = len(lines)
         return windows(np.array(lines, np.int64), np.array(chars, np.int64), np.zeros(n, int), np.full(n, n), min_chars)
 
-    _, _, key, chars = cut(a, [of.get(x, min_chars) for x in a])
-    have = set(zip(key.tolist(), chars.tolist()))
-    return {k for i, j, *w in zip(*(x.tolist() for x in cut(b, sizes))) if tuple(w) in have for k in range(i, j)} - gone
+    start, _, key, chars = cut(a, [of.get(x, min_chars) for x in a])
+    begins = dict(zip(zip(key.tolist(), chars.tolist()), start.tolist()))
+    for i, j, *w in zip(*(x.tolist() for x in cut(b, sizes))):
+        at = begins.get(tuple(w))
+        if at is not None and not gone.issuperset(range(i, j)):
+            for _, k, n in patience(a[at:at + j - i], b[i:j]):
+                if sum(sizes[i + k:i + k + n]) >= min_chars:
+                    gone.update(range(i + k, i + k + n))
+    return gone
 
 
 def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
@@ -173,8 +201,7 @@ def repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for part in slices(batches):
             doc, out = [], []
             for d, x, y, sizes in zip(*(part.column(c).to_pylist() for c in ("doc", "a", "b", "sizes"))):
-                gone = {k for _, j, n in patience(x, y) if sum(sizes[j:j + n]) >= min_chars for k in range(j, j + n)}
-                gone |= moved(x, y, sizes, gone, min_chars)
+                gone = common_lines(x, y, sizes, min_chars)
                 if gone:
                     doc.append(d)
                     out.append(sorted(gone))
