@@ -64,3 +64,27 @@ def test_labels_from_rows(spark):
     out = verify.objective_label(figs, e, claims.priced_marks(figs, facts, ["o"]), ["o"])
     assert {r.o: r.label for r in out.collect()} == {0: "healthy", 1: "hallucinated", 2: "incomplete", 3: "arithmetic_error",
                                                      4: "hallucinated", 5: "other"}
+
+
+def test_crowded_keys_give_the_same_marks(spark):
+    """Key by key as arrays, row by row, and mixed: the same marks, also for null figures and null keys."""
+    facts = spark.createDataFrame([(o, 100 + 7 * (i % 9) + (o or 0), 1 + i % 3, i % 5 == 4) for o in (0, 1, None) for i in range(4 + 8 * (o or 0))],
+                                  "o int, value long, times int, computed boolean")
+    figs = spark.createDataFrame([(o, v) for o in (0, 1, 2, None) for v in [*range(100, 600), None]], "o int, value long")
+    amounts = facts.select("o", F.when(~F.col("computed"), F.col("value") * F.col("times")).alias("item"),
+                           F.when(~F.col("computed"), F.col("value")).alias("name"), F.when(F.col("computed"), F.col("value")).alias("calc"))
+    few = figs.filter("value IS NULL OR value % 40 = o")
+    got = [sorted(map(str, verify.marked(few, amounts, ["o"], (0.0, 0.1), n).collect())) for n in (0, 13, 10_000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == few.distinct().count()
+    plan = verify.marked(few, amounts, ["o"], (0.0, 0.1), 10_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1  # no row of a figure meets a row of an item
+
+
+def test_places_that_begin_alike(spark):
+    """Every name that another one begins with is found whole, and common beginnings stand once in the pattern."""
+    places = [f"nation_{i}" for i in range(25)] + ["new", "new york", "a.b"]
+    texts = [f"{p.upper()}: mild. rainy in {p}, {p} is expected to be windy" for p in places] + ["nation_99: mild", "axb: mild"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [sorted(tuple(x) for x in r.c) for r in df.select(claims.stated_attributes(F.col("text"), places, VALUES).alias("c")).collect()]
+    assert got == [[(p, "mild"), (p, "rainy"), (p, "windy")] for p in places] + [[], []]
+    assert claims._any(places).count("_") == 1

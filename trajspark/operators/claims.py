@@ -8,10 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajspark.operators.verify import derivable
+from trajspark.operators.verify import marked
 
 
 # ------------------------------------------------------- attributes of a scope
+def _any(words: Sequence[str]) -> str:
+    """A pattern for any of ``words``, the longest first: common beginnings are tried once, not once a word."""
+    rest: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+    body = "|".join(re.escape(c) + _any(tails) for c, tails in rest.items())
+    return f"(?:{body}){'?' if '' in words else ''}" if body else ""
+
+
 def stated_attributes(text: Column, places: Sequence[str], values: Sequence[str]) -> Column:
     """Array of (place, value) that a text binds one to one, lower case.
 
@@ -19,16 +29,17 @@ def stated_attributes(text: Column, places: Sequence[str], values: Sequence[str]
     is / was / will be / are (expected to be) value".  Lists ("rainy in A, B and C")
     bind their first place only.  Null gives null, no claim an empty array.
     """
-    at = "|".join(re.escape(p.lower()) for p in sorted(places, key=len, reverse=True))
-    of = "|".join(re.escape(v.lower()) for v in sorted(values, key=len, reverse=True))
+    at, of = (_any([w.lower() for w in words]) for words in (places, values))
     low = F.lower(text)
     forms = (  # pattern, group of the place, group of the value
         (rf"\b({of})\s+in\s+({at})\b", 2, 1),
         (rf"\b({at})\s*[-:]\s*({of})\b", 1, 2),
         (rf"\b({at})\s+(?:is|was|it's|its|will be|are)\s+(?:expected to be\s+|expecting\s+)?({of})\b", 1, 2))
-    return F.concat(*[
-        F.arrays_zip(F.regexp_extract_all(low, F.lit(p), F.lit(place)).alias("place"),
-                     F.regexp_extract_all(low, F.lit(p), F.lit(value)).alias("value")) for p, place, value in forms])
+
+    def found(p: str, place: int, value: int) -> Column:
+        return F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(0)), lambda m: F.struct(
+            F.regexp_extract(m, p, place).alias("place"), F.regexp_extract(m, p, value).alias("value")))
+    return F.concat(*[found(*form) for form in forms])
 
 
 def last_fact(facts: DataFrame, keys: Sequence[str], scope: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
@@ -67,18 +78,12 @@ def priced_marks(figures: DataFrame, facts: DataFrame, keys: Sequence[str],
     tax, and are no part of a sum.  Derivable are a counted price, the sum of two
     of them and the sum of all, each with one of the taxes.
     """
-    keys = list(keys)
-    price = facts.filter(~F.coalesce(F.col("computed"), F.lit(False)) & F.col("value").isNotNull())
-    part = price.select(*keys, (F.col("value") * F.coalesce("times", F.lit(1))).cast("long").alias("value"))
-    calc = facts.filter(F.col("computed")).select(*keys, F.col("value").cast("long").alias("value"))
-    named = part.unionByName(price.select(*keys, F.col("value").cast("long").alias("value"))).unionByName(calc).distinct() \
-        .withColumnRenamed("value", "fig").withColumn("_v", F.lit(True))
-    taxed = calc.select(*keys, F.explode(F.array(*[F.round(F.col("value") * F.lit(1.0 + r)).cast("long") for r in taxes])).alias("fig")) \
-        .distinct().withColumn("_c", F.lit(True))
-    marks = derivable(figures, part, keys, taxes)
-    return marks.drop("is_verbatim").join(named, [*keys, "fig"], "left").join(taxed, [*keys, "fig"], "left").select(
-        *keys, "fig", F.coalesce("_v", F.lit(False)).alias("is_verbatim"),
-        (F.col("is_derivable") | F.coalesce("_c", F.lit(False))).alias("is_derivable"))
+    value = F.col("value").cast("long")
+    computed = F.coalesce("computed", F.lit(False))
+    amounts = facts.filter(F.col("value").isNotNull()).select(
+        *keys, F.when(~computed, (F.col("value") * F.coalesce("times", F.lit(1))).cast("long")).alias("item"),
+        F.when(~computed & (F.coalesce("times", F.lit(1)) != 1), value).alias("name"), F.when(computed, value).alias("calc"))
+    return marked(figures, amounts, keys, taxes)
 
 
 def expectations(episodes: DataFrame, contradicted: DataFrame, missing: DataFrame, keys: Sequence[str]) -> DataFrame:
