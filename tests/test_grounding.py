@@ -149,3 +149,13 @@ def test_refusals(spark):
         models.fit_next_step(v, v, ["a"], "a", "b", 64, 3, quadratic=True)
     with pytest.raises(ValueError):
         models.Reservoirs(1, 1, 4, 0, 1.0, 0.3, 0.5, 0.5)
+
+
+def test_scale_without_fallback(spark):
+    """The plain MAD of a dim that is mostly constant is 0: its steps are at the cap; with the fallback they are not."""
+    from trajspark.operators import fusion
+    df = spark.createDataFrame([(i, 0.0 if i < 6 else float(i), float(i)) for i in range(9)] + [(9, -1.0, 9.0)], "t int, flat double, even double")
+    for fallback, want in ((True, False), (False, True)):
+        out = fusion.grounding_score(["flat", "even"], fusion.dim_stats(df, ["flat", "even"], fallback), df).orderBy("t").collect()
+        assert all(r.z_flat == fusion.Z_CAP for r in out[:9]) == want and out[9].z_flat == 0.0
+        assert out[9].z_even == (9 - 4.5) / (1.4826 * 2.5)

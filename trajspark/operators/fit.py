@@ -37,8 +37,8 @@ def robust_iqr(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
                     safe_scale((F.col("q75") - F.col("q25")) / F.lit(1.349)).alias("scale"))
 
 
-def robust_mad(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Median and 1.4826 * MAD per group, std when the MAD vanishes."""
+def robust_mad(df: DataFrame, group: Sequence[str], value: str, fallback: bool = True) -> DataFrame:
+    """Median and 1.4826 * MAD per group; std when the MAD vanishes, or 0 without the ``fallback``."""
     group = list(group)
     ok = df.filter(F.col(value).isNotNull() & ~F.isnan(value)
                    & (F.abs(F.col(value)) < F.lit(float("inf"))))
@@ -46,6 +46,9 @@ def robust_mad(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     dev = (ok.join(F.broadcast(med), group) if group else ok.crossJoin(F.broadcast(med))) \
         .withColumn("_dev", F.abs(F.col(value) - F.col("med")))
     mad = ranks.quantiles(dev, group, "_dev", {"mad": .5}).select(*group, "mad")
+    if not fallback:
+        return (med.join(mad, group) if group else med.crossJoin(mad)).select(
+            *group, F.col("med").alias("loc"), (F.lit(1.4826) * F.col("mad")).alias("scale"))
     sd = (ok.groupBy(*group) if group else ok.groupBy()).agg(
         F.stddev_pop(value).alias("_sd"))
     if group:
