@@ -30,3 +30,12 @@ def test_totals_and_identities(spark):
     assert {r.scope: (r.corpora, r.accepted, r.rejected) for r in t.collect()} == {"own": (2, 7, 1), "a": (1, 3, 1), "none": (0, 0, 0)}
     i = reports.identities(t, {"good": ("own.accepted", "a.accepted + a.rejected + a.accepted"), "bad": ("own.accepted", "a.accepted")})
     assert {r.identity: (r.lhs, r.rhs, r.holds) for r in i.collect()} == {"good": (7, 7, True), "bad": (7, 3, False)}
+
+
+def test_rounding_alone_is_no_tampering(spark):
+    """A run whose deviation is the bound but for the last bits, by the order of its rows, is not flatter."""
+    from trajspark.operators import studies
+    bounds = spark.createDataFrame([("a", 1.974547 * (1 + 4e-16))], "channel string, bound double")
+    runs = spark.createDataFrame([(1, 1.974547), (1, -1.974547), (2, 1.97), (2, -1.97)], "u int, a double")
+    got = {r.u: r.tampered for r in studies.tampered(runs, bounds, ["u"], ["a"]).collect()}
+    assert got == {1: False, 2: True}
