@@ -176,3 +176,13 @@ def test_late_steps_change_nothing(spark, tmp_path):
     scoring.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {r.t: (r.late, r.cusum) for r in spark.read.schema(s.schema).parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (False, 0.5), 2: (False, 2.0), 1: (True, None), 3: (False, 2.0)}
+
+
+def test_ungrounded_without_writing_figures(spark):
+    """Met on the spot, by buckets, or mixed: the same assertions are left, repeated ones and nulls too."""
+    res = spark.createDataFrame([(o, i, 10.37 * (i + 1)) for o in (0, 1) for i in range(3 + 9 * o)], "o int, t int, value double")
+    said = spark.createDataFrame([(o, t, 0.9 * v) for o in (0, 1, None) for t in (0, 2, 9) for v in range(10, 90, 9)]
+                                 + [(0, 2, 50.0), (0, 2, 50.0), (0, 1, None)], "o int, t int, value double")
+    want = sorted(map(str, verify.ungrounded(said, verify.grounded_figures(res, ["o"]), ["o"]).collect()))
+    got = [sorted(map(str, verify.ungrounded_by(said, res, ["o"], together=n).collect())) for n in (0, 28, 999)]
+    assert got == [want] * 3 and 0 < len(want) < said.count()
