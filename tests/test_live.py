@@ -120,6 +120,24 @@ def test_live_sessions_and_late_rows(spark, tmp_path, seed):
     assert sorted((r.k, int(r.started.timestamp()), int(r.closed.timestamp()), r.n_rows) for r in got if not r.late) == want
 
 
+def test_sessions_of_many_keys_share_a_few_rows_of_state(spark, tmp_path):
+    rng, t0 = np.random.default_rng(3), 1_700_000_000
+    keys = [None, 2 ** 53 + 1, *range(70)]
+    rows = [(keys[int(rng.integers(len(keys)))], "ab"[i % 2], t0 + int(rng.integers(0, 100_000)) + 100_000 * (i // 500), i, i // 500) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, w string, s long, i long, part int").withColumn("ts", F.timestamp_seconds("s"))
+    for part in range(2):
+        df.filter(F.col("part") == part).drop("part", "s").write.mode("append").parquet(f"{tmp_path}/in")
+        d = spark.readStream.schema("k long, w string, ts timestamp, i long").parquet(f"{tmp_path}/in")
+        q = sessions.live_sessions(d, ["k", "w"], "ts", "i", gap_s=3600, delay_s=7200, buckets=3).writeStream.format("parquet").option(
+            "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) == 3
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    want, late = in_parts([((str(k), w), s, i, p) for k, w, s, i, p in rows], 2, 7200, 3600)
+    assert sorted(((str(r.k), r.w), int(r.started.timestamp()), int(r.closed.timestamp()), r.n_rows) for r in got if not r.late) == want
+    assert sorted(int(r.row_id) for r in got if r.late) == late
+
+
 def test_gate_in_the_stream_equals_the_gate_over_the_log(spark, tmp_path):
     rows = [r for k in range(8) for r in [(f"r{k}{e}", t, x, task, ev) for e, t, x, task, ev in logged(3, 8)]]
     named = sinks.materialize(log(spark, rows).withColumnRenamed("e", "run"), "log")

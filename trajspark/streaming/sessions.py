@@ -10,6 +10,9 @@ a session given out before, sessions are those of the rows in time.
 Spark drops rows behind its own watermark before an operator sees them.  So its
 watermark is set ``HORIZON`` further back, and the operator adds the horizon again;
 timers are set back in the same way.  Rows older than that are dropped by Spark.
+
+Keys are dealt over buckets, and a bucket is one call and one row of state per
+batch, so a key costs its rows and its open sessions and no call of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trajspark.streaming.step_vectors import typed_state
 
@@ -29,86 +32,62 @@ HORIZON_DAYS = 3650
 _BACK = HORIZON_DAYS * 86_400_000  # in milliseconds
 
 
-def merged(sessions: list[tuple[int, int, int]], points: np.ndarray, gap: int) -> list[tuple[int, int, int]]:
-    """(first, last, rows) of the sessions after adding points; all times in microseconds."""
-    todo = sorted([*sessions, *((int(p), int(p), 1) for p in points)])
-    out: list[tuple[int, int, int]] = []
-    for first, last, n in todo:
-        if out and first - out[-1][1] < gap:
-            out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
-        else:
-            out.append((first, last, n))
-    return out
-
-
-class _Sessions(StatefulProcessor):
-    def __init__(self, keys: Sequence[str], gap_us: int):
-        self.keys, self.gap = list(keys), gap_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "first long", "last long, n long")
-
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["started_us", "closed_us", "n_rows", "row_id", "late"])
-        for k, (name, value) in enumerate(zip(self.keys, key)):
-            out.insert(k, name, value)
-        return out
-
-    def _timer(self) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        ends = [v[0] + self.gap for v in self.open.values()]
-        if ends:
-            self.handle.registerTimer(-(-min(ends) // 1000) - _BACK)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        mark = (mark + _BACK) * 1000 if mark > 0 else None
-        late, fresh = [], []
-        for pdf in rows:
-            at = pdf["at_us"].to_numpy(np.int64)
-            behind = at < mark if mark is not None else np.zeros(len(at), bool)
-            late += [(int(a), int(a), 1, i, True) for a, i in zip(at[behind], pdf["row_id"][behind])]
-            fresh.append(at[~behind])
-        points = np.concatenate(fresh)
-        if len(points):
-            held = [(k[0], v[0], v[1]) for k, v in self.open.iterator()] if self.open.exists() else []
-            now = merged(held, np.sort(points), self.gap)
-            for first, *_ in set(held) - set(now):
-                self.open.removeKey((first,))
-            for first, last, n in set(now) - set(held):
-                self.open.updateValue((first,), (last, n))
-            self._timer()
-        if late:
-            yield self._frame(key, late)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = (timerValues.getCurrentWatermarkInMs() + _BACK) * 1000
-        done = [(k[0], v[0] + self.gap, v[1], None, False) for k, v in self.open.iterator() if v[0] + self.gap <= mark]
-        for first, *_ in done:
-            self.open.removeKey((first,))
-        self._timer()
-        if done:
-            yield self._frame(key, sorted(done))
-
-    def close(self) -> None:
-        pass
-
-
-def live_sessions(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, *, gap_s: int, delay_s: int) -> DataFrame:
+def merged(sessions: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """Sessions (``key, first, last, n``) of which overlapping or near ones of a key became one; times in microseconds."""
+    s = sessions.sort_values(["key", "first"], kind="stable", ignore_index=True)
+    far = s["last"].groupby(s["key"]).cummax()
+    new = (s["key"] != s["key"].shift()) | (s["first"] - far.shift(fill_value=0) >= gap)
+    return s.groupby(new.cumsum(), sort=False).agg(key=("key", "first"), first=("first", "first"), last=("last", "max"), n=("n", "sum"))
+
+
+_STATE = T.StructType([T.StructField("key", T.ArrayType(T.StringType())), *(T.StructField(c, T.BinaryType()) for c in ("first", "last", "n"))])
+
+
+def _held(state: GroupState) -> pd.DataFrame:
+    key, *numbers = state.get if state.exists else ([], b"", b"", b"")
+    return pd.DataFrame({"key": pd.Series(list(key), dtype=object)} | {c: np.frombuffer(v, np.int64) for c, v in zip(("first", "last", "n"), numbers)})
+
+
+def live_sessions(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, *, gap_s: int, delay_s: int, buckets: int = 1024) -> DataFrame:
     """``keys, started, closed, n_rows, row_id, late``: closed sessions (``row_id`` null) and late rows.
 
     ``rows`` is a stream; ``row_id`` (any type) names a late row.  A null key is a key like others; rows without a time are
-    left out.
+    left out.  The open sessions of a bucket of keys are one row of state; ``buckets`` stays what it is over restarts.
     """
-    keys = list(keys)
+    keys, gap = list(keys), gap_s * 1_000_000
     typed_state(rows.sparkSession)
-    slim = rows.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).cast("timestamp").alias("_ts"), F.col(row_id).cast("string").alias("row_id"))
-    slim = slim.withColumn("at_us", F.unix_micros("_ts")).withWatermark("_ts", f"{HORIZON_DAYS * 86_400 + delay_s} seconds")
-    out = T.StructType([*(T.StructField(k, slim.schema[k].dataType) for k in keys), T.StructField("started_us", T.LongType()),
-                        T.StructField("closed_us", T.LongType()), T.StructField("n_rows", T.LongType()),
+    of = T.StructType([rows.schema[k] for k in keys])
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    slim = rows.where(F.col(ts).isNotNull()).select(F.to_json(F.struct(*keys), exact).alias("key"), F.col(ts).cast("timestamp").alias("_ts"),
+                                                    F.col(row_id).cast("string").alias("row_id"))
+    slim = slim.withColumns({"bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)), "at_us": F.unix_micros("_ts")})
+    slim = slim.withWatermark("_ts", f"{HORIZON_DAYS * 86_400 + delay_s} seconds")
+    out = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("started_us", "closed_us", "n_rows")),
                         T.StructField("row_id", T.StringType()), T.StructField("late", T.BooleanType())])
-    got = slim.groupBy(*keys).transformWithStateInPandas(_Sessions(keys, gap_s * 1_000_000), out, "append", "EventTime")
-    return got.select(*keys, F.timestamp_micros("started_us").alias("started"), F.timestamp_micros("closed_us").alias("closed"),
-                      "n_rows", "row_id", "late")
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        mark = (mark + _BACK) * 1000 if mark > 0 else None
+        held = _held(state)
+        for pdf in () if state.hasTimedOut else frames:
+            behind = pdf["at_us"] < mark if mark is not None else pd.Series(False, index=pdf.index)
+            late, at = pdf[behind], pdf.loc[~behind, "at_us"]
+            held = merged(pd.concat([held, pd.DataFrame({"key": pdf.loc[~behind, "key"], "first": at, "last": at, "n": 1})]), gap)
+            if len(late):
+                yield pd.DataFrame({"key": late["key"], "started_us": late["at_us"], "closed_us": late["at_us"], "n_rows": 1,
+                                    "row_id": late["row_id"], "late": True})
+        over = held["last"] + gap <= mark if mark is not None else pd.Series(False, index=held.index)
+        done, held = held[over], held[~over]
+        if len(held):
+            state.update((held["key"].tolist(), *(held[c].to_numpy(np.int64).tobytes() for c in ("first", "last", "n"))))
+            # Spark calls once its watermark is past the timer: one millisecond less, as a session ends at the mark
+            state.setTimeoutTimestamp(max(-(-int(held["last"].min() + gap) // 1000) - _BACK - 1, 1))
+        elif state.exists:
+            state.remove()
+        if len(done):
+            yield pd.DataFrame({"key": done["key"], "started_us": done["first"], "closed_us": done["last"] + gap, "n_rows": done["n"],
+                                "row_id": None, "late": False})
+    got = slim.groupBy("bucket").applyInPandasWithState(run, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    got = got.withColumn("_of", F.from_json("key", of, exact))
+    return got.select(*[F.col("_of")[k].alias(k) for k in keys], F.timestamp_micros("started_us").alias("started"),
+                      F.timestamp_micros("closed_us").alias("closed"), "n_rows", "row_id", "late")
