@@ -44,3 +44,15 @@ def pinned(a: Column, pins: Column, which: list[int]) -> Column:
     """The vector with chosen positions replaced by those of ``pins``."""
     return F.transform(a, lambda v, i: F.when(
         i.isin(which), F.element_at(pins, i + 1)).otherwise(v))
+
+
+def run_starts(ordered: str) -> Column:
+    """Places (from 0) where a value of the sorted array column begins."""
+    a = F.col(ordered)
+    return F.filter(F.transform(a, lambda _, i: i), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
+
+
+def runs(ordered: str, starts: str) -> Column:
+    """``[(value, n), ...]`` of the sorted array column, by its ``run_starts``: counts inside the row, no shuffle."""
+    a, at = F.col(ordered), F.col(starts)
+    return F.transform(at, lambda i, j: F.struct(F.get(a, i).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(a)) - i).cast("long").alias("n")))

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from trajspark.functions import vector
 from trajspark.operators.joins import is_small
+from trajspark.sources import sinks
+
+
+#: (query, document, term) meetings that a task adds up
+MET = 2_000_000
 
 
 def tokens(col: str):
@@ -16,11 +22,11 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
          query_text: str, top: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Top documents per query; documents scoring 0 never appear.
 
-    Only terms some query asks for leave the scan: documents are reduced to
-    (doc, term, tf) before the first shuffle by a semi join on the query
-    vocabulary.  A term found everywhere is split by document when scored,
-    since (query, document) is the aggregation key, and the ranking keeps a
-    partial top-n per task before its shuffle.
+    Terms are counted inside the row, and only those that some query asks for
+    leave the scan as (doc, term, tf).  Documents are dealt over as many tasks as
+    their meetings with queries need (``MET`` each), so what a task adds up doesn't
+    grow with the input.  The ranking keeps a partial top-n per task before its
+    shuffle.
     """
     q = queries.select(query_id, F.explode(F.array_distinct(tokens(query_text))).alias("term"))
     fits = is_small(q)
@@ -30,9 +36,13 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     toks = docs.select(doc_id, tokens(text).alias("_tk"))
     sized = toks.select(doc_id, F.size("_tk").alias("_dl"), "_tk")
     stats = sized.agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avg"))
-    tf = sized.select(doc_id, "_dl", F.explode("_tk").alias("term")).join(vocab, "term", "left_semi") \
-        .groupBy(doc_id, "_dl", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    tf = sized.withColumn("_tk", F.array_sort("_tk")).withColumn("_at", vector.run_starts("_tk")).select(
+        doc_id, "_dl", F.inline(vector.runs("_tk", "_at"))).select(doc_id, "_dl", F.col("value").alias("term"), F.col("n").alias("_tf")) \
+        .join(vocab, "term", "left_semi")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).join(q.groupBy("term").agg(F.count(F.lit(1)).alias("_asked")), "term")
+    df = sinks.materialize(df, "asked_terms")
+    met = df.agg(F.sum(F.col("_df") * F.col("_asked"))).first()[0] or 0
+    tf = tf.repartition(-(-met // MET) or 1, doc_id)
     idf = df.crossJoin(F.broadcast(stats)).select(
         "term", "_avg", F.log(F.lit(1.0) + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"))
     idf = mark(idf)      # one row per query term at most
