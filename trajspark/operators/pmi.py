@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajspark.functions import vector
 from trajspark.sources import sinks
 
 
@@ -40,12 +41,12 @@ def fit(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 def score(fit_docs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Average negative PMI of neighbouring tokens, add-one smoothing.
 
-    Pairs are counted per text first, so a repeated pair is joined once; the
-    unigram counts are joined to the distinct pairs, not to the texts.
+    Pairs are counted inside the text's row first, without a shuffle, so a repeated
+    pair is joined once; the unigram counts are joined to the distinct pairs, not to the texts.
     """
     d = docs.select(key, _words(text).alias("ws"))
-    mine = d.select(key, F.explode(_pairs("ws")).alias("p")).groupBy(key, "p.w1", "p.w2").agg(
-        F.count(F.lit(1)).alias("k"))
+    mine = d.select(key, F.array_sort(_pairs("ws")).alias("ps")).withColumn("at", vector.run_starts("ps")).select(
+        key, F.inline(vector.runs("ps", "at"))).select(key, "value.w1", "value.w2", F.col("n").alias("k"))
     if fit_docs is docs:
         # the texts are their own corpus: one table of pairs per text gives the corpus counts and the scores
         mine = sinks.materialize(mine, "pair_counts")
