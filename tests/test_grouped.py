@@ -78,3 +78,15 @@ def test_no_score_or_threshold_saw_the_run(spark):
     alone = df.where(F.col("run") == 5).withColumn("is_healthy", F.lit(True))
     lost = grouped.nested(alone, alone.select("run", "is_healthy").distinct(), "run", "v", D, 3, "n", 0.2).collect()
     assert [(r.run, r.alarm, r.reason) for r in lost] == [(5, None, "no model")]
+
+
+def test_scores_give_out_only_what_is_asked_for(spark):
+    rows = [("a", 1, [3.0, 4.0]), ("a", 2, None), (None, 3, [0.0, 2.0]), ("c", 4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "g string, i int, v array<double>")
+    m = spark.createDataFrame([("a", [0.0, 0.0], [1.0, 0.0, 0.0, 1.0]), (None, [0.0, 1.0], [4.0, 0.0, 0.0, 4.0])],
+                              "g string, mean array<double>, precision array<double>")
+    s = grouped.scored(df, m, ["g"], "v", keep=["i"])
+    assert s.columns == ["i", "score"]
+    assert {r.i: r.score for r in s.collect()} == {1: 5.0, 2: None, 3: 2.0, 4: None}
+    assert {(r.g, r.i, r.v and tuple(r.v)): r.score for r in grouped.scored(df, m, ["g"], "v").collect()} == {
+        ("a", 1, (3.0, 4.0)): 5.0, ("a", 2, None): None, (None, 3, (0.0, 2.0)): 2.0, ("c", 4, (1.0, 1.0)): None}

@@ -13,12 +13,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark.functions import hashing
 from trajspark.operators import alarms, ranks
+from trajspark.sources import sinks
 
 #: Bytes of sums that a task holds before it gives them out.
 HELD_BYTES = 64 << 20
@@ -112,43 +114,44 @@ def solved(sums: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     return sums.mapInPandas(run, schema)
 
 
-def scored(df: DataFrame, models: DataFrame, keys: Sequence[str], vec: str, out: str = "score") -> DataFrame:
+def scored(df: DataFrame, models: DataFrame, keys: Sequence[str], vec: str, out: str = "score", keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` with the Mahalanobis distance of ``vec`` in its group's model (null without one).
 
     Rows of a group are dealt among ``SALTS`` tasks; each gets one copy of the model, which comes first in the sort.
+    ``keep``: columns to give out, all by default; they pass as Arrow columns and are never turned into Python objects.
     """
-    keys = list(keys)
+    keys, columns = list(keys), list(keep if keep is not None else df.columns)
     salt = F.pmod(F.xxhash64(vec), F.lit(SALTS)).cast("int")
     own = models.select(*keys, "mean", "precision").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_kind", F.lit(0))
-    both = df.withColumns({"_salt": salt, "_kind": F.lit(1)}).unionByName(own, allowMissingColumns=True)
-    schema, columns = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]), df.columns
+    slim = df.select(*dict.fromkeys([*columns, *keys, vec]))
+    both = slim.withColumns({"_salt": salt, "_kind": F.lit(1)}).unionByName(own, allowMissingColumns=True)
+    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(out, T.DoubleType())])
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mean, precision = None, None, None
         for b in batches:
-            code = b.groupby([*keys, "_salt"], dropna=False, sort=False).ngroup().to_numpy()
-            cut = np.flatnonzero((code[1:] != code[:-1]) | (b["_kind"].to_numpy()[1:] != b["_kind"].to_numpy()[:-1])) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(b)]):
-                part = b.iloc[lo:hi]
-                if not len(part):
+            by = pa.Table.from_batches([b]).select([*keys, "_salt", "_kind"]).to_pandas()
+            code, kind = by.groupby([*keys, "_salt"], dropna=False, sort=False).ngroup().to_numpy(), by["_kind"].to_numpy()
+            cut = np.flatnonzero((code[1:] != code[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(kind)]):
+                if lo == hi:
                     continue
-                here = tuple(str(x) for x in part.iloc[0][[*keys, "_salt"]])
+                part = b.slice(lo, hi - lo)
+                here = tuple(part.column(k)[0].as_py() for k in [*keys, "_salt"])
                 if here != at:
                     at, mean = here, None
-                if part["_kind"].iloc[0] == 0:
-                    mean = np.asarray(part["mean"].iloc[0])
-                    precision = np.asarray(part["precision"].iloc[0]).reshape(len(mean), -1)
+                if kind[lo] == 0:
+                    mean = np.array(part.column("mean")[0].as_py())
+                    precision = np.array(part.column("precision")[0].as_py()).reshape(len(mean), -1)
                     continue
-                rows = part[columns].copy()
-                rows[out] = np.nan
-                fine = part[vec].notna().to_numpy()
+                score = np.full(hi - lo, np.nan)
+                fine = part.column(vec).is_valid().to_numpy(zero_copy_only=False)
                 if mean is not None and fine.any():
-                    x = np.vstack(part[vec][fine].to_numpy()) - mean
-                    rows.loc[fine, out] = np.sqrt(np.maximum(((x @ precision) * x).sum(1), 0.0))
-                rows[out] = rows[out].astype(object).where(rows[out].notna(), None)
-                yield rows
+                    x = part.column(vec).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(fine.sum(), -1) - mean
+                    score[fine] = np.sqrt(np.maximum(((x @ precision) * x).sum(1), 0.0))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(score, from_pandas=True)], [*columns, out])
 
-    return both.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_kind").mapInPandas(run, schema)
+    return both.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "_kind").mapInArrow(run, schema)
 
 
 def calibrated(steps: DataFrame, runs: DataFrame, by: Sequence[str], key: str, vec: str, dims: int, budget: float = 0.05) -> DataFrame:
@@ -165,7 +168,7 @@ def calibrated(steps: DataFrame, runs: DataFrame, by: Sequence[str], key: str, v
     parts = r.select(*by, key, F.when(F.col("_r") < lo, "train").when(F.col("_r") < hi, "val").otherwise("test").alias("split"))
     s = steps.select(*by, key, vec).join(parts, [*by, key])
     fit = solved(moments(s.where("split = 'train'"), by, vec, dims), by, dims)
-    val = scored(s.where("split = 'val'"), fit, by, vec)
+    val = scored(s.where("split = 'val'"), fit, by, vec, keep=[*by, key])
     peaks = val.groupBy(*by, key).agg(F.max("score").alias("peak"))
     th = alarms.pick_threshold(peaks, by, "peak", budget).select(*by, F.col("n").alias("n_val"), "theta")
     n = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_healthy"))
@@ -197,7 +200,8 @@ def nested(steps: DataFrame, runs: DataFrame, key: str, vec: str, dims: int, k:
     models = solved(without_folds(moments(s.where("is_healthy"), ["fold"], vec, dims), [], "fold", k), ["i", "j"], dims)
     others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: F.col("is_healthy") | (x == F.col("fold")))
     s = s.withColumn("held", F.explode(others)).withColumns({"i": F.least("fold", "held").cast("int"), "j": F.greatest("fold", "held").cast("int")})
-    peaks = scored(s, models, ["i", "j"], vec).groupBy(key, "is_healthy", "fold", "held").agg(F.max("score").alias("peak"))
+    each = scored(s, models, ["i", "j"], vec, keep=[key, "fold", "held"])
+    peaks = sinks.materialize(each.groupBy(key, "fold", "held").agg(F.max("score").alias("peak")), "nested_peaks")  # read for levels and for runs
     th = alarms.pick_threshold(peaks.where("fold <> held AND peak IS NOT NULL"), ["held"], "peak", budget).select(F.col("held").alias("fold"), "theta")
     own = peaks.where("fold = held").select(key, "fold", "peak")
     reason = F.when(F.col("peak").isNull(), "no model").when(F.col("theta").isNull(), "no threshold")

@@ -146,8 +146,9 @@ def _(spark, d):
     v = step_vectors(spark, d).join(e.select("user_id", "dataset", "is_healthy"), "user_id")
     m = grouped.solved(grouped.moments(v.filter("is_healthy"), ["dataset"], "z", D), ["dataset"], D).withColumnRenamed("dataset", "fitted_on")
     # every corpus meets every model: that is the matrix
-    peaks = grouped.scored(v.withColumn("fitted_on", F.explode(F.array(*map(F.lit, CORPORA)))), m, ["fitted_on"], "z").groupBy("user_id", "dataset", "is_healthy", "fitted_on").agg(
-        F.max("score").alias("s"))
+    peaks = grouped.scored(v.withColumn("fitted_on", F.explode(F.array(*map(F.lit, CORPORA)))), m, ["fitted_on"], "z",
+                           keep=["user_id", "dataset", "is_healthy", "fitted_on"]).groupBy("user_id", "dataset", "is_healthy", "fitted_on").agg(F.max("score").alias("s"))
+    peaks = sinks.materialize(peaks, "transfer_peaks")  # the ranks read it several times
     a = ranks.auc(peaks, ["fitted_on", "dataset"], "s", ~F.col("is_healthy"))
     return a.groupBy("fitted_on").pivot("dataset", CORPORA).agg(R(F.max("auroc"), 5))
 
