@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from trajspark.functions import hashing, stats
 from trajspark.operators import alarms, fusion
+from trajspark.sources import sinks
 
 #: Weight of half the squared coefficients (not the intercept), Newton steps at most, and when they end.
 PENALTY, STEPS, DONE = 1.0, 30, 1e-8
@@ -89,6 +90,7 @@ def judged(steps: DataFrame, runs: DataFrame, key: str, t: str, x: str, n: int,
         raise ValueError("three folds at least: one to fit on, one for the level, one to judge")
     r = runs.select(key, "is_healthy", "tau").withColumn("fold", hashing.fold_of(F.col(key), k, salt))
     s = steps.select(key, t, x).join(r, key).withColumn("_y", (~F.col("is_healthy") & (F.col(t) >= F.col("tau"))).cast("int"))
+    s = sinks.materialize(s.select(key, "is_healthy", "fold", x, "_y"), "judged_steps")  # each Newton step reads it, without the joins
     weights = fit_without(s, x, n, "_y", "fold", [frozenset((f, (f + 1) % k)) for f in range(k)])
     known = [f for f in range(k) if weights[f] is not None]
     flat = [w.tolist() if w is not None else [0.0] * (n + 1) for w in weights]
@@ -96,7 +98,7 @@ def judged(steps: DataFrame, runs: DataFrame, key: str, t: str, x: str, n: int,
     models = F.when(F.col("is_healthy"), F.array(F.col("fold"), F.pmod(F.col("fold") + k - 1, F.lit(k)))).otherwise(F.array("fold"))
     e = s.withColumn("model", F.explode(models)).filter(F.col("model").isin(known))
     logit = F.aggregate(F.zip_with(F.concat(F.col(x), F.array(F.lit(1.0))), _at(flat, F.col("model")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    peaks = e.groupBy(key, "is_healthy", "fold", "model").agg(F.max(logit).alias("peak"))
+    peaks = sinks.materialize(e.groupBy(key, "is_healthy", "fold", "model").agg(F.max(logit).alias("peak")), "judged_peaks")
     th = alarms.pick_threshold(peaks.filter("fold <> model"), ["model"], "peak", budget).select("model", F.col("n").alias("n_level"), "theta")
     own = r.join(peaks.filter("fold = model").select(key, "peak"), key, "left").join(th.withColumnRenamed("model", "fold"), "fold", "left")
     null = own.filter("is_healthy AND peak IS NOT NULL AND theta IS NOT NULL").groupBy("fold").agg(
