@@ -48,6 +48,31 @@ def test_echo_state_against_a_plain_loop(spark):
         pred = np.einsum("kf,kfd->kd", z, m.readout)
 
 
+def test_reservoirs_take_tasks_by_cores_and_keep_rows_of_a_null_key(spark):
+    rows, df, parts = echo_steps(spark)
+    tasks = models.clustered(df, ["e"], "t", 4).rdd.getNumPartitions()
+    assert tasks == models.TASKS_PER_CORE * spark.sparkContext.defaultParallelism     # not one task because the bytes are few
+    m = models.fit_echo_state(df, parts, ["e"], "t", "z", 2, K=2, size=8)
+    nameless = spark.createDataFrame([(None, t, z) for e, t, z in rows if e == 0], df.schema)
+    got = [(r.t, r.sup and round(r.sup, 9)) for r in models.echo_state_raw(df.filter("e <= 1").union(nameless), ["e"], "t", "z", m).collect() if r.e in (0, None)]
+    assert len(got) == 40 and len(set(got)) == 20
+
+
+def test_channels_in_one_pass_equal_ensembles_on_their_own(spark):
+    _, df, parts = echo_steps(spark)
+    both = models.fit_echo_states(df, parts, ["e"], "t", "z", {"a": (0, 1, 0), "b": (1, 1, 3)}, K=2, size=8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")               # a run of 20 rows spans batches
+    try:
+        got = {(r.e, r.t): r for r in models.fused_scores(df, ["e"], "t", "z", both).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, first, seed in (("a", 1, 0), ("b", 2, 3)):
+        own = df.select("e", "t", F.slice("z", first, 1).alias("z"))
+        m = models.fit_echo_state(own, parts, ["e"], "t", "z", 1, seed=seed, K=2, size=8)
+        want = models.echo_state_scores(own, ["e"], "t", "z", m).collect()
+        assert len(want) == 280 and all(abs(got[(r.e, r.t)][name] - r.fused) < 1e-8 for r in want)
+
+
 def test_linear_predictor_learns(spark):
     rows = [(e, t, [float(np.sin(0.7 * t + e))]) for e in range(12) for t in range(40)]
     df = spark.createDataFrame(rows, "e int, t int, z array<double>")

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,32 +125,67 @@ def standardize(df: DataFrame, healthy: DataFrame, vec: str, n_dims: int, out: s
 
 
 # ----------------------------------------------------- ordered runs inside tasks
+#: tasks per core: a reservoir's row is dear, so bytes say nothing about how many tasks it takes
+TASKS_PER_CORE = 4
+
+
 def clustered(df: DataFrame, keys: Sequence[str], t: str, warmup: int, seg_rows: int = SEG_ROWS) -> DataFrame:
     """Rows sorted by (episode, segment, t) inside tasks, with warm-up copies (segments are never shorter than those)."""
     lb = ordered.look_back(df, keys, t, warmup, max(seg_rows, warmup))
-    return lb.df.repartition(*keys, "_seg").sortWithinPartitions(*keys, "_seg", t)
+    tasks = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return lb.df.repartition(tasks, *keys, "_seg").sortWithinPartitions(*keys, "_seg", t)
+
+
+@dataclass(frozen=True)
+class Runs:
+    """Whole (episode, segment) runs one after the other: their rows, and of each run its first row and its length."""
+
+    table: pa.Table
+    first: np.ndarray
+    length: np.ndarray
+
+    def numbers(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
+
+    def vectors(self, name: str) -> np.ndarray:
+        flat = self.table.column(name).combine_chunks().flatten()
+        return flat.to_numpy(zero_copy_only=False).reshape(self.table.num_rows, -1)
+
+    @property
+    def follows(self) -> np.ndarray:
+        """Rows with one before them in their run."""
+        out = np.ones(self.table.num_rows, bool)
+        out[self.first] = False
+        return out
+
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 4096) -> Iterator[Runs]:
+    """The sorted rows of a task as whole runs, about ``rows`` rows or a batch at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> Iterator[Runs]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        n = table.num_rows
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in (*keys, "_seg"):
+            v = table.column(c).combine_chunks()
+            none = v.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= pc.fill_null(pc.not_equal(v[1:], v[:-1]), False).to_numpy(zero_copy_only=False) | (none[1:] != none[:-1])
+        first = np.flatnonzero(new)
+        end = n if last else int(first[-1])
+        if end:
+            first = first if last else first[:-1]
+            yield Runs(table.slice(0, end), first, np.diff(first, append=end))
+        held[:] = table.slice(end).to_batches() if end < n else []
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[list[pd.DataFrame]]:
-    """Whole (episode, segment) runs, several at a time (about ``rows`` rows)."""
-    by = [*keys, "_seg"]
-    rest: pd.DataFrame | None = None
     for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        if b.empty:
-            rest = None
-            continue
-        last = (b[by] == b[by].iloc[-1]).all(axis=1)
-        whole, rest = b[~last], b[last]
-        if len(whole) >= rows:
-            yield [g for _, g in whole.groupby(by, sort=False)]
-        elif len(whole):
-            rest = b
-            if len(b) >= rows:
-                yield [g for _, g in whole.groupby(by, sort=False)]
-                rest = b[last]
-    if rest is not None and len(rest):
-        yield [g for _, g in rest.groupby(by, sort=False)]
+        if b.num_rows:
+            held.append(b)
+            if sum(h.num_rows for h in held) >= rows:
+                yield from cut(False)
+    if held:
+        yield from cut(True)
 
 
 def spectral_radius(w: np.ndarray, doublings: int = 14) -> float:
@@ -186,22 +223,28 @@ class Reservoirs:
         #: steps after which what is left of a start is below FORGOTTEN
         self.warmup = int(np.ceil(np.log(FORGOTTEN) / np.log(max(keeps, 1e-9))))
 
-    def states(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """States after each input, all runs in lockstep: [(T, K, size + inputs + 1), ...]."""
-        by_length = sorted(range(len(runs)), key=lambda i: -len(runs[i]))
-        out = [np.empty((len(r), self.k, self.width)) for r in runs]
-        now = np.zeros((self.k, len(runs), self.width))
+    def walk(self, runs: Runs, inputs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All runs in lockstep: (rows, their states (K, rows, size + inputs + 1)), overwritten by the next step."""
+        order = np.argsort(-runs.length, kind="stable")
+        first, length = runs.first[order], runs.length[order]
+        now = np.zeros((self.k, len(first), self.width))
         now[..., -1] = 1.0
-        live = len(runs)
-        for s in range(len(runs[by_length[0]])):
-            while len(runs[by_length[live - 1]]) <= s:
-                live -= 1
-            at = now[:, :live]
-            at[..., self.size:-1] = [runs[i][s] for i in by_length[:live]]
-            at[..., :self.size] += self.leak * (np.tanh(at @ self.drive) - at[..., :self.size])
-            for pos, i in enumerate(by_length[:live]):
-                out[i][s] = at[:, pos]
-        return out
+        pulled, twice = np.empty((self.k, len(first), self.size)), 2.0 * self.drive
+        with np.errstate(over="ignore"):
+            for s in range(int(length[0])):
+                live = int(np.searchsorted(-length, -s))
+                rows, at, x = first[:live] + s, now[:, :live], pulled[:, :live]
+                at[..., self.size:-1] = inputs[rows]
+                np.matmul(at, twice, out=x)
+                # leak * tanh(y) = leak - 2 leak / (exp(2 y) + 1), which takes less than half the time of tanh
+                np.exp(x, out=x)
+                x += 1.0
+                np.divide(2.0 * self.leak, x, out=x)
+                units = at[..., :self.size]
+                units *= 1.0 - self.leak
+                units += self.leak
+                units -= x
+                yield rows, at
 
 
 @dataclass(frozen=True)
@@ -213,13 +256,41 @@ class EchoState:
     sigma: np.ndarray              # (D,)
     sup: tuple[float, float]
     dis: tuple[float, float]
+    first: int = 0                 # where its inputs begin in the vector of a step
+
+    def inputs(self, vectors: np.ndarray) -> np.ndarray:
+        return vectors[:, self.first:self.first + self.res.n_in]
+
+    def predicted(self, runs: Runs, inputs: np.ndarray) -> np.ndarray:
+        """(rows, K, D): what each member expects at a row from the row before; 0 at the first of a run."""
+        out = np.zeros((len(inputs) + 1, self.res.k, self.res.n_in))
+        for rows, at in self.res.walk(runs, inputs):
+            out[rows + 1] = (at @ self.readout).transpose(1, 0, 2)
+        out[runs.first] = 0.0
+        return out[:-1]
+
+
+class _Products:
+    """Sums of state' * [state, next input] per member, added up in blocks of states."""
+
+    def __init__(self, k: int, width: int, n_in: int, rows: int = 4096):
+        self.sums = np.zeros((k, width, width + n_in))
+        self.left, self.right, self.n = np.empty((k, rows, width)), np.empty((rows, n_in)), 0
 
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        while len(right):
+            m = min(len(right), len(self.right) - self.n)
+            self.left[:, self.n:self.n + m], self.right[self.n:self.n + m] = left[:, :m], right[:m]
+            left, right, self.n = left[:, m:], right[m:], self.n + m
+            if self.n == len(self.right):
+                self.flush()
 
-def _predictions(groups: list[pd.DataFrame], vec: str, res: Reservoirs, readout: np.ndarray | None):
-    """Per run: its frame, inputs, states and (with a readout) predictions."""
-    runs = [_matrix(g[vec]) for g in groups]
-    for g, u, z in zip(groups, runs, res.states(runs)):
-        yield g, u, z, None if readout is None else np.einsum("tkf,kfd->tkd", z, readout)
+    def flush(self) -> np.ndarray:
+        for own, left in zip(self.sums, self.left[:, :self.n]):
+            own[:, :left.shape[1]] += left.T @ left
+            own[:, left.shape[1]:] += left.T @ self.right[:self.n]
+        self.n = 0
+        return self.sums
 
 
 def fit_echo_state(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: str, vec: str, n_in: int,
@@ -228,74 +299,110 @@ def fit_echo_state(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: s
 
     Features at t predict t + 1; the first predicted step is the washout.
     """
+    return fit_echo_states(steps, parts, keys, t, vec, {"": (0, n_in, seed)}, **over)[""]
+
+
+def fit_echo_states(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: str, vec: str,
+                    channels: dict[str, tuple[int, int, int]], **over) -> dict[str, EchoState]:
+    """One ensemble per channel (first number of it in ``vec``, how many, seed); all of them take each pass together."""
     cfg = {**RESERVOIR, **over}
     keys = list(keys)
-    res = Reservoirs(n_in, cfg["K"], cfg["size"], seed, cfg["radius"], cfg["leak"], cfg["input"], cfg["density"])
-    f = cfg["size"] + n_in + 1
-    own = clustered(steps.join(parts.filter("part = 'fit'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t, res.warmup)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for groups in _groups(batches, keys, 4096):
-            for g, u, z, _ in _predictions(groups, vec, res, None):
-                use = (g[t].to_numpy()[1:] >= WASHOUT) & g["_own"].to_numpy()[1:]
-                left, right = z[:-1][use], np.concatenate([u[1:][use]], axis=1)
-                for k in range(res.k):
-                    m = left[:, k].T @ np.concatenate([left[:, k], right], axis=1)
-                    total[k] = total[k] + m if k in total else m
-        for k, m in total.items():
-            yield pd.DataFrame({"part": np.int32(k), "i": np.arange(f, dtype=np.int32), "row": list(m)})
-    sums = own.mapInPandas(run, _GRAM).groupBy("part", "i").agg(
-        F.array(*[F.sum(F.col("row")[j]) for j in range(f + n_in)]).alias("row"))
-    mats = np.zeros((res.k, f, f + n_in))
-    for r in sums.collect():
-        mats[r["part"], r["i"]] = r["row"]
-    readout = np.stack([np.linalg.solve(m[:, :f] + cfg["ridge"] * np.eye(f), m[:, f:]) for m in mats])
-
-    held = clustered(steps.join(parts.filter("part = 'held'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t, res.warmup)
-    mom = T.StructType([T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType())),
-                        T.StructField("q", T.ArrayType(T.DoubleType()))])
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups in _groups(batches, keys, 4096):
-            for g, u, _, p in _predictions(groups, vec, res, readout):
-                use = (g[t].to_numpy()[1:] >= WASHOUT) & g["_own"].to_numpy()[1:]
-                e = (p[:-1] - u[1:, None])[use]
-                yield pd.DataFrame({"n": [e.shape[0] * e.shape[1]], "s": [e.sum(axis=(0, 1))], "q": [(e * e).sum(axis=(0, 1))]})
-    m = held.mapInPandas(moments, mom).agg(
-        F.sum("n").alias("n"), *[F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in "sq" for i in range(n_in)]).first()
-    mean = np.array([m[f"s{i}"] for i in range(n_in)]) / m["n"]
-    sd = np.sqrt(np.maximum(np.array([m[f"q{i}"] for i in range(n_in)]) / m["n"] - mean ** 2, 0.0))
-    sigma = np.where(sd < schema.DEGENERATE_EPS, 1.0, np.maximum(sd, 1e-3))
-    part = EchoState(res, readout, sigma, (0.0, 1.0), (0.0, 1.0))
-    raw = echo_state_raw(steps.join(parts.filter("part = 'held'").select(*keys), keys, "left_semi"), keys, t, vec, part) \
-        .filter("sup IS NOT NULL").select(F.inline(F.array(
-            F.struct(F.lit("sup").alias("s"), F.col("sup").alias("v")), F.struct(F.lit("dis").alias("s"), F.col("dis").alias("v")))))
-    loc = {r["s"]: (r["loc"], r["scale"]) for r in fit.robust_iqr(raw, ["s"], "v").collect()}
-    return EchoState(res, readout, sigma, loc["sup"], loc["dis"])
+    blank = {c: EchoState(Reservoirs(n, cfg["K"], cfg["size"], seed, cfg["radius"], cfg["leak"], cfg["input"], cfg["density"]),
+                          np.zeros(0), np.ones(n), (0.0, 1.0), (0.0, 1.0), first) for c, (first, n, seed) in channels.items()}
+    warmup = max(m.res.warmup for m in blank.values())
+
+    def part(name: str) -> DataFrame:
+        return steps.join(parts.filter(F.col("part") == name).select(*keys), keys, "left_semi").select(*keys, t, vec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [_Products(m.res.k, m.res.width, m.res.n_in) for m in blank.values()]
+        for r in _runs(batches, keys):
+            z = r.vectors(vec)
+            # a row is used if the one after it is its run's own and behind the washout
+            use = np.append((r.follows & (r.numbers(t) >= WASHOUT) & r.numbers("_own"))[1:], False)
+            for m, sums in zip(blank.values(), total):
+                u = m.inputs(z)
+                for rows, at in m.res.walk(r, u):
+                    on = use[rows]
+                    if on.all():
+                        sums.add(at, u[rows + 1])
+                    elif on.any():
+                        sums.add(at[:, on], u[rows[on] + 1])
+        for c, sums in enumerate(total):
+            for k, m in enumerate(sums.flush()):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(m), c * cfg["K"] + k, np.int32)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m))], _GRAM.names)
+    width = max(m.res.width + m.res.n_in for m in blank.values())
+    sums = clustered(part("fit"), keys, t, warmup).mapInArrow(run, _GRAM).groupBy("part", "i").agg(
+        F.array(*[F.sum(F.get("row", F.lit(j))) for j in range(width)]).alias("row")).collect()
+    fitted = {}
+    for c, (name, m) in enumerate(blank.items()):
+        f, mats = m.res.width, np.zeros((m.res.k, m.res.width, m.res.width + m.res.n_in))
+        for r in sums:
+            if r["part"] // m.res.k == c:
+                mats[r["part"] % m.res.k, r["i"]] = r["row"][:f + m.res.n_in]
+        readout = np.stack([np.linalg.solve(x[:, :f] + cfg["ridge"] * np.eye(f), x[:, f:]) for x in mats])
+        fitted[name] = replace(m, readout=readout)
+
+    mom = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()),
+                        T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("q", T.ArrayType(T.DoubleType()))])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _runs(batches, keys):
+            z, use = r.vectors(vec), r.follows & (r.numbers(t) >= WASHOUT) & r.numbers("_own")
+            for c, m in enumerate(fitted.values()):
+                u = m.inputs(z)
+                e = (m.predicted(r, u) - u[:, None])[use]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([c], pa.int32()), pa.array([e.shape[0] * e.shape[1]], pa.int64()),
+                    pa.array([e.sum(axis=(0, 1))]), pa.array([(e * e).sum(axis=(0, 1))])], mom.names)
+    most = max(m.res.n_in for m in fitted.values())
+    for r in clustered(part("held"), keys, t, warmup).mapInArrow(moments, mom).groupBy("part").agg(
+            F.sum("n").alias("n"), *[F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in "sq" for i in range(most)]).collect():
+        name = list(fitted)[r["part"]]
+        s, q = (np.array([r[f"{c}{i}"] for i in range(fitted[name].res.n_in)]) / r["n"] for c in "sq")
+        sd = np.sqrt(np.maximum(q - s ** 2, 0.0))
+        fitted[name] = replace(fitted[name], sigma=np.where(sd < schema.DEGENERATE_EPS, 1.0, np.maximum(sd, 1e-3)))
+    # written once: the quantiles read it several times
+    raw = sinks.materialize(echo_states_raw(part("held"), keys, t, vec, fitted), "echo_state_held")
+    long = raw.select(F.inline(F.array(*[F.struct(F.lit(c).alias("s"), F.col(c).alias("v")) for m in fitted for c in _raw_names(m)])))
+    loc = {r["s"]: (r["loc"], r["scale"]) for r in fit.robust_iqr(long.filter("v IS NOT NULL"), ["s"], "v").collect()}
+    return {name: replace(m, **{s: loc[c] for s, c in zip(("sup", "dis"), _raw_names(name))}) for name, m in fitted.items()}
+
+
+def _raw_names(channel: str) -> tuple[str, str]:
+    return (f"{channel}_sup", f"{channel}_dis") if channel else ("sup", "dis")
 
 
 def echo_state_raw(steps: DataFrame, keys: Sequence[str], t: str, vec: str, model: EchoState) -> DataFrame:
     """Raw surprise and disagreement per step; null inside the washout."""
+    return echo_states_raw(steps, keys, t, vec, {"": model})
+
+
+def echo_states_raw(steps: DataFrame, keys: Sequence[str], t: str, vec: str, ensembles: dict[str, EchoState]) -> DataFrame:
+    """``<channel>_sup`` and ``<channel>_dis`` per step, all channels in one pass."""
     keys = list(keys)
-    d = clustered(steps.select(*keys, t, vec), keys, t, model.res.warmup)
-    out = T.StructType([*[d.schema[k] for k in keys], d.schema[t], T.StructField("sup", T.DoubleType()),
-                        T.StructField("dis", T.DoubleType())])
+    d = clustered(steps.select(*keys, t, vec), keys, t, max(m.res.warmup for m in ensembles.values()))
+    out = T.StructType([*[d.schema[k] for k in keys], d.schema[t],
+                        *[T.StructField(c, T.DoubleType()) for name in ensembles for c in _raw_names(name)]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups in _groups(batches, keys, 4096):
-            for g, u, _, p in _predictions(groups, vec, model.res, model.readout):
-                sup, dis = np.full(len(u), np.nan), np.full(len(u), np.nan)
-                e = (p[:-1] - u[1:, None]) / model.sigma
-                sup[1:] = (e * e).mean(axis=(1, 2))
-                dis[1:] = (p[:-1] / model.sigma).std(axis=1).mean(axis=1)
-                wash = g[t].to_numpy() < WASHOUT
-                sup[wash], dis[wash] = np.nan, np.nan
-                r = g[[*keys, t]].assign(sup=pd.Series(sup, index=g.index), dis=pd.Series(dis, index=g.index))
-                yield r[g["_own"]]
-    raw = d.mapInPandas(run, out)
-    nn = lambda c: F.when(~F.isnan(c), F.col(c))
-    return raw.withColumns({"sup": nn("sup"), "dis": nn("dis")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _runs(batches, keys):
+            z, own = r.vectors(vec), r.numbers("_own")
+            wash = (~r.follows | (r.numbers(t) < WASHOUT))[own]
+            cols = [c.combine_chunks() for c in r.table.select([*keys, t]).filter(pa.array(own)).columns]
+            for m in ensembles.values():
+                u = m.inputs(z)
+                p = m.predicted(r, u)[own]
+                e = (p - u[own][:, None]) / m.sigma
+                cols += [pa.array((e * e).mean(axis=(1, 2)), mask=wash), pa.array((p / m.sigma).std(axis=1).mean(axis=1), mask=wash)]
+            yield pa.RecordBatch.from_arrays(cols, out.names)
+    return d.mapInArrow(run, out)
+
+
+def _streams(channel: str, model: EchoState, beta: float) -> dict[str, Column]:
+    zs, zd = ((F.col(c) - loc) / scale for c, (loc, scale) in zip(_raw_names(channel), (model.sup, model.dis)))
+    return {"fused": zs + beta * zd, "surprise": zs, "disagreement": zd}
 
 
 def echo_state_scores(steps: DataFrame, keys: Sequence[str], t: str, vec: str, model: EchoState,
@@ -303,9 +410,7 @@ def echo_state_scores(steps: DataFrame, keys: Sequence[str], t: str, vec: str, m
     """fused, surprise and disagreement streams; washout steps score 0."""
     # Written once: the reservoirs must not run again for every reader.
     raw = sinks.materialize(echo_state_raw(steps, keys, t, vec, model), "echo_state_raw")
-    zs = (F.col("sup") - model.sup[0]) / model.sup[1]
-    zd = (F.col("dis") - model.dis[0]) / model.dis[1]
-    streams = {"fused": zs + beta * zd, "surprise": zs, "disagreement": zd}
+    streams = _streams("", model, beta)
     if use_cusum:
         # a washout step must leave the accumulator at 0
         slack = RESERVOIR["slack"]
@@ -317,6 +422,15 @@ def echo_state_scores(steps: DataFrame, keys: Sequence[str], t: str, vec: str, m
     return z.drop("sup", "dis")
 
 
+def fused_scores(steps: DataFrame, keys: Sequence[str], t: str, vec: str, ensembles: dict[str, EchoState],
+                 beta: float = RESERVOIR["beta"]) -> DataFrame:
+    """The fused stream of each channel, named like it; washout steps score 0."""
+    raw = sinks.materialize(echo_states_raw(steps, keys, t, vec, ensembles), "echo_state_raw")
+    slack = RESERVOIR["slack"]
+    z = ordered.cusums(raw, keys, t, {c: F.coalesce(_streams(c, m, beta)["fused"], F.lit(slack)) for c, m in ensembles.items()}, slack)
+    return z.select(*keys, t, *ensembles)
+
+
 # ------------------------------------------------------- linear next-step scorers
 def delay_features(df: DataFrame, keys: Sequence[str], t: str, vec: str, n_in: int, lags: int,
                    pad: str) -> DataFrame:
@@ -451,15 +565,18 @@ def fit_conceptor(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: st
     res = Reservoirs(n_in, 1, size, seed, cfg["radius"], cfg["leak"], cfg["input"], cfg["density"])
     own = clustered(steps.join(parts.filter("part = 'fit'").select(*keys), keys, "left_semi").select(*keys, t, vec), keys, t, res.warmup)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros((size, size)), 0
-        for groups in _groups(batches, keys, 4096):
-            for g, h in zip(groups, res.states([_matrix(x[vec]) for x in groups])):
-                h = h[(g[t].to_numpy() >= WASHOUT) & g["_own"].to_numpy(), 0, :size]
-                total, n = total + h.T @ h, n + len(h)
-        yield pd.DataFrame({"part": np.int32(0), "i": np.arange(size, dtype=np.int32), "row": list(total)})
-        yield pd.DataFrame({"part": np.int32(1), "i": [np.int32(0)], "row": [np.full(size, float(n))]})
-    sums = own.mapInPandas(run, _GRAM).groupBy("part", "i").agg(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = _Products(1, size, 0), 0
+        for r in _runs(batches, keys):
+            use = (r.numbers(t) >= WASHOUT) & r.numbers("_own")
+            for rows, at in res.walk(r, r.vectors(vec)):
+                h = at[:, use[rows], :size]
+                total.add(h, np.empty((h.shape[1], 0)))
+            n += int(use.sum())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat([0, 1], [size, 1]).astype(np.int32)), pa.array(np.append(np.arange(size), 0).astype(np.int32)),
+            pa.array([*total.flush()[0], np.full(size, float(n))])], _GRAM.names)
+    sums = own.mapInArrow(run, _GRAM).groupBy("part", "i").agg(
         F.array(*[F.sum(F.col("row")[j]) for j in range(size)]).alias("row")).collect()
     n = next(r["row"][0] for r in sums if r["part"] == 1)
     corr = np.array([r["row"] for r in sorted((r for r in sums if r["part"] == 0), key=lambda r: r["i"])]) / n
@@ -469,7 +586,7 @@ def fit_conceptor(steps: DataFrame, parts: DataFrame, keys: Sequence[str], t: st
     c = corr @ np.linalg.inv(corr + a ** -2 * np.eye(size))
     part = Conceptor(res, c, a, 0.0, 1.0)
     held = conceptor_raw(steps.join(parts.filter("part = 'held'").select(*keys), keys, "left_semi"), keys, t, vec, part)
-    r = fit.robust_iqr(held.filter("raw IS NOT NULL"), [], "raw").first()
+    r = fit.robust_iqr(sinks.materialize(held.filter("raw IS NOT NULL"), "conceptor_held"), [], "raw").first()
     return Conceptor(res, c, a, r["loc"], r["scale"])
 
 
@@ -479,15 +596,16 @@ def conceptor_raw(steps: DataFrame, keys: Sequence[str], t: str, vec: str, model
     d = clustered(steps.select(*keys, t, vec), keys, t, model.res.warmup)
     out = T.StructType([*[d.schema[k] for k in keys], d.schema[t], T.StructField("raw", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for groups in _groups(batches, keys, 4096):
-            for g, h in zip(groups, model.res.states([_matrix(x[vec]) for x in groups])):
-                h = h[:, 0, :model.res.size]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _runs(batches, keys):
+            v, own = np.empty(r.table.num_rows), r.numbers("_own")
+            for rows, at in model.res.walk(r, r.vectors(vec)):
+                h = at[0, :, :model.res.size]
                 inside = h @ model.matrix.T
-                v = 1.0 - (inside * inside).sum(axis=1) / np.maximum((h * h).sum(axis=1), schema.DEGENERATE_EPS)
-                v[g[t].to_numpy() < WASHOUT] = np.nan
-                yield g[[*keys, t]].assign(raw=pd.Series(v, index=g.index))[g["_own"]]
-    return d.mapInPandas(run, out).withColumn("raw", F.when(~F.isnan("raw"), F.col("raw")))
+                v[rows] = 1.0 - (inside * inside).sum(axis=1) / np.maximum((h * h).sum(axis=1), schema.DEGENERATE_EPS)
+            kept = [c.combine_chunks() for c in r.table.select([*keys, t]).filter(pa.array(own)).columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(v[own], mask=(r.numbers(t) < WASHOUT)[own])], out.names)
+    return d.mapInArrow(run, out)
 
 
 def conceptor_scores(steps: DataFrame, keys: Sequence[str], t: str, vec: str, model: Conceptor,
@@ -495,7 +613,8 @@ def conceptor_scores(steps: DataFrame, keys: Sequence[str], t: str, vec: str, mo
     if model.matrix is None:
         return steps.select(*keys, t, F.lit(0.0).alias("score"))
     z = (F.col("raw") - model.loc) / model.scale
-    d = conceptor_raw(steps, keys, t, vec, model).select(*keys, t, F.coalesce(z, F.lit(slack)).alias("_z"))
+    raw = sinks.materialize(conceptor_raw(steps, keys, t, vec, model), "conceptor_raw")
+    d = raw.select(*keys, t, F.coalesce(z, F.lit(slack)).alias("_z"))
     return ordered.cusum(d, keys, t, "_z", "score", slack).drop("_z")
 
 

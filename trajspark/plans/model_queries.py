@@ -90,13 +90,8 @@ def _(spark, d):
 def _(spark, d):
     """One ensemble per channel, fused by their maximum."""
     v = step_vectors(spark, d)
-    p, out = parts(spark, d), None
-    for i, (name, lo, n) in enumerate((("num", 1, 2), ("kind", 3, 5))):
-        c = v.select("user_id", "t", F.slice("z", lo, n).alias("c"))
-        m = models.fit_echo_state(c, p, U, "t", "c", n, seed=i)
-        s = models.echo_state_scores(c, U, "t", "c", m).select("user_id", "t", F.col("fused").alias(name))
-        out = s if out is None else out.join(s, ["user_id", "t"])
-    return out.select("user_id", "t", R(F.greatest("num", "kind"), 4).alias("score"))
+    m = models.fit_echo_states(v, parts(spark, d), U, "t", "z", {"num": (0, 2, 0), "kind": (2, 5, 1)})
+    return models.fused_scores(v, U, "t", "z", m).select("user_id", "t", R(F.greatest("num", "kind"), 4).alias("score"))
 
 
 @query("conceptor")
