@@ -76,6 +76,36 @@ def test_late_and_repeated_steps_change_nothing(spark, rows, tmp_path):
             np.testing.assert_allclose(r.x, want[r.run, r.t], atol=1e-12)
 
 
+class Kept(dict):
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_silent_episodes_of_a_bucket_go_and_the_others_stay():
+    timers, own = [], step_vectors.Vectors("t", idle_ms=70)
+    own.handle = type("Handle", (), {"registerTimer": staticmethod(timers.append)})
+    own.episodes = Kept({("a",): (0, None), ("b",): (50, None)})
+    own.seen = Kept({("a", "look", "x"): (0,), ("b", "look", "x"): (1,)})
+    now = type("Now", (), {"getCurrentProcessingTimeInMs": staticmethod(lambda: 100)})
+    assert not list(own.handleExpiredTimer((1,), now, None))
+    assert list(own.episodes) == [("b",)] and list(own.seen) == [("b", "look", "x")] and timers == [120]
+
+
+def test_live_vectors_of_one_bucket_equal_those_of_many(spark, rows, tmp_path):
+    """Episodes share a call and keep their own state; a null key is a key like others."""
+    s = sinks.materialize(log(spark, rows).select(F.nullif("e", F.lit("e1")).alias("run"), F.lit(2 ** 53 + 1).alias("k"), "*").drop("e"), "log")
+    got = []
+    for buckets in (1, 256):
+        feed = Feed(spark, tmp_path, lambda d: step_vectors.live_signals(d, ["run", "k"], "t", buckets=buckets))  # noqa: B023
+        feed.add(s.filter("t < 5"))
+        got.append({(r.run, r.k, r.t): r for r in feed.add(s.filter("t >= 5")).collect()})
+    assert got[0].keys() == got[1].keys() and len(got[0]) == 48 and (None, 2 ** 53 + 1, 0) in got[0]
+    for k, r in got[0].items():
+        np.testing.assert_allclose([*r.x, *r.g], [*got[1][k].x, *got[1][k].g], atol=1e-12)
+
+
 def in_parts(rows, parts, delay, gap):
     """Sessions and late rows by definition: per part, what is behind the watermark of the parts before."""
     top, late, kept = None, [], {}

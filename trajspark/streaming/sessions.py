@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from trajspark.streaming.step_vectors import typed_state
+from trajspark.streaming.step_vectors import EXACT, typed_state
 
 HORIZON_DAYS = 3650
 _BACK = HORIZON_DAYS * 86_400_000  # in milliseconds
@@ -57,8 +57,7 @@ def live_sessions(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, *,
     keys, gap = list(keys), gap_s * 1_000_000
     typed_state(rows.sparkSession)
     of = T.StructType([rows.schema[k] for k in keys])
-    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    slim = rows.where(F.col(ts).isNotNull()).select(F.to_json(F.struct(*keys), exact).alias("key"), F.col(ts).cast("timestamp").alias("_ts"),
+    slim = rows.where(F.col(ts).isNotNull()).select(F.to_json(F.struct(*keys), EXACT).alias("key"), F.col(ts).cast("timestamp").alias("_ts"),
                                                     F.col(row_id).cast("string").alias("row_id"))
     slim = slim.withColumns({"bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)), "at_us": F.unix_micros("_ts")})
     slim = slim.withWatermark("_ts", f"{HORIZON_DAYS * 86_400 + delay_s} seconds")
@@ -88,6 +87,6 @@ def live_sessions(rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, *,
             yield pd.DataFrame({"key": done["key"], "started_us": done["first"], "closed_us": done["last"] + gap, "n_rows": done["n"],
                                 "row_id": None, "late": False})
     got = slim.groupBy("bucket").applyInPandasWithState(run, out, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    got = got.withColumn("_of", F.from_json("key", of, exact))
+    got = got.withColumn("_of", F.from_json("key", of, EXACT))
     return got.select(*[F.col("_of")[k].alias(k) for k in keys], F.timestamp_micros("started_us").alias("started"),
                       F.timestamp_micros("closed_us").alias("closed"), "n_rows", "row_id", "late")

@@ -1,15 +1,20 @@
 """Whole step vectors of live trajectories.
 
 What a step has by itself (calls, embeddings, character statistics) is computed in
-the scan of the stream.  What depends on earlier steps lives in typed state per
-episode: a value of sums and last vectors, a map of the calls seen so far, and a
-list of the last result vectors.  The map is the only part that grows with an
-episode; it stays in the state store and only the keys that a step asks for are read.
+the scan of the stream.  What depends on earlier steps lives in typed state: per
+episode one entry of a map (sums, last vectors, the last result vectors) and an entry
+of another map for each call made so far.  The calls are the only part that grows with
+an episode; they stay in the state store and only those that a step asks for are read.
+
+Episodes are dealt over buckets, and a bucket is one call per batch, so an episode costs
+its steps and one look into the state and no call of its own.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,6 +30,8 @@ from trajspark.operators import features, grounding, models, signal
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANNELS = ("e", "u", "m", "x", "g")
+#: how keys become text and come back
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def observed(steps: DataFrame, keys: Sequence[str], t: str,
@@ -44,87 +51,117 @@ def gap(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 - float(a @ b) / size if size > 0 else 0.0
 
 
+_WIDTH = schema.WIDTHS["e"]
+
+
+class _Episode:
+    """What is kept of one episode: a few numbers, four vectors and the vectors of the last result steps."""
+
+    def __init__(self, anchor: np.ndarray, words: Sequence[str]):
+        self.last, self.n, self.results, self.words = -1, 0, 0, set(words)
+        self.used = self.alnum = self.drift = 0.0
+        self.prev, self.total, self.result_total, self.anchor = np.zeros(_WIDTH), np.zeros(_WIDTH), np.zeros(_WIDTH), anchor
+        self.recent: list[np.ndarray] = []
+
+    def row(self, at_ms: int) -> tuple:
+        numbers = np.concatenate([[self.used, self.alnum, self.drift], self.prev, self.total, self.result_total, self.anchor, *self.recent])
+        return at_ms, self.last, self.n, self.results, sorted(self.words), numbers.tobytes()
+
+    @classmethod
+    def of(cls, row: tuple) -> _Episode:
+        _, last, n, results, words, packed = row
+        numbers = np.frombuffer(packed)
+        prev, total, result_total, anchor, *recent = numbers[3:].reshape(-1, _WIDTH)
+        own = cls(anchor, words)
+        own.last, own.n, own.results = last, n, results
+        own.used, own.alnum, own.drift = numbers[:3].tolist()
+        own.prev, own.total, own.result_total, own.recent = prev, total, result_total, recent
+        return own
+
+    def step(self, r, repeated: int) -> tuple[list[float], list[float]]:
+        """Channels x and g of the next step."""
+        e, g = np.array(r.e), np.zeros(len(grounding.DIMS))
+        self.used += r.used
+        norm = float(np.linalg.norm(self.total))
+        x = [1.0 - float(e @ self.prev) if self.n else 0.0, float(e @ self.anchor), r.tool_success, float(repeated), r.tool_latency,
+             min(self.used / schema.CONTEXT_BUDGET_TOKENS, schema.CONTEXT_RATIO_CAP), float(r.n_calls),
+             float(e @ self.total) / norm if self.n and norm > 0 else 1.0]
+        if r.has:
+            said, why = np.array(r.said), np.array(r.why)
+            self_gap = gap(said, self.result_total) if self.results else 0.0
+            self.drift = grounding.DRIFT_ALPHA * self_gap + (1 - grounding.DRIFT_ALPHA) * self.drift
+            g[:] = (r.query, gap(said, why) if r.reasoned else 0.0, self_gap, r.json,
+                    (abs(r.alnum - self.alnum / self.results) if self.results else 0.0) + r.junk,
+                    gap(said, self.recent[-1]) if self.recent else 0.0, self.drift,
+                    gap(why, np.sum(self.recent, axis=0)) if r.reasoned and self.recent else 0.0,
+                    float(any(self.words.isdisjoint(w) for w in r.strange)))
+            self.results, self.alnum, self.result_total = self.results + 1, self.alnum + r.alnum, self.result_total + said
+            self.recent = [*self.recent, said][-grounding.MEMORY_STEPS:]
+        self.n, self.prev, self.total = self.n + 1, e, self.total + e
+        return x, g.tolist()
+
+
 class Vectors(StatefulProcessor):
-    """Rows of ``observed`` to rows of channels, in step order, one episode per key."""
+    """Rows of ``observed`` to rows of channels, in step order, the episodes (``key``) of one bucket per call."""
 
-    def __init__(self, keys: Sequence[str], t: str, idle_ms: int | None = None,
-                 embed: Callable[[list[str]], np.ndarray] = models.embedded):
-        self.keys, self.t, self.idle_ms, self.embed = list(keys), t, idle_ms, embed
+    def __init__(self, t: str, idle_ms: int | None = None, embed: Callable[[list[str]], np.ndarray] = models.embedded):
+        self.t, self.idle_ms, self.embed = t, idle_ms, embed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        vector = "array<double>"
         self.handle = handle
-        self.run = handle.getValueState("run", (
-            f"last long, n long, used double, prev {vector}, total {vector}, anchor {vector}, anchor_words array<string>, "
-            f"results long, alnum double, drift double, result_total {vector}"))
-        self.seen = handle.getMapState("seen", "name string, args string", "first long")
-        self.recent = handle.getListState("recent", f"said {vector}")
+        self.episodes = handle.getMapState("episodes", "key string", "at_ms long, last long, n long, results long, words array<string>, numbers binary")
+        self.seen = handle.getMapState("seen", "key string, name string, args string", "first long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.t, kind="stable")
-        width = schema.WIDTHS["e"]
-        state = self.run.get() if self.run.exists() else None
-        last, n, used, prev, total, anchor, words, results, alnum, drift, result_total = state or (
-            -1, 0, 0.0, None, [0.0] * width, None, [], 0, 0.0, 0.0, [0.0] * width)
-        prev, anchor = (None if v is None else np.array(v) for v in (prev, anchor))
-        total, result_total, words = np.array(total), np.array(result_total), set(words)
-        recent = [np.array(r[0]) for r in self.recent.get()] if self.recent.exists() else []
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["key", self.t], kind="stable", ignore_index=True)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms is not None else 0
+        whole = map(namedtuple("Step", pdf.columns)._make, zip(*(pdf[c].tolist() for c in pdf.columns)))
+        runs = {k: list(steps) for k, steps in groupby(whole, lambda r: r.key)}
+        stored = {k: self.episodes.getValue((k,)) for k in runs if self.episodes.containsKey((k,))}
+        heads = [steps[0] for k, steps in runs.items() if k not in stored]
+        begun = {r.key: _Episode(a, r.anchor_words) for r, a in zip(heads, self.embed([r.anchor for r in heads]))} if heads else {}
         out = []
-        for r in pdf.itertuples(index=False):
-            at = int(getattr(r, self.t))
-            if at <= last:
-                out.append((at, None, None, None, None, None, True))
-                continue
-            e, g = np.array(r.e), np.zeros(len(grounding.DIMS))
-            if anchor is None:
-                anchor, words = self.embed([r.anchor])[0], set(r.anchor_words)
-            used += r.used
-            norm = float(np.linalg.norm(total))
-            x = [0.0 if prev is None else 1.0 - float(e @ prev), float(e @ anchor), r.tool_success,
-                 float(self._repeated(r.signatures, at)), r.tool_latency,
-                 min(used / schema.CONTEXT_BUDGET_TOKENS, schema.CONTEXT_RATIO_CAP), float(r.n_calls),
-                 float(e @ total) / norm if n and norm > 0 else 1.0]
-            if r.has:
-                said, why = np.array(r.said), np.array(r.why)
-                self_gap = gap(said, result_total) if results else 0.0
-                drift = grounding.DRIFT_ALPHA * self_gap + (1 - grounding.DRIFT_ALPHA) * drift
-                g[:] = (r.query, gap(said, why) if r.reasoned else 0.0, self_gap, r.json,
-                        (abs(r.alnum - alnum / results) if results else 0.0) + r.junk,
-                        gap(said, recent[-1]) if recent else 0.0, drift,
-                        gap(why, np.sum(recent, axis=0)) if r.reasoned and recent else 0.0,
-                        float(any(words.isdisjoint(w) for w in r.strange)))
-                results, alnum, result_total = results + 1, alnum + r.alnum, result_total + said
-                recent = [*recent, said][-grounding.MEMORY_STEPS:]
-            last, n, prev, total = at, n + 1, e, total + e
-            out.append((at, r.e, r.u, r.m, x, g.tolist(), False))
-        if n:
-            self.run.update((last, n, float(used), prev.tolist(), total.tolist(), anchor.tolist(), sorted(words), results,
-                             float(alnum), float(drift), result_total.tolist()))
-            if recent:
-                self.recent.put([(v.tolist(),) for v in recent])
-        if self.idle_ms is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        frame = pd.DataFrame(out, columns=[self.t, *CHANNELS, "late"])
-        for k, (name, value) in enumerate(zip(self.keys, key)):
-            frame.insert(k, name, value)
-        yield frame
-
-    def _repeated(self, signatures, at: int) -> int:
-        """Calls of the step that an earlier step made already; the step's own are noted."""
+        for k, steps in runs.items():
+            own, calls = begun.get(k) or _Episode.of(stored[k]), {}
+            for r in steps:
+                at = int(getattr(r, self.t))
+                if at <= own.last:
+                    out.append((k, at, None, None, None, None, None, True))
+                    continue
+                x, g = own.step(r, self._repeated(k, r.signatures, at, calls, k in begun))
+                own.last = at
+                out.append((k, at, r.e, r.u, r.m, x, g, False))
+            self.episodes.updateValue((k,), own.row(now))
+        if self.idle_ms is not None and not list(self.handle.listTimers()):
+            self.handle.registerTimer(now + self.idle_ms)
+        yield pd.DataFrame(out, columns=["key", self.t, *CHANNELS, "late"])
+
+    def _repeated(self, key: str, signatures, at: int, calls: dict[tuple, int], begun: bool) -> int:
+        """Calls of the step that an earlier step made already; the step's own are noted.  ``calls``: those of this batch."""
         repeats = 0
         for s in signatures if signatures is not None else ():
-            call = (s["name"], s["args"])
-            if not self.seen.containsKey(call):
-                self.seen.updateValue(call, (at,))
-            elif self.seen.getValue(call)[0] < at:
+            call = (key, s["name"], s["args"])
+            if call not in calls:
+                if not begun and self.seen.containsKey(call):
+                    calls[call] = self.seen.getValue(call)[0]
+                else:
+                    calls[call] = at
+                    self.seen.updateValue(call, (at,))
+            if calls[call] < at:
                 repeats += 1
         return repeats
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.run, self.seen, self.recent):
-            state.clear()
+        """Drops the episodes that have been silent for ``idle_ms``; the next timer is for the one silent longest."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        ends = {k[0]: row[0] + self.idle_ms for k, row in list(self.episodes.iterator())}
+        gone = {k for k, end in ends.items() if end <= now}
+        for call in [c for c in self.seen.keys() if c[0] in gone]:
+            self.seen.removeKey(tuple(call))
+        for k in gone:
+            self.episodes.removeKey((k,))
+        if len(gone) < len(ends):
+            self.handle.registerTimer(min(end for k, end in ends.items() if k not in gone))
         yield from ()
 
     def close(self) -> None:
@@ -138,16 +175,20 @@ def typed_state(spark: SparkSession) -> None:
 
 
 def live_signals(steps: DataFrame, keys: Sequence[str], t: str, idle_ms: int | None = None,
-                 embed: Callable[[list[str]], np.ndarray] = models.embedded) -> DataFrame:
+                 embed: Callable[[list[str]], np.ndarray] = models.embedded, buckets: int = 256) -> DataFrame:
     """``keys, t, e, u, m, x, g, late`` per step of a stream in the log's own schema: what ``signal.signals`` gives for the log.
 
     Steps of one micro-batch are put in order; one at or before the last step taken
     changes nothing and comes out with ``late`` set and null channels.  ``idle_ms``
-    drops the state of a silent episode (not for streams that end).
+    drops the state of a silent episode (not for streams that end).  ``buckets`` stays what it is over restarts.
     """
     keys = list(keys)
     typed_state(steps.sparkSession)
-    out = T.StructType([*(T.StructField(k, steps.schema[k].dataType) for k in keys), T.StructField(t, T.LongType()),
+    of = T.StructType([steps.schema[k] for k in keys])
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField(t, T.LongType()),
                         *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in CHANNELS), T.StructField("late", T.BooleanType())])
-    return observed(steps, keys, t, embed).groupBy(*keys).transformWithStateInPandas(
-        Vectors(keys, t, idle_ms, embed), out, "append", "None" if idle_ms is None else "ProcessingTime")
+    d = observed(steps, keys, t, embed).withColumn("key", F.to_json(F.struct(*keys), EXACT)).drop(*keys)
+    got = d.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(
+        Vectors(t, idle_ms, embed), out, "append", "None" if idle_ms is None else "ProcessingTime")
+    got = got.withColumn("_of", F.from_json("key", of, EXACT))
+    return got.select(*[F.col("_of")[k].alias(k) for k in keys], t, *CHANNELS, "late")
