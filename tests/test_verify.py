@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -186,3 +187,25 @@ def test_ungrounded_without_writing_figures(spark):
     want = sorted(map(str, verify.ungrounded(said, verify.grounded_figures(res, ["o"]), ["o"]).collect()))
     got = [sorted(map(str, verify.ungrounded_by(said, res, ["o"], together=n).collect())) for n in (0, 28, 999)]
     assert got == [want] * 3 and 0 < len(want) < said.count()
+
+
+def test_few_selections_are_tried_together_and_equal_brute_force(monkeypatch):
+    import pyarrow as pa
+    spec = TaskSpec(line_items=(LineItem("line", 2, 3), LineItem("all")))
+    rng, said, most, tools, want = random.Random(5), [], [], [], []
+    for _ in range(400):
+        name = rng.choice(["line", "all"])
+        prices = [rng.randrange(100, 9000) for _ in range(rng.randrange(1, 6))]
+        prices += prices[:rng.randrange(0, 2)]
+        k, by = (3, 2) if name == "line" else (len(prices), 1)
+        sums = [by * sum(c) for c in itertools.combinations(prices, min(k, len(prices)))]
+        said.append(rng.choice(sums) / 100 * rng.choice([1.0, 1.0, 1.02, 1.1]))
+        most.append(int(said[-1] * 100 / 0.99) + 101)
+        amounts = [{"cents": c, "times": prices.count(c)} for c in sorted(set(prices)) if c <= most[-1]]
+        tools.append([{"name": name, "n": len(prices), "s": sum(prices), "amounts": amounts}])
+        want.append(any(abs(said[-1] - v / 100) <= max(spec.tolerance * max(abs(v / 100), spec.tolerance_pivot), spec.tolerance_floor) for v in sums))
+    amount = pa.list_(pa.struct([("cents", pa.int64()), ("times", pa.int64())]))
+    tool = pa.struct([("name", pa.string()), ("n", pa.int64()), ("s", pa.int64()), ("amounts", amount)])
+    monkeypatch.setattr(verify, "Sums", None)                      # no set of sums per episode
+    got = verify._selection_check(spec).func(pa.array(said), pa.array(most), pa.array(tools, pa.list_(tool)))
+    assert got.to_pylist() == want and 50 < sum(want) < 400

@@ -11,6 +11,7 @@ from trajspark.plans import base
 from trajspark.plans.base import U, cte, sql, table
 from trajspark.plans.numeric import R
 from trajspark.plans.registry import query
+from trajspark.sources import sinks
 
 SPEC = TaskSpec(
     line_items=(LineItem("purchase", 1, 12), LineItem("view", 2)),
@@ -104,7 +105,8 @@ SELECT o, CASE WHEN bool_or(abs(stated - v) <= greatest(0.01 * greatest(abs(v),
 FROM st JOIN cand USING (o) GROUP BY o""", "olines").replace("\n\n,", ",", 1))
 def _(spark, d):
     c = order_calls(spark, d)
-    priced = verify.priced_calls(c, ["o"], "t", PICK_SPEC)
+    # written once: the lowest three and the selections both read it
+    priced = sinks.materialize(verify.priced_calls(c, ["o"], "t", PICK_SPEC).select("o", "name", "price"), "priced_lines")
     # the three lowest distinct lookups of an order, as a stated total
     from pyspark.sql import Window as W
     low = priced.withColumn("i", F.row_number().over(W.partitionBy("o").orderBy("price"))).filter("i <= 3") \
