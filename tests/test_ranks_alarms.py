@@ -78,3 +78,23 @@ def test_escalation_machine(spark):
         out = policy.escalate_on_alarm(df, ["e"], "t", F.col("g"), F.col("p"), seg_rows=seg)
         got = {r.e: (r.halted_at, r.calls) for r in out.collect()}
         assert got == {e: loop(*r) for e, r in runs.items()}
+
+
+def test_first_segment_runs_from_its_only_start(spark):
+    rows = [("e", i, i % 3 != 0, i % 4 == 1 or i in (40, 41)) for i in range(60)]
+    df = spark.createDataFrame(rows, "e string, t int, trig boolean, pos boolean")
+    args = (df, ["e"], "t", F.col("trig"), F.col("pos"))
+    assert {r["_seg"]: len(r["_out"]) for r in policy.segment_runs(*args, seg_rows=25).collect()} == {0: 1, 1: 5, 2: 5}
+    streak = wait = calls = 0
+    halted = None
+    for _, t, trig, pos in rows:
+        if halted is None and wait:
+            wait -= 1
+            streak = 0
+        elif halted is None:
+            calls += trig
+            streak, wait = (streak + 1 if trig and pos else 0), 3 if trig and not pos else 0
+            halted = t if streak == 2 else None
+    for seg_rows in (7, 25, 4096):
+        got = policy.escalate_on_alarm(*args, seg_rows=seg_rows).first()
+        assert (got.halted_at, got.calls) == (halted, calls)

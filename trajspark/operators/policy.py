@@ -65,13 +65,11 @@ def _machine(judge: Judge) -> tuple[list[int], list[int], int]:
     return nxt, call, halt
 
 
-def escalate_on_alarm(steps: DataFrame, keys: Sequence[str], t: str, trigger: Column,
-                      positive: Column, judge: Judge = Judge(),
-                      seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
-    """Judge triggered steps only, with debounce and cooldown.
+def segment_runs(steps: DataFrame, keys: Sequence[str], t: str, trigger: Column, positive: Column,
+                 judge: Judge = Judge(), seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+    """``keys, _seg, _out``: per segment the end (state, calls, halt) from each state it could start in.
 
-    The rule is a small automaton.  Each bounded segment is run from every
-    state it could start in; the segments of an episode are then chained.
+    Nothing is before segment 0, so that one has only its end from state 0.
     """
     keys = list(keys)
     nxt, call, halt = _machine(judge)
@@ -93,8 +91,23 @@ def escalate_on_alarm(steps: DataFrame, keys: Sequence[str], t: str, trigger: Co
     d = steps.select(*keys, F.col(t).cast("int").alias("_t"), sym.alias("_y")).withColumn(
         "_seg", F.floor(F.col("_t") / seg_rows))
     segs = d.groupBy(*keys, "_seg").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_y").alias("y")))).alias("_a"))
-    segs = segs.select(*keys, "_seg", F.array(*[run(F.col("_a"), s) for s in range(halt)]).alias("_out"))
+        F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_y").alias("y")))).alias("_a"))
+    first = F.array(run(F.col("_a"), 0))
+    return segs.select(*keys, "_seg", F.when(F.col("_seg") == 0, first).otherwise(
+        F.array(*[run(F.col("_a"), s) for s in range(halt)])).alias("_out"))
+
+
+def escalate_on_alarm(steps: DataFrame, keys: Sequence[str], t: str, trigger: Column,
+                      positive: Column, judge: Judge = Judge(),
+                      seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+    """Judge triggered steps only, with debounce and cooldown.
+
+    The rule is a small automaton.  Each bounded segment is run from every
+    state it could start in; the segments of an episode are then chained.
+    """
+    keys = list(keys)
+    halt = _machine(judge)[2]
+    segs = segment_runs(steps, keys, t, trigger, positive, judge, seg_rows)
     chained = segs.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_seg", "_out"))).alias("_segs"))
     init = F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("c"), F.lit(-1).alias("h"))
