@@ -159,3 +159,26 @@ def test_scale_without_fallback(spark):
         out = fusion.grounding_score(["flat", "even"], fusion.dim_stats(df, ["flat", "even"], fallback), df).orderBy("t").collect()
         assert all(r.z_flat == fusion.Z_CAP for r in out[:9]) == want and out[9].z_flat == 0.0
         assert out[9].z_even == (9 - 4.5) / (1.4826 * 2.5)
+
+
+def test_texts_leave_a_batch_piece_by_piece(spark):
+    """A Python worker never holds a batch, or the windows of a long text, as a whole; the results are those of each text alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+    long = [f"{i} " + "näive text " * 9000 for i in range(12)]
+    said = "".join(f"say [f(q) -> {x}]" for x in ("one", "two"))
+    most = lambda some: np.full((len(some), 1), float(sum(len(x.encode()) for x in some)))
+    df = spark.createDataFrame([(i, x, [x], [said]) for i, x in enumerate(long)], "i int, x string, a array<string>, b array<string>").coalesce(1)
+    got = df.select(models.embedding(most)("x")[0].alias("n")).collect()
+    assert 0 < max(r.n for r in got) <= max(text.PIECE_BYTES, max(len(x.encode()) for x in long))
+    for r in df.select("x", "a", models.embedding()("x").alias("v"), models.mean_gap()("a", "b").alias("gap")).collect():
+        assert np.allclose(r.v, embed(r.x)) and r.gap == pytest.approx(1 - cos(embed(r.x), embed(said)))
+    parts = list(text.parse_tool_text.func(iter([pa.array([*long, None, said])])))
+    assert len(parts) > 1 and [x for p in parts for x in p.to_pylist()] == [
+        {"calls": calls, "reasoning": why} for calls, why in map(text._parse, [*long, "", said])]
+    tracemalloc.start()
+    whole = models.embedded(["ab ΑΣ" * 600000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and np.allclose(whole[0] @ whole[0], 1.0)

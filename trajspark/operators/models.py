@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajspark import schema
+from trajspark.functions import text as texts
 from trajspark.functions.hashing import uniform
 from trajspark.operators import fit, ordered, ranks
 from trajspark.sources import sinks
@@ -708,6 +709,8 @@ def forest_score(vec: Column, forest: list[np.ndarray]) -> Column:
 
 # ------------------------------------------------------------------ embedding
 BUCKETS = 512
+#: characters whose windows are counted at a time
+PIECE_CHARS = 1 << 18
 
 
 @functools.cache
@@ -720,21 +723,25 @@ def embedded(texts: Sequence[str | None], dims: int = schema.WIDTHS["e"]) -> np.
 
     The lower-cased text with two blanks at either end is cut into windows of three characters; each
     window adds or takes one in one of 512 buckets, and the counts are projected to ``dims`` numbers.
+    Characters are taken ``PIECE_CHARS`` at a time, those of one long text too.
     """
     out = np.empty((len(texts), dims))
     at = 0
     while at < len(texts):
         some, size = [], 0
-        while at + len(some) < len(texts) and (not some or (len(some) < 1024 and size < 1 << 20)):
+        while at + len(some) < len(texts) and (not some or (len(some) < 1024 and size < PIECE_CHARS)):
             some.append(f"  {(texts[at + len(some)] or '').lower()}  ")
             size += len(some[-1])
-        codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4")
-        row = np.repeat(np.arange(len(some)), [len(x) for x in some])
-        h = codes[:-2] * np.uint32(0x9E3779B1) ^ codes[1:-1] * np.uint32(0x85EBCA6B) ^ codes[2:] * np.uint32(0xC2B2AE35)
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        whole = row[:-2] == row[2:]
-        place = row[:-2].astype(np.int64) * BUCKETS + ((h >> np.uint32(8)) % np.uint32(BUCKETS))
-        counts = np.bincount(place[whole], np.where(h[whole] >> np.uint32(31), -1.0, 1.0), len(some) * BUCKETS)
+        joined, ends = "".join(some), np.cumsum([0, *map(len, some)])
+        counts = np.zeros(len(some) * BUCKETS)
+        for begin in range(0, size - 2, PIECE_CHARS):
+            codes = np.frombuffer(joined[begin:begin + PIECE_CHARS + 2].encode("utf-32-le", "surrogatepass"), "<u4")
+            row = np.repeat(np.arange(len(some)), np.diff(np.clip(ends - begin, 0, len(codes))))
+            h = codes[:-2] * np.uint32(0x9E3779B1) ^ codes[1:-1] * np.uint32(0x85EBCA6B) ^ codes[2:] * np.uint32(0xC2B2AE35)
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            whole = row[:-2] == row[2:]
+            place = row[:-2] * BUCKETS + ((h >> np.uint32(8)) % np.uint32(BUCKETS))
+            counts += np.bincount(place[whole], np.where(h[whole] >> np.uint32(31), -1.0, 1.0), len(counts))
         v = counts.reshape(len(some), BUCKETS) @ _projection(dims)
         n = np.linalg.norm(v, axis=1, keepdims=True)
         out[at:at + len(some)] = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
@@ -743,11 +750,14 @@ def embedded(texts: Sequence[str | None], dims: int = schema.WIDTHS["e"]) -> np.
 
 
 def embedding(embed: Callable[[list[str]], np.ndarray] = embedded):
-    """Arrow function text -> vector; each distinct text of a batch goes to ``embed`` once."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(text: pd.Series) -> pd.Series:
-        codes, texts = pd.factorize(text.fillna(""))
-        return pd.Series(list(embed(texts.tolist())[codes])) if len(codes) else pd.Series([], dtype=object)
+    """Arrow function text -> vector; each distinct text of a batch goes to ``embed`` once, a piece of the batch at a time."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(text: pa.Array) -> pa.Array:
+        if not len(text):
+            return pa.array([], pa.list_(pa.float64()))
+        coded = pc.fill_null(text, "").dictionary_encode()
+        v = np.concatenate([embed(some) for some in texts.pieces(coded.dictionary)])[coded.indices.to_numpy()]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel(), pa.float64()))
     return run
 
 
@@ -756,16 +766,16 @@ embed_text = embedding()
 
 def mean_gap(embed: Callable[[list[str]], np.ndarray] = embedded):
     """Arrow function (texts, texts) -> mean of 1 - cosine over the pairs of two arrays; null without pairs."""
-    @F.pandas_udf(T.DoubleType())
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        n = a.map(len).to_numpy()
+    @F.arrow_udf(T.DoubleType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
         if not n.sum():
-            return pd.Series([None] * len(a), dtype=float)
-        x, y = (embed([t for one in side for t in one]) for side in (a, b))
+            return pa.nulls(len(a), pa.float64())
+        x, y = (np.concatenate([embed(some) for some in texts.pieces(side.flatten())]) for side in (a, b))
         size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
         gap = np.where(size > 0, 1.0 - np.divide((x * y).sum(1), size, out=np.ones(len(x)), where=size > 0), 0.0)
         total = np.bincount(np.repeat(np.arange(len(n)), n), gap, len(n))
-        return pd.Series(np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0))
+        return pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
     return run
 
 
