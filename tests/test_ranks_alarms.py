@@ -98,3 +98,29 @@ def test_first_segment_runs_from_its_only_start(spark):
     for seg_rows in (7, 25, 4096):
         got = policy.escalate_on_alarm(*args, seg_rows=seg_rows).first()
         assert (got.halted_at, got.calls) == (halted, calls)
+
+
+def test_shared_tables_read_their_input_once(spark, tmp_path, monkeypatch):
+    """The lengths of episodes take one pass over the events, the peaks and the first alarms one pass each over the scores."""
+    import re
+    import shutil
+
+    from trajspark.plans import base
+    shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path)
+    seen, write = {"events": 0, "scores": 0}, base.sinks.materialize
+
+    def note(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        seen["events"] += len(re.findall(r"Relation \[event_id#", plan))
+        seen["scores"] += len(re.findall(r"Relation \[monitor#\w+,user_id#\w+,t#", plan))
+
+    def materialize(df, name, scope=""):
+        note(df)
+        return write(df, name, scope)
+    monkeypatch.setattr(base.sinks, "materialize", materialize)
+    base.episodes(spark, str(tmp_path))
+    assert seen["events"] == 1
+    base.scores(spark, str(tmp_path))
+    seen["scores"] = 0
+    note(base.alarm_rows(spark, str(tmp_path)))
+    assert seen["scores"] == 2

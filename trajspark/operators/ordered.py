@@ -42,8 +42,9 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     are sorted together; the offsets come from the bucket counts.
     """
     keys = list(keys)
-    b = df.withColumn("_b", bucket).repartition(*keys, "_b")
-    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    b = df.withColumn("_b", bucket)
+    counts = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))  # added up before their shuffle
+    b = b.repartition(*keys, "_b")
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(
         W.unboundedPreceding, -1)
     offs = counts.select(

@@ -34,8 +34,9 @@ def episodes(spark: SparkSession, d: str) -> DataFrame:
     done = sinks.known(spark, "episodes", d)
     if done is not None:
         return done
-    e = table(spark, d, "events").groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n_steps"))
+    # written once: the split reads the lengths three times, and each time would count all events
+    e = sinks.materialize(table(spark, d, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).cast("int").alias("n_steps")), "episode_lengths", d)
     bad = F.col("user_id") % 3 == 0
     e = e.select(
         "user_id", "n_steps", (~bad).alias("is_healthy"),
@@ -71,9 +72,11 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def maxima(spark: SparkSession, d: str) -> DataFrame:
-    """Per-episode peak score joined to the episode labels."""
-    m = scores(spark, d).groupBy("monitor", "user_id").agg(
-        F.max("score").alias("max_score"))
+    """Per-episode peak score joined to the episode labels; the peaks are written once, as thresholds read them twice."""
+    m = sinks.known(spark, "peaks", d)
+    if m is None:
+        m = sinks.materialize(scores(spark, d).groupBy("monitor", "user_id").agg(
+            F.max("score").alias("max_score")), "peaks", d)
     return m.join(episodes(spark, d), "user_id")
 
 
