@@ -32,6 +32,37 @@ def test_pairs_of_a_text_are_written_without_a_shuffle(spark, monkeypatch):
     assert got == {1: 4, 2: 0, 3: 0, 4: 1} and seen["pair_counts"] == 0
 
 
+def test_pairs_are_shuffled_once_and_as_digests(spark):
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "c d a b")], "i int, text string")
+    plan = pmi.score(docs, docs, "i", "text")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert [re.sub(r"#\d+L?", "", x) for x in dealt if not x.startswith("i#")] == ["h, m"]
+
+
+@pytest.mark.parametrize("floor", [1e-10, 0.9, 3.0])
+@pytest.mark.parametrize("known", [0, 3, 200_000])
+def test_texts_against_all_of_them_by_brute_force(spark, floor, known):
+    """Any number of words known in the row, ratios above and below the floor, texts without pairs."""
+    texts = ["a b a b c", "a a a a", "", None, "  \t ", "z", " a\tb\n c  d é ", *(" ".join("abcxyz"[(i * j * j + i) % 6] for j in range(i)) for i in range(2, 40)), "b z q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    words = [(t or "").split() for t in texts]
+    uni, bi = Counter(w for ws in words for w in ws), Counter(p for ws in words for p in zip(ws, ws[1:]))
+    tu, tb, v = sum(uni.values()), sum(bi.values()), len(uni)
+    npmi = {(a, b): -math.log(max((n + 1) / (tb + v * v) / ((uni[a] + 1) / (tu + v) * (uni[b] + 1) / (tu + v)), floor)) for (a, b), n in bi.items()}
+    low = sum(x == -math.log(floor) for x in npmi.values())
+    assert low == 0 if floor < 1e-9 else 0 < low < len(npmi)
+    got = {r.i: (r.neg_pmi, r.n_pairs) for r in pmi.own_score(docs, "i", "text", floor, known).collect()}
+    assert len(got) == len(texts)
+    for i, ws in enumerate(words):
+        mine = [npmi[p] for p in zip(ws, ws[1:])]
+        assert got[i] == (pytest.approx(sum(mine) / len(mine) if mine else 0.0, abs=1e-12), len(mine))
+
+
+def test_texts_without_a_pair(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "i int, text string")
+    assert sorted(tuple(r) for r in pmi.score(docs, docs, "i", "text").collect()) == [(i, 0.0, 0) for i in (1, 2, 3)]
+
+
 @pytest.mark.parametrize("met", [3, 2_000_000])
 def test_bm25_in_as_many_tasks_as_meetings_need(spark, monkeypatch, met):
     monkeypatch.setattr(search, "MET", met)
