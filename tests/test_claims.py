@@ -88,3 +88,41 @@ def test_places_that_begin_alike(spark):
     got = [sorted(tuple(x) for x in r.c) for r in df.select(claims.stated_attributes(F.col("text"), places, VALUES).alias("c")).collect()]
     assert got == [[(p, "mild"), (p, "rainy"), (p, "windy")] for p in places] + [[], []]
     assert claims._any(places).count("_") == 1
+
+
+def _orders(spark, path):
+    """Orders of 1 to 9 lines and one of 90, over nine days and four nations, some prices and suppliers unknown."""
+    lines = [(o, (o * 7 + i * 5) % 50, (o + i * 3) % 12, i % 7 + 1, (((o * 1000 + i * 137) * 7919) % 90000 + 100) / 100 if (o + i) % 23 else None,
+              "RAN"[(o * i + i) % 3], f"1995-03-{(o + i // 2) % 9 + 1:02d}") for o in range(400) for i in range(90 if o == 77 else o % 9 + 1)]
+    lines += [(None, 1, 1, 1, 5.0, "R", "1995-03-01"), (3, 1, None, 9, 5.0, "R", "1995-03-01"), (5, 1, 99, 9, 5.0, "R", None), (6, 2, 1, 9, 5.0, None, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, d string").selectExpr(
+        "* EXCEPT (d)", "CAST(d AS timestamp) AS l_shipdate").write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(s, s % 4) for s in range(12)], "s_suppkey long, s_nationkey long").write.parquet(f"{path}/supplier.parquet")
+    spark.createDataFrame([(i, f"NATION_{i}") for i in range(4)], "n_nationkey long, n_name string").write.parquet(f"{path}/nation.parquet")
+    # the second place is 11 on, so one in 4 customers needs places that exist only in part
+    spark.createDataFrame([(o, (o * 4) % 100 if o % 3 else o) for o in range(400)] + [(4, 14 * 4), (None, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{path}/orders.parquet")
+
+
+def test_labels_equal_their_sql_with_crowded_orders(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    _orders(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(entry.oracle_sql()["objective_label_claims"]).fetchall())
+    got = sorted((r.o, r.label) for r in entry.queries()["objective_label_claims"](spark, str(tmp_path)).collect())
+    assert got == want and len({x for _, x in want}) >= 3
+
+
+def test_labels_together_equal_those_by_rows_and_lines_are_shuffled_once(spark, tmp_path):
+    import re
+
+    from trajspark.plans import claim_queries as q
+    _orders(spark, tmp_path)
+    lines, need = q.looked(spark, str(tmp_path)).filter("o IS NOT NULL"), q.required(spark, str(tmp_path))
+    a, b = q.labels_together(lines, need), q.labels_by_rows(lines, need)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    dealt = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", a._jdf.queryExecution().executedPlan().toString()))
+    assert [re.sub(r"#\d+L?", "", x) for x in dealt] == ["o", "o"]  # lines, and places needed
