@@ -126,3 +126,14 @@ def test_labels_together_equal_those_by_rows_and_lines_are_shuffled_once(spark,
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     dealt = set(re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", a._jdf.queryExecution().executedPlan().toString()))
     assert [re.sub(r"#\d+L?", "", x) for x in dealt] == ["o", "o"]  # lines, and places needed
+
+
+def test_amounts_before_tax_by_rounding(spark):
+    taxes = (0.0, 0.08, 0.085, 0.10)
+    figs = [*range(-400, 400), *range(12_345_600, 12_345_700), 10 ** 13 + 7]
+    rounded = F.array(*[F.round(F.col("s") * F.lit(1.0 + r)).cast("long") for r in taxes])
+    around = F.flatten(F.array(*[F.sequence(F.round(F.col("f") / F.lit(1.0 + r)).cast("long") - 3, F.round(F.col("f") / F.lit(1.0 + r)).cast("long") + 3) for r in taxes]))
+    df = spark.createDataFrame([(f,) for f in figs], "f long")
+    want = df.select("f", F.explode(F.array_distinct(around)).alias("s")).filter(F.array_contains(rounded, F.col("f")))
+    got = df.select("f", F.explode(verify._before_tax(F.col("f"), taxes)).alias("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -19,7 +19,7 @@ def _any(words: Sequence[str]) -> str:
         if w:
             rest.setdefault(w[0], []).append(w[1:])
     body = "|".join(re.escape(c) + _any(tails) for c, tails in rest.items())
-    return f"(?:{body}){'?' if '' in words else ''}" if body else ""
+    return (f"(?:{body}){'?' if '' in words else ''}" if "" in words or len(rest) > 1 else body) if body else ""
 
 
 def stated_attributes(text: Column, places: Sequence[str], values: Sequence[str]) -> Column:
@@ -32,15 +32,16 @@ def stated_attributes(text: Column, places: Sequence[str], values: Sequence[str]
     at, of = (_any([w.lower() for w in words]) for words in (places, values))
     low = F.lower(text)
     forms = (  # pattern, group of the place, group of the value, what every match of it has: a text without is not searched
-        (rf"\b({of})\s+in\s+({at})\b", 2, 1, low.contains("in")),
+        (rf"\b({of})\s+in\s+({at})\b", 2, 1, low.rlike(r"\sin\s")),
         (rf"\b({at})\s*[-:]\s*({of})\b", 1, 2, low.contains(":") | low.contains("-")),
         (rf"\b({at})\s+(?:is|was|it's|its|will be|are)\s+(?:expected to be\s+|expecting\s+)?({of})\b", 1, 2,
          low.contains("is") | low.contains("was") | low.contains("it") | low.contains("will") | low.contains("are")))
 
+    kind = "array<struct<place:string,value:string>>"
+
     def found(p: str, place: int, value: int, may: Column) -> Column:
-        return F.when(may, F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(0)), lambda m: F.struct(
-            F.regexp_extract(m, p, place).alias("place"), F.regexp_extract(m, p, value).alias("value")))) \
-            .when(low.isNotNull(), F.array().cast("array<struct<place:string,value:string>>"))
+        both = F.arrays_zip(*[F.regexp_extract_all(low, F.lit(p), F.lit(group)) for group in (place, value)]).cast(kind)
+        return F.when(may, both).when(low.isNotNull(), F.array().cast(kind))
     return F.concat(*[found(*form) for form in forms])
 
 
