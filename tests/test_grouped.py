@@ -90,3 +90,13 @@ def test_scores_give_out_only_what_is_asked_for(spark):
     assert {r.i: r.score for r in s.collect()} == {1: 5.0, 2: None, 3: 2.0, 4: None}
     assert {(r.g, r.i, r.v and tuple(r.v)): r.score for r in grouped.scored(df, m, ["g"], "v").collect()} == {
         ("a", 1, (3.0, 4.0)): 5.0, ("a", 2, None): None, (None, 3, (0.0, 2.0)): 2.0, ("c", 4, (1.0, 1.0)): None}
+
+
+def test_runs_without_values_are_neither_flat_nor_not(spark):
+    from trajspark.operators import studies
+    runs = spark.createDataFrame([(u, None if u == 1 else u * x, (x if u != 2 else 0.0)) for u in (1, 2, 3) for x in (0.0, 1.0)] + [(4, None, 5.0)],
+                                 "u int, a double, b double")
+    bounds = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "channel string, bound double")
+    got = lambda b: {r.u: r.tampered for r in studies.tampered(runs, b, ["u"], ["a", "b"]).collect()}
+    assert got(bounds) == {1: None, 2: True, 3: False, 4: True}
+    assert got(bounds.filter("channel = 'b'")) == {1: None, 2: True, 3: None, 4: True}

@@ -232,8 +232,12 @@ def tamper_bounds(healthy: DataFrame, keys: Sequence[str], cols: Sequence[str])
 
 
 def tampered(runs: DataFrame, bounds: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Runs with a channel flatter than its bound; a deviation that differs from it by rounding alone equals it."""
+    """Runs with a channel flatter than its bound; a deviation that differs from it by rounding alone equals it.
+
+    Null if no channel is flatter and one has no values or no bound.
+    """
     sd = runs.groupBy(*keys).agg(*[F.stddev_pop(c).alias(c) for c in cols])
     long = sd.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in cols])))
-    return long.join(F.broadcast(bounds.select("channel", "bound")), "channel").groupBy(*keys).agg(
-        F.bool_or(F.col("v") < F.col("bound") * F.lit(1.0 - 1e-12)).alias("tampered"))
+    flat = F.col("v") < F.col("bound") * F.lit(1.0 - 1e-12)
+    return long.join(F.broadcast(bounds.select("channel", "bound")), "channel", "left").groupBy(*keys).agg(
+        F.when(F.bool_or(flat), True).when(F.count(flat) == F.count(F.lit(1)), False).alias("tampered"))
